@@ -26,13 +26,22 @@ PAGE_BITS = 15  # a page of the filter is 32,768 bits, 4 KB
 
 
 def _positions(hashes, bits: int) -> np.ndarray:
-    words = np.frombuffer(b"".join(hashes), dtype="<u8").reshape(-1, 4)[:, :2]
+    """Two bit positions of each SHA-256, or of each 64-bit key."""
+    if isinstance(hashes, np.ndarray) and hashes.dtype.kind == "i":
+        x = hashes.view(np.uint64)
+        words = np.stack([x, (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)], axis=1)
+    else:
+        words = np.frombuffer(b"".join(hashes), dtype="<u8").reshape(-1, 4)[:, :2]
     return words & np.uint64(bits - 1)
 
 
+def _values(column):
+    return column.to_numpy(zero_copy_only=False) if pa.types.is_int64(column.type) else column.to_pylist()
+
+
 def _pages_of_partition(bits: int):
     def run(batches):
-        found = [_positions(b.column(0).to_pylist(), bits).ravel() for b in batches if b.num_rows]
+        found = [_positions(_values(b.column(0)), bits).ravel() for b in batches if b.num_rows]
         if not found:
             return
         at, n = np.unique(np.concatenate(found), return_counts=True)
@@ -52,40 +61,44 @@ def _pages_of_partition(bits: int):
     return run
 
 
-def _merge_pages(batches):
+def _merge_pages(least: int):
     """Rows arrive sorted by page; one page is held at a time."""
-    current, counts, out = None, None, []
-
-    def done():
-        if current is not None and (counts > 1).any():
-            out.append((current, np.packbits(counts > 1, bitorder="little").tobytes()))
-
-    def batch():
-        return pa.RecordBatch.from_pydict({"page": pa.array([x[0] for x in out], pa.int32()), "bits": pa.array([x[1] for x in out], pa.binary())})
-
-    for b in batches:
-        for page, once, twice in zip(*(b.column(i).to_pylist() for i in range(3))):
-            if page != current:
-                done()
-                current, counts = page, np.zeros(1 << PAGE_BITS, np.uint8)
-            at = np.frombuffer(once, "<u2")
-            counts[at] = np.minimum(counts[at] + 1, 2)
-            counts[np.frombuffer(twice, "<u2")] = 2
-        if len(out) >= 1024:
-            yield batch()
-            out.clear()
-    done()
-    yield batch()
-
-
-def repeated_filter(hashes: DataFrame, column: str, rows: int, max_filter_mb: int = 32) -> np.ndarray:
-    """Bits (as bytes, at most ``max_filter_mb``) that at least two rows of ``hashes`` set."""
+
+    def run(batches):
+        current, counts, out = None, None, []
+
+        def done():
+            if current is not None and (counts >= least).any():
+                out.append((current, np.packbits(counts >= least, bitorder="little").tobytes()))
+
+        def batch():
+            return pa.RecordBatch.from_pydict({"page": pa.array([x[0] for x in out], pa.int32()), "bits": pa.array([x[1] for x in out], pa.binary())})
+
+        for b in batches:
+            for page, once, twice in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if page != current:
+                    done()
+                    current, counts = page, np.zeros(1 << PAGE_BITS, np.uint8)
+                at = np.frombuffer(once, "<u2")
+                counts[at] = np.minimum(counts[at] + 1, 2)
+                counts[np.frombuffer(twice, "<u2")] = 2
+            if len(out) >= 1024:
+                yield batch()
+                out.clear()
+        done()
+        yield batch()
+
+    return run
+
+
+def repeated_filter(hashes: DataFrame, column: str, rows: int, max_filter_mb: int = 32, least: int = 2) -> np.ndarray:
+    """Bits (as bytes, at most ``max_filter_mb``) that at least ``least`` (1 or 2) rows of ``hashes`` set."""
     bits = 1 << PAGE_BITS
     while bits < 16 * rows and bits < max_filter_mb << 23:
         bits <<= 1
     parts = shuffle_parts(hashes.sparkSession)
     partial = hashes.select(column).mapInArrow(_pages_of_partition(bits), "page int, once binary, twice binary")
-    merged = partial.repartition(parts, "page").sortWithinPartitions("page").mapInArrow(_merge_pages, "page int, bits binary")
+    merged = partial.repartition(parts, "page").sortWithinPartitions("page").mapInArrow(_merge_pages(least), "page int, bits binary")
     filter_bytes = np.zeros(bits // 8, np.uint8)
     size = (1 << PAGE_BITS) // 8
     table = merged.toArrow()
@@ -100,7 +113,7 @@ def maybe_repeated(spark: SparkSession, filter_bytes: np.ndarray):
 
     @F.pandas_udf("boolean")
     def test(hashes: pd.Series) -> pd.Series:
-        at = _positions(hashes, bits).astype(np.int64)
+        at = _positions(hashes.to_numpy(), bits).astype(np.int64)
         return pd.Series(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1) if len(hashes) else [], dtype=bool)
 
     return test
