@@ -173,9 +173,13 @@ def _verify_windows(batches):
             for (row, _), a, z in zip(some, cut, cut[1:]):
                 shared[a:z] = np.isin(key[a:z], row[3].values.to_numpy())
             ords, ths = (np.array([r[i] for r, _ in some], np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[at[shared]].view(np.int64)), pa.array(ords[doc[shared]]), pa.array(ths[doc[shared]]), pa.array(local[shared].astype(np.int32))], ["wh", "ord", "th", "pos"]
-            )
+            # One row for each window of a document, with all its starts there.
+            wh, doc, local = hashes[at[shared]].view(np.int64), doc[shared], local[shared].astype(np.int32)
+            order = np.lexsort((wh, doc))
+            wh, doc, local = wh[order], doc[order], local[order]
+            new = np.flatnonzero(np.r_[True, (wh[1:] != wh[:-1]) | (doc[1:] != doc[:-1])]) if len(wh) else np.zeros(0, np.int64)
+            starts = pa.ListArray.from_arrays(pa.array(np.r_[new, len(wh)].astype(np.int32)), pa.array(local))
+            yield pa.RecordBatch.from_arrays([pa.array(wh[new]), pa.array(ords[doc[new]]), pa.array(ths[doc[new]]), starts], ["wh", "ord", "th", "starts"])
 
 
 def _later(batches):
@@ -190,36 +194,33 @@ def _later(batches):
         if last is not None and wh[0] == last:
             first[: int(np.argmax(new[1:])) + 1 if new[1:].any() else len(wh)] = smallest
         last, smallest = wh[-1], first[-1]
-        yield b.filter(pa.array(order > first)).select(["ord", "th", "pos"])
+        yield b.filter(pa.array(order > first)).select(["ord", "th", "starts"])
 
 
 def _covers(batches):
-    """One row per document: starts and ends of the covered stretches. Rows are sorted by (ord, th, pos)."""
-    current, starts, ends, out = None, [], [], []
+    """One row per document: starts and ends of the covered stretches. Rows are sorted by (ord, th)."""
+    current, found, out = None, [], []
 
     def flush():
         if current is not None:
-            out.append((*current, np.array([starts, ends], "<i8").tobytes()))
+            p = np.unique(np.concatenate(found)).astype(np.int64)
+            new = np.flatnonzero(np.r_[True, p[1:] > p[:-1] + WINDOW])
+            out.append((*current, np.array([p[new], p[np.r_[new[1:], len(p)] - 1] + WINDOW], "<i8").tobytes()))
 
     def batch():
         return pa.RecordBatch.from_pydict({"ord": pa.array([x[0] for x in out], pa.int64()), "th": pa.array([x[1] for x in out], pa.int64()), "cover": pa.array([x[2] for x in out], pa.binary())})
 
     for b in batches:
-        o, t, p = (b.column(i).to_numpy().astype(np.int64) for i in range(3))
-        if not len(o):
+        if not b.num_rows:
             continue
-        new = np.r_[True, (o[1:] != o[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + WINDOW)]
-        head = np.flatnonzero(new)
-        tail = np.r_[head[1:], len(o)] - 1
-        for doc, th, a, z in zip(o[head].tolist(), t[head].tolist(), p[head].tolist(), (p[tail] + WINDOW).tolist()):
+        o, t = b.column(0).to_numpy(), b.column(1).to_numpy()
+        at, values = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy()
+        new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (t[1:] != t[:-1])])
+        for doc, th, i, j in zip(o[new].tolist(), t[new].tolist(), new.tolist(), [*new[1:].tolist(), len(o)]):
             if (doc, th) != current:
                 flush()
-                current, starts, ends = (doc, th), [], []
-            if ends and a <= ends[-1]:
-                ends[-1] = max(z, ends[-1])
-            else:
-                starts.append(a)
-                ends.append(z)
+                current, found = (doc, th), []
+            found.append(values[at[i] : at[j]])
         if len(out) > 2000:
             yield batch()
             out.clear()
@@ -278,9 +279,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_doc = held.join(shared.hint("merge"), "key").groupBy("ord", "th").agg(F.collect_set("key").alias("keys"))
     by_doc = keep(by_doc)
     text_side = rows.select("ord", "th", "text")
-    windows = text_side.join(by_doc.hint("merge"), ["ord", "th"]).select("ord", "th", "text", "keys").mapInArrow(_verify_windows, "wh long, ord long, th long, pos int")
-    later = windows.repartition(parts, "wh").sortWithinPartitions("wh", "ord").mapInArrow(_later, "ord long, th long, pos int")
-    covers = later.repartition(parts, "ord", "th").sortWithinPartitions("ord", "th", "pos").mapInArrow(_covers, "ord long, th long, cover binary")
+    windows = text_side.join(by_doc.hint("merge"), ["ord", "th"]).select("ord", "th", "text", "keys").mapInArrow(_verify_windows, "wh long, ord long, th long, starts array<int>")
+    later = windows.repartition(parts, "wh").sortWithinPartitions("wh", "ord").mapInArrow(_later, "ord long, th long, starts array<int>")
+    covers = later.repartition(parts, "ord", "th").sortWithinPartitions("ord", "th").mapInArrow(_covers, "ord long, th long, cover binary")
     copies = judged.where("copy").select("ord", "th", F.lit(None).cast("binary").alias("cover"), F.lit(True).alias("copy")).distinct()
     marks = keep(covers.withColumn("copy", F.lit(False)).unionByName(copies))
     marked = rows.join(marks.hint("merge"), ["ord", "th"], "left").select("doc_id", "text", "cover", F.coalesce("copy", F.lit(False)).alias("copy"))
