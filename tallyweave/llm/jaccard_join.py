@@ -64,39 +64,57 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _sets(size: int):
-    def run(batches):
-        for b in batches:
-            for start in range(0, b.num_rows, 500):
-                part = b.slice(start, 500)
-                sets = [shingles(t, size) for t in part.column(2).to_pylist()]
-                raw = [s.tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array([xxhash.xxh3_64_intdigest(r) - (1 << 63) if r else None for r in raw], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-                        pa.array(raw, pa.binary()),
-                    ],
-                    ["doc_id", "ord", "node", "n", "bits", "tokens"],
-                )
-
-    return run
+def _slices(batches, rows: int = 500):
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
 
 
-SETS = "doc_id long, ord long, node long, n long, bits binary, tokens binary"
 _PART = 4096
+OUTLINE = "doc_id long, ord long, node long, n long, bits binary, part int, counts binary"
 
 
-def _sketch_part(batches):
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for b in batches:
-        raw = b"".join(x for x in b.column(0).to_pylist() if x)
-        counts += np.bincount((np.frombuffer(raw, "<u8") >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-    if counts.any():
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(counts) // _PART), pa.int32()), "counts": pa.array([c.astype("<u4").tobytes() for c in counts.reshape(-1, _PART)], pa.binary())})
+def _node(tokens: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
+
+
+def _outline(size: int):
+    """A row per document without its tokens, and at the end the task's share of the counting sketch."""
+
+    def run(batches):
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        for part in _slices(batches):
+            sets = [shingles(t, size) for t in part.column(2).to_pylist()]
+            if sets:
+                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+            none = pa.nulls(len(sets))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": part.column(0),
+                    "ord": part.column(1),
+                    "node": pa.array([_node(s) for s in sets], pa.int64()),
+                    "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "bits": pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    "part": none.cast(pa.int32()),
+                    "counts": none.cast(pa.binary()),
+                }
+            )
+        if counts.any():
+            cut = counts.reshape(-1, _PART)
+            null = lambda kind: pa.nulls(len(cut), kind)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": null(pa.int64()),
+                    "ord": null(pa.int64()),
+                    "node": null(pa.int64()),
+                    "n": null(pa.int64()),
+                    "bits": null(pa.binary()),
+                    "part": pa.array(range(len(cut)), pa.int32()),
+                    "counts": pa.array([c.astype("<u4").tobytes() for c in cut], pa.binary()),
+                }
+            )
+
+    return run
 
 
 def _sketch_sum(batches):
@@ -107,36 +125,48 @@ def _sketch_sum(batches):
     yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([np.minimum(s, 2**32 - 1).astype("<u4").tobytes() for s in sums.values()], pa.binary())})
 
 
-def frequency_sketch(sets: DataFrame) -> np.ndarray:
+def frequency_sketch(outline: DataFrame) -> np.ndarray:
     """Counts of hashed shingles over all documents: 2**18 numbers, 1 MB at any corpus size."""
-    partial = sets.select("tokens").mapInArrow(_sketch_part, "part int, counts binary")
-    summed = partial.repartition(shuffle_parts(sets.sparkSession), "part").mapInArrow(_sketch_sum, "part int, counts binary").toArrow()
+    parts = shuffle_parts(outline.sparkSession)
+    summed = outline.where("part is not null").select("part", "counts").repartition(parts, "part").mapInArrow(_sketch_sum, "part int, counts binary").toArrow()
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
     for part, counts in zip(summed["part"].to_pylist(), summed["counts"].to_pylist()):
         out[part * _PART : (part + 1) * _PART] = np.frombuffer(counts, "<u4")
     return out
 
 
-def _front(sketch, num: int, den: int):
-    """The rarest-first front of each set: key, node, n."""
+def _front(sketch, size: int, num: int, den: int):
+    """The rarest-first front of each document's set: key, node, n."""
 
     def run(batches):
-        for b in batches:
-            keys, sizes = [], []
-            nodes, n = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for raw, size in zip(b.column(2).to_pylist(), n):
-                t = np.frombuffer(raw, "<u8")
-                front = size - -(-num * size // den) + 1
+        for part in _slices(batches):
+            keys, nodes, sizes = [], [], []
+            for text in part.column(0).to_pylist():
+                t = shingles(text, size)
+                n = len(t)
+                if not n:
+                    continue
+                node, front = _node(t), n - -(-num * n // den) + 1
                 count = sketch.value[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                if front < size:
+                if front < n:
                     edge = np.partition(count, front - 1)[front - 1]
                     some = np.flatnonzero(count <= edge)
-                    some = some[np.lexsort((t[some], count[some]))[:front]]
-                    t = t[some]
+                    t = t[some[np.lexsort((t[some], count[some]))[:front]]]
                 keys.append(t)
-                sizes.append(len(t))
+                nodes.append(node)
+                sizes.append(n)
+            times = [len(k) for k in keys]
             key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(nodes, np.int64), sizes)), pa.array(np.repeat(np.array(n, np.int64), sizes))], ["key", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int64), times))], ["key", "node", "n"])
+
+    return run
+
+
+def _tokens(size: int):
+    def run(batches):
+        for part in _slices(batches):
+            sets = [shingles(t, size) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["ord", "node", "tokens"])
 
     return run
 
@@ -198,7 +228,8 @@ def _folded(raws: list[bytes]) -> np.ndarray:
 
 
 def _pairs(left, right) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left) if left else np.zeros(0, np.int64), pa.int64()), pa.array(np.concatenate(right) if right else np.zeros(0, np.int64), pa.int64())], ["a", "b"])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
 
 def _round_one(num: int, den: int):
@@ -292,8 +323,7 @@ def _links(num: int, den: int):
 def verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
     left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return distinct.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(_links(num, den), "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(_links(num, den), "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,28 +338,36 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("ord"), text_or_empty(docs[text_col]).alias("text"))
-    sets = keep(rows.mapInArrow(_sets(shingle), SETS))
+    outline = keep(rows.mapInArrow(_outline(shingle), OUTLINE))
+    sketch = spark.sparkContext.broadcast(frequency_sketch(outline))
+    sets = outline.where("part is null")
     some = sets.where("n > 0")
-    sketch = spark.sparkContext.broadcast(frequency_sketch(some))
-    front = some.select("node", "n", "tokens").mapInArrow(_front(sketch, num, den), "key long, node long, n long")
-    estimate = some.agg(F.coalesce(F.sum(F.ceil(F.col("n") * (den - num) / den) + 1), F.lit(0))).first()[0]
-    again = maybe_repeated(spark, repeated_filter(front, "key", int(estimate)))
+    # Each distinct set once, with the first document that has it.
+    by_node = keep(some.groupBy("node").agg(F.min("ord").alias("ord"), F.first("bits").alias("bits")))
+    front = keep(rows.select("text").mapInArrow(_front(sketch, shingle, num, den), "key long, node long, n long"))
+    again = maybe_repeated(spark, repeated_filter(front, "key", front.count()))
     listed = front.where(again("key")).distinct()
-    held = listed.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key"))).where("c > 1").select("key", "node", "n")
-    held = keep(held)
-    nodes = held.select("node").distinct()
-    # Bitmaps and tokens of these sets, each from the first document that has the set.
-    wanted = maybe_repeated(spark, repeated_filter(nodes, "node", held.count(), least=1))
-    first = some.select("node", "ord").where(wanted("node")).groupBy("node").agg(F.min("ord").alias("ord")).join(nodes.hint("merge"), "node")
-    details = keep(some.select("node", "ord", "bits", "tokens").where(wanted("node")).join(first.hint("merge"), ["node", "ord"]).groupBy("node").agg(F.first("bits").alias("bits"), F.first("tokens").alias("tokens")))
-    tokens = details.select("node", "tokens")
-    leaves = keep(held.join(details.select("node", "bits").hint("merge"), "node").select("key", "node", "n", "bits"))
-
+    # Under a root, a set stays if its neighbour by size is near enough for a link.
+    by_size = W.partitionBy("key").orderBy("n", "node")
+    near_size = lambda small, large: F.coalesce(F.col(small) * den >= F.col(large) * num, F.lit(False))
+    held = keep(
+        listed.withColumns({"up": F.lead("n").over(by_size), "down": F.lag("n").over(by_size)}).where(near_size("n", "up") | near_size("down", "n")).select("key", "node", "n")
+    )
+
+    def tokens_of(pairs: DataFrame) -> DataFrame:
+        """node and tokens of all sets in pairs: their documents are read again, picked by a Bloom filter and a join."""
+        nodes = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(by_node.select("node", "ord").hint("merge"), "node"))
+        wanted = maybe_repeated(spark, repeated_filter(nodes, "ord", nodes.count(), least=1))
+        read = rows.select("ord", "text").where(wanted("ord")).mapInArrow(_tokens(shingle), "ord long, node long, tokens binary")
+        return keep(read.join(nodes.hint("merge"), ["ord", "node"]).select("node", "tokens").dropDuplicates(["node"]))
+
+    leaves = held.join(by_node.select("node", "bits").hint("merge"), "node").select("key", "node", "n", "bits")
     near = leaves.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_round_one(num, den), "a long, b long")
-    links = keep(verified(near, tokens, num, den))
+    near = keep(near.distinct())
+    links = keep(verified(near, tokens_of(near), num, den))
     roots = keep(components(links))
 
-    rooted = leaves.select("key", "node", "n").join(roots.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = held.join(roots.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     open_ = rooted.join(mixed.hint("merge"), "key").withColumn("chunk", F.expr(f"cast((row_number() over (partition by key order by n, node) - 1) div {BLOCK} as int)"))
     open_ = keep(open_)
@@ -338,9 +376,10 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     # Blocks whose sizes are too far apart never meet; chunks are in order of size.
     meet = keep(chunks.withColumnRenamed("chunk", "i").join(other.hint("merge"), "key").where(f"i <= j and {den} * high >= {num} * low2").select("key", "i", "j"))
     sides = meet.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-    blocks = open_.join(sides.hint("merge"), ["key", "chunk"]).join(details.select("node", "bits").hint("merge"), "node").select("key", "i", "j", "chunk", "node", "n", "bits", "root")
+    blocks = open_.join(sides.hint("merge"), ["key", "chunk"]).join(by_node.select("node", "bits").hint("merge"), "node").select("key", "i", "j", "chunk", "node", "n", "bits", "root")
     far = blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk", "n", "node").mapInArrow(_round_two(num, den), "a long, b long")
-    more = keep(verified(far, tokens, num, den))
+    far = keep(far.distinct())
+    more = keep(verified(far, tokens_of(far), num, den))
     # Only links between components are new; they join roots.
     named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)).hint("merge")
     over = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
