@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweave.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
-from tallyweave.llm.common import keep
+from tallyweave.llm.common import keep, release
 
 #: The mixture reads every document at least once and none of them more than this, on average of its source.
 MAX_EPOCHS = 1.5
@@ -20,26 +20,31 @@ MAX_EPOCHS = 1.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; the machine learns from the labels that training may see."""
+    release(spark)  # what came before is written
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised texts, the one with the smallest id."""
+    release(spark)  # what came before is written
     return exact_dedup.dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more, the one with the smallest id."""
+    release(spark)  # what came before is written
     return jaccard_join.one_of_each(docs, shingle=5, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and documents of smaller sources again as their weights ask for."""
+    release(spark)  # what came before is written
     return mixing.mix(docs, max_epochs=MAX_EPOCHS).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens; a document that the mixture repeats is packed again."""
+    release(spark)  # what came before is written
     return packing.pack(docs).select(*packing.COLUMNS)
 
 
@@ -58,5 +63,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), codec="snappy")
+        docs = keep(stage(spark, docs, sf_dir), codec="snappy", passing=False)
     return STAGES[-1][1](spark, docs, sf_dir)

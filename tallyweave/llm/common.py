@@ -20,18 +20,53 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tallyweave/{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
+_made: list[str] = []
+
+
+def keep(df: DataFrame, codec: str = "zstd", passing: bool = True) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage, fixes anything evaluated at run time, and survives the loss
-    of an executor because the files are on the shared store.
+    of an executor because the files are on the shared store. ``passing``
+    tables may go with the next ``release``.
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.option("compression", codec).parquet(path)
+    if passing:
+        _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(kept: DataFrame) -> None:
+    """Delete a kept table that nothing will read again."""
+    for path in {f.rpartition("/")[0] for f in kept.inputFiles()}:
+        _delete(kept.sparkSession, path)
+        if path in _made:
+            _made.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the passing tables of earlier operators, whose results must have been written by now."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: hand them to Python by the thousand, unless the session says otherwise."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, keep, same_id, shuffle_parts, text_or_empty
+from .common import SPACE, documents, keep, same_id, shuffle_parts, small_batches, text_or_empty
 
 PAGE_BITS = 15  # a page of the filter is 32,768 bits, 4 KB
 
@@ -129,6 +129,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows with the smallest id stay. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     normal = F.regexp_replace(text_or_empty(docs[text_col]), SPACE, " ")
     hashed = keep(docs.select(docs[id_col].alias("doc_id"), F.unhex(F.sha2(normal, 256)).alias("sha")))
     test = maybe_repeated(spark, repeated_filter(hashed, "sha", hashed.count(), max_filter_mb))
@@ -147,6 +148,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shuffled, to meet the smallest id of their group.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     normal = F.regexp_replace(text_or_empty(docs[text_col]), SPACE, " ")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.unhex(F.sha2(normal, 256)).alias("sha"))
     hashed = keep(rows.select("id", "sha"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, keep, shuffle_parts, text_or_empty
+from .common import discard, documents, keep, shuffle_parts, small_batches, text_or_empty
 from .components import components
 from .exact_dedup import maybe_repeated, repeated_filter
 from .substring_dedup import mix, names_of, window_hashes
@@ -57,8 +57,8 @@ def shingles(text: str, size: int) -> np.ndarray:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Between 256 and 8192 bits, at least two a token as far as that goes; narrower ones fold into it."""
-    width = min(8192, max(256, 1 << int(2 * len(tokens) - 1).bit_length()))
+    """Between 64 and 8192 bits, about one a token as far as that goes; wider ones fold to narrower."""
+    width = min(8192, max(64, 1 << (3 * len(tokens) // 4).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little")
@@ -136,11 +136,15 @@ def frequency_sketch(outline: DataFrame) -> np.ndarray:
 
 
 def _front(sketch, size: int, num: int, den: int):
-    """The rarest-first front of each document's set: key, node, n."""
+    """The rarest-first front of each document's set: key, node, n, index.
+
+    ``index``: the shingle may be the first that the set shares with a set as
+    large or larger (then what is left after it still reaches the overlap).
+    """
 
     def run(batches):
         for part in _slices(batches):
-            keys, nodes, sizes = [], [], []
+            keys, nodes, sizes, index = [], [], [], []
             for text in part.column(0).to_pylist():
                 t = shingles(text, size)
                 n = len(t)
@@ -152,12 +156,18 @@ def _front(sketch, size: int, num: int, den: int):
                     edge = np.partition(count, front - 1)[front - 1]
                     some = np.flatnonzero(count <= edge)
                     t = t[some[np.lexsort((t[some], count[some]))[:front]]]
+                else:
+                    t = t[np.lexsort((t, count))]
+                index.append((n - np.arange(len(t))) * (num + den) >= 2 * num * n)
                 keys.append(t)
                 nodes.append(node)
                 sizes.append(n)
             times = [len(k) for k in keys]
             key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int64), times))], ["key", "node", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int64), times)), pa.array(np.concatenate(index) if index else np.zeros(0, bool))],
+                ["key", "node", "n", "index"],
+            )
 
     return run
 
@@ -336,6 +346,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = shuffle_parts(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("ord"), text_or_empty(docs[text_col]).alias("text"))
     outline = keep(rows.mapInArrow(_outline(shingle), OUTLINE))
@@ -344,15 +355,24 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     some = sets.where("n > 0")
     # Each distinct set once, with the first document that has it.
     by_node = keep(some.groupBy("node").agg(F.min("ord").alias("ord"), F.first("bits").alias("bits")))
-    front = keep(rows.select("text").mapInArrow(_front(sketch, shingle, num, den), "key long, node long, n long"))
+    front = keep(rows.select("text").mapInArrow(_front(sketch, shingle, num, den), "key long, node long, n long, index boolean"))
     again = maybe_repeated(spark, repeated_filter(front, "key", front.count()))
     listed = front.where(again("key")).distinct()
-    # Under a root, a set stays if its neighbour by size is near enough for a link.
-    by_size = W.partitionBy("key").orderBy("n", "node")
+    # Under a root, a set stays if some set near enough in size could link with it there: the
+    # smaller of the two must hold the shingle in its index. The nearest such sets decide.
+    by_size = W.partitionBy("key").orderBy("n")
+    up = F.lead("n").over(W.partitionBy("key").orderBy("n", "node"))
+    indexed = F.when(F.col("index"), F.col("n"))
+    down = F.max(indexed).over(W.partitionBy("key").orderBy("n", "node").rowsBetween(W.unboundedPreceding, -1))
+    peer = F.max(indexed).over(by_size.rangeBetween(0, 0))
+    peers = F.count(F.lit(1)).over(by_size.rangeBetween(0, 0))
     near_size = lambda small, large: F.coalesce(F.col(small) * den >= F.col(large) * num, F.lit(False))
     held = keep(
-        listed.withColumns({"up": F.lead("n").over(by_size), "down": F.lag("n").over(by_size)}).where(near_size("n", "up") | near_size("down", "n")).select("key", "node", "n")
+        listed.withColumns({"up": up, "down": down, "peer": peer, "peers": peers})
+        .where((F.col("index") & near_size("n", "up")) | near_size("down", "n") | ((F.col("peers") > 1) & F.col("peer").isNotNull()))
+        .select("key", "node", "n")
     )
+    discard(front)
 
     def tokens_of(pairs: DataFrame) -> DataFrame:
         """node and tokens of all sets in pairs: their documents are read again, picked by a Bloom filter and a join."""

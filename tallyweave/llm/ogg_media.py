@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, small_batches, text_or_empty
 
 UNIT = 576  # bytes, and so samples, of a packet
 RATE = 8000  # samples a second, for timestamps
@@ -182,6 +182,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text counts as empty and becomes one packet of 255s. Ids may be null
     or repeat; every row is described by itself. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     return rows.mapInArrow(_describe_batches, SCHEMA)
 
@@ -194,6 +195,7 @@ def _media_batches(batches):
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the Ogg file itself, as a binary column."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     return rows.mapInArrow(_media_batches, "doc_id long, media binary")
 

@@ -14,6 +14,7 @@ writes it, and only one total per partition is summed up over the partitions.
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, keep, shuffle_parts, text_or_empty
+from .common import discard, documents, keep, shuffle_parts, small_batches, text_or_empty
 
 LENGTH = 2048
 END_ID = 1
@@ -53,7 +54,7 @@ def encoder(path: str):
 def token_ids(text: str, path: str) -> np.ndarray:
     e = encoder(path)
     ids = e.encode(text, allowed_special="all") if SPECIAL in text else e.encode_ordinary(text)
-    return np.array(ids + [END_ID], "<u4")
+    return np.array(ids + [END_ID], "<u2" if e.max_token_value < 1 << 16 else "<u4")
 
 
 @functools.cache
@@ -93,7 +94,7 @@ def curve_keys(docs: list[np.ndarray]) -> np.ndarray:
     """The Hilbert key of each document's token ids."""
     at = np.empty((len(docs), DIMS))
     for i, ids in enumerate(docs):
-        vector = np.sqrt(np.bincount((ids * np.uint32(2654435761)) >> np.uint32(20), minlength=BUCKETS))
+        vector = np.sqrt(np.bincount((ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(20), minlength=BUCKETS))
         at[i] = vector @ _projection() / np.sqrt(max(1, len(ids)))
     # The projection's scale: about 1 standard deviation for each unit.
     cells = np.clip((np.tanh(at / 2) + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.int64)
@@ -112,7 +113,7 @@ def _tokenise(path: str):
                         "uid": part.column(2),
                         "curve": pa.array(curve_keys(docs), pa.int64()),
                         "doc_tokens": pa.array([len(d) for d in docs], pa.int64()),
-                        "ids": pa.array([d.tobytes() for d in docs], pa.binary()),
+                        "ids": pa.array([d.tobytes() for d in docs], pa.binary()),  # 16 bits each where the vocabulary allows
                     }
                 )
 
@@ -133,15 +134,42 @@ def _lay_out(batches):
             at = int(ends[-1])
 
 
-def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long, ids binary"
+
+
+def _cut(length: int, with_ids: bool):
+    """Pieces of documents (doc_id, curve, doc_tokens, ids, at) laid end to end; ``at`` is the place of their first id."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc_id, curve, total, raw, at in zip(*(b.column(i).to_pylist() for i in range(5))):
+                ids = np.frombuffer(raw, f"<u{len(raw) // total}").astype("<u4")
+                start = 0
+                while start < total:
+                    sequence, offset = divmod(at + start, length)
+                    n = min(total - start, length - offset)
+                    piece = ids[start : start + n].tobytes()
+                    out.append((doc_id, start, n, zlib.crc32(piece), total, sequence, offset, curve, piece if with_ids else None))
+                    start += n
+            names = PIECES.replace(" long", "").replace(" binary", "").split(", ")
+            columns = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, columns)], names)
+
+    return run
+
+
+def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve, ids.
 
-    A null or empty text is a document of its end id alone. Null and repeated
-    ids are packed row by row (a repeated row is a further document). Documents
-    of any length are cut as needed; every id lies in exactly one piece. An
-    empty table gives no rows.
+    ``ids`` (unsigned 32-bit, little-endian) only if asked for. A null or empty
+    text is a document of its end id alone. Null and repeated ids are packed row
+    by row (a repeated row is a further document). Documents of any length are
+    cut as needed; every id lies in exactly one piece. An empty table gives no
+    rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = vocabulary or vocabulary_path()
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"), F.monotonically_increasing_id().alias("uid"))
     tokenised = keep(rows.mapInArrow(_tokenise(path), TOKENISED))
@@ -153,26 +181,12 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, i
         .withColumn("part", F.spark_partition_id())
         .mapInArrow(_lay_out, TOKENISED + ", part int, local long")
     )
+    discard(tokenised)
     totals = laid.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = F.broadcast(totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))  # a row per partition
-    at = laid.join(offsets, "part").withColumn("at", F.col("base") + F.col("local"))
-    cut = at.withColumn("sequence_id", F.explode(F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("doc_tokens") - 1) / length))))
-    begin = F.greatest(F.lit(0), F.col("sequence_id") * length - F.col("at"))
-    end = F.least(F.col("doc_tokens"), (F.col("sequence_id") + 1) * length - F.col("at"))
-    pieces = cut.withColumns({"start": begin, "length": end - begin})
-    ids = F.substring("ids", (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-    return pieces.select(
-        "doc_id",
-        "start",
-        "length",
-        F.crc32(ids).alias("ids_crc32"),
-        "doc_tokens",
-        F.col("sequence_id").cast("long").alias("sequence_id"),
-        (F.col("at") + F.col("start") - F.col("sequence_id") * length).alias("offset"),
-        "curve",
-        ids.alias("ids"),
-    )
+    placed = laid.join(offsets, "part").select("doc_id", "curve", "doc_tokens", "ids", (F.col("base") + F.col("local")).alias("at"))
+    return placed.mapInArrow(_cut(length, with_ids), PIECES)
 
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

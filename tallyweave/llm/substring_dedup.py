@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep, shuffle_parts, text_or_empty
+from .common import documents, keep, shuffle_parts, small_batches, text_or_empty
 
 WINDOW = 50
 ROUNDS = 4
@@ -265,6 +265,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other. Texts under 50 words are never touched. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = shuffle_parts(spark)
     text = text_or_empty(docs[text_col])
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("th"), text.alias("text"))

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep, text_or_empty
+from .common import documents, keep, small_batches, text_or_empty
 
 DECAY = 0.6
 WINDOW, STRIDE = 22, 11  # longer snippets are read through overlapping windows
 MAX_TRAIN = 20_000  # labelled texts that training may use, the documented bound
 LANDMARKS = 128
 POSITIVES, NEGATIVES, HARD = 500, 4000, 2000
-CACHE = 400_000  # snippet margins that a task remembers
+CACHE = 200_000  # snippet margins that a task remembers
 
 _SIZE = 64  # symbols: 0 start, 1 to 26 letters, the rest hashed
 
@@ -233,6 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dic
     Without texts of both labels the model is constant (score 0).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sample = keep(docs.select("doc_id", text_or_empty("text").alias("text")).join(picked, "doc_id").groupBy(F.xxhash64("text").alias("copy"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic"))
