@@ -1,5 +1,325 @@
 """The reconciliation queries by name, and their SQL twins."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import money, text
+from ..operators import adjudicate, legs, reporting, solvers
+from ..sources.world import world
+from . import runs
+from .world_sql import WORLD, he
+
 FLAGSHIP = "tier_counts"
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None, derived: bool = True):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = (WORLD if derived else "") + sql
+        return f
+
+    return put
+
+
+def _w(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return world(spark, sf_dir)[name]
+
+
+# --- sources and scalar functions
+
+
+@query("derived_invoices", "SELECT invoice_no, order_id, customer, invoice_date, taxable_paise, tax_paise, gross_paise FROM inv")
+def _(spark, sf_dir):
+    return _w(spark, sf_dir, "inv").drop("currency", "seq")
+
+
+@query("derived_gateway", "SELECT entity_id, type, amount_paise, fee_paise, tax_paise, created_at, method, order_id, order_receipt, on_hold, parent AS parent_payment_id, settlement_id, amount_paise - fee_paise - tax_paise AS net_paise FROM pg")
+def _(spark, sf_dir):
+    cols = ["entity_id", "type", "amount_paise", "fee_paise", "tax_paise", "created_at", "method", "order_id", "order_receipt", "on_hold", "parent_payment_id", "settlement_id"]
+    return _w(spark, sf_dir, "pg").select(*cols, (F.col("amount_paise") - F.col("fee_paise") - F.col("tax_paise")).alias("net_paise"))
+
+
+@query("derived_bank", "SELECT line_no, value_date, narration, amount_paise FROM bank")
+def _(spark, sf_dir):
+    return _w(spark, sf_dir, "bank")
+
+
+@query("running_balance", "SELECT line_no, CAST(sum(amount_paise) OVER (ORDER BY line_no) AS BIGINT) AS balance_paise FROM bank")
+def _(spark, sf_dir):
+    """Balances inside a day, and days added up before: no window over all lines."""
+    bank = _w(spark, sf_dir, "bank")
+    days = bank.groupBy("value_date").agg(F.sum("amount_paise").alias("day"))
+    before = days.select("value_date", F.coalesce(F.sum("day").over(W.orderBy("value_date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("amount_paise").over(W.partitionBy("value_date").orderBy("line_no"))
+    return bank.withColumn("inside", inside).join(before, "value_date").select("line_no", (F.col("before") + F.col("inside")).cast("bigint").alias("balance_paise"))
+
+
+_AMOUNT = "printf('%s%d.%02d', CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'INR ' WHEN 2 THEN 'Rs.' ELSE '(' END, p // 100, p % 100) || CASE WHEN o_orderkey % 4 = 3 THEN ')' ELSE '' END"
+
+
+@query("paise_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN -p ELSE p END AS paise FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS p FROM orders)", False)
+def _(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("p"))
+    plain = F.format_string("%d.%02d", F.expr("p div 100"), F.expr("p % 100"))
+    shown = F.expr("o_orderkey % 4")
+    written = F.when(shown == 0, plain).when(shown == 1, F.concat(F.lit("INR "), plain)).when(shown == 2, F.concat(F.lit("Rs."), plain)).otherwise(F.concat(F.lit("("), plain, F.lit(")")))
+    return o.select("o_orderkey", money.to_paise(written).alias("paise"))
+
+
+@query("indian_format", "SELECT o_orderkey, CASE WHEN len(w) > 3 THEN reverse(regexp_replace(reverse(substr(w, 1, len(w) - 3)), '(..)', '\\1,', 'g')) ELSE '' END AS head, w, c FROM (SELECT o_orderkey, CAST(p // 100 AS VARCHAR) AS w, p % 100 AS c FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS p FROM orders))", False)
+def _(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("p"))
+    return o.select("o_orderkey", money.indian_format(F.col("p")).alias("shown"))
+
+
+ORACLES["indian_format"] = """SELECT o_orderkey, (CASE WHEN len(w) > 3 THEN ltrim(reverse(regexp_replace(reverse(substr(w, 1, len(w) - 3)), '(..)', '\\1,', 'g')), ',') || ',' || substr(w, len(w) - 2) ELSE w END) || '.' || lpad(CAST(c AS VARCHAR), 2, '0') AS shown
+FROM (SELECT o_orderkey, CAST(p // 100 AS VARCHAR) AS w, p % 100 AS c FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS p FROM orders))"""
+
+
+@query("percent_of", f"SELECT invoice_no, CAST(round(tax_paise * 100.0 / gross_paise * 100) AS BIGINT) AS hundredths FROM inv")
+def _(spark, sf_dir):
+    return _w(spark, sf_dir, "inv").select("invoice_no", F.round(money.percent_of(F.col("tax_paise"), F.col("gross_paise")) * 100).cast("bigint").alias("hundredths"))
+
+
+@query("date_parse_formats", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS parsed FROM orders", False)
+def _(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    shown = F.lit(None).cast("string")
+    for i, f in enumerate(text.DATE_FORMATS):
+        shown = F.when(F.col("o_orderkey") % len(text.DATE_FORMATS) == i, F.date_format("o_orderdate", f)).otherwise(shown)
+    return o.select("o_orderkey", text.parse_date(shown).alias("parsed"))
+
+
+@query("utr_extract", "SELECT line_no, list_distinct(regexp_extract_all(upper(narration), '\\b[A-Z]{4}[A-Z0-9][0-9]{10,14}\\b'))[1] AS utr FROM bank")
+def _(spark, sf_dir):
+    return _w(spark, sf_dir, "bank").select("line_no", F.get(text.utrs(F.col("narration")), F.lit(0)).alias("utr"))
+
+
+@query("settlement_gate", "SELECT line_no, regexp_matches(lower(narration), 'razorpay|rzp|settl') AS gateway FROM bank")
+def _(spark, sf_dir):
+    return _w(spark, sf_dir, "bank").select("line_no", text.looks_like_settlement(F.col("narration")).alias("gateway"))
+
+
+@query("norm_id_keys", "SELECT entity_id, regexp_replace(lower(coalesce(order_receipt, '')), '[^a-z0-9]', '', 'g') AS nk FROM pg")
+def _(spark, sf_dir):
+    return _w(spark, sf_dir, "pg").select("entity_id", text.norm_id(F.col("order_receipt")).alias("nk"))
+
+
+@query("expected_fee_by_method", f"SELECT method, CAST(sum({he('amount_paise', 'bps')}) AS BIGINT) AS fee, count(*) AS n FROM p GROUP BY method")
+def _(spark, sf_dir):
+    fee, _gst = money.expected_fee(F.col("amount_paise"), F.col("method"))
+    return _w(spark, sf_dir, "pg").where("entity_id like 'pay\\_%' and type = 'payment'").groupBy("method").agg(F.sum(fee).cast("bigint").alias("fee"), F.count(F.lit(1)).alias("n"))
+
+
+# --- legs
+
+
+@query("duplicate_payments", "SELECT entity_id, first_capture, amount_paise FROM ranked WHERE nth > 1")
+def _(spark, sf_dir):
+    return legs.ranked_payments(_w(spark, sf_dir, "pg")).where("nth > 1").select("entity_id", "first_capture", "amount_paise")
+
+
+@query("primary_payments", "SELECT entity_id, amount_paise FROM prim")
+def _(spark, sf_dir):
+    return legs.ranked_payments(_w(spark, sf_dir, "pg")).where("nth = 1").select("entity_id", "amount_paise")
+
+
+@query("settlement_batches", "SELECT settlement_id, utr, amount_paise, fee_paise, tax_paise, net AS net_paise FROM batch")
+def _(spark, sf_dir):
+    return legs.batches(_w(spark, sf_dir, "pg")).select("settlement_id", "utr", "amount_paise", "fee_paise", "tax_paise", "net_paise")
+
+
+def _matches(name: str, leg: str, tier: str, which) -> None:
+    @query(name, f"SELECT lkey, rkey, confidence, delta_paise FROM matches WHERE leg = '{leg}' AND tier = '{tier}'")
+    def _(spark, sf_dir):
+        return which(spark, sf_dir).where(f"leg = '{leg}' and tier = '{tier}'").select("lkey", "rkey", F.col("confidence").cast("int"), "delta_paise")
+
+
+_erp = lambda spark, sf_dir: runs.erp(spark, sf_dir)[0]
+_bank = lambda spark, sf_dir: runs.bank(spark, sf_dir)[0]
+_full = lambda spark, sf_dir: runs.full(spark, sf_dir)["matches"]
+_matches("match_t0_order", "erp_to_gateway", "T0_EXACT_ID", _erp)
+_matches("match_t1_receipt", "erp_to_gateway", "T1_NORMALIZED_ID", _erp)
+_matches("match_t2_amount_date", "erp_to_gateway", "T2_AMOUNT_DATE", _erp)
+_matches("match_utr", "settlement_to_bank", "T0_EXACT_ID", _bank)
+_matches("amount_mismatches", "settlement_to_bank", "T1_NORMALIZED_ID", _bank)
+_matches("split_and_merged", "settlement_to_bank", "T3_AGGREGATE", _bank)
+_matches("match_batch_amount_date", "settlement_to_bank", "T2_AMOUNT_DATE", _bank)
+_matches("direct_receipts", "invoice_to_bank", "T2_AMOUNT_DATE", _full)
+
+
+def _findings(name: str, code: str, which) -> None:
+    @query(name, f"SELECT key, source, disposition, CAST(value_paise AS BIGINT) AS value_paise FROM findings WHERE code = '{code}'")
+    def _(spark, sf_dir):
+        return which(spark, sf_dir).where(f"code = '{code}'").select("key", "source", "disposition", "value_paise")
+
+
+def _integrity(spark, sf_dir):
+    return legs.integrity(_w(spark, sf_dir, "inv"), _w(spark, sf_dir, "pg"))
+
+
+_all = lambda spark, sf_dir: runs.full(spark, sf_dir)["findings"]
+for _name, _code, _which in (
+    ("fee_variance", "FEE_VARIANCE", _integrity), ("tax_line_mismatch", "TAX_LINE_MISMATCH", _integrity), ("funds_on_hold", "FUNDS_ON_HOLD", _integrity),
+    ("chargebacks", "CHARGEBACK_ADJUSTMENT", _integrity), ("orphan_refunds", "ORPHAN_REFUND", _integrity), ("residual_unpaid", "UNPAID_INVOICE", _all),
+    ("residual_unbilled", "UNBILLED_PAYMENT", _all), ("split_settlements", "SPLIT_SETTLEMENT", _all), ("settlement_mismatch", "SETTLEMENT_AMOUNT_MISMATCH", _all),
+    ("merged_payouts", "MERGED_PAYOUT", _all), ("missing_in_bank", "MISSING_IN_BANK", _all), ("unexpected_credits", "UNEXPECTED_BANK_CREDIT", _all), ("tds_withheld", "TDS_WITHHELD", _all),
+):
+    _findings(_name, _code, _which)
+
+
+@query("token_overlap_pairs", "SELECT invoice_no, line, CAST(round(score * 1000) AS BIGINT) AS overlap FROM dscored")
+def _(spark, sf_dir):
+    edges = legs.direct_edges(_w(spark, sf_dir, "inv"), _w(spark, sf_dir, "bank"), runs.before_direct(spark, sf_dir))
+    return edges.select(F.col("lkey").alias("invoice_no"), F.col("rkey").alias("line"), F.round(F.col("score") * 1000).cast("bigint").alias("overlap"))
+
+
+# --- roll-ups
+
+
+@query("tier_counts", "SELECT leg, tier, count(DISTINCT lkey) AS n FROM matches GROUP BY leg, tier")
+def _(spark, sf_dir):
+    return reporting.tiers(runs.full(spark, sf_dir)["matches"])
+
+
+@query("findings_by_code", "SELECT code, count(*) AS n, CAST(sum(abs(value_paise)) AS BIGINT) AS exposure_paise, count(*) FILTER (disposition = 'needs_review') AS to_review FROM findings GROUP BY code")
+def _(spark, sf_dir):
+    return reporting.by_code(runs.full(spark, sf_dir)["findings"])
+
+
+@query("primary_finding", "SELECT key, code, CAST(value_paise AS BIGINT) AS value_paise FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY abs(value_paise) DESC, code) AS r FROM findings) WHERE r = 1")
+def _(spark, sf_dir):
+    return reporting.primary_finding(runs.full(spark, sf_dir)["findings"])
+
+
+@query("aging", "SELECT invoice_no, datediff('day', invoice_date, (SELECT max(invoice_date) FROM inv)) AS age_days FROM unpaid")
+def _(spark, sf_dir):
+    inv, found = _w(spark, sf_dir, "inv"), runs.before_direct(spark, sf_dir).where("code = 'UNPAID_INVOICE'")
+    newest = F.broadcast(inv.agg(F.max("invoice_date").alias("newest")))  # one row
+    return inv.join(found.select(F.col("key").alias("invoice_no")), "invoice_no").join(newest).select("invoice_no", F.datediff("newest", "invoice_date").cast("bigint").alias("age_days"))
+
+
+_POSITION = """, bridge AS (SELECT
+  CAST(sum(amount_paise) FILTER (type = 'payment') AS BIGINT) AS captured, CAST(sum(amount_paise) FILTER (type = 'payment' AND on_hold) AS BIGINT) AS on_hold,
+  CAST(coalesce(sum(amount_paise) FILTER (type = 'payment' AND NOT on_hold AND settlement_id IS NULL), 0) AS BIGINT) AS unbatched,
+  CAST(sum(amount_paise) FILTER (type = 'payment' AND NOT on_hold AND settlement_id IS NOT NULL) AS BIGINT) AS entering,
+  CAST(sum(fee_paise) FILTER (type = 'payment' AND NOT on_hold AND settlement_id IS NOT NULL) AS BIGINT) AS fees,
+  CAST(sum(tax_paise) FILTER (type = 'payment' AND NOT on_hold AND settlement_id IS NOT NULL) AS BIGINT) AS gst,
+  CAST(sum(-amount_paise) FILTER (type = 'refund' AND settlement_id IS NOT NULL) AS BIGINT) AS refunds,
+  CAST(sum(-amount_paise) FILTER (type = 'adjustment' AND settlement_id IS NOT NULL) AS BIGINT) AS disputes FROM pg
+), nets AS (SELECT CAST(sum(net) AS BIGINT) AS batch_net, CAST(coalesce((SELECT sum(net) FROM missing), 0) AS BIGINT) AS in_transit FROM batch
+), codes AS (SELECT CAST(coalesce(sum(value_paise) FILTER (code = 'UNEXPECTED_BANK_CREDIT'), 0) AS BIGINT) AS unexplained_credits, CAST(coalesce(sum(value_paise) FILTER (code = 'UNPAID_INVOICE'), 0) AS BIGINT) AS open_receivables,
+  CAST(coalesce(sum(value_paise) FILTER (code = 'UNBILLED_PAYMENT'), 0) AS BIGINT) AS unbilled_revenue, CAST(coalesce(sum(value_paise) FILTER (code = 'TDS_WITHHELD'), 0) AS BIGINT) AS tds_receivable FROM findings
+), pos AS (SELECT *, entering - refunds - fees - gst - disputes AS settled_net, batch_net - in_transit AS landed, entering - refunds - fees - gst - disputes - batch_net AS residual FROM bridge, nets, codes)
+"""
+
+
+@query("cash_bridge", _POSITION + "SELECT * FROM pos")
+def _(spark, sf_dir):
+    return reporting.position(_w(spark, sf_dir, "pg"), runs.full(spark, sf_dir))
+
+
+@query("bridge_rows", _POSITION + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT {i} AS step, '{n}' AS label, {s} * {n} AS amount_paise FROM pos" for i, (n, s) in enumerate(reporting.BRIDGE, 1)) + ")")
+def _(spark, sf_dir):
+    return reporting.bridge_rows(reporting.position(_w(spark, sf_dir, "pg"), runs.full(spark, sf_dir)))
+
+
+# --- scores against the rules that made the world
+
+
+def _true_links(spark, sf_dir) -> DataFrame:
+    """invoice to payment wherever both exist, from the rules."""
+    keys = lambda df, c, cut: df.select(F.substring(c, cut, 20).cast("bigint").alias("k"), F.col(c).alias("key"))
+    inv, pay = _w(spark, sf_dir, "inv"), _w(spark, sf_dir, "pg").where("type = 'payment' and entity_id like 'pay\\_%'")
+    return keys(inv, "invoice_no", 5).withColumnRenamed("key", "a").join(keys(pay, "entity_id", 5).withColumnRenamed("key", "b"), "k").select(F.lit("erp_to_gateway").alias("leg"), "a", "b")
+
+
+_SCORE = "round(1000000 * {0})"
+
+
+@query("link_scores", """, truth AS (SELECT 'INV-' || k AS a, 'pay_' || k AS b FROM inv JOIN (SELECT k FROM p) USING (k)), pred AS (SELECT DISTINCT lkey AS a, rkey AS b FROM matches WHERE leg = 'erp_to_gateway'),
+n AS (SELECT (SELECT count(*) FROM pred JOIN truth USING (a, b)) AS tp, (SELECT count(*) FROM pred) AS np, (SELECT count(*) FROM truth) AS nt)
+SELECT 'erp_to_gateway' AS leg, tp, np - tp AS fp, nt - tp AS fn, CAST(round(1000000 * tp / np) AS BIGINT) AS "precision", CAST(round(1000000 * tp / nt) AS BIGINT) AS recall, CAST(round(1000000 * 2 * tp / (np + nt)) AS BIGINT) AS f1, nt AS support FROM n""")
+def _(spark, sf_dir):
+    predicted = reporting.pairs(runs.erp(spark, sf_dir)[0])
+    return reporting.scores(predicted, _true_links(spark, sf_dir), "leg", ["a", "b"])
+
+
+def _truth_codes(spark, sf_dir) -> DataFrame:
+    pg = _w(spark, sf_dir, "pg")
+    hold = pg.where("type = 'payment' and on_hold").select(F.col("entity_id").alias("key"), F.lit("FUNDS_ON_HOLD").alias("code"))
+    twice = pg.where("entity_id like 'payd\\_%'").select(F.col("entity_id").alias("key"), F.lit("DUPLICATE_PAYMENT").alias("code"))
+    charge = pg.where("type = 'adjustment'").select(F.col("entity_id").alias("key"), F.lit("CHARGEBACK_ADJUSTMENT").alias("code"))
+    return legs.union(hold, twice, charge)
+
+
+_TRUTH = ", truth AS (SELECT entity_id AS key, 'FUNDS_ON_HOLD' AS code FROM pg WHERE type = 'payment' AND on_hold UNION ALL SELECT entity_id, 'DUPLICATE_PAYMENT' FROM pg WHERE entity_id LIKE 'payd%' UNION ALL SELECT entity_id, 'CHARGEBACK_ADJUSTMENT' FROM pg WHERE type = 'adjustment'), pred AS (SELECT DISTINCT key, code FROM findings WHERE code IN ('FUNDS_ON_HOLD', 'DUPLICATE_PAYMENT', 'CHARGEBACK_ADJUSTMENT'))"
+_EXC = _TRUTH + ", n AS (SELECT code, count(*) FILTER (p = 1 AND t = 1) AS tp, count(*) FILTER (p = 1 AND t IS NULL) AS fp, count(*) FILTER (p IS NULL AND t = 1) AS fn FROM (SELECT *, 1 AS p FROM pred) FULL JOIN (SELECT *, 1 AS t FROM truth) USING (key, code) GROUP BY code), s AS (SELECT *, CAST(round(1000000 * tp / (tp + fp)) AS BIGINT) AS \"precision\", CAST(round(1000000 * tp / (tp + fn)) AS BIGINT) AS recall, CAST(round(1000000 * 2 * tp / (2 * tp + fp + fn)) AS BIGINT) AS f1, tp + fn AS support FROM n)"
+
+
+def _exception_scores(spark, sf_dir) -> DataFrame:
+    found = runs.full(spark, sf_dir)["findings"].where("code in ('FUNDS_ON_HOLD', 'DUPLICATE_PAYMENT', 'CHARGEBACK_ADJUSTMENT')")
+    return reporting.scores(found, _truth_codes(spark, sf_dir), "code", ["key"])
+
+
+@query("exception_scores", _EXC + "SELECT * FROM s")
+def _(spark, sf_dir):
+    return _exception_scores(spark, sf_dir)
+
+
+@query("macro_f1", _EXC + "SELECT CAST(round(avg(f1) FILTER (support > 0)) AS BIGINT) AS macro_f1 FROM s")
+def _(spark, sf_dir):
+    return reporting.macro_f1(_exception_scores(spark, sf_dir))
+
+
+@query("confusion", _TRUTH + ", prim2 AS (SELECT key, code FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY abs(value_paise) DESC, code) AS r FROM findings) WHERE r = 1) SELECT coalesce(t.code, 'CLEAN') AS truth, coalesce(q.code, 'CLEAN') AS predicted, count(*) AS n FROM truth t FULL JOIN prim2 q USING (key) GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return reporting.confusion(_truth_codes(spark, sf_dir), reporting.primary_finding(runs.full(spark, sf_dir)["findings"]))
+
+
+@query("auto_clear", """, linked AS (SELECT DISTINCT a FROM (SELECT lkey AS a FROM matches UNION ALL SELECT rkey FROM matches)), review AS (SELECT DISTINCT key FROM findings WHERE disposition = 'needs_review'),
+records AS (SELECT invoice_no AS key, NULL AS s FROM inv UNION ALL SELECT entity_id, settlement_id FROM pg UNION ALL SELECT printf('bank:%04d', line_no), NULL FROM bank)
+SELECT count(*) AS records, count(*) FILTER ((key IN (SELECT a FROM linked) OR (s IS NOT NULL AND s IN (SELECT a FROM linked))) AND key NOT IN (SELECT key FROM review)) AS cleared FROM records""")
+def _(spark, sf_dir):
+    run = runs.full(spark, sf_dir)
+    linked = run["matches"].select(F.explode(F.array("lkey", "rkey")).alias("a")).distinct().withColumn("hit", F.lit(True))
+    review = run["findings"].where("disposition = 'needs_review'").select("key").distinct().withColumn("open", F.lit(True))
+    none = F.lit(None).cast("string").alias("s")
+    records = legs.union(_w(spark, sf_dir, "inv").select(F.col("invoice_no").alias("key"), none), _w(spark, sf_dir, "pg").select(F.col("entity_id").alias("key"), F.col("settlement_id").alias("s")), _w(spark, sf_dir, "bank").select(legs.bank_key().alias("key"), none))
+    seen = records.join(linked.withColumnRenamed("a", "key"), "key", "left").join(linked.select(F.col("a").alias("s"), F.col("hit").alias("hit2")), "s", "left").join(review, "key", "left")
+    clear = (F.col("hit").isNotNull() | F.col("hit2").isNotNull()) & F.col("open").isNull()
+    return seen.agg(F.count(F.lit(1)).alias("records"), F.sum(F.when(clear, 1).otherwise(0)).cast("bigint").alias("cleared"))
+
+
+# --- judged candidates and lookups
+
+
+def _near(spark, sf_dir) -> DataFrame:
+    """Unpaid invoices and unexplained credits with close amounts, for a judge."""
+    found = runs.full(spark, sf_dir)["findings"]
+    edges = legs.direct_edges(_w(spark, sf_dir, "inv"), _w(spark, sf_dir, "bank"), found).where("score > 0")
+    return edges.select("lkey", "rkey", F.abs(F.col("ramount") - F.col("gross_paise")).alias("diff"), F.lit(0).alias("gap"))
+
+
+@query("topk_candidates", "SELECT * FROM (SELECT invoice_no AS lkey, row_number() OVER (PARTITION BY invoice_no ORDER BY abs(paid - gross_paise), line) AS rank, line AS rkey, abs(paid - gross_paise) AS diff FROM dscored WHERE score > 0 AND invoice_no NOT IN (SELECT invoice_no FROM dmatch) AND line NOT IN (SELECT line FROM dmatch)) WHERE rank <= 3")
+def _(spark, sf_dir):
+    return adjudicate.top_candidates(_near(spark, sf_dir)).drop("gap")
+
+
+@query("adjudicated_matches")
+def _(spark, sf_dir):
+    """A scripted judge that takes the first candidate offered."""
+    log = adjudicate.adjudicate(adjudicate.top_candidates(_near(spark, sf_dir)), lambda key, offered: offered[0], tolerance=1 << 62)
+    rows = [(x["lkey"], x["chose"], x["verdict"]) for x in log]
+    return spark.createDataFrame(rows, "lkey string, rkey string, verdict string")
+
+
+@query("retrieve_facts")
+def _(spark, sf_dir):
+    return reporting.retrieve(runs.full(spark, sf_dir), "Which settlement batches are missing in the bank?")
