@@ -52,7 +52,7 @@ def _symbol(ch: str) -> int:
 
 def _codes(snippets: list[str]) -> np.ndarray:
     """Symbols of equally long snippets, a start symbol first."""
-    return np.array([[0, *map(_symbol, s)] for s in snippets], np.int64)
+    return np.array([[0, *map(_symbol, s)] for s in snippets], np.int32)
 
 
 def snippets(text: str) -> set[str]:
@@ -88,7 +88,7 @@ def _by_length(words: list[str]):
 def _features(codes: np.ndarray, triples) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted (row * symbols**3 + triple) keys, their weights, and each row's norm."""
     i, j, k, weight = triples
-    key = (codes[:, i] * _SIZE + codes[:, j]) * _SIZE + codes[:, k]
+    key = ((codes[:, i] * _SIZE + codes[:, j]) * _SIZE + codes[:, k]).astype(np.int64)
     key = (key + np.arange(len(codes))[:, None] * _SIZE**3).ravel()
     order = np.argsort(key, kind="stable")
     key, value = key[order], np.tile(weight, len(codes))[order]
@@ -96,12 +96,16 @@ def _features(codes: np.ndarray, triples) -> tuple[np.ndarray, np.ndarray, np.nd
         return key, value, np.ones(len(codes))
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     key, value = key[first], np.add.reduceat(value, first)
-    norm = np.sqrt(np.bincount(key // _SIZE**3, value.astype(np.float64) ** 2, len(codes)))
-    return key, value, np.where(norm > 0, norm, 1.0)
+    return key, value, np.full(len(codes), _norm(weight))
+
+
+def _norm(weight: np.ndarray) -> float:
+    """The length of a snippet's features where no triple repeats: it depends on the snippet's length alone."""
+    return float(np.sqrt((weight.astype(np.float64) ** 2).sum())) or 1.0
 
 
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
-    """Normalised subsequence kernel of two lists of windows."""
+    """Subsequence kernel of two lists of windows, each divided by its norm without repeats."""
     out = np.zeros((len(a), len(b)), np.float64)
     dense = np.zeros((len(b), _SIZE**3), np.float32)
     for rows, codes, triples in _by_length(b):
@@ -126,8 +130,9 @@ def margins(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """SVM margins of windows: table has a weight for each triple."""
     out = np.full(len(words), bias, np.float64)
     for rows, codes, triples in _by_length(words):
-        key, value, norm = _features(codes, triples)
-        out[rows] += np.bincount(key // _SIZE**3, value * table[key % _SIZE**3], len(codes)) / norm
+        i, j, k, weight = triples
+        if len(weight):
+            out[rows] += table[(codes[:, i] * _SIZE + codes[:, j]) * _SIZE + codes[:, k]] @ weight / _norm(weight)
     return out
 
 
