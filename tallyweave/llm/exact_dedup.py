@@ -135,7 +135,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     test = maybe_repeated(spark, repeated_filter(hashed, "sha", hashed.count(), max_filter_mb))
     flagged = hashed.withColumn("again", test("sha"))
     again = flagged.where("again").select("doc_id", "sha")
-    groups = again.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join deals both its sides anew and a large group can be split.
+    groups = keep(again.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     shuffled = again.join(groups.hint("merge"), "sha")
     through = flagged.where("not again").select("sha", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return shuffled.select("sha", "doc_id", "keep_id", "group_size").unionByName(through).withColumn("kept", same_id(F.col("doc_id"), F.col("keep_id")))
@@ -153,7 +154,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.unhex(F.sha2(normal, 256)).alias("sha"))
     hashed = keep(rows.select("id", "sha"))
     test = maybe_repeated(spark, repeated_filter(hashed, "sha", hashed.count(), max_filter_mb=32))
-    groups = hashed.where(test("sha")).groupBy("sha").agg(F.min("id").alias("keep_id"))
+    groups = keep(hashed.where(test("sha")).groupBy("sha").agg(F.min("id").alias("keep_id")))
     again = rows.where(test("sha")).join(groups.hint("merge"), "sha").where(same_id(F.col("id"), F.col("keep_id")))
     return rows.where(~test("sha")).select("row.*").unionByName(again.select("row.*"))
 
