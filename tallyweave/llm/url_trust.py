@@ -100,7 +100,8 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: s
     counts = narrow.where("host <> '' and ruled is not null").groupBy(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("walk"), "host").agg(F.count(F.lit(1)).cast("double").alias("n"))
     totals = F.broadcast(counts.groupBy("walk").agg(F.sum("n").alias("all")))  # two rows
     scores = propagate(edges, counts.join(totals, "walk").select("walk", "host", (F.col("n") / F.col("all")).alias("seed")))
-    wide = scores.groupBy("host").agg(*[F.sum(F.when(F.col("walk") == w, F.col("score"))).alias(w) for w in ("trust", "distrust")])
+    # Written, so that the join deals both its sides anew and a large host can be split.
+    wide = keep(scores.groupBy("host").agg(*[F.sum(F.when(F.col("walk") == w, F.col("score"))).alias(w) for w in ("trust", "distrust")]))
     joined = narrow.join(wide.hint("merge"), "host", "left").withColumns({w: F.coalesce(w, F.lit(0.0)) for w in ("trust", "distrust")})
     method = F.when(F.col("trust") >= threshold * F.col("distrust"), "allow").otherwise("block")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")
