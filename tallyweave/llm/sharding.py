@@ -33,7 +33,8 @@ def splitters(records: DataFrame, total: int, ranges: int = RANGES, sample: int
     """
     draw = F.pmod(F.xxhash64("doc_id", "key", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     weight = F.greatest(F.lit(1.0), F.col("size") * F.lit(sample / max(total, 1)))
-    drawn = records.where(draw < F.col("size") * F.lit(sample / max(total, 1))).select("key", weight.alias("weight")).orderBy("key").collect()
+    drawn = records.where(draw < F.col("size") * F.lit(sample / max(total, 1))).select("key", weight.alias("weight")).collect()
+    drawn.sort(key=lambda r: r["key"])  # about ``sample`` rows
     step, at, out = sum(r["weight"] for r in drawn) / ranges, 0.0, []
     for r in drawn:
         at += r["weight"]
