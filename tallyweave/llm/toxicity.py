@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ LANDMARKS = 128
 POSITIVES, NEGATIVES, HARD = 500, 4000, 2000
 CACHE = 200_000  # snippet margins that a task remembers
 
+_MARKS = re.compile(r"[\W_]")
 _SIZE = 64  # symbols: 0 start, 1 to 26 letters, the rest hashed
 
 
@@ -56,9 +58,10 @@ def _codes(snippets: list[str]) -> np.ndarray:
 
 
 def snippets(text: str) -> set[str]:
-    """Distinct lower-case words, and runs of three or more single characters joined."""
+    """Distinct lower-case words, as they are and without marks; runs of three or more single characters joined."""
     words = text.lower().split()
     found = set(words)
+    found |= {_MARKS.sub("", w) for w in found if not w.isalnum()} - {""}
     run: list[str] = []
     for w in [*words, "  "]:
         if len(w) == 1:
