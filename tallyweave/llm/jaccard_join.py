@@ -56,9 +56,9 @@ def shingles(text: str, size: int) -> np.ndarray:
     return whole
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Between 64 and 8192 bits, about one a token as far as that goes; wider ones fold to narrower."""
-    width = min(8192, max(64, 1 << (3 * len(tokens) // 4).bit_length()))
+def bitmap(tokens: np.ndarray, a_token: int = 1) -> np.ndarray:
+    """About ``a_token`` bits a token, from 64 to 8192 times that; wider ones fold to narrower."""
+    width = a_token * min(8192, max(64, 1 << (3 * len(tokens) // 4).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little")
@@ -71,7 +71,8 @@ def _slices(batches, rows: int = 500):
 
 
 _PART = 4096
-OUTLINE = "doc_id long, ord long, node long, n long, bits binary, part int, counts binary"
+OUTLINE = "doc_id long, ord long, node long, n long, bits binary, wide binary, part int, counts binary"
+WIDE = 8  # bits a token where round two compares all pairs of blocks
 
 
 def _node(tokens: np.ndarray) -> int | None:
@@ -95,6 +96,7 @@ def _outline(size: int):
                     "node": pa.array([_node(s) for s in sets], pa.int64()),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "bits": pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    "wide": pa.array([bitmap(s, WIDE).tobytes() if len(s) else None for s in sets], pa.binary()),
                     "part": none.cast(pa.int32()),
                     "counts": none.cast(pa.binary()),
                 }
@@ -109,6 +111,7 @@ def _outline(size: int):
                     "node": null(pa.int64()),
                     "n": null(pa.int64()),
                     "bits": null(pa.binary()),
+                    "wide": null(pa.binary()),
                     "part": pa.array(range(len(cut)), pa.int32()),
                     "counts": pa.array([c.astype("<u4").tobytes() for c in cut], pa.binary()),
                 }
@@ -232,11 +235,34 @@ def traverse(a: Tree, b: Tree, num: int, den: int, same: bool) -> tuple[np.ndarr
     return i, j, bound
 
 
-def _folded(raws: list[bytes]) -> np.ndarray:
-    width = min(map(len, raws))
+def _folded(raws: list[bytes], width: int | None = None) -> np.ndarray:
+    width = width or min(map(len, raws))
     return np.stack([np.bitwise_or.reduce(np.frombuffer(r, np.uint8).reshape(-1, width), axis=0) for r in raws]).view("<u8")
 
 
+def block_pairs(size: np.ndarray, raws: list[bytes], left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i of left, j of right) of leaves that may link, with the slack of their bound.
+
+    ``left`` and ``right`` are the same leaves (then i is before j) or disjoint.
+    Leaves of one bitmap width make a tree; sets that can link have equal or
+    neighbouring widths, and fold to the narrower of the two.
+    """
+    same = left is right
+    widths = np.array([len(r) for r in raws])
+    out = []
+    for wl in np.unique(widths[left]):
+        for wr in np.unique(widths[right]):
+            if wr not in (wl // 2, wl, wl * 2) or (same and wr < wl):
+                continue
+            li, ri, w = left[widths[left] == wl], right[widths[right] == wr], min(wl, wr)
+            one = Tree(size[li], _folded([raws[k] for k in li], w))
+            alike = same and wl == wr
+            i, j, bound = traverse(one, one if alike else Tree(size[ri], _folded([raws[k] for k in ri], w)), num, den, alike)
+            out.append((li[i], ri[j], bound * (num + den) - num * (size[li[i]] + size[ri[j]])))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
+
+
 def _pairs(left, right) -> pa.RecordBatch:
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
@@ -252,11 +278,10 @@ def _round_one(num: int, den: int):
             if len(rows) < 2:
                 return 0
             node = np.array([r[0] for r in rows], np.int64)
-            tree = Tree(np.array([r[1] for r in rows], np.int64), _folded([r[2] for r in rows]))
-            i, j, bound = traverse(tree, tree, num, den, True)
+            every = np.arange(len(rows))
+            i, j, slack = block_pairs(np.array([r[1] for r in rows], np.int64), [r[2] for r in rows], every, every, num, den)
             if not len(i):
                 return 0
-            slack = bound * (num + den) - num * (tree.levels[0][1][i] + tree.levels[0][1][j])
             for order in (np.lexsort((i, -slack, j)), np.lexsort((i, j))):  # the most promising partner, and the first
                 pick = order[np.r_[True, j[order][1:] != j[order][:-1]]]
                 left.append(node[i[pick]])
@@ -279,7 +304,7 @@ def _round_one(num: int, den: int):
 
 
 def _round_two(num: int, den: int):
-    """Rows sorted by (key, i, j, chunk): key, i, j, chunk, node, n, bits, root."""
+    """Rows sorted by (key, i, j, chunk): key, i, j, chunk, node, n, wide, root."""
 
     def run(batches):
         current, rows, left, right, found = None, [], [], [], 0
@@ -288,13 +313,10 @@ def _round_two(num: int, den: int):
             if len(rows) < 2:
                 return 0
             node, size, root = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 4))
-            bits = _folded([r[3] for r in rows])
-            chunk = np.array([r[0] for r in rows])
-            cut = int(np.argmax(chunk != chunk[0])) if (chunk != chunk[0]).any() else len(rows)
-            one = Tree(size[:cut], bits[:cut])
-            same = cut == len(rows)
-            i, j, _ = traverse(one, one if same else Tree(size[cut:], bits[cut:]), num, den, same)
-            j = j if same else j + cut
+            chunk, every = np.array([r[0] for r in rows]), np.arange(len(rows))
+            first = chunk == chunk[0]
+            one = every if first.all() else every[first]
+            i, j, _ = block_pairs(size, [r[3] for r in rows], one, one if first.all() else every[~first], num, den)
             ok = root[i] != root[j]
             left.append(node[i[ok]])
             right.append(node[j[ok]])
@@ -354,7 +376,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     sets = outline.where("part is null")
     some = sets.where("n > 0")
     # Each distinct set once, with the first document that has it.
-    by_node = keep(some.groupBy("node").agg(F.min("ord").alias("ord"), F.first("bits").alias("bits")))
+    by_node = keep(some.groupBy("node").agg(F.min("ord").alias("ord"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     front = keep(rows.select("text").mapInArrow(_front(sketch, shingle, num, den), "key long, node long, n long, index boolean"))
     again = maybe_repeated(spark, repeated_filter(front, "key", front.count()))
     listed = front.where(again("key")).distinct()
@@ -396,7 +418,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     # Blocks whose sizes are too far apart never meet; chunks are in order of size.
     meet = keep(chunks.withColumnRenamed("chunk", "i").join(other.hint("merge"), "key").where(f"i <= j and {den} * high >= {num} * low2").select("key", "i", "j"))
     sides = meet.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-    blocks = open_.join(sides.hint("merge"), ["key", "chunk"]).join(by_node.select("node", "bits").hint("merge"), "node").select("key", "i", "j", "chunk", "node", "n", "bits", "root")
+    blocks = open_.join(sides.hint("merge"), ["key", "chunk"]).join(by_node.select("node", "wide").hint("merge"), "node").select("key", "i", "j", "chunk", "node", "n", "wide", "root")
     far = blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk", "n", "node").mapInArrow(_round_two(num, den), "a long, b long")
     far = keep(far.distinct())
     more = keep(verified(far, tokens_of(far), num, den))
