@@ -263,16 +263,19 @@ def block_pairs(size: np.ndarray, raws: list[bytes], left: np.ndarray, right: np
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
 
 
-def _pairs(left, right) -> pa.RecordBatch:
+def _pairs(left, right, roots=None) -> pa.RecordBatch:
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+    columns = [pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())]
+    if roots is None:
+        return pa.RecordBatch.from_arrays(columns, ["a", "b"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(roots) if roots else np.zeros(0, np.int64), pa.int64())], ["a", "b", "key"])
 
 
 def _round_one(num: int, den: int):
     """Rows sorted by (key, n, node): key, node, n, bits. Blocks of at most BLOCK leaves of a key."""
 
     def run(batches):
-        key, rows, left, right, found = None, [], [], [], 0
+        key, rows, left, right, roots, found = None, [], [], [], [], 0
 
         def block():
             if len(rows) < 2:
@@ -286,6 +289,7 @@ def _round_one(num: int, den: int):
                 pick = order[np.r_[True, j[order][1:] != j[order][:-1]]]
                 left.append(node[i[pick]])
                 right.append(node[j[pick]])
+                roots.append(np.full(len(pick), key, np.int64))
             return 2 * len(pick)
 
         for b in batches:
@@ -295,10 +299,10 @@ def _round_one(num: int, den: int):
                     key, rows = k, []
                 rows.append((node, n, bits))
             if found > 50_000:
-                yield _pairs(left, right)
-                left, right, found = [], [], 0
+                yield _pairs(left, right, roots)
+                left, right, roots, found = [], [], [], 0
         block()
-        yield _pairs(left, right)
+        yield _pairs(left, right, roots)
 
     return run
 
@@ -404,13 +408,17 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         return keep(read.join(nodes.hint("merge"), ["ord", "node"]).select("node", "tokens").dropDuplicates(["node"]))
 
     leaves = held.join(by_node.select("node", "bits").hint("merge"), "node").select("key", "node", "n", "bits")
-    near = leaves.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_round_one(num, den), "a long, b long")
-    near = keep(near.distinct())
+    near = leaves.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_round_one(num, den), "a long, b long, key long")
+    met = keep(near)
+    near = keep(met.select("a", "b").distinct())
     links = keep(verified(near, tokens_of(near), num, den))
     roots = keep(components(links))
 
     rooted = held.join(roots.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    # A root whose one block let no pair through has been searched in full.
+    unsearched = held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(f"c > {BLOCK}").select("key")
+    mixed = mixed.join(met.select("key").unionByName(unsearched).distinct().hint("merge"), "key")
     open_ = rooted.join(mixed.hint("merge"), "key").withColumn("chunk", F.expr(f"cast((row_number() over (partition by key order by n, node) - 1) div {BLOCK} as int)"))
     open_ = keep(open_)
     chunks = open_.groupBy("key", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
