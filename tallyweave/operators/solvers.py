@@ -92,8 +92,10 @@ def assign(edges: DataFrame) -> DataFrame:
         return single
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema)
 
+    names = edges.columns
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _best_assignment(pdf)[edges.columns]
+        return _best_assignment(pdf)[names]
 
     return single.unionByName(groups_of(rest).groupBy("grp").applyInPandas(solve, schema))
 
@@ -120,7 +122,8 @@ def first_come(edges: DataFrame) -> DataFrame:
     if rest.isEmpty():
         return single
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema)
-    return single.unionByName(groups_of(rest).groupBy("grp").applyInPandas(lambda pdf: _first_come(pdf)[edges.columns], schema))
+    names = edges.columns
+    return single.unionByName(groups_of(rest).groupBy("grp").applyInPandas(lambda pdf: _first_come(pdf)[names], schema))
 
 
 def _consolidated(options: pd.DataFrame) -> pd.DataFrame:
