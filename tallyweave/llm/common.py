@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tallyweave/{uuid.uuid4().hex}"
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_once(spark: SparkSession):
+    """Queries inside run once: Spark may delete their shuffle files as they end, not when the driver collects garbage."""
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
 _made: list[str] = []
 
 
@@ -32,7 +47,8 @@ def keep(df: DataFrame, codec: str = "zstd", passing: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_once(spark):
+        df.write.option("compression", codec).parquet(path)
     if passing:
         _made.append(path)
     return spark.read.schema(df.schema).parquet(path)

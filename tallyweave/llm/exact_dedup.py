@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, keep, same_id, shuffle_parts, small_batches, text_or_empty
+from .common import SPACE, documents, keep, same_id, shuffle_parts, shuffles_once, small_batches, text_or_empty
 
 PAGE_BITS = 15  # a page of the filter is 32,768 bits, 4 KB
 
@@ -101,7 +101,8 @@ def repeated_filter(hashes: DataFrame, column: str, rows: int, max_filter_mb: in
     merged = partial.repartition(parts, "page").sortWithinPartitions("page").mapInArrow(_merge_pages(least), "page int, bits binary")
     filter_bytes = np.zeros(bits // 8, np.uint8)
     size = (1 << PAGE_BITS) // 8
-    table = merged.toArrow()
+    with shuffles_once(hashes.sparkSession):
+        table = merged.toArrow()
     for page, found in zip(table["page"].to_pylist(), table["bits"].to_pylist()):
         filter_bytes[page * size : (page + 1) * size] = np.frombuffer(found, np.uint8)
     return filter_bytes
