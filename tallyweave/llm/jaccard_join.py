@@ -381,6 +381,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     some = sets.where("n > 0")
     # Each distinct set once, with the first document that has it.
     by_node = keep(some.groupBy("node").agg(F.min("ord").alias("ord"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
+    sets = keep(sets.select("doc_id", "ord", "node", "n"))
+    discard(outline)
     front = keep(rows.select("text").mapInArrow(_front(sketch, shingle, num, den), "key long, node long, n long, index boolean"))
     again = maybe_repeated(spark, repeated_filter(front, "key", front.count()))
     listed = front.where(again("key")).distinct()
@@ -400,18 +402,21 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     )
     discard(front)
 
-    def tokens_of(pairs: DataFrame) -> DataFrame:
-        """node and tokens of all sets in pairs: their documents are read again, picked by a Bloom filter and a join."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link. Their documents are read again, picked by a Bloom filter and a join; equal nodes are equal sets."""
         nodes = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(by_node.select("node", "ord").hint("merge"), "node"))
         wanted = maybe_repeated(spark, repeated_filter(nodes, "ord", nodes.count(), least=1))
         read = rows.select("ord", "text").where(wanted("ord")).mapInArrow(_tokens(shingle), "ord long, node long, tokens binary")
-        return keep(read.join(nodes.hint("merge"), ["ord", "node"]).select("node", "tokens").dropDuplicates(["node"]))
+        tokens = keep(read.join(nodes.hint("merge"), ["ord", "node"]).select("node", "tokens").dropDuplicates(["node"]))
+        out = keep(verified(pairs, tokens, num, den))
+        discard(tokens)
+        return out
 
     leaves = held.join(by_node.select("node", "bits").hint("merge"), "node").select("key", "node", "n", "bits")
     near = leaves.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_round_one(num, den), "a long, b long, key long")
     met = keep(near)
     near = keep(met.select("a", "b").distinct())
-    links = keep(verified(near, tokens_of(near), num, den))
+    links = linked(near)
     roots = keep(components(links))
 
     rooted = held.join(roots.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -421,6 +426,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     mixed = mixed.join(met.select("key").unionByName(unsearched).distinct().hint("merge"), "key")
     open_ = rooted.join(mixed.hint("merge"), "key").withColumn("chunk", F.expr(f"cast((row_number() over (partition by key order by n, node) - 1) div {BLOCK} as int)"))
     open_ = keep(open_)
+    discard(held)
+    discard(met)
     chunks = open_.groupBy("key", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = chunks.select("key", F.col("chunk").alias("j"), F.col("low").alias("low2"))
     # Blocks whose sizes are too far apart never meet; chunks are in order of size.
@@ -429,7 +436,9 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     blocks = open_.join(sides.hint("merge"), ["key", "chunk"]).join(by_node.select("node", "wide").hint("merge"), "node").select("key", "i", "j", "chunk", "node", "n", "wide", "root")
     far = blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk", "n", "node").mapInArrow(_round_two(num, den), "a long, b long")
     far = keep(far.distinct())
-    more = keep(verified(far, tokens_of(far), num, den))
+    for done in (open_, meet):
+        discard(done)
+    more = linked(far)
     # Only links between components are new; they join roots.
     named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)).hint("merge")
     over = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
