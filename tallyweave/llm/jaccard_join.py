@@ -12,7 +12,8 @@ share one of their first n - ceil(t n) + 1 shingles in any common order
 a tree over the sets that have it in front; shingles of one set alone are
 dropped by a Bloom filter before any shuffle. Below a root, sets are sorted by
 size and cut into blocks of at most BLOCK leaves; tasks traverse pairs of
-blocks, so no task holds more than two.
+blocks, so no task holds more than two. Roots with the same sets below them are
+searched once.
 
 Round one traverses each block with itself and verifies, for every leaf, its
 most promising partners: that joins large groups of near copies into few
@@ -362,6 +363,18 @@ def verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFra
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(_links(num, den), "a long, b long")
 
 
+def distinct_roots(held: DataFrame) -> DataFrame:
+    """Of the roots with the same sets below them, whose trees would be the same, one: rows key, node, n.
+
+    A passage shared by some sets is a root for each of its shingles, all over
+    these same sets. Members are compared by their number and 128 hashed bits.
+    """
+    mark = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    members = held.groupBy("key").agg(F.count(F.lit(1)).alias("c"), mark(0).alias("x"), mark(1).alias("y"))
+    first = members.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return held.join(first.hint("merge"), "key", "left_semi").select("key", "node", "n")
+
+
 def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, leader.
 
@@ -401,6 +414,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         .select("key", "node", "n")
     )
     discard(front)
+    listed, held = held, keep(distinct_roots(held))
+    discard(listed)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that link. Their documents are read again, picked by a Bloom filter and a join; equal nodes are equal sets."""
