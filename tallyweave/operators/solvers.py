@@ -26,20 +26,36 @@ def band_pairs(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame:
     return a.join(b, "bucket").where(F.abs(F.col("lamount") - F.col("ramount")) <= tolerance).drop("bucket")
 
 
-def groups_of(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """edges (lkey, rkey, ...) plus ``grp``, a label shared by all edges that hang together."""
-    state = keep(edges.withColumn("grp", F.col("lkey")))
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both if large else both.where("b < a")
+    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    joined = near.join(least, "a")
+    if large:
+        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def groups_of(edges: DataFrame) -> DataFrame:
+    """edges (lkey, rkey, ...) plus ``grp``, the smallest lkey of all edges that hang together.
+
+    Alternating large and small stars until nothing changes; rounds grow with
+    the logarithm of the longest chain.
+    """
+    edges = keep(edges)
+    links = keep(edges.select(F.concat(F.lit("r"), "rkey").alias("a"), F.concat(F.lit("l"), "lkey").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
-        by_right = state.groupBy("rkey").agg(F.min("grp").alias("m"))
-        step = state.join(by_right, "rkey").withColumn("grp", F.least("grp", "m")).drop("m")
-        by_left = step.groupBy("lkey").agg(F.min("grp").alias("m"))
-        state = keep(step.join(by_left, "lkey").withColumn("grp", F.least("grp", "m")).drop("m"))
-        now = state.agg(F.count_distinct("grp"), F.bit_xor(F.xxhash64("lkey", "rkey", "grp"))).first()
+    while True:
+        links = keep(_star(_star(links, True), False))
+        now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
         before = now
-    return state
+    # Each node now hangs on the smallest of its group, which is a left key.
+    roots = links.where(F.col("a").startswith("r")).select(F.substring("a", 2, 1 << 30).alias("rkey"), F.substring("b", 2, 1 << 30).alias("grp"))
+    return edges.join(roots, "rkey").select(*edges.columns, "grp")
 
 
 def _best_assignment(edges: pd.DataFrame) -> pd.DataFrame:

@@ -32,6 +32,17 @@ def test_assignment_is_optimal_not_greedy(spark):
     assert {(r["lkey"], r["rkey"]) for r in solvers.assign(edges).collect()} == {("a", "y"), ("b", "x"), ("c", "z")}
 
 
+def test_a_chain_of_several_hundred_edges_is_one_group(spark):
+    # Each left key may take the right key before it (cost 0) or its own; the first has its own only.
+    chain = [(f"l{i:03d}", f"r{j:03d}", i - j, 1) for i in range(150) for j in (i, i - 1) if j >= 0] + [("m", "q", 0, 2), ("m", "s", 0, 2)]
+    edges = spark.createDataFrame(chain, "lkey string, rkey string, cost long, part int")
+    found = solvers.groups_of(edges).toPandas()
+    assert sorted(map(tuple, found[["lkey", "rkey", "cost", "part"]].to_numpy().tolist())) == sorted(chain)
+    assert dict(zip(found["part"], found["grp"])) == {1: "l000", 2: "m"} and found["grp"].nunique() == 2
+    taken = solvers.assign(edges).where("part = 1").collect()
+    assert {(r["lkey"], r["rkey"]) for r in taken} == {(f"l{i:03d}", f"r{i:03d}") for i in range(150)}
+
+
 def _batches(spark, nets):
     return spark.createDataFrame([(f"s{i}", "2026-07-10", n) for i, n in enumerate(nets)], "settlement_id string, day string, net long").selectExpr("settlement_id", "cast(day as date) as day", "net")
 
