@@ -77,6 +77,12 @@ def scores(predicted: DataFrame, truth: DataFrame, by: str, keys: list[str]) ->
     return counted.withColumns({"precision": million(p), "recall": million(r), "f1": million(ratio(F.col("tp") * 2, F.col("tp") * 2 + F.col("fp") + F.col("fn"))), "support": F.col("tp") + F.col("fn")})
 
 
+def with_overall(df: DataFrame, by: str, keys: list[str]) -> DataFrame:
+    """``df`` and its rows once more under ``by`` = OVERALL, where the first key names the old value too."""
+    once_more = df.select(F.lit("OVERALL").alias(by), F.concat_ws("/", by, keys[0]).alias(keys[0]), *keys[1:])
+    return df.select(by, *keys).unionByName(once_more)
+
+
 def macro_f1(scored: DataFrame) -> DataFrame:
     """Mean of f1 over rows with support."""
     return scored.agg(F.coalesce(F.round(F.avg(F.when(F.col("support") > 0, F.col("f1")))), F.lit(0)).cast("bigint").alias("macro_f1"))
@@ -89,6 +95,19 @@ def confusion(truth: DataFrame, primary: DataFrame) -> DataFrame:
     return t.join(p, "key", "full_outer").select(clean("truth"), clean("predicted")).groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
+def confusion_of_sets(truth: DataFrame, primary: DataFrame) -> DataFrame:
+    """``confusion`` where a key may have several true codes.
+
+    Each key counts once: under the predicted code if that is one of its true
+    codes, else under the first of them by name.
+    """
+    t = truth.groupBy("key").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    p = primary.select("key", F.col("code").alias("predicted"))
+    true = F.when(F.array_contains("codes", F.col("predicted")), F.col("predicted")).otherwise(F.coalesce(F.element_at("codes", 1), F.lit("CLEAN")))
+    both = t.join(p, "key", "full_outer").select(true.alias("truth"), F.coalesce("predicted", F.lit("CLEAN")).alias("predicted"))
+    return both.groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
 def facts(run: dict[str, DataFrame]) -> DataFrame:
     """Searchable records: kind, key, exposure, text and its tokens."""
     names = F.create_map(*[F.lit(x) for kv in MEANING.items() for x in kv])

@@ -283,6 +283,106 @@ def _(spark, sf_dir):
     return reporting.confusion(_truth_codes(spark, sf_dir), reporting.primary_finding(runs.full(spark, sf_dir)["findings"]))
 
 
+# --- the same scores over every leg and every code, from the rules that made the world
+
+
+def _all_links(spark, sf_dir) -> DataFrame:
+    """leg, a, b of all three legs."""
+    inv, pg = _w(spark, sf_dir, "inv"), _w(spark, sf_dir, "pg")
+    lines = _w(spark, sf_dir, "bank").select(legs.bank_key().alias("b"), "value_date", F.upper("narration").alias("told"))
+    own = pg.where("settlement_id is not null").select("settlement_id", F.upper("settlement_utr").alias("utr"), F.col("settled_at").cast("date").alias("sday")).distinct()
+    quoted = lines.withColumn("utr", F.regexp_extract("told", "SBIN0[0-9-]{12}", 0)).where("utr <> ''").join(own, "utr").select(F.lit("settlement_to_bank").alias("leg"), F.col("settlement_id").alias("a"), "b")
+    # A consolidated credit comes a day after the second of its two batches.
+    consolidated = lines.where("told like '%CONSOLIDATED'").withColumn("sday", F.explode(F.array(F.date_sub("value_date", 2), F.date_sub("value_date", 1))))
+    consolidated = consolidated.join(own, "sday").select(F.lit("settlement_to_bank").alias("leg"), F.col("settlement_id").alias("a"), "b")
+    paid = lines.withColumn("k12", F.regexp_extract("told", "AXISN([0-9]{12})-", 1)).where("k12 <> ''").withColumn("a", F.concat(F.lit("INV-"), F.col("k12").cast("bigint")))
+    paid = paid.join(inv.select(F.col("invoice_no").alias("a")), "a", "left_semi").select(F.lit("invoice_to_bank").alias("leg"), "a", "b")
+    return legs.union(_true_links(spark, sf_dir), quoted, consolidated, paid)
+
+
+def _all_codes(spark, sf_dir) -> DataFrame:
+    """key, code: all that was planted, whether or not a detector looks for it there; a key may have several."""
+    inv, pg = _w(spark, sf_dir, "inv"), _w(spark, sf_dir, "pg")
+    number = lambda c: F.regexp_extract(c, "[0-9]+$", 0).cast("bigint")
+    records = inv.select(F.col("invoice_no").alias("key")).unionByName(pg.select(F.col("entity_id").alias("key"))).withColumns({"k": number("key"), "kind": F.regexp_extract("key", "^[A-Za-z]+", 0)})
+    rules = (
+        ("UNPAID_INVOICE", "kind = 'INV' and k % 23 = 5 and k % 2 = 1"), ("TDS_WITHHELD", "kind = 'INV' and k % 23 = 5 and k % 4 = 0"), ("TAX_LINE_MISMATCH", "kind = 'INV' and k % 37 = 5"),
+        ("UNBILLED_PAYMENT", "kind = 'pay' and k % 29 = 7"), ("FUNDS_ON_HOLD", "kind = 'pay' and k % 43 = 7"), ("FEE_VARIANCE", "kind in ('pay', 'payd') and k % 47 = 8"),
+        ("DUPLICATE_PAYMENT", "kind = 'payd'"), ("ORPHAN_REFUND", "kind = 'rfnd' and k % 2 = 1"), ("CHARGEBACK_ADJUSTMENT", "kind = 'adjs'"),
+    )
+    of_records = records.select("key", F.explode(F.array_compact(F.array(*[F.when(F.expr(rule), code) for code, rule in rules]))).alias("code"))
+    own = pg.where("settlement_id is not null").select("settlement_id", F.datediff(F.col("settled_at").cast("date"), F.lit("1995-01-01").cast("date")).alias("dn")).distinct()
+    has = lambda step, name: own.select((F.col("dn") - step).alias("dn"), F.lit(True).alias(name))
+    mode = F.expr("case when dn % 13 = 1 then 'MISSING_IN_BANK' when dn % 13 = 2 then 'SETTLEMENT_AMOUNT_MISMATCH' when dn % 13 = 3 then 'SPLIT_SETTLEMENT' when (dn % 13 = 5 and after) or (dn % 13 = 6 and before) then 'MERGED_PAYOUT' end")
+    of_batches = own.join(has(1, "after"), "dn", "left").join(has(-1, "before"), "dn", "left").select(F.col("settlement_id").alias("key"), mode.alias("code")).where("code is not null")
+    of_lines = _w(spark, sf_dir, "bank").where("narration = 'INT.PD:12345678' and amount_paise > 0").select(legs.bank_key().alias("key"), F.lit("UNEXPECTED_BANK_CREDIT").alias("code"))
+    return legs.union(of_records, of_batches, of_lines)
+
+
+_ALL_LINKS = """, truth AS (SELECT 'erp_to_gateway' AS leg, 'INV-' || k AS a, 'pay_' || k AS b FROM inv JOIN (SELECT k FROM p) USING (k)
+  UNION ALL SELECT 'settlement_to_bank', settlement_id, printf('bank:%04d', line_no) FROM batch JOIN bank ON contains(upper(narration), utr)
+  UNION ALL SELECT 'settlement_to_bank', settlement_id, printf('bank:%04d', line_no) FROM bank JOIN batch ON sday IN (value_date - 1, value_date - 2) WHERE narration LIKE '%CONSOLIDATED'
+  UNION ALL SELECT 'invoice_to_bank', no, printf('bank:%04d', line_no) FROM direct JOIN bank ON contains(narration, 'AXISN' || lpad(CAST(k AS VARCHAR), 12, '0') || '-')
+), pred AS (SELECT DISTINCT leg, CASE WHEN lkey LIKE 'bank:%' THEN rkey ELSE lkey END AS a, CASE WHEN lkey LIKE 'bank:%' THEN lkey ELSE rkey END AS b FROM matches)"""
+_ALL_CODES = """, truth AS (SELECT 'INV-' || k AS key, 'UNPAID_INVOICE' AS code FROM inv WHERE k % 23 = 5 AND k % 2 = 1
+  UNION ALL SELECT 'INV-' || k, 'TDS_WITHHELD' FROM inv WHERE k % 23 = 5 AND k % 4 = 0 UNION ALL SELECT 'INV-' || k, 'TAX_LINE_MISMATCH' FROM inv WHERE k % 37 = 5
+  UNION ALL SELECT 'pay_' || k, 'UNBILLED_PAYMENT' FROM p WHERE k % 29 = 7 UNION ALL SELECT 'pay_' || k, 'FUNDS_ON_HOLD' FROM p WHERE k % 43 = 7 UNION ALL SELECT 'pay_' || k, 'FEE_VARIANCE' FROM p WHERE k % 47 = 8
+  UNION ALL SELECT 'payd_' || k, unnest(CASE WHEN k % 47 = 8 THEN ['DUPLICATE_PAYMENT', 'FEE_VARIANCE'] ELSE ['DUPLICATE_PAYMENT'] END) FROM p WHERE k % 41 = 6 AND k % 31 NOT IN (3, 4)
+  UNION ALL SELECT 'rfnd_' || k, 'ORPHAN_REFUND' FROM p WHERE k % 53 = 9 AND k % 2 = 1 UNION ALL SELECT 'adjs_' || k, 'CHARGEBACK_ADJUSTMENT' FROM p WHERE k % 59 = 10
+  UNION ALL SELECT settlement_id, CASE WHEN mode = 'short' THEN 'SETTLEMENT_AMOUNT_MISMATCH' WHEN mode = 'split' THEN 'SPLIT_SETTLEMENT' WHEN dn % 13 = 1 THEN 'MISSING_IN_BANK' ELSE 'MERGED_PAYOUT' END FROM moded WHERE mode <> 'exact'
+  UNION ALL SELECT printf('bank:%04d', line_no), 'UNEXPECTED_BANK_CREDIT' FROM bank WHERE narration = 'INT.PD:12345678' AND amount_paise > 0
+), pred AS (SELECT DISTINCT key, code FROM findings)"""
+
+
+def _all_scores(by: str, keys: str) -> str:
+    full = f"(SELECT *, 1 AS p FROM pred) FULL JOIN (SELECT *, 1 AS t FROM truth) USING ({by}, {keys})"
+    counts = "count(*) FILTER (p = 1 AND t = 1) AS tp, count(*) FILTER (p = 1 AND t IS NULL) AS fp, count(*) FILTER (p IS NULL AND t = 1) AS fn"
+    part = lambda x, y: f"CAST(round(1000000 * coalesce({x} / nullif({y}, 0), 0)) AS BIGINT)"
+    return f"""SELECT *, {part("tp", "(tp + fp)")} AS "precision", {part("tp", "(tp + fn)")} AS recall, {part("(2 * tp)", "(2 * tp + fp + fn)")} AS f1, tp + fn AS support FROM (
+      SELECT {by}, {counts} FROM {full} GROUP BY {by} UNION ALL SELECT 'OVERALL', {counts} FROM {full})"""
+
+
+def _link_scores_all(spark, sf_dir) -> DataFrame:
+    predicted, truth = reporting.pairs(runs.full(spark, sf_dir)["matches"]), _all_links(spark, sf_dir)
+    return reporting.scores(*[reporting.with_overall(x, "leg", ["a", "b"]) for x in (predicted, truth)], "leg", ["a", "b"])
+
+
+@query("link_scores_all", _ALL_LINKS + _all_scores("leg", "a, b"))
+def _(spark, sf_dir):
+    """Every leg and an overall row."""
+    return _link_scores_all(spark, sf_dir)
+
+
+@query("link_macro_f1_all", _ALL_LINKS + f"SELECT CAST(round(avg(f1) FILTER (support > 0)) AS BIGINT) AS macro_f1 FROM ({_all_scores('leg', 'a, b')}) WHERE leg <> 'OVERALL'")
+def _(spark, sf_dir):
+    """Mean over legs with support."""
+    return reporting.macro_f1(_link_scores_all(spark, sf_dir).where("leg <> 'OVERALL'"))
+
+
+def _exception_scores_all(spark, sf_dir) -> DataFrame:
+    found, truth = runs.full(spark, sf_dir)["findings"], _all_codes(spark, sf_dir)
+    return reporting.scores(*[reporting.with_overall(x, "code", ["key"]) for x in (found, truth)], "code", ["key"])
+
+
+@query("exception_scores_all", _ALL_CODES + _all_scores("code", "key"))
+def _(spark, sf_dir):
+    """Every code and an overall row."""
+    return _exception_scores_all(spark, sf_dir)
+
+
+@query("macro_f1_all", _ALL_CODES + f"SELECT CAST(round(avg(f1)) AS BIGINT) AS macro_f1 FROM ({_all_scores('code', 'key')}) WHERE code <> 'OVERALL'")
+def _(spark, sf_dir):
+    """Mean over all codes that are planted or found."""
+    scored = _exception_scores_all(spark, sf_dir).where("code <> 'OVERALL'")
+    return scored.agg(F.coalesce(F.round(F.avg("f1")), F.lit(0)).cast("bigint").alias("macro_f1"))
+
+
+@query("confusion_all", _ALL_CODES + """, prim2 AS (SELECT key, code FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY abs(value_paise) DESC, code) AS r FROM findings) WHERE r = 1), true2 AS (SELECT key, list_sort(list(DISTINCT code)) AS codes FROM truth GROUP BY key)
+SELECT CASE WHEN list_contains(codes, code) THEN code ELSE coalesce(codes[1], 'CLEAN') END AS truth, coalesce(code, 'CLEAN') AS predicted, count(*) AS n FROM true2 FULL JOIN prim2 USING (key) GROUP BY 1, 2""")
+def _(spark, sf_dir):
+    return reporting.confusion_of_sets(_all_codes(spark, sf_dir), reporting.primary_finding(runs.full(spark, sf_dir)["findings"]))
+
+
 @query("auto_clear", """, linked AS (SELECT DISTINCT a FROM (SELECT lkey AS a FROM matches UNION ALL SELECT rkey FROM matches)), review AS (SELECT DISTINCT key FROM findings WHERE disposition = 'needs_review'),
 records AS (SELECT invoice_no AS key, NULL AS s FROM inv UNION ALL SELECT entity_id, settlement_id FROM pg UNION ALL SELECT printf('bank:%04d', line_no), NULL FROM bank)
 SELECT count(*) AS records, count(*) FILTER ((key IN (SELECT a FROM linked) OR (s IS NOT NULL AND s IN (SELECT a FROM linked))) AND key NOT IN (SELECT key FROM review)) AS cleared FROM records""")

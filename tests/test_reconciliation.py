@@ -90,3 +90,11 @@ def test_the_bridge_has_no_residual_and_no_record_is_claimed_twice(spark, sf_dir
     m = runs.full(spark, sf_dir)["matches"]
     assert m.count() == m.select("leg", "rkey").distinct().count()
     assert set(legs.MEANING) >= {r["code"] for r in runs.full(spark, sf_dir)["findings"].select("code").distinct().collect()}
+
+
+def test_scores_cover_every_code_and_every_leg(spark, sf_dir):
+    codes = {r["code"]: r["support"] for r in catalog.QUERIES["exception_scores_all"](spark, sf_dir).collect()}
+    assert set(codes) == set(legs.MEANING) - {"UNCLASSIFIED"} | {"OVERALL"} and all(n > 0 for n in codes.values())
+    assert codes["OVERALL"] == sum(n for c, n in codes.items() if c != "OVERALL")
+    links = {r["leg"]: r["support"] for r in catalog.QUERIES["link_scores_all"](spark, sf_dir).collect()}
+    assert set(links) == {"erp_to_gateway", "settlement_to_bank", "invoice_to_bank", "OVERALL"} and all(n > 0 for n in links.values())
