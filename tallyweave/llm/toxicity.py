@@ -155,8 +155,8 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.
     return w
 
 
-def _machine(positive: list[str], negative: list[str]) -> tuple[np.ndarray, float]:
-    """Triple weights and bias of the SVM with Nyström landmarks."""
+def _machine(positive: list[str], negative: list[str], rating: np.ndarray) -> tuple[np.ndarray, float]:
+    """Triple weights and bias of the SVM with Nyström landmarks; positives weigh by their rating."""
     half = LANDMARKS // 2
     marks = list(dict.fromkeys([*positive[:half], *negative[:half]]))
     values, vectors = np.linalg.eigh(kernel(marks, marks))
@@ -164,7 +164,7 @@ def _machine(positive: list[str], negative: list[str]) -> tuple[np.ndarray, floa
     root = vectors[:, good] / np.sqrt(values[good])
     words = [*positive, *negative]
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    weight = np.r_[np.full(len(positive), 1 / max(1, len(positive))), np.full(len(negative), 1 / max(1, len(negative)))] * len(words) / 2
+    weight = np.r_[rating / rating.sum(), np.full(len(negative), 1 / max(1, len(negative)))] * len(words) / 2
     w = _fit_svm(kernel(words, marks) @ root, y, weight)
     beta = root @ w[:-1]
     table = np.zeros(_SIZE**3)
@@ -234,11 +234,40 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+def _least_evidence(pairs: list[tuple[int, int, int]], base: float) -> float:
+    """The least evidence that a positive needs; infinite where no snippet stands out.
+
+    pairs: texts labelled 1 and 0 that hold a snippet, and how many snippets have
+    these counts. A snippet has evidence e by chance with a probability of at most
+    exp(-e), and only if its texts are enough to reach e at all. At the level taken,
+    at least exp(2) times as many snippets stand as chance would put there.
+    """
+    bad, good, many = np.array(pairs, np.float64).T
+    reach = -(bad + good) * np.log(base)
+    share = bad / (bad + good)
+    evidence = _evidence(bad, good, base)
+    least = np.inf
+    for e in np.unique(evidence[share >= 0.5])[::-1]:
+        standing = many[(share >= 0.5) & (evidence >= e)].sum()
+        if e >= np.log(many[reach >= e - 1e-9].sum() / standing) + 2:
+            least = e - 1e-9
+    return least
+
+
+def _evidence(bad: np.ndarray, good: np.ndarray, base: float) -> np.ndarray:
+    """Nats by which the share of texts labelled 1 is above the base rate."""
+    n = bad + good
+    share = bad / n
+    side = lambda x, p: np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / p), 0.0)
+    return np.where(share > base, n * (side(share, base) + side(1 - share, 1 - base)), 0.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     """The model: triple weights, bias, slope and intercept.
 
     Uses at most ``max_train`` labelled texts, the first by a hash of the id.
-    Without texts of both labels the model is constant (score 0).
+    Where no snippet stands out from chance, the best-rated ones train, weighted
+    by their evidence. Without words under both labels the model is constant (score 0).
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -253,23 +282,30 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dic
     seen = keep(
         sample.mapInArrow(_snippet_batches, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     )
-    # How far a snippet's share of texts labelled 1 is above the base rate, in nats; chance
-    # alone seldom lifts any of all the snippets over the logarithm of their number.
+    # How far a snippet's share of texts labelled 1 is above the base rate, in nats.
     base, n = n1 / (n0 + n1), F.col("bad") + F.col("good")
     share = F.col("bad") / n
     side = lambda x, p: F.when(x > 0, x * F.log(x / p)).otherwise(0.0)
     evidence = F.when(share > base, n * (side(share, base) + side(1 - share, 1 - base))).otherwise(0.0)
     rated = seen.withColumns({"share": share, "evidence": evidence})
-    least = float(np.log(max(2, seen.count())) + 2)
-    positive = [r["word"] for r in rated.where((F.col("evidence") >= least) & (F.col("share") >= 0.5)).orderBy(F.desc("evidence"), "word").limit(POSITIVES).collect()]
+    pairs = [tuple(r) for r in seen.groupBy("bad", "good").agg(F.count(F.lit(1)).alias("many")).collect()]
+    least = _least_evidence(pairs, base) if pairs else np.inf
+    best = rated.where("share >= 0.5 and evidence > 0").orderBy(F.desc("evidence"), "word")
+    if least < np.inf:
+        chosen = best.where(F.col("evidence") >= float(least)).limit(POSITIVES).collect()
+        rating = np.ones(len(chosen))
+    else:
+        chosen = best.limit(min(POSITIVES, n1)).collect()
+        rating = np.array([r["evidence"] for r in chosen])
+    positive = [r["word"] for r in chosen]
     fair = rated.where((F.col("good") > 0) & (F.col("evidence") < 2))
     negative = [r["word"] for r in fair.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).collect()]
     if not positive or not negative:
         return constant
-    table, bias = _machine(positive, negative)
+    table, bias = _machine(positive, negative, rating)
     shared = spark.sparkContext.broadcast((table, bias))
     hard = fair.select("word", F.col("word").alias("text")).mapInArrow(_margin_batches(shared), "word string, margin double").orderBy(F.desc("margin"), "word").limit(HARD).collect()
-    table, bias = _machine(positive, list(dict.fromkeys([*(r["word"] for r in hard), *negative])))
+    table, bias = _machine(positive, list(dict.fromkeys([*(r["word"] for r in hard), *negative])), rating)
     shared = spark.sparkContext.broadcast((table, bias))
     got = sample.select("text", "toxic").mapInArrow(_margin_batches(shared), "toxic int, margin double").collect()
     slope, intercept = _logistic(np.array([r["margin"] for r in got]), np.array([r["toxic"] for r in got], float))

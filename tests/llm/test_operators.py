@@ -206,6 +206,22 @@ def test_toxicity_learns_and_forgives_insertions(spark):
     assert [got[i] >= 0.5 for i in range(len(tests))] == [False, False, False, True, True, True, True]
 
 
+@pytest.mark.parametrize("size, every", [(60, 5), (16, 2)])
+def test_toxicity_learns_from_few_texts(spark, size, every):
+    rng = random.Random(5)
+    plain = [a + b for a in ("so", "ma", "te", "lu", "ri", "na", "ge", "fi", "pa", "do") for b in ("lo", "mi", "ter", "van", "sun", "po", "hin", "bek", "ral", "dut", "wes", "gol", "kim", "zep", "nav")]
+    rows = []
+    for k, i in enumerate([i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:size]):
+        words = rng.choices(plain, k=30)
+        if k % every == 0:  # three insults by turns, each in at most four texts
+            words[7] = ("moron", "trash", "scum")[k // every % 3]
+        rows.append((i, " ".join(words), int(k % every == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in toxicity.reject_toxic(docs, labels).collect()}
+    assert kept == {i for i, _, y in rows if not y}
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ["x"]).where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
