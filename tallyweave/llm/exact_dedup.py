@@ -144,8 +144,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; cases as in ``exact_groups``.
+    """One row of each group of ``exact_groups``, with all its columns.
 
+    Of rows that share the smallest id too, null or not, the first by a hash of
+    the text as it is stays.
     Rows whose hash cannot repeat go straight through; only the others are
     shuffled, to meet the smallest id of their group.
     """
@@ -157,6 +159,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     test = maybe_repeated(spark, repeated_filter(hashed, "sha", hashed.count(), max_filter_mb=32))
     groups = keep(hashed.where(test("sha")).groupBy("sha").agg(F.min("id").alias("keep_id")))
     again = rows.where(test("sha")).join(groups.hint("merge"), "sha").where(same_id(F.col("id"), F.col("keep_id")))
+    again = again.groupBy("sha").agg(F.min_by("row", F.xxhash64(F.col("row")[text_col])).alias("row"))
     return rows.where(~test("sha")).select("row.*").unionByName(again.select("row.*"))
 
 

@@ -469,10 +469,25 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, all columns kept."""
-    groups = jaccard_groups(docs, shingle, num, den, id_col, text_col)
-    dropped = keep(groups.where("not leader").select(F.col("doc_id").alias("__dropped")).distinct())
-    return docs.join(dropped, docs[id_col].cast("long").eqNullSafe(dropped["__dropped"]), "left_anti")
+    """One row of each component of ``docs``, that with the smallest id, all columns kept.
+
+    Rows that repeat an id are documents of their own, a null id counts as the
+    largest; between equal ids the row's content decides. Where all ids differ
+    they name the rows; otherwise rows are numbered in a written copy.
+    """
+    number = docs[id_col].cast("long")
+    if docs.groupBy(number.alias("id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1 or id is null").isEmpty():
+        groups = jaccard_groups(docs, shingle, num, den, id_col, text_col)
+        dropped = keep(groups.where("not leader").select(F.col("doc_id").alias("__dropped")))
+        return docs.join(dropped, number == dropped["__dropped"], "left_anti")
+    numbered = keep(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = keep(jaccard_groups(numbered, shingle, num, den, "__row", text_col).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component")))
+    hashed = [c for c in docs.columns if docs.schema[c].dataType.typeName() != "map"]
+    place = numbered.select("__row", F.struct(numbered[id_col].isNull().alias("none"), numbered[id_col].cast("long").alias("id"), F.xxhash64(*hashed).alias("content"), F.col("__row").alias("row")).alias("place"))
+    # Written, so that the join deals both its sides anew and a large component can be split.
+    first = keep(groups.join(place.hint("merge"), "__row").groupBy("component").agg(F.min("place")["row"].alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("component", "first"))
+    dropped = keep(groups.join(first.hint("merge"), "component").where("__row <> first").select("__row"))
+    return numbered.join(dropped, "__row", "left_anti").select(*docs.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,3 +237,15 @@ def test_null_and_repeated_ids(spark):
     assert {r["component_id"] for r in jaccard_join.jaccard_groups(docs).where("n_shingles > 0").collect()} == {4}
     for rows in (substring_dedup.remove_repeats(docs), packing.pack(docs), sharding.shard(docs), ogg_media.media_features(docs), secret_scan.findings(*secret_scan.scan(docs))):
         assert rows.count() == 4
+
+
+def test_one_row_of_each_group_stays_under_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    long = [" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(80)) for c in "abcd"]
+    near = [t + " more" for t in long]
+    rows = [(1, long[0]), (None, near[0]), (None, long[1]), (5, long[2]), (7, near[2]), (7, long[3]), (None, near[1]), (None, None), (7, near[3]), (2, "")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()]
+    assert len(kept) == 6 and {(1, long[0]), (5, long[2]), (None, None), (2, "")} <= set(kept)
+    assert sum(x in kept for x in ((None, long[1]), (None, near[1]))) == sum(x in kept for x in ((7, long[3]), (7, near[3]))) == 1
+    copies = frame(spark, ["x y", "x  y", "x y", "z", "z", "z", "w"], [None, None, None, 3, 3, 4, None])
+    assert sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in exact_dedup.dedup(copies).collect()) == [(0, "w"), (0, "x"), (3, "z")]
