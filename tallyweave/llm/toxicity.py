@@ -1,19 +1,33 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence kernel.
 
-The kernel compares snippets (words, and letters spelled out one by one) by
-their common subsequences of three characters, each weighted by ``DECAY`` to
-the power of the length it spans, so inserted or left-out characters cost
-little. Landmark snippets give a Nyström feature map; a squared-hinge linear
-SVM is trained in it. A text's margin is that of its worst snippet, and a
-logistic curve fitted on the training texts turns it into a score.
-
-A label belongs to a whole text and an insult to a few letters of it. So the
-training snippets are drawn by evidence: positives are snippets that texts
-labelled 1 hold far more often than texts labelled 0 do; negatives are snippets
-of texts labelled 0, in a second round those with the largest margins.
+A text is a bag of short snippets, read across word borders: each word, each two
+neighbouring words run together, and runs of very short words. Case and marks
+are dropped, and digits that stand for letters are read as those letters. The
+kernel compares two snippets by their common subsequences of three characters
+(the borders count as characters), each weighted by ``DECAY`` to the power of
+the length it spans, up to ``SPAN``, and divided by the snippets' own norms. So
+an inserted, dropped or replaced character costs a part of the likeness only.
+
+A label belongs to a whole text, an insult to a few letters of it, so the machine
+is trained by multiple instances. To start, a text labelled 1 stands by the
+snippets that best tell texts labelled 1 from those labelled 0; then, in
+``ROUNDS`` rounds, by those with the largest margins, and a text labelled 0 by
+its own largest ones. Each positive snippet also trains with letters changed
+(virtual support vectors), which sets the border where disguises lie. Landmark
+snippets give a Nyström feature map, in which a squared-hinge linear machine is
+fitted. A text's margin is the largest of its snippets', and a logistic curve
+over the training texts turns it into a score.
 
 Since the kernel is a dot product of sparse features, the trained machine folds
 into one weight per triple of characters; scoring looks those up.
+
+Defined results: null and empty texts, and texts without any snippet near the
+border, have a margin of -1 (so a low score). Texts are read whole, however
+long; words over ``WINDOW`` characters through overlapping windows. Equal texts
+score equally; null, repeated and tied ids are rows of their own; columns other
+than the text only pass through, whatever their names. Labels that are null or
+not 0 or 1 are left out; of a doc_id with both labels, 1 counts. Without texts
+of both labels every score is 0.
 """
 
 from __future__ import annotations
@@ -21,326 +35,360 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, keep, small_batches, text_or_empty
-
-DECAY = 0.6
-WINDOW, STRIDE = 22, 11  # longer snippets are read through overlapping windows
-MAX_TRAIN = 20_000  # labelled texts that training may use, the documented bound
-LANDMARKS = 128
-POSITIVES, NEGATIVES, HARD = 500, 4000, 2000
-CACHE = 200_000  # snippet margins that a task remembers
-
-_MARKS = re.compile(r"[\W_]")
-_SIZE = 64  # symbols: 0 start, 1 to 26 letters, the rest hashed
+from .common import documents, keep, shuffle_parts, small_batches, text_or_empty
+
+DECAY, SPAN = 0.8, 9
+WINDOW, STRIDE = 16, 8
+JOINED = 14  # two neighbouring words are also read as one up to this length
+SHORT = 2  # three or more words in a row of at most this length are also read as one
+MAX_TRAIN = 20_000  # labelled texts that training may use
+MAX_SNIPPETS = 12_000  # snippets of either sign that a fit may use, those with the largest margins
+ROUNDS, DISGUISES, LANDMARKS, COST = 4, 5, 512, 100.0
+WITNESSES, RIVALS = 3, 10  # snippets that may stand for one text labelled 1 and 0
+
+_BITS = 6
+_SIZE = 1 << _BITS  # symbols: 0 border, 1 to 26 letters, the rest hashed
+_LETTERLIKE = str.maketrans("0134578@$!|", "oieastbasil")
+_DIGITS = re.compile(r"[0134578@$!|]+(?=[a-z])")
+_MARKS = re.compile(r"[^\w\s]|_")
+
+
+def words_of(text: str) -> list[str]:
+    """Words in lower case and without marks; letter-like digits and signs before a letter read as letters."""
+    return _MARKS.sub("", _DIGITS.sub(lambda m: m.group().translate(_LETTERLIKE), text.lower())).split()
+
+
+def symbols(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    return np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 37).astype(np.int32)
+
+
+def snippets(texts: list[list[str]]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """All words one after another; start, length and text number of each snippet."""
+    flat = [w for t in texts for w in t]
+    n = np.fromiter(map(len, flat), np.int64, len(flat))
+    start = np.cumsum(n) - n
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    if not len(n):
+        return "", start, n, text
+    pair = np.flatnonzero((text[1:] == text[:-1]) & (n[1:] + n[:-1] <= JOINED))
+    edge = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (n[1:] > SHORT) | (n[:-1] > SHORT)])
+    size = np.diff(np.r_[edge, len(n)])
+    first, last = edge[size > 2], (edge + size)[size > 2] - 1
+    start, text, n = (
+        np.r_[start, start[pair], start[first]],
+        np.r_[text, text[pair], text[first]],
+        np.r_[n, n[pair] + n[pair + 1], (start + n)[last] - start[first]],
+    )
+    parts = np.maximum(0, -(-(n - WINDOW) // STRIDE)) + 1
+    row = np.repeat(np.arange(len(n)), parts)
+    part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return "".join(flat), start[row] + STRIDE * part, np.minimum(WINDOW, n[row] - STRIDE * part), text[row]
 
 
 @functools.cache
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    at = np.array(list(itertools.combinations(range(n), 3)), np.int64).reshape(-1, 3)
+    """Places of the triples of ``n`` symbols and their weights."""
+    at = np.array([c for c in itertools.combinations(range(n), 3) if c[2] - c[0] < SPAN], np.int64)
     return at[:, 0], at[:, 1], at[:, 2], (DECAY ** (at[:, 2] - at[:, 0] + 1)).astype(np.float32)
 
 
-@functools.cache
-def _symbol(ch: str) -> int:
-    k = ord(ch)
-    return k - 96 if 97 <= k <= 122 else 27 + k % 37
-
-
-def _codes(snippets: list[str]) -> np.ndarray:
-    """Symbols of equally long snippets, a start symbol first."""
-    return np.array([[0, *map(_symbol, s)] for s in snippets], np.int32)
+def _keys(code: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Triples of snippets of length ``n``, borders at both ends, and their weights."""
+    framed = np.zeros((len(start), n + 2), np.int32)
+    framed[:, 1:-1] = code[start[:, None] + np.arange(n)]
+    i, j, k, weight = _triples(n + 2)
+    return (framed << 2 * _BITS)[:, i] + (framed << _BITS)[:, j] + framed[:, k], weight
 
 
-def snippets(text: str) -> set[str]:
-    """Distinct lower-case words, as they are and without marks; runs of three or more single characters joined."""
-    words = text.lower().split()
-    found = set(words)
-    found |= {_MARKS.sub("", w) for w in found if not w.isalnum()} - {""}
-    run: list[str] = []
-    for w in [*words, "  "]:
-        if len(w) == 1:
-            run.append(w)
-        else:
-            if len(run) > 2:
-                found.add("".join(run))
-            run = []
-    return found
+def _norms(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Length of each row's features, the weights of equal triples added up first."""
+    order = np.argsort(keys, axis=1, kind="stable")
+    keys, value = np.take_along_axis(keys, order, 1), weight[order].astype(np.float64)
+    first = np.ones(keys.shape, bool)
+    first[:, 1:] = keys[:, 1:] != keys[:, :-1]
+    sums = np.add.reduceat(value.ravel(), np.flatnonzero(first.ravel()))
+    return np.sqrt(np.bincount(np.nonzero(first)[0], sums * sums, len(keys)))
 
 
-def windows(snippet: str) -> list[str]:
-    if len(snippet) <= WINDOW:
-        return [snippet]
-    return [snippet[i : i + WINDOW] for i in range(0, len(snippet) - STRIDE, STRIDE)]
-
-
-def _by_length(words: list[str]):
-    order: dict[int, list[int]] = {}
+def _features(words: list[str]):
+    """For words of each length: their numbers, triples, and weights over norms."""
+    by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        order.setdefault(len(w), []).append(i)
-    for n, rows in order.items():
-        for k in range(0, len(rows), 2000):
-            yield rows[k : k + 2000], _codes([words[i] for i in rows[k : k + 2000]]), _triples(n + 1)
-
-
-def _features(codes: np.ndarray, triples) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted (row * symbols**3 + triple) keys, their weights, and each row's norm."""
-    i, j, k, weight = triples
-    key = ((codes[:, i] * _SIZE + codes[:, j]) * _SIZE + codes[:, k]).astype(np.int64)
-    key = (key + np.arange(len(codes))[:, None] * _SIZE**3).ravel()
-    order = np.argsort(key, kind="stable")
-    key, value = key[order], np.tile(weight, len(codes))[order]
-    if not len(key):
-        return key, value, np.ones(len(codes))
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    key, value = key[first], np.add.reduceat(value, first)
-    return key, value, np.full(len(codes), _norm(weight))
-
-
-def _norm(weight: np.ndarray) -> float:
-    """The length of a snippet's features where no triple repeats: it depends on the snippet's length alone."""
-    return float(np.sqrt((weight.astype(np.float64) ** 2).sum())) or 1.0
+        by_length.setdefault(len(w), []).append(i)
+    for n, rows in by_length.items():
+        for k in range(0, len(rows), 256):
+            part = rows[k : k + 256]
+            keys, weight = _keys(symbols("".join(words[i] for i in part)), np.arange(len(part)) * n, n)
+            yield np.array(part), keys, weight[None, :] / _norms(keys, weight)[:, None]
 
 
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
-    """Subsequence kernel of two lists of windows, each divided by its norm without repeats."""
-    out = np.zeros((len(a), len(b)), np.float64)
-    dense = np.zeros((len(b), _SIZE**3), np.float32)
-    for rows, codes, triples in _by_length(b):
-        key, value, norm = _features(codes, triples)
-        row = key // _SIZE**3
-        dense[np.array(rows)[row], key % _SIZE**3] = value / norm[row]
-    used = np.flatnonzero(dense.any(axis=0))
-    place = np.full(_SIZE**3, -1)
-    place[used] = np.arange(len(used))
-    dense = dense[:, used].T.copy()
-    for rows, codes, triples in _by_length(a):
-        key, value, norm = _features(codes, triples)
-        row, col = key // _SIZE**3, place[key % _SIZE**3]
-        row, col, value = row[col >= 0], col[col >= 0], value[col >= 0]
-        for start in range(0, len(row), 100_000):
-            s = slice(start, start + 100_000)
-            np.add.at(out, np.array(rows)[row[s]], dense[col[s]] * (value[s] / norm[row[s]])[:, None])
-    return out
-
-
-def margins(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
-    """SVM margins of windows: table has a weight for each triple."""
-    out = np.full(len(words), bias, np.float64)
-    for rows, codes, triples in _by_length(words):
-        i, j, k, weight = triples
-        if len(weight):
-            out[rows] += table[(codes[:, i] * _SIZE + codes[:, j]) * _SIZE + codes[:, k]] @ weight / _norm(weight)
+    """Normalised subsequence kernel of two lists of snippets of 1 to ``WINDOW`` characters."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    for c in range(0, len(b), 128):
+        marks = list(_features(b[c : c + 128]))
+        used = np.unique(np.concatenate([keys.ravel() for _, keys, _ in marks]))
+        place = np.zeros(_SIZE**3, np.int64)
+        place[used] = np.arange(1, len(used) + 1)
+        dense = np.zeros((len(used) + 1, len(b[c : c + 128])), np.float32)
+        for rows, keys, value in marks:
+            np.add.at(dense, (place[keys], rows[:, None]), value)
+        for rows, keys, value in _features(a):
+            at = place[keys]
+            for r, row in enumerate(rows):
+                hit = np.flatnonzero(at[r])
+                out[row, c : c + 128] = value[r, hit].astype(np.float32) @ dense[at[r, hit]]
     return out
 
 
-def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.0) -> np.ndarray:
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float | None = None) -> np.ndarray:
     """Squared-hinge linear SVM by Newton steps; the last coordinate is the bias."""
-    x = np.c_[x, np.ones(len(x))]
+    cost = COST if cost is None else cost
+    x = np.c_[x, np.ones(len(x), x.dtype)]
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     w = np.zeros(x.shape[1])
     for _ in range(40):
-        active = 1 - y * (x @ w) > 0
-        xa, ca = x[active], cost * weight[active]
-        new = np.linalg.solve(ridge + (xa * ca[:, None]).T @ xa, xa.T @ (ca * y[active]))
+        active = np.flatnonzero(1 - y * (x @ w) > 0)
+        gram, pull = ridge.copy(), np.zeros(x.shape[1])
+        for k in range(0, len(active), 2048):
+            rows = active[k : k + 2048]
+            xa, ca = x[rows].astype(np.float64), cost * weight[rows]
+            gram += (xa * ca[:, None]).T @ xa
+            pull += xa.T @ (ca * y[rows])
+        new = np.linalg.solve(gram, pull)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
     return w
 
 
-def _machine(positive: list[str], negative: list[str], rating: np.ndarray) -> tuple[np.ndarray, float]:
-    """Triple weights and bias of the SVM with Nyström landmarks; positives weigh by their rating."""
-    half = LANDMARKS // 2
-    marks = list(dict.fromkeys([*positive[:half], *negative[:half]]))
-    values, vectors = np.linalg.eigh(kernel(marks, marks))
-    good = values > 1e-6
+def machine(positive: list[str], rating: np.ndarray, negative: list[str], marks: list[str]) -> tuple[np.ndarray, float]:
+    """Weights of the triples and bias of the SVM with Nyström landmarks ``marks``."""
+    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
+    good = values > 1e-5
     root = vectors[:, good] / np.sqrt(values[good])
-    words = [*positive, *negative]
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    weight = np.r_[rating / rating.sum(), np.full(len(negative), 1 / max(1, len(negative)))] * len(words) / 2
-    w = _fit_svm(kernel(words, marks) @ root, y, weight)
+    weight = np.r_[rating / rating.sum(), np.full(len(negative), 1 / len(negative))] * len(y) / 2
+    w = fit_svm(kernel([*positive, *negative], marks) @ root.astype(np.float32), y, weight)
     beta = root @ w[:-1]
     table = np.zeros(_SIZE**3)
-    for rows, codes, triples in _by_length(marks):
-        key, value, norm = _features(codes, triples)
-        row = key // _SIZE**3
-        np.add.at(table, key % _SIZE**3, value / norm[row] * beta[np.array(rows)[row]])
-    return table, float(w[-1])
+    for rows, keys, value in _features(marks):
+        np.add.at(table, keys, value * beta[rows][:, None])
+    return table.astype(np.float32), float(w[-1])
+
+
+def margins(flat: str, start: np.ndarray, n: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
+    """SVM margins of snippets, those under -1 as -1.
+
+    A first look divides by the norm without repeated triples, which is never
+    too large, so only snippets above -1 there need their own norm.
+    """
+    code, out = symbols(flat), np.full(len(n), -1.0)
+    for length in np.unique(n):
+        rows = np.flatnonzero(n == length)
+        for k in range(0, len(rows), 2048):
+            part = rows[k : k + 2048]
+            keys, weight = _keys(code, start[part], int(length))
+            value = table.take(keys) @ weight
+            near = np.flatnonzero(value / np.sqrt((weight * weight).sum()) + bias > -1)
+            if len(near):
+                out[part[near]] = np.maximum(-1.0, value[near] / _norms(keys[near], weight) + bias)
+    return out
+
+
+def margins_of(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
+    n = np.array([len(w) for w in words], np.int64)
+    return margins("".join(words), np.cumsum(n) - n, n, table, bias)
+
+
+def text_margins(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
+    """The largest margin among the snippets of each text, at least -1."""
+    out = np.full(len(texts), -1.0)
+    for k in range(0, len(texts), 64):
+        flat, start, n, text = snippets([words_of(t) for t in texts[k : k + 64]])
+        np.maximum.at(out[k : k + 64], text, margins(flat, start, n, table, bias))
+    return out
+
+
+def witnesses(text: str, toxic: int, table: np.ndarray, bias: float) -> list[tuple[str, float]]:
+    """The snippets of a text with the largest margins, different ones, best first."""
+    flat, start, n, _ = snippets([words_of(text)])
+    margin = margins(flat, start, n, table, bias)
+    best: dict[str, float] = {}
+    for i in np.argsort(-margin, kind="stable"):
+        best.setdefault(flat[start[i] : start[i] + n[i]], float(margin[i]))
+        if len(best) == (WITNESSES if toxic else RIVALS):
+            break
+    return list(best.items())
 
 
-def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+def logistic(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by Newton steps with a little ridge."""
     x = np.c_[margin, np.ones(len(margin))]
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (label - p) - 1e-3 * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (weight * (label - p)) - 1e-3 * w)
         w += step
         if abs(step).max() < 1e-8:
             break
     return float(w[0]), float(w[1])
 
 
-class _Scorer:
-    """Margins of texts inside a task; remembers a bounded number of snippets."""
+def _likelihood(margin, slope: float, intercept: float):
+    return 1 / (1 + np.exp(-np.clip(slope * np.asarray(margin) + intercept, -30, 30)))
 
-    def __init__(self, table: np.ndarray, bias: float):
-        self.table, self.bias, self.known = table, bias, {}
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        found = [snippets(t) for t in texts]
-        new = list(set().union(*found) - self.known.keys()) if found else []
-        parts = [(i, p) for i, w in enumerate(new) for p in windows(w)]
-        best = np.full(len(new), -np.inf)
-        if parts:
-            np.maximum.at(best, [i for i, _ in parts], margins([p for _, p in parts], self.table, self.bias))
-        self.known.update(zip(new, best.tolist()))
-        out = np.array([max(map(self.known.__getitem__, f), default=min(self.bias, -1.0)) for f in found])
-        if len(self.known) > CACHE:
-            self.known.clear()
-        return out
+def disguised(word: str, k: int) -> str:
+    """The ``k``-th changed copy of a snippet: inside it a letter is inserted, replaced, dropped or doubled, or two are inserted."""
+    rng = np.random.default_rng([k, *word.encode("utf-8", "surrogatepass")])
+    at, other = rng.integers(1, max(2, len(word) - 1), 2)
+    letters = "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 2))
+    head, tail = word[:at], word[at:]
+    out = [head + letters[0] + tail, head + letters[0] + tail[1:], head + tail[1:], head + head[-1] * 2 + tail, head + letters[0] + tail[: other - at] + letters[1] + tail[other - at :] if other > at else head + letters + tail][k % 5]
+    return out[:WINDOW]
 
 
-def _margin_batches(model):
-    def run(batches):
-        scorer = _Scorer(model.value[0], model.value[1])
-        for b in batches:
-            got = [scorer(b.column("text").slice(i, 256).to_pylist()) for i in range(0, b.num_rows, 256)]
-            margin = pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in b.schema.names if c != "text"], margin], [*[c for c in b.schema.names if c != "text"], "margin"])
+def held_out(doc_id) -> F.Column:
+    """Rows that training never sees: crc32 of the id's decimal text divides by 5."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
-    return run
 
+def _evidence(base: float) -> F.Column:
+    """Nats by which a word's share of texts labelled 1 (``bad`` of ``bad + good``) is above the base rate."""
+    n = F.col("bad") + F.col("good")
+    share = F.col("bad") / n
+    side = lambda x, p: F.when(x > 0, x * F.log(x / p)).otherwise(0.0)
+    return F.when(share > base, n * (side(share, base) + side(1 - share, 1 - base))).otherwise(0.0)
 
-def _snippet_batches(batches):
+
+def _word_batches(batches):
     for b in batches:
-        words, label = [], []
-        for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            got = {p for w in snippets(text) for p in windows(w)}
-            words += got
-            label += [y] * len(got)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "toxic": pa.array(label, pa.int32())})
+        rows = [(k, y, w) for k, t, y in zip(b["copy"].to_pylist(), b["text"].to_pylist(), b["toxic"].to_pylist()) for w in {w[:WINDOW] for w in words_of(t)}]
+        copy, toxic, word = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_pydict({"copy": pa.array(copy, pa.int64()), "toxic": pa.array(toxic, pa.int32()), "word": pa.array(word, pa.string())})
 
 
-def held_out(doc_id) -> F.Column:
-    """Rows that training never sees: crc32 of the id's decimal text divides by 5."""
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
+def _witness_batches(model):
+    def run(batches):
+        for b in batches:
+            found = [witnesses(t, y, *model.value) for t, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist())]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "copy": b["copy"],
+                    "toxic": b["toxic"],
+                    "words": pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())),
+                    "margins": pa.array([[m for _, m in f] for f in found], pa.list_(pa.float64())),
+                }
+            )
 
+    return run
 
-def _least_evidence(pairs: list[tuple[int, int, int]], base: float) -> float:
-    """The least evidence that a positive needs; infinite where no snippet stands out.
 
-    pairs: texts labelled 1 and 0 that hold a snippet, and how many snippets have
-    these counts. A snippet has evidence e by chance with a probability of at most
-    exp(-e), and only if its texts are enough to reach e at all. At the level taken,
-    at least exp(2) times as many snippets stand as chance would put there.
-    """
-    bad, good, many = np.array(pairs, np.float64).T
-    reach = -(bad + good) * np.log(base)
-    share = bad / (bad + good)
-    evidence = _evidence(bad, good, base)
-    least = np.inf
-    for e in np.unique(evidence[share >= 0.5])[::-1]:
-        standing = many[(share >= 0.5) & (evidence >= e)].sum()
-        if e >= np.log(many[reach >= e - 1e-9].sum() / standing) + 2:
-            least = e - 1e-9
-    return least
-
-
-def _evidence(bad: np.ndarray, good: np.ndarray, base: float) -> np.ndarray:
-    """Nats by which the share of texts labelled 1 is above the base rate."""
-    n = bad + good
-    share = bad / n
-    side = lambda x, p: np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / p), 0.0)
-    return np.where(share > base, n * (side(share, base) + side(1 - share, 1 - base)), 0.0)
+def learn(positive: list[str], rating: np.ndarray, negative: list[str], search) -> dict:
+    """Rounds of fits; ``search(table, bias)`` gives (copy, label, snippets, margins) of each training text, best snippets first."""
+    for _ in range(ROUNDS):
+        best = np.argsort(-rating, kind="stable")[: MAX_SNIPPETS // (1 + DISGUISES)]
+        positive, rating = [positive[i] for i in best], rating[best]
+        marks = list(dict.fromkeys([*positive[: LANDMARKS // 2], *negative[: LANDMARKS // 2]]))
+        changed = [disguised(w, k) for k in range(DISGUISES) for w in positive]
+        table, bias = machine([*positive, *changed], np.r_[rating, np.tile(rating / DISGUISES, DISGUISES)], negative, marks)
+        found = search(table, bias)
+        bag, label = np.array([m[0] for _, _, _, m in found]), np.array([y for _, y, _, _ in found], float)
+        trust = _likelihood(bag, *logistic(bag, label, np.ones(len(bag))))
+        bad: Counter[str] = Counter()
+        clean: dict[str, float] = {}
+        for p, (_, y, said, margin) in zip(trust, found):
+            for w, m in zip(said, margin):
+                if y and (m > 0 or m == margin[0]):
+                    bad[w] += p
+                elif not y and m > -1:
+                    clean[w] = m
+        positive, rating = list(bad), np.array(list(bad.values()))
+        negative = list(dict.fromkeys([*sorted(clean, key=lambda w: (-clean[w], w)), *negative]))[:MAX_SNIPPETS]
+    # The border also has to let through what a trusted text would score with its best snippet in disguise.
+    toxic = [(p, said[0]) for p, (_, y, said, _) in zip(trust, found) if y]
+    hidden = margins_of([disguised(w, k) for k in range(DISGUISES) for _, w in toxic], table, bias)
+    share = np.tile([p / DISGUISES for p, _ in toxic], DISGUISES)
+    slope, intercept = logistic(np.r_[bag, hidden], np.r_[label, np.ones(len(hidden))], np.r_[np.where(label > 0, trust, 1.0), share])
+    return {"table": table, "bias": bias, "slope": max(slope, 0.0), "intercept": intercept}
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
-    """The model: triple weights, bias, slope and intercept.
+    """The model: weights of triples, bias, slope and intercept.
 
-    Uses at most ``max_train`` labelled texts, the first by a hash of the id.
-    Where no snippet stands out from chance, the best-rated ones train, weighted
-    by their evidence. Without words under both labels the model is constant (score 0).
+    Uses at most ``max_train`` labelled texts, the first by a hash of the id, and
+    ``MAX_SNIPPETS`` snippets of either sign in a fit. Both bounds hold for
+    training alone, so what comes to the driver does not grow with the corpus.
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    sample = keep(docs.select("doc_id", text_or_empty("text").alias("text")).join(picked, "doc_id").groupBy(F.xxhash64("text").alias("copy"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic"))
+    texts = docs.select("doc_id", text_or_empty("text").alias("text")).join(picked, "doc_id")
+    sample = keep(texts.groupBy(F.xxhash64("text").alias("copy"), "toxic").agg(F.first("text").alias("text")).repartition(shuffle_parts(spark), "copy"))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     constant = {"table": np.zeros(_SIZE**3, np.float32), "bias": -1.0, "slope": 0.0, "intercept": -30.0}
-    if not n0 or not n1:
+    if not sizes.get(0) or not sizes.get(1):
         return constant
-    seen = keep(
-        sample.mapInArrow(_snippet_batches, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    )
-    # How far a snippet's share of texts labelled 1 is above the base rate, in nats.
-    base, n = n1 / (n0 + n1), F.col("bad") + F.col("good")
-    share = F.col("bad") / n
-    side = lambda x, p: F.when(x > 0, x * F.log(x / p)).otherwise(0.0)
-    evidence = F.when(share > base, n * (side(share, base) + side(1 - share, 1 - base))).otherwise(0.0)
-    rated = seen.withColumns({"share": share, "evidence": evidence})
-    pairs = [tuple(r) for r in seen.groupBy("bad", "good").agg(F.count(F.lit(1)).alias("many")).collect()]
-    least = _least_evidence(pairs, base) if pairs else np.inf
-    best = rated.where("share >= 0.5 and evidence > 0").orderBy(F.desc("evidence"), "word")
-    if least < np.inf:
-        chosen = best.where(F.col("evidence") >= float(least)).limit(POSITIVES).collect()
-        rating = np.ones(len(chosen))
-    else:
-        chosen = best.limit(min(POSITIVES, n1)).collect()
-        rating = np.array([r["evidence"] for r in chosen])
-    positive = [r["word"] for r in chosen]
-    fair = rated.where((F.col("good") > 0) & (F.col("evidence") < 2))
-    negative = [r["word"] for r in fair.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).collect()]
-    if not positive or not negative:
+    words = keep(sample.mapInArrow(_word_batches, "copy long, toxic int, word string"))
+    seen = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    rated = keep(seen.withColumn("evidence", _evidence(sizes[1] / (sizes[0] + sizes[1]))))
+    order = Window.partitionBy("copy").orderBy(F.desc("evidence"), "word")
+    chosen = words.where("toxic = 1").join(rated.where("evidence > 0"), "word").withColumn("k", F.row_number().over(order)).where(F.col("k") <= WITNESSES)
+    start = {r["word"]: r["weight"] for r in chosen.groupBy("word").agg(F.sum("evidence").alias("weight")).orderBy(F.desc("weight"), "word").limit(MAX_SNIPPETS).collect()}
+    fair = rated.where((F.col("good") > 0) & (F.col("evidence") < 2)).orderBy(F.xxhash64("word"), "word")
+    negative = [r["word"] for r in fair.limit(MAX_SNIPPETS // 2).collect()]
+    if not start or not negative:
         return constant
-    table, bias = _machine(positive, negative, rating)
-    shared = spark.sparkContext.broadcast((table, bias))
-    hard = fair.select("word", F.col("word").alias("text")).mapInArrow(_margin_batches(shared), "word string, margin double").orderBy(F.desc("margin"), "word").limit(HARD).collect()
-    table, bias = _machine(positive, list(dict.fromkeys([*(r["word"] for r in hard), *negative])), rating)
-    shared = spark.sparkContext.broadcast((table, bias))
-    got = sample.select("text", "toxic").mapInArrow(_margin_batches(shared), "toxic int, margin double").collect()
-    slope, intercept = _logistic(np.array([r["margin"] for r in got]), np.array([r["toxic"] for r in got], float))
-    slope = max(slope, 0.0)
-    return {"table": table.astype(np.float32), "bias": bias, "slope": slope, "intercept": intercept}
+
+    def search(table: np.ndarray, bias: float) -> list:
+        shared = spark.sparkContext.broadcast((table, bias))
+        found = sample.mapInArrow(_witness_batches(shared), "copy long, toxic int, words array<string>, margins array<double>").collect()
+        return sorted((r["copy"], r["toxic"], r["words"], r["margins"]) for r in found if r["words"])
+
+    return learn(list(start), np.array(list(start.values())), negative, search)
+
+
+def _scores(model, texts: list[str | None]) -> np.ndarray:
+    return _likelihood(text_margins([t or "" for t in texts], model["table"], model["bias"]), model["slope"], model["intercept"])
 
 
 def scored(docs: DataFrame, model: dict, text_col: str = "text", *others: str) -> DataFrame:
-    """``others`` columns and score (0 to 1) of every whole text; null counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast((model["table"], model["bias"]))
-    rows = docs.select(*[docs[c] for c in others], text_or_empty(docs[text_col]).alias("text"))
-    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others], "margin double"])
-    score = 1 / (1 + F.exp(-(F.col("margin") * model["slope"] + model["intercept"])))
-    return rows.mapInArrow(_margin_batches(shared), schema).select(*others, score.alias("score"))
+    """``others`` columns and score (0 to 1) of every whole text."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(others)], text_or_empty(docs[text_col]).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            score = pa.array(_scores(shared.value, b["text"].to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], score], [*b.schema.names[:-1], "score"])
+
+    schema = ", ".join([*[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)], "score double"])
+    return rows.mapInArrow(run, schema).toDF(*others, "score")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns kept.
 
-    The text passes through the scoring task, which hands rows on with their
-    margin, so nothing is joined or shuffled.
+    Rows pass through the scoring task whole, so nothing is joined or shuffled.
     """
-    model = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((model["table"], model["bias"]))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches):
-        scorer = _Scorer(*shared.value)
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            got = [scorer(texts[i : i + 256]) for i in range(0, len(texts), 256)]
-            margin = np.concatenate(got) if got else np.zeros(0)
-            keep_row = 1 / (1 + np.exp(-(margin * model_line[0] + model_line[1]))) < threshold
-            yield b.filter(pa.array(keep_row))
+            yield b.filter(pa.array(_scores(shared.value, b["text"].to_pylist()) < threshold, pa.bool_()))
 
-    model_line = (model["slope"], model["intercept"])
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -222,6 +222,94 @@ def test_toxicity_learns_from_few_texts(spark, size, every):
     assert kept == {i for i, _, y in rows if not y}
 
 
+INSULTS = ["idiot", "moron", "trash", "stupid", "worthless", "disgusting"]
+
+
+@pytest.fixture(scope="module")
+def insulted(spark):
+    """Labelled texts of made-up words, a quarter of them with an insult; a model of them; and clean texts."""
+    rng = random.Random(8)
+    parts = ["lo", "mi", "ter", "van", "sun", "po", "hin", "bek", "ral", "dut", "wes", "gol", "kim", "zep", "nav", "tra", "sti", "wor", "mor", "dis"]
+    word = lambda: "".join(rng.choices(parts, k=rng.randint(1, 3)))
+    vocabulary = [word() for _ in range(600)]
+    rows = []
+    for i in range(800):
+        words = rng.choices(vocabulary, k=60)
+        if i % 4 == 0:
+            words[rng.randrange(60)] = rng.choice(INSULTS)
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    return model, [" ".join(rng.choices(vocabulary, k=60)) for _ in range(200)]
+
+
+def test_disguised_insults_score_high_and_clean_texts_low(insulted):
+    model, clean = insulted
+    rng = random.Random(4)
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+
+    def inside(w, change):
+        return change(w, rng.randrange(1, len(w) - 1))
+
+    disguises = {
+        "plain": lambda w: w,
+        "upper": str.upper,
+        "dots": ".".join,
+        "stars": "*".join,
+        "spaced": " ".join,
+        "zero width": "\u200b".join,
+        "plural": lambda w: w + "s",
+        "leet": lambda w: w.translate(str.maketrans("oieas", "01345")),
+        "split": lambda w: f"{w[:3]} {w[3:]}",
+        "inserted": lambda w: inside(w, lambda w, i: w[:i] + letter() + w[i:]),
+        "replaced": lambda w: inside(w, lambda w, i: w[:i] + letter() + w[i + 1 :]),
+        "dropped": lambda w: inside(w, lambda w, i: w[:i] + w[i + 1 :]),
+        "two inserted": lambda w: inside(inside(w, lambda w, i: w[:i] + letter() + w[i:]), lambda w, i: w[:i] + letter() + w[i:]),
+    }
+    share = {}
+    for name, f in disguises.items():
+        texts = []
+        for w in INSULTS * 10:
+            words = rng.choice(clean).split()
+            words.insert(rng.randrange(60), f(w))
+            texts.append(" ".join(words))
+        share[name] = (toxicity._scores(model, texts) >= 0.5).mean()
+    assert (toxicity._scores(model, clean) >= 0.5).mean() <= 0.01
+    hard = {"replaced", "two inserted"}
+    assert min(v for k, v in share.items() if k not in hard) >= 0.9 and min(share.values()) >= 0.7, share
+
+
+def test_toxicity_of_odd_texts(spark, insulted):
+    model, clean = insulted
+    texts = [None, "", " \n", "?!... ---", clean[0], clean[0], " ".join(clean) * 2, " ".join(clean) + " you idiot", "x" * 100_000, "\ud83d\ude00 \u6f22\u5b57"]
+    docs = spark.createDataFrame([(None if i % 2 else 7, t, 0.5, "m") for i, t in enumerate(texts)], "doc_id long, text string, score double, margin string")
+    got = [r["score"] for r in toxicity.scored(docs, model, "text", "doc_id", "margin").collect()]
+    assert len(got) == len(texts) and got[4] == got[5] and len({*got[:4]}) == 1 and got[7] >= 0.5 > max(got[:7]) and all(0 <= s <= 1 for s in got)
+
+
+def test_the_kernel_equals_counting_subsequences():
+    words = ["abc", "a", "banana", "idiot", "ididot", "xxxxxxxxxxxx", "sixteen letters.", "\u00e9t\u00e9"]
+
+    def features(w):
+        s, out = " " + w + " ", defaultdict(float)
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for k in range(j + 1, len(s)):
+                    if k - i < toxicity.SPAN:
+                        out[s[i] + s[j] + s[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    words = [w.replace(" ", "q").replace(".", "q") for w in words]
+    f = [features(w) for w in words]
+    plain = np.array([[sum(v * b.get(k, 0) for k, v in a.items()) for b in f] for a in f])
+    size = np.sqrt(np.diag(plain))
+    assert np.allclose(toxicity.kernel(words, words), plain / size / size[:, None], atol=1e-5)
+    table, bias = toxicity.machine(words[3:5], np.ones(2), words[:3] + words[5:], words)
+    flat, start, n, text = toxicity.snippets([["ab", "c", "d", "e", "longer"], ["x" * 40]])
+    assert {(flat[s : s + k], t) for s, k, t in zip(start, n, text)} == {("ab", 0), ("c", 0), ("d", 0), ("e", 0), ("longer", 0), ("abc", 0), ("cd", 0), ("de", 0), ("elonger", 0), ("abcde", 0), ("x" * 16, 1)}
+    assert toxicity.margins_of(["ididot"], table, bias)[0] > 0 > toxicity.margins_of(["banana"], table, bias)[0]
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ["x"]).where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
