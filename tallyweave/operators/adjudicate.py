@@ -1,43 +1,143 @@
-"""Candidates for a judge's choice, and the arithmetic its choice must pass.
+"""A judge's choice among fixed candidates, and the arithmetic its choice must pass.
 
-A judge is any callable (key, candidates) -> candidate key or None. It sees at
-most three candidates an item, fixed beforehand, and may only pick among them.
+A judge is any callable (key, candidate keys) -> candidate key or None, such as a
+model or a rule. It sees the three best candidates of an item that are still
+free, and may only pick among them. Items are served in order, as each accepted
+pick takes its candidate from the later ones.
+
+That serial order is kept without a serial loop: in each round all items are
+served that share no candidate with an earlier open item, so a round is a join,
+a window and one pass of the judge over the items due, inside Spark's tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..sources.scratch import keep
+from . import legs, solvers
+
 Judge = Callable[[str, list[str]], str | None]
+OFFERED = 3
+REACH = 10 * legs.ADJUDICATION_TOL  # how far off an amount may be to be offered at all; beyond the gate no pick is accepted
+CONFIDENCE = 620
+LOG = "lkey string, candidates array<string>, chose string, verdict string"
 
 
 def decline(key: str, candidates: list[str]) -> None:
     """The default judge."""
 
 
-def top_candidates(edges: DataFrame, k: int = 3) -> DataFrame:
+def take_first(key: str, candidates: list[str]) -> str:
+    """A scripted judge: the nearest candidate."""
+    return candidates[0]
+
+
+def top_candidates(edges: DataFrame, k: int = OFFERED) -> DataFrame:
     """The k right rows nearest in amount, then in days, of each left row: lkey, rank, rkey, diff, gap."""
     w = W.partitionBy("lkey").orderBy("diff", "gap", "rkey")
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("lkey", "rank", "rkey", "diff", "gap")
 
 
-def adjudicate(candidates: DataFrame, judge: Judge = decline, tolerance: int = 5000) -> Iterable[dict]:
-    """Ask the judge item by item, as each acceptance takes its candidate from the later ones.
+def adjudicate(edges: DataFrame, judge: Judge = decline) -> DataFrame:
+    """The log of all decisions: lkey, candidates, chose, verdict (accepted, declined or rejected_by_arithmetic).
+
+    edges: lkey, rkey, diff, gap, fits (whether the arithmetic holds); items go in order of lkey.
+    """
+    open_, log = keep(edges.select("lkey", "rkey", "diff", "gap", "fits")), None
+
+    def ask(batches):
+        for b in batches:
+            rows = []
+            for key, offers in zip(b["lkey"], b["offers"]):
+                offered = {o["rkey"]: o["fits"] for o in sorted(offers, key=lambda o: o["rank"])}
+                pick = judge(key, list(offered))
+                verdict = "declined" if pick not in offered else "accepted" if offered[pick] else "rejected_by_arithmetic"
+                rows.append((key, list(offered), pick, verdict))
+            yield pd.DataFrame(rows, columns=["lkey", "candidates", "chose", "verdict"])
+
+    while not open_.isEmpty():
+        first = open_.groupBy("rkey").agg(F.min("lkey").alias("first"))
+        offers = open_.withColumn("rank", F.row_number().over(W.partitionBy("lkey").orderBy("diff", "gap", "rkey"))).where(F.col("rank") <= OFFERED)
+        due = offers.join(first, "rkey").groupBy("lkey").agg(F.bool_and(F.col("first") == F.col("lkey")).alias("due"), F.collect_list(F.struct("rank", "rkey", "fits")).alias("offers")).where("due")
+        asked = keep(due.select("lkey", "offers").mapInPandas(ask, LOG))
+        log = asked if log is None else log.unionByName(asked)
+        taken = asked.where("verdict = 'accepted'").select(F.col("chose").alias("rkey"))
+        open_ = keep(open_.join(asked.select("lkey"), "lkey", "left_anti").join(taken, "rkey", "left_anti").select(open_.columns))
+    return edges.sparkSession.createDataFrame([], LOG) if log is None else log
+
+
+def verdicts(log: DataFrame) -> DataFrame:
+    """verdict, n."""
+    return log.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- candidates of the three legs, from a run's open findings
+
+
+def _open(df: DataFrame, key: str, findings: DataFrame, code: str) -> DataFrame:
+    return df.join(findings.where(F.col("code") == code).select(F.col("key").alias(key)).distinct(), key, "left_semi")
+
+
+def _within(left: DataFrame, right: DataFrame) -> DataFrame:
+    """lkey, rkey, diff, gap of pairs no further apart than REACH; fits where the amounts pass the gate."""
+    pairs = solvers.band_pairs(left, right, REACH)
+    diff = F.abs(F.col("lamount") - F.col("ramount"))
+    return pairs.withColumns({"diff": diff, "gap": F.abs(F.datediff("ldate", "rdate")), "fits": diff <= legs.ADJUDICATION_TOL})
+
+
+def payments_for_invoices(inv: DataFrame, pg: DataFrame, findings: DataFrame) -> DataFrame:
+    left = _open(inv, "invoice_no", findings, "UNPAID_INVOICE").select(F.col("invoice_no").alias("lkey"), F.col("gross_paise").alias("amount"), F.col("invoice_date").alias("ldate"))
+    right = _open(pg, "entity_id", findings, "UNBILLED_PAYMENT").select(F.col("entity_id").alias("rkey"), F.col("amount_paise").alias("amount"), F.col("created_at").cast("date").alias("rdate"))
+    return _within(left, right)
+
+
+def lines_for_batches(pg: DataFrame, bank: DataFrame, findings: DataFrame) -> DataFrame:
+    """A line also has to read like a settlement to fit."""
+    left = _open(legs.batches(pg), "settlement_id", findings, "MISSING_IN_BANK").select(F.col("settlement_id").alias("lkey"), F.col("net_paise").alias("amount"), F.col("settled_at").cast("date").alias("ldate"))
+    right = _open(bank.withColumn("rkey", legs.bank_key()), "rkey", findings, "UNEXPECTED_BANK_CREDIT").select("rkey", F.col("amount_paise").alias("amount"), F.col("value_date").alias("rdate"), text.looks_like_settlement(F.col("narration")).alias("gateway"))
+    return _within(left, right).withColumn("fits", F.col("fits") & F.col("gateway"))
+
+
+def invoices_for_lines(inv: DataFrame, bank: DataFrame, findings: DataFrame) -> DataFrame:
+    """Items are bank lines; candidates share a name word, and fit since their amounts and dates agree."""
+    edges = legs.direct_edges(inv, bank, findings).where("score > 0")
+    return edges.select(F.col("rkey").alias("lkey"), F.col("lkey").alias("rkey"), F.abs(F.col("ramount") - F.col("gross_paise")).alias("diff"), F.lit(0).alias("gap"), F.lit(True).alias("fits"), "relation", "gross_paise", "ramount")
+
+
+def consult(sources: dict[str, DataFrame], run: dict[str, DataFrame], judge: Judge = decline, on: frozenset[str] = frozenset({"invoice_to_bank"})) -> dict[str, DataFrame]:
+    """The run after a judge has seen what it left open, on the legs asked for: matches, findings and the log.
 
-    Items stream to the driver one at a time; they are what every tier left over.
+    Accepted picks become T4 matches, and the findings they answer are retracted.
     """
-    grouped = candidates.groupBy("lkey").agg(F.array_sort(F.collect_list(F.struct("rank", "rkey", "diff"))).alias("c")).orderBy("lkey")
-    taken: set[str] = set()
-    for row in grouped.toLocalIterator():
-        offered = {c["rkey"]: c["diff"] for c in row["c"] if c["rkey"] not in taken}
-        if not offered:
+    inv, pg, bank = (sources[k] for k in ("inv", "pg", "bank"))
+    matches, found, logs = run["matches"], run["findings"], []
+    for leg, edges, gone in (
+        ("erp_to_gateway", lambda f: payments_for_invoices(inv, pg, f), ("UNPAID_INVOICE", "UNBILLED_PAYMENT")),
+        ("settlement_to_bank", lambda f: lines_for_batches(pg, bank, f), ("MISSING_IN_BANK", "UNEXPECTED_BANK_CREDIT")),
+        ("invoice_to_bank", lambda f: invoices_for_lines(inv, bank, f), ("UNPAID_INVOICE", "UNEXPECTED_BANK_CREDIT")),
+    ):
+        if leg not in on:
             continue
-        pick = judge(row["lkey"], list(offered))
-        verdict = "declined" if pick not in offered else "accepted" if offered[pick] <= tolerance else "rejected_by_arithmetic"
-        if verdict == "accepted":
-            taken.add(pick)
-        yield {"lkey": row["lkey"], "candidates": list(offered), "chose": pick, "verdict": verdict}
+        offers = keep(edges(found))
+        log = keep(adjudicate(offers, judge))
+        logs.append(log.select(F.lit(leg).alias("leg"), "*"))
+        picked = keep(log.where("verdict = 'accepted'").select("lkey", F.col("chose").alias("rkey")).join(offers, ["lkey", "rkey"]))
+        direct = leg == "invoice_to_bank"
+        left, right = ("rkey", "lkey") if direct else ("lkey", "rkey")
+        delta = F.col("ramount") - (F.col("gross_paise") if direct else F.col("lamount"))
+        matches = matches.unionByName(legs.match(picked, leg, left, right, "T4_ADJUDICATED", F.lit(CONFIDENCE), delta))
+        solved = picked.select(F.explode(F.array("lkey", "rkey")).alias("key"))
+        answered = F.col("code").isin(*gone)
+        found = found.where(~answered).unionByName(found.where(answered).join(solved, "key", "left_anti").select(found.columns))
+        if direct:
+            found = found.unionByName(legs.finding(picked.where("relation <> 'gross'"), "rkey", "erp", "TDS_WITHHELD", legs.AUTO, F.col("gross_paise") - F.col("ramount")))
+        found = keep(found)
+    log = legs.union(*logs) if logs else bank.sparkSession.createDataFrame([], f"leg string, {LOG}")
+    return {"matches": keep(matches), "findings": found, "log": log}

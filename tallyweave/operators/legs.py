@@ -7,6 +7,8 @@ disposition, value_paise.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -127,8 +129,8 @@ def integrity(inv: DataFrame, pg: DataFrame) -> DataFrame:
     return union(
         held,
         finding(drift, "entity_id", "pg", "FEE_VARIANCE", AUTO, "drift"),
-        finding(orphans, "entity_id", "pg", "ORPHAN_REFUND", REVIEW, "amount_paise"),
-        finding(pg.where("type = 'adjustment'"), "entity_id", "pg", "CHARGEBACK_ADJUSTMENT", REVIEW, "amount_paise"),
+        finding(orphans, "entity_id", "pg", "ORPHAN_REFUND", REVIEW, F.abs("amount_paise")),
+        finding(pg.where("type = 'adjustment'"), "entity_id", "pg", "CHARGEBACK_ADJUSTMENT", REVIEW, F.abs("amount_paise")),
         finding(inv.withColumn("due", due).where(F.abs("due") > TAX_TOL), "invoice_no", "erp", "TAX_LINE_MISMATCH", REVIEW, "due"),
     )
 
@@ -219,9 +221,11 @@ def direct(inv: DataFrame, bank: DataFrame, found: DataFrame) -> tuple[DataFrame
 
 
 def reconcile(sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """matches and findings of all legs."""
+    """matches and findings of all legs; the legs that do not need each other run side by side."""
     inv, pg, bank = (sources[k] for k in ("inv", "pg", "bank"))
-    m1, f1 = erp_gateway(inv, pg)
-    m3, f3 = batch_bank(pg, bank)
-    m4, found = direct(inv, bank, keep(union(f1, integrity(inv, pg), f3)))
+    with ThreadPoolExecutor(2) as pool:
+        of_erp, of_bank = pool.submit(erp_gateway, inv, pg), pool.submit(batch_bank, pg, bank)
+        (m1, f1), (m3, f3) = of_erp.result(), of_bank.result()
+    before = union(f1, integrity(inv, pg), f3)
+    m4, found = direct(inv, bank, keep(before))
     return {"matches": keep(union(m1, m3, m4)), "findings": found}

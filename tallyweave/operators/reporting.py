@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.money import ratio
-from .legs import MEANING, batches
+from .legs import bank_key, batches
 
 
 def position(pg: DataFrame, run: dict[str, DataFrame]) -> DataFrame:
@@ -51,8 +51,7 @@ def by_code(findings: DataFrame) -> DataFrame:
 
 def tiers(matches: DataFrame) -> DataFrame:
     """leg, tier, n: a match counts once however many partners it has."""
-    key = F.when(F.col("lkey").startswith("bank:") | (F.col("tier") != "T3_AGGREGATE"), F.col("lkey")).otherwise(F.col("lkey"))
-    return matches.groupBy("leg", "tier").agg(F.count_distinct(key).alias("n"))
+    return matches.groupBy("leg", "tier").agg(F.count_distinct("lkey").alias("n"))
 
 
 def primary_finding(findings: DataFrame) -> DataFrame:
@@ -108,26 +107,40 @@ def confusion_of_sets(truth: DataFrame, primary: DataFrame) -> DataFrame:
     return both.groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-def facts(run: dict[str, DataFrame]) -> DataFrame:
-    """Searchable records: kind, key, exposure, text and its tokens."""
-    names = F.create_map(*[F.lit(x) for kv in MEANING.items() for x in kv])
-    f = run["findings"].select(F.lit(0).alias("kind"), "key", F.abs("value_paise").alias("exposure"), F.concat_ws(" ", "key", "source", "code", F.element_at(names, F.col("code")), "disposition").alias("text"))
-    m = run["matches"].select(F.lit(1).alias("kind"), F.col("lkey").alias("key"), F.abs("delta_paise").alias("exposure"), F.concat_ws(" ", "lkey", "rkey", "leg", "tier").alias("text"))
-    return f.unionByName(m)
+def auto_clear(sources: dict[str, DataFrame], run: dict[str, DataFrame], truth: DataFrame) -> DataFrame:
+    """records, cleared. truth: leg, a, b of the true links.
 
-
-STOP = ("the", "a", "an", "of", "is", "are", "to", "in", "for", "what", "which", "how", "why", "and", "on", "do", "does", "me", "show", "this")
-
-
-def tokens(col) -> F.Column:
-    """Distinct stemmed words: lower case, no stop words, a final s dropped from longer ones."""
-    words = F.filter(F.regexp_extract_all(F.lower(col), F.lit("[a-z]+"), F.lit(0)), lambda w: ~w.isin(*STOP))
-    return F.array_distinct(F.transform(words, lambda w: F.when((F.length(w) > 4) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, 1, F.length(w) - 1)).otherwise(w)))
-
-
-def retrieve(run: dict[str, DataFrame], question: str, k: int = 6) -> DataFrame:
-    """The k best facts for a question: 6 points for each id in it, 1 for each shared word."""
-    q = F.lit(question)
-    ids = F.regexp_extract_all(F.lower(q), F.lit(r"[a-z]+[-_:][a-z0-9_-]*\d+"), F.lit(0))
-    points = 6 * F.size(F.filter(ids, lambda i: F.contains(F.lower(F.col("text")), i))) + F.size(F.array_intersect(tokens(q), tokens(F.col("text"))))
-    return facts(run).withColumn("score", points).where("score > 0").orderBy(F.desc("score"), F.desc("exposure"), "kind", "key", "text").limit(k).select("score", "exposure", "key", "text")
+    A record is cleared if it is on a correct link, or a gateway row of a batch
+    that is linked to any bank line, and has no finding that needs review.
+    """
+    predicted = pairs(run["matches"])
+    good = predicted.join(truth.distinct(), ["leg", "a", "b"], "left_semi")
+    linked = good.where("leg <> 'settlement_to_bank'").select(F.col("a").alias("key")).unionByName(good.select(F.col("b").alias("key"))).distinct().withColumn("hit", F.lit(True))
+    paid = predicted.where("leg = 'settlement_to_bank'").select(F.col("a").alias("s")).distinct().withColumn("batch_hit", F.lit(True))
+    review = run["findings"].where("disposition = 'needs_review'").select("key").distinct().withColumn("open", F.lit(True))
+    none = F.lit(None).cast("string").alias("s")
+    records = sources["inv"].select(F.col("invoice_no").alias("key"), none)
+    records = records.unionByName(sources["pg"].select(F.col("entity_id").alias("key"), F.col("settlement_id").alias("s"))).unionByName(sources["bank"].select(bank_key().alias("key"), none))
+    seen = records.join(linked, "key", "left").join(paid, "s", "left").join(review, "key", "left")
+    clear = (F.col("hit").isNotNull() | F.col("batch_hit").isNotNull()) & F.col("open").isNull()
+    return seen.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.when(clear, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("cleared"))
+
+
+def record_counts(sources: dict[str, DataFrame]) -> DataFrame:
+    """source, n, and a row for the total."""
+    parts = None
+    for name, df in sources.items():
+        part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("source"), "n")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.unionByName(parts.agg(F.sum("n").alias("n")).select(F.lit("total").alias("source"), "n"))
+
+
+def exposure_by_code(findings: DataFrame) -> DataFrame:
+    """code, n, exposure_paise, place: codes by their whole exposure, the largest first."""
+    return by_code(findings).select("code", "n", "exposure_paise", F.row_number().over(W.orderBy(F.desc("exposure_paise"), "code")).alias("place"))  # one row a code
+
+
+def distribution(scores: DataFrame, of: list[str]) -> DataFrame:
+    """metric, mean, least, most, deviation (of the sample) over rows, one for each seed or code."""
+    rows = scores.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in of])))
+    return rows.groupBy("metric").agg(F.avg("x").alias("mean"), F.min("x").alias("least"), F.max("x").alias("most"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("deviation"))

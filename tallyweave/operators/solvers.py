@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import keep
@@ -179,9 +180,18 @@ def consolidated(lines: DataFrame, batches: DataFrame, window: int, tolerance: i
     ones = near.select("line_no", "amount", F.array("settlement_id").alias("members"), F.col("day").alias("first"), F.col("day").alias("final"), F.col("net").alias("so_far"))
     more = near.select("line_no", F.col("settlement_id").alias("s1"), F.col("day").alias("d1"), F.col("net").alias("n1"))
     twos = ones.join(more, "line_no").where(F.col("s1") > F.element_at("members", -1)).select("line_no", "amount", F.concat("members", F.array("s1")).alias("members"), F.least("first", "d1").alias("first"), F.greatest("final", "d1").alias("final"), (F.col("so_far") + F.col("n1")).alias("so_far"))
-    options = keep(completed(ones).unionByName(completed(twos)))
-    touched = options.select("line_no", F.explode("members").alias("m")).distinct()
-    edges = touched.select(F.col("line_no").cast("string").alias("lkey"), F.col("m").alias("rkey"))
+    names = ["line_no", "amount", "members", "size", "span", "total"]
+    options = keep(completed(ones).unionByName(completed(twos)).select(names))
+    # A line is contested if one of its batches is an option of another line too.
+    wanted = options.select("line_no", F.explode("members").alias("m")).distinct()
+    shared = wanted.groupBy("m").count().where("count > 1").select("m")
+    contested = keep(wanted.join(shared, "m", "left_semi"))
+    clear = options.join(contested.select("line_no").distinct(), "line_no", "left_anti").select(names)
+    best = W.partitionBy("line_no").orderBy("size", "span")
+    alone = clear.withColumn("r", F.rank().over(best)).where("r = 1").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("line_no"))).where("n = 1").select(names)
+    if contested.isEmpty():
+        return alone
+    edges = wanted.join(contested.select("line_no").distinct(), "line_no", "left_semi").select(F.col("line_no").cast("string").alias("lkey"), F.col("m").alias("rkey"))
     grouped = groups_of(edges).select(F.col("lkey").cast("int").alias("line_no"), "grp").distinct()
     schema = "line_no int, amount long, members array<string>, size int, span int, total long"
-    return options.join(grouped, "line_no").groupBy("grp").applyInPandas(lambda pdf: _consolidated(pdf)[["line_no", "amount", "members", "size", "span", "total"]], schema)
+    return alone.unionByName(options.join(grouped, "line_no").groupBy("grp").applyInPandas(lambda pdf: _consolidated(pdf)[names], schema))

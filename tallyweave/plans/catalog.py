@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..operators import adjudicate, legs, reporting, solvers
+from ..operators import adjudicate, answers, evidence, legs, reporting
+from ..sources import exports, sinks
+from ..sources.scratch import keep, shared_folder
 from ..sources.world import world
-from . import runs
+from . import runs, truth
 from .world_sql import WORLD, he
 
 FLAGSHIP = "tier_counts"
@@ -52,12 +56,7 @@ def _(spark, sf_dir):
 
 @query("running_balance", "SELECT line_no, CAST(sum(amount_paise) OVER (ORDER BY line_no) AS BIGINT) AS balance_paise FROM bank")
 def _(spark, sf_dir):
-    """Balances inside a day, and days added up before: no window over all lines."""
-    bank = _w(spark, sf_dir, "bank")
-    days = bank.groupBy("value_date").agg(F.sum("amount_paise").alias("day"))
-    before = days.select("value_date", F.coalesce(F.sum("day").over(W.orderBy("value_date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.sum("amount_paise").over(W.partitionBy("value_date").orderBy("line_no"))
-    return bank.withColumn("inside", inside).join(before, "value_date").select("line_no", (F.col("before") + F.col("inside")).cast("bigint").alias("balance_paise"))
+    return sinks.running_balance(_w(spark, sf_dir, "bank"))
 
 
 _AMOUNT = "printf('%s%d.%02d', CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'INR ' WHEN 2 THEN 'Rs.' ELSE '(' END, p // 100, p % 100) || CASE WHEN o_orderkey % 4 = 3 THEN ')' ELSE '' END"
@@ -234,10 +233,7 @@ def _(spark, sf_dir):
 
 
 def _true_links(spark, sf_dir) -> DataFrame:
-    """invoice to payment wherever both exist, from the rules."""
-    keys = lambda df, c, cut: df.select(F.substring(c, cut, 20).cast("bigint").alias("k"), F.col(c).alias("key"))
-    inv, pay = _w(spark, sf_dir, "inv"), _w(spark, sf_dir, "pg").where("type = 'payment' and entity_id like 'pay\\_%'")
-    return keys(inv, "invoice_no", 5).withColumnRenamed("key", "a").join(keys(pay, "entity_id", 5).withColumnRenamed("key", "b"), "k").select(F.lit("erp_to_gateway").alias("leg"), "a", "b")
+    return truth.erp_links(world(spark, sf_dir))
 
 
 _SCORE = "round(1000000 * {0})"
@@ -287,40 +283,16 @@ def _(spark, sf_dir):
 
 
 def _all_links(spark, sf_dir) -> DataFrame:
-    """leg, a, b of all three legs."""
-    inv, pg = _w(spark, sf_dir, "inv"), _w(spark, sf_dir, "pg")
-    lines = _w(spark, sf_dir, "bank").select(legs.bank_key().alias("b"), "value_date", F.upper("narration").alias("told"))
-    own = pg.where("settlement_id is not null").select("settlement_id", F.upper("settlement_utr").alias("utr"), F.col("settled_at").cast("date").alias("sday")).distinct()
-    quoted = lines.withColumn("utr", F.regexp_extract("told", "SBIN0[0-9-]{12}", 0)).where("utr <> ''").join(own, "utr").select(F.lit("settlement_to_bank").alias("leg"), F.col("settlement_id").alias("a"), "b")
-    # A consolidated credit comes a day after the second of its two batches.
-    consolidated = lines.where("told like '%CONSOLIDATED'").withColumn("sday", F.explode(F.array(F.date_sub("value_date", 2), F.date_sub("value_date", 1))))
-    consolidated = consolidated.join(own, "sday").select(F.lit("settlement_to_bank").alias("leg"), F.col("settlement_id").alias("a"), "b")
-    paid = lines.withColumn("k12", F.regexp_extract("told", "AXISN([0-9]{12})-", 1)).where("k12 <> ''").withColumn("a", F.concat(F.lit("INV-"), F.col("k12").cast("bigint")))
-    paid = paid.join(inv.select(F.col("invoice_no").alias("a")), "a", "left_semi").select(F.lit("invoice_to_bank").alias("leg"), "a", "b")
-    return legs.union(_true_links(spark, sf_dir), quoted, consolidated, paid)
+    return truth.links(world(spark, sf_dir))
 
 
 def _all_codes(spark, sf_dir) -> DataFrame:
-    """key, code: all that was planted, whether or not a detector looks for it there; a key may have several."""
-    inv, pg = _w(spark, sf_dir, "inv"), _w(spark, sf_dir, "pg")
-    number = lambda c: F.regexp_extract(c, "[0-9]+$", 0).cast("bigint")
-    records = inv.select(F.col("invoice_no").alias("key")).unionByName(pg.select(F.col("entity_id").alias("key"))).withColumns({"k": number("key"), "kind": F.regexp_extract("key", "^[A-Za-z]+", 0)})
-    rules = (
-        ("UNPAID_INVOICE", "kind = 'INV' and k % 23 = 5 and k % 2 = 1"), ("TDS_WITHHELD", "kind = 'INV' and k % 23 = 5 and k % 4 = 0"), ("TAX_LINE_MISMATCH", "kind = 'INV' and k % 37 = 5"),
-        ("UNBILLED_PAYMENT", "kind = 'pay' and k % 29 = 7"), ("FUNDS_ON_HOLD", "kind = 'pay' and k % 43 = 7"), ("FEE_VARIANCE", "kind in ('pay', 'payd') and k % 47 = 8"),
-        ("DUPLICATE_PAYMENT", "kind = 'payd'"), ("ORPHAN_REFUND", "kind = 'rfnd' and k % 2 = 1"), ("CHARGEBACK_ADJUSTMENT", "kind = 'adjs'"),
-    )
-    of_records = records.select("key", F.explode(F.array_compact(F.array(*[F.when(F.expr(rule), code) for code, rule in rules]))).alias("code"))
-    own = pg.where("settlement_id is not null").select("settlement_id", F.datediff(F.col("settled_at").cast("date"), F.lit("1995-01-01").cast("date")).alias("dn")).distinct()
-    has = lambda step, name: own.select((F.col("dn") - step).alias("dn"), F.lit(True).alias(name))
-    mode = F.expr("case when dn % 13 = 1 then 'MISSING_IN_BANK' when dn % 13 = 2 then 'SETTLEMENT_AMOUNT_MISMATCH' when dn % 13 = 3 then 'SPLIT_SETTLEMENT' when (dn % 13 = 5 and after) or (dn % 13 = 6 and before) then 'MERGED_PAYOUT' end")
-    of_batches = own.join(has(1, "after"), "dn", "left").join(has(-1, "before"), "dn", "left").select(F.col("settlement_id").alias("key"), mode.alias("code")).where("code is not null")
-    of_lines = _w(spark, sf_dir, "bank").where("narration = 'INT.PD:12345678' and amount_paise > 0").select(legs.bank_key().alias("key"), F.lit("UNEXPECTED_BANK_CREDIT").alias("code"))
-    return legs.union(of_records, of_batches, of_lines)
+    return truth.codes(world(spark, sf_dir))
 
 
 _ALL_LINKS = """, truth AS (SELECT 'erp_to_gateway' AS leg, 'INV-' || k AS a, 'pay_' || k AS b FROM inv JOIN (SELECT k FROM p) USING (k)
   UNION ALL SELECT 'settlement_to_bank', settlement_id, printf('bank:%04d', line_no) FROM batch JOIN bank ON contains(upper(narration), utr)
+  UNION ALL SELECT 'settlement_to_bank', settlement_id, printf('bank:%04d', line_no) FROM batch JOIN bank ON narration = 'IMPS GATEWAY SETTLEMENT ' || dn
   UNION ALL SELECT 'settlement_to_bank', settlement_id, printf('bank:%04d', line_no) FROM bank JOIN batch ON sday IN (value_date - 1, value_date - 2) WHERE narration LIKE '%CONSOLIDATED'
   UNION ALL SELECT 'invoice_to_bank', no, printf('bank:%04d', line_no) FROM direct JOIN bank ON contains(narration, 'AXISN' || lpad(CAST(k AS VARCHAR), 12, '0') || '-')
 ), pred AS (SELECT DISTINCT leg, CASE WHEN lkey LIKE 'bank:%' THEN rkey ELSE lkey END AS a, CASE WHEN lkey LIKE 'bank:%' THEN lkey ELSE rkey END AS b FROM matches)"""
@@ -329,7 +301,7 @@ _ALL_CODES = """, truth AS (SELECT 'INV-' || k AS key, 'UNPAID_INVOICE' AS code
   UNION ALL SELECT 'pay_' || k, 'UNBILLED_PAYMENT' FROM p WHERE k % 29 = 7 UNION ALL SELECT 'pay_' || k, 'FUNDS_ON_HOLD' FROM p WHERE k % 43 = 7 UNION ALL SELECT 'pay_' || k, 'FEE_VARIANCE' FROM p WHERE k % 47 = 8
   UNION ALL SELECT 'payd_' || k, unnest(CASE WHEN k % 47 = 8 THEN ['DUPLICATE_PAYMENT', 'FEE_VARIANCE'] ELSE ['DUPLICATE_PAYMENT'] END) FROM p WHERE k % 41 = 6 AND k % 31 NOT IN (3, 4)
   UNION ALL SELECT 'rfnd_' || k, 'ORPHAN_REFUND' FROM p WHERE k % 53 = 9 AND k % 2 = 1 UNION ALL SELECT 'adjs_' || k, 'CHARGEBACK_ADJUSTMENT' FROM p WHERE k % 59 = 10
-  UNION ALL SELECT settlement_id, CASE WHEN mode = 'short' THEN 'SETTLEMENT_AMOUNT_MISMATCH' WHEN mode = 'split' THEN 'SPLIT_SETTLEMENT' WHEN dn % 13 = 1 THEN 'MISSING_IN_BANK' ELSE 'MERGED_PAYOUT' END FROM moded WHERE mode <> 'exact'
+  UNION ALL SELECT settlement_id, CASE WHEN mode = 'short' THEN 'SETTLEMENT_AMOUNT_MISMATCH' WHEN mode = 'split' THEN 'SPLIT_SETTLEMENT' WHEN dn % 13 = 1 THEN 'MISSING_IN_BANK' ELSE 'MERGED_PAYOUT' END FROM moded WHERE mode NOT IN ('exact', 'plain')
   UNION ALL SELECT printf('bank:%04d', line_no), 'UNEXPECTED_BANK_CREDIT' FROM bank WHERE narration = 'INT.PD:12345678' AND amount_paise > 0
 ), pred AS (SELECT DISTINCT key, code FROM findings)"""
 
@@ -383,18 +355,13 @@ def _(spark, sf_dir):
     return reporting.confusion_of_sets(_all_codes(spark, sf_dir), reporting.primary_finding(runs.full(spark, sf_dir)["findings"]))
 
 
-@query("auto_clear", """, linked AS (SELECT DISTINCT a FROM (SELECT lkey AS a FROM matches UNION ALL SELECT rkey FROM matches)), review AS (SELECT DISTINCT key FROM findings WHERE disposition = 'needs_review'),
-records AS (SELECT invoice_no AS key, NULL AS s FROM inv UNION ALL SELECT entity_id, settlement_id FROM pg UNION ALL SELECT printf('bank:%04d', line_no), NULL FROM bank)
-SELECT count(*) AS records, count(*) FILTER ((key IN (SELECT a FROM linked) OR (s IS NOT NULL AND s IN (SELECT a FROM linked))) AND key NOT IN (SELECT key FROM review)) AS cleared FROM records""")
+@query("auto_clear", _ALL_LINKS + """, good AS (SELECT DISTINCT leg, a, b FROM pred JOIN truth USING (leg, a, b)), linked AS (SELECT a FROM good WHERE leg <> 'settlement_to_bank' UNION SELECT b FROM good), paid AS (SELECT DISTINCT a FROM pred WHERE leg = 'settlement_to_bank'),
+review AS (SELECT DISTINCT key FROM findings WHERE disposition = 'needs_review'), records AS (SELECT invoice_no AS key, NULL AS s FROM inv UNION ALL SELECT entity_id, settlement_id FROM pg UNION ALL SELECT printf('bank:%04d', line_no), NULL FROM bank)
+SELECT count(*) AS records, count(*) FILTER ((key IN (SELECT a FROM linked) OR (s IS NOT NULL AND s IN (SELECT a FROM paid))) AND key NOT IN (SELECT key FROM review)) AS cleared FROM records""")
 def _(spark, sf_dir):
-    run = runs.full(spark, sf_dir)
-    linked = run["matches"].select(F.explode(F.array("lkey", "rkey")).alias("a")).distinct().withColumn("hit", F.lit(True))
-    review = run["findings"].where("disposition = 'needs_review'").select("key").distinct().withColumn("open", F.lit(True))
-    none = F.lit(None).cast("string").alias("s")
-    records = legs.union(_w(spark, sf_dir, "inv").select(F.col("invoice_no").alias("key"), none), _w(spark, sf_dir, "pg").select(F.col("entity_id").alias("key"), F.col("settlement_id").alias("s")), _w(spark, sf_dir, "bank").select(legs.bank_key().alias("key"), none))
-    seen = records.join(linked.withColumnRenamed("a", "key"), "key", "left").join(linked.select(F.col("a").alias("s"), F.col("hit").alias("hit2")), "s", "left").join(review, "key", "left")
-    clear = (F.col("hit").isNotNull() | F.col("hit2").isNotNull()) & F.col("open").isNull()
-    return seen.agg(F.count(F.lit(1)).alias("records"), F.sum(F.when(clear, 1).otherwise(0)).cast("bigint").alias("cleared"))
+    """Records on correctly predicted links, and gateway rows of batches that are linked at all, without an open finding."""
+    w, run = world(spark, sf_dir), runs.full(spark, sf_dir)
+    return reporting.auto_clear(w, run, _all_links(spark, sf_dir))
 
 
 # --- judged candidates and lookups
@@ -412,14 +379,189 @@ def _(spark, sf_dir):
     return adjudicate.top_candidates(_near(spark, sf_dir)).drop("gap")
 
 
-@query("adjudicated_matches")
+@query("candidates_for_lines", """SELECT * FROM (SELECT line AS lkey, row_number() OVER (PARTITION BY line ORDER BY abs(paid - gross_paise), invoice_no) AS rank, invoice_no AS rkey, abs(paid - gross_paise) AS diff FROM dscored
+WHERE score > 0 AND invoice_no NOT IN (SELECT invoice_no FROM dmatch) AND line NOT IN (SELECT line FROM dmatch)) WHERE rank <= 3""")
+def _(spark, sf_dir):
+    w, found = world(spark, sf_dir), runs.full(spark, sf_dir)["findings"]
+    return adjudicate.top_candidates(adjudicate.invoices_for_lines(w["inv"], w["bank"], found)).drop("gap")
+
+
+@query("candidates_for_invoices", """SELECT * FROM (SELECT invoice_no AS lkey, row_number() OVER (PARTITION BY invoice_no ORDER BY abs(gross_paise - amount_paise), abs(datediff('day', invoice_date, CAST(created_at AS DATE))), entity_id) AS rank, entity_id AS rkey, abs(gross_paise - amount_paise) AS diff,
+  abs(datediff('day', invoice_date, CAST(created_at AS DATE))) AS gap FROM unpaid JOIN unbilled ON abs(gross_paise - amount_paise) <= 50000 WHERE invoice_no NOT IN (SELECT invoice_no FROM dmatch)) WHERE rank <= 3""")
+def _(spark, sf_dir):
+    w, found = world(spark, sf_dir), runs.full(spark, sf_dir)["findings"]
+    return adjudicate.top_candidates(adjudicate.payments_for_invoices(w["inv"], w["pg"], found))
+
+
+@query("candidates_for_batches", """SELECT * FROM (SELECT settlement_id AS lkey, row_number() OVER (PARTITION BY settlement_id ORDER BY abs(net - u.amount_paise), abs(datediff('day', sday, value_date)), line) AS rank, line AS rkey, CAST(abs(net - u.amount_paise) AS BIGINT) AS diff,
+  abs(datediff('day', sday, value_date)) AS gap FROM missing JOIN unexp u ON abs(net - u.amount_paise) <= 50000 WHERE line NOT IN (SELECT line FROM dmatch)) WHERE rank <= 3""")
+def _(spark, sf_dir):
+    w, found = world(spark, sf_dir), runs.full(spark, sf_dir)["findings"]
+    return adjudicate.top_candidates(adjudicate.lines_for_batches(w["pg"], w["bank"], found))
+
+
+def _judged(spark, sf_dir) -> dict[str, DataFrame]:
+    """A scripted judge that takes the nearest candidate, on the leg that may ask one by default."""
+    return runs.once(spark, sf_dir, "judged", lambda: adjudicate.consult(world(spark, sf_dir), runs.full(spark, sf_dir), adjudicate.take_first))
+
+
+# No invoice here is a candidate of two lines, so each line simply takes its nearest.
+_PICKS = """, picks AS (SELECT line, invoice_no, paid, gross_paise, rel FROM dscored WHERE score > 0 AND invoice_no NOT IN (SELECT invoice_no FROM dmatch) AND line NOT IN (SELECT line FROM dmatch)
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY abs(paid - gross_paise), invoice_no) = 1)
+"""
+
+
+@query("adjudicated_matches", _PICKS + "SELECT line AS lkey, invoice_no AS rkey, 'accepted' AS verdict FROM picks")
+def _(spark, sf_dir):
+    return _judged(spark, sf_dir)["log"].select("lkey", F.col("chose").alias("rkey"), "verdict")
+
+
+@query("adjudication_verdicts", _PICKS + "SELECT 'accepted' AS verdict, count(*) AS n FROM picks HAVING count(*) > 0")
+def _(spark, sf_dir):
+    return adjudicate.verdicts(_judged(spark, sf_dir)["log"])
+
+
+@query("match_t4_adjudicated", _PICKS + "SELECT invoice_no AS lkey, line AS rkey, 620 AS confidence, paid - gross_paise AS delta_paise FROM picks")
+def _(spark, sf_dir):
+    return _judged(spark, sf_dir)["matches"].where("tier = 'T4_ADJUDICATED'").select("lkey", "rkey", "confidence", "delta_paise")
+
+
+@query("findings_after_adjudication", _PICKS + """SELECT code, count(*) AS n, CAST(sum(abs(value_paise)) AS BIGINT) AS exposure_paise FROM (
+  SELECT code, value_paise FROM findings WHERE NOT (code IN ('UNPAID_INVOICE', 'UNEXPECTED_BANK_CREDIT') AND key IN (SELECT line FROM picks UNION ALL SELECT invoice_no FROM picks))
+  UNION ALL SELECT 'TDS_WITHHELD', gross_paise - paid FROM picks WHERE rel <> 'gross') GROUP BY code""")
 def _(spark, sf_dir):
-    """A scripted judge that takes the first candidate offered."""
-    log = adjudicate.adjudicate(adjudicate.top_candidates(_near(spark, sf_dir)), lambda key, offered: offered[0], tolerance=1 << 62)
-    rows = [(x["lkey"], x["chose"], x["verdict"]) for x in log]
-    return spark.createDataFrame(rows, "lkey string, rkey string, verdict string")
+    return reporting.by_code(_judged(spark, sf_dir)["findings"]).drop("to_review")
+
+
+QUESTION = "Which settlement batches are missing in the bank?"
 
 
 @query("retrieve_facts")
 def _(spark, sf_dir):
-    return reporting.retrieve(runs.full(spark, sf_dir), "Which settlement batches are missing in the bank?")
+    return answers.ranked(answers.facts(world(spark, sf_dir), runs.full(spark, sf_dir)), QUESTION)
+
+
+@query("reply_guard", """SELECT entity_id, list_sort(list_filter(CASE WHEN s % 3 = 0 THEN [a, b] ELSE [a] END, lambda x: x <> a)) AS invented, CASE WHEN s % 5 = 0 THEN 'total' END AS phrase, (s % 3 = 0 AND a <> b) OR s % 5 = 0 AS withheld
+FROM (SELECT entity_id, fee_paise AS s, printf('%d.%02d', amount_paise // 100, amount_paise % 100) AS a, printf('%d.%02d', fee_paise // 100, fee_paise % 100) AS b FROM pg WHERE type = 'payment')""")
+def _(spark, sf_dir):
+    """Replies that quote a payment's amount, some with a figure of their own and some with a forbidden word."""
+    pg = _w(spark, sf_dir, "pg").where("type = 'payment'")
+    a, b, s = evidence.rupees(F.col("amount_paise")), evidence.rupees(F.col("fee_paise")), F.col("fee_paise")
+    reply = F.concat(F.lit("It is "), a, F.when(s % 3 == 0, F.concat(F.lit(" and "), b)).otherwise(""), F.when(s % 5 == 0, " in total").otherwise(""))
+    return answers.guard(pg.select("entity_id", reply.alias("reply"), F.array(F.concat(F.lit("captured "), money.indian_format(F.col("amount_paise")))).alias("facts"))).drop("reply", "facts")
+
+
+# --- evidence, actions and further roll-ups
+
+
+def _explained(spark, sf_dir) -> DataFrame:
+    w, run = world(spark, sf_dir), runs.full(spark, sf_dir)
+    return evidence.explained(run["findings"], w, run["matches"])
+
+
+_RUPEES = "CASE WHEN {0} < 0 THEN '-' ELSE '' END || CAST(abs({0}) // 100 AS VARCHAR) || '.' || lpad(CAST(abs({0}) % 100 AS VARCHAR), 2, '0')"
+
+
+def _r(x: str) -> str:
+    return "(" + _RUPEES.format(x) + ")"
+
+
+@query("finding_actions", f"""SELECT f.key, f.code, CASE f.code WHEN 'DUPLICATE_PAYMENT' THEN 'Refund ' || f.key || ' or confirm a second order beside ' || r.first_capture || '.'
+  WHEN 'UNPAID_INVOICE' THEN 'Collect ' || {_r("abs(value_paise)")} || ' from ' || i.customer || ' or write off ' || f.key || '.'
+  WHEN 'UNBILLED_PAYMENT' THEN 'Invoice ' || {_r("abs(value_paise)")} || ' for ' || coalesce(q.order_id, 'the captured order') || '.'
+  WHEN 'FUNDS_ON_HOLD' THEN 'Ask the gateway to release the hold; leave it out of the cash forecast.'
+  WHEN 'FEE_VARIANCE' THEN CASE WHEN value_paise > 0 THEN 'Recover ' ELSE 'Credit back ' END || {_r("abs(value_paise)")} || ' of fees on ' || f.key || '.'
+  WHEN 'ORPHAN_REFUND' THEN 'Find payment ' || q.parent || ' in another period or account.'
+  WHEN 'CHARGEBACK_ADJUSTMENT' THEN 'Book the dispute and decide in time whether to contest it.'
+  WHEN 'TAX_LINE_MISMATCH' THEN 'Check the tax rate of ' || f.key || CASE WHEN value_paise > 0 THEN '; issue a revised invoice for ' ELSE '; issue a credit note for ' END || {_r("abs(value_paise)")} || '.'
+  WHEN 'SPLIT_SETTLEMENT' THEN 'None: the parts add up; post them as one receipt.'
+  WHEN 'SETTLEMENT_AMOUNT_MISMATCH' THEN CASE WHEN value_paise < 0 THEN 'Look for a bank charge or a recovery.' ELSE 'Look for an earlier shortfall made good.' END
+  WHEN 'MERGED_PAYOUT' THEN 'None: the credit adds up; ask for a reference of each batch.'
+  WHEN 'MISSING_IN_BANK' THEN 'Trace ' || b.utr || ' with the bank; until then ' || {_r("abs(value_paise)")} || ' is due from the gateway.'
+  WHEN 'UNEXPECTED_BANK_CREDIT' THEN 'Find the payer before posting it anywhere.'
+  ELSE 'Book ' || {_r("abs(value_paise)")} || ' as tax receivable from ' || i.customer || ' and collect the certificate.' END AS action
+FROM findings f LEFT JOIN inv i ON f.key = i.invoice_no LEFT JOIN pg q ON f.key = q.entity_id LEFT JOIN batch b ON f.key = b.settlement_id LEFT JOIN ranked r ON f.key = r.entity_id""")
+def _(spark, sf_dir):
+    return _explained(spark, sf_dir).select("key", "code", "action")
+
+
+@query("finding_evidence", f"""SELECT key, code, unnest(['order_id', 'customer', 'invoice_date', 'gross', 'age_days']) AS field, unnest([order_id, customer, CAST(invoice_date AS VARCHAR), {_r("gross_paise")}, CAST(datediff('day', invoice_date, (SELECT max(invoice_date) FROM inv)) AS VARCHAR)]) AS value FROM findings JOIN inv ON key = invoice_no WHERE code = 'UNPAID_INVOICE'
+UNION ALL SELECT key, code, unnest(['taxable', 'tax', 'tax_due', 'customer']), unnest([{_r("taxable_paise")}, {_r("tax_paise")}, {_r(he("taxable_paise", 1800))}, customer]) FROM findings JOIN inv ON key = invoice_no WHERE code = 'TAX_LINE_MISMATCH'
+UNION ALL SELECT key, code, unnest(['order_id', 'first_capture', 'first_at', 'created_at', 'amount']), unnest([r.order_id, r.first_capture, strftime(f.created_at, '%Y-%m-%d %H:%M:%S'), strftime(r.created_at, '%Y-%m-%d %H:%M:%S'), {_r("r.amount_paise")}]) FROM findings JOIN ranked r ON key = r.entity_id JOIN pg f ON f.entity_id = r.first_capture WHERE code = 'DUPLICATE_PAYMENT'
+UNION ALL SELECT key, code, unnest(['utr', 'net', 'lines', 'paid']), unnest([utr, {_r("b.net")}, h.line, {_r("h.amount_paise")}]) FROM findings JOIN batch b ON key = b.settlement_id JOIN hits h ON key = h.settlement_id WHERE code = 'SETTLEMENT_AMOUNT_MISMATCH'
+UNION ALL SELECT key, code, unnest(['value_date', 'narration', 'amount', 'claims_settlement']), unnest([CAST(value_date AS VARCHAR), narration, {_r("amount_paise")}, CAST(regexp_matches(lower(narration), 'razorpay|rzp|settl') AS VARCHAR)]) FROM findings JOIN unexp ON key = line WHERE code = 'UNEXPECTED_BANK_CREDIT'""")
+def _(spark, sf_dir):
+    shown = ("UNPAID_INVOICE", "TAX_LINE_MISMATCH", "DUPLICATE_PAYMENT", "SETTLEMENT_AMOUNT_MISMATCH", "UNEXPECTED_BANK_CREDIT")
+    return _explained(spark, sf_dir).where(F.col("code").isin(*shown)).select("key", "code", F.inline("evidence"))
+
+
+@query("exceptions_by_code", "SELECT code, CAST(sum(abs(value_paise)) OVER (PARTITION BY code) AS BIGINT) AS exposure_paise, row_number() OVER (PARTITION BY code ORDER BY abs(value_paise) DESC, key) AS nth, key, CAST(value_paise AS BIGINT) AS value_paise FROM findings")
+def _(spark, sf_dir):
+    return evidence.exceptions_by_code(_explained(spark, sf_dir)).drop("evidence", "action")
+
+
+@query("exposure_by_code", "SELECT *, row_number() OVER (ORDER BY exposure_paise DESC, code) AS place FROM (SELECT code, count(*) AS n, CAST(sum(abs(value_paise)) AS BIGINT) AS exposure_paise FROM findings GROUP BY code)")
+def _(spark, sf_dir):
+    return reporting.exposure_by_code(runs.full(spark, sf_dir)["findings"])
+
+
+@query("bridge_rollups", _POSITION + "SELECT unexplained_credits, open_receivables, unbilled_revenue, tds_receivable FROM pos")
+def _(spark, sf_dir):
+    return reporting.position(_w(spark, sf_dir, "pg"), runs.full(spark, sf_dir)).select("unexplained_credits", "open_receivables", "unbilled_revenue", "tds_receivable")
+
+
+@query("norm_name_tokens", "SELECT invoice_no, array_to_string(list_filter(string_split_regex(regexp_replace(lower(customer || ' Co. (Pvt) & Sons Ltd'), '[^a-z ]', ' ', 'g'), ' +'), lambda w: w NOT IN ('', 'pvt', 'private', 'ltd', 'limited', 'llp', 'co', 'company', 'the', 'and')), ' ') AS name FROM inv")
+def _(spark, sf_dir):
+    return _w(spark, sf_dir, "inv").select("invoice_no", F.array_join(text.name_tokens(F.concat("customer", F.lit(" Co. (Pvt) & Sons Ltd"))), " ").alias("name"))
+
+
+@query("record_counts", "SELECT 'inv' AS source, count(*) AS n FROM inv UNION ALL SELECT 'pg', count(*) FROM pg UNION ALL SELECT 'bank', count(*) FROM bank UNION ALL SELECT 'total', (SELECT count(*) FROM inv) + (SELECT count(*) FROM pg) + (SELECT count(*) FROM bank)")
+def _(spark, sf_dir):
+    return reporting.record_counts(world(spark, sf_dir))
+
+
+@query("score_distribution", _ALL_CODES + f"""SELECT metric, CAST(round(avg(x)) AS BIGINT) AS mean, min(x) AS least, max(x) AS most, CAST(round(stddev_samp(x)) AS BIGINT) AS deviation
+FROM (SELECT unnest(['precision', 'recall', 'f1']) AS metric, unnest(["precision", recall, f1]) AS x FROM ({_all_scores("code", "key")}) WHERE code <> 'OVERALL') GROUP BY metric""")
+def _(spark, sf_dir):
+    spread = reporting.distribution(_exception_scores_all(spark, sf_dir).where("code <> 'OVERALL'"), ["precision", "recall", "f1"])
+    return spread.select("metric", *[F.round(c).cast("bigint").alias(c) for c in ("mean", "least", "most", "deviation")])
+
+
+# --- files
+
+
+@query("reject_rows", """SELECT 'bank_statement' AS file, rownum, CASE k % 11 WHEN 3 THEN 'bad line number' WHEN 5 THEN 'bad date' ELSE 'bad credit' END AS reason,
+  'bank_statement:' || rownum || ': ' || CASE k % 11 WHEN 3 THEN 'bad line number' WHEN 5 THEN 'bad date' ELSE 'bad credit' END AS error
+FROM (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) + 1 AS rownum FROM orders) WHERE k % 11 IN (3, 5, 7)""", False)
+def _(spark, sf_dir):
+    """A statement with damaged rows, written and read again."""
+    k = F.col("o_orderkey")
+    cells = {"line_no": F.when(k % 11 == 3, "x").otherwise(k.cast("string")), "value_date": F.when(k % 11 == 5, "someday").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")), "credit": F.when(k % 11 == 7, "1.2.3").otherwise("10.50")}
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k, *[cells.get(c, F.lit("")).alias(c) for c in exports.BANK_COLUMNS])
+    path = f"{shared_folder(spark)}/tallyweave-recon/{uuid.uuid4().hex}/bank_statement.csv"
+    rows.orderBy("o_orderkey").drop("o_orderkey").coalesce(1).write.option("header", True).csv(path)  # row numbers are those of one file
+    return exports.bank(spark, path)[1]
+
+
+def _from_files(spark, sf_dir) -> dict[str, DataFrame]:
+    def make():
+        folder = f"{shared_folder(spark)}/tallyweave-recon/{uuid.uuid4().hex}"
+        sinks.write_exports(world(spark, sf_dir), folder)
+        return {name: keep(df) for name, df in exports.load(spark, folder)[0].items()}
+
+    return runs.once(spark, sf_dir, "files", make)
+
+
+@query("csv_round_trip", """SELECT 'inv' AS source, count(*) AS n, CAST(sum(gross_paise) AS BIGINT) AS paise, CAST(sum(k % 1000) AS BIGINT) AS keys FROM inv
+UNION ALL SELECT 'pg', count(*), CAST(sum(amount_paise - fee_paise - tax_paise) AS BIGINT), CAST(sum(CAST(regexp_extract(entity_id, '[0-9]+$') AS BIGINT) % 1000) AS BIGINT) FROM pg
+UNION ALL SELECT 'bank', count(*), CAST(sum(amount_paise) AS BIGINT), CAST(sum(line_no % 1000) AS BIGINT) FROM bank""")
+def _(spark, sf_dir):
+    read = _from_files(spark, sf_dir)
+    total = lambda name, paise, key: read[name].agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(paise)).cast("bigint").alias("paise"), F.sum(F.expr(key) % 1000).cast("bigint").alias("keys")).select(F.lit(name).alias("source"), "n", "paise", "keys")
+    return legs.union(total("inv", "gross_paise", "cast(substring(invoice_no, 5) as bigint)"), total("pg", "amount_paise - fee_paise - tax_paise", "cast(regexp_extract(entity_id, '[0-9]+$', 0) as bigint)"), total("bank", "amount_paise", "line_no"))
+
+
+@query("tier_counts_from_files", "SELECT leg, tier, count(DISTINCT lkey) AS n FROM matches GROUP BY leg, tier")
+def _(spark, sf_dir):
+    """The whole way: files are written, read with their rejects, and reconciled."""
+    return reporting.tiers(legs.reconcile(_from_files(spark, sf_dir))["matches"])

@@ -37,7 +37,7 @@ WORLD = f"""WITH base AS (
   SELECT settlement_id, sday, dn, 'SBIN0' || lpad(CAST(dn AS VARCHAR), 12, '0') AS utr, CAST(sum(amount_paise) AS BIGINT) AS amount_paise, CAST(sum(fee_paise) AS BIGINT) AS fee_paise, CAST(sum(tax_paise) AS BIGINT) AS tax_paise,
     CAST(sum(amount_paise - fee_paise - tax_paise) AS BIGINT) AS net FROM pg WHERE settlement_id IS NOT NULL GROUP BY ALL
 ), moded AS (
-  SELECT b.*, n.net AS net2, n.sday AS sday2, CASE WHEN b.dn % 13 = 1 OR (b.dn % 13 = 6 AND v.dn IS NOT NULL) THEN 'none' WHEN b.dn % 13 = 2 THEN 'short' WHEN b.dn % 13 = 3 THEN 'split'
+  SELECT b.*, n.net AS net2, n.sday AS sday2, CASE WHEN b.dn % 13 = 1 OR (b.dn % 13 = 6 AND v.dn IS NOT NULL) THEN 'none' WHEN b.dn % 13 = 2 THEN 'short' WHEN b.dn % 13 = 3 THEN 'split' WHEN b.dn % 13 = 8 THEN 'plain'
     WHEN b.dn % 13 = 5 AND n.dn IS NOT NULL THEN 'merged' ELSE 'exact' END AS mode
   FROM batch b LEFT JOIN batch n ON n.dn = b.dn + 1 LEFT JOIN batch v ON v.dn = b.dn - 1 AND v.dn % 13 = 5
 ), direct AS (
@@ -47,7 +47,8 @@ WORLD = f"""WITH base AS (
     CASE mode WHEN 'short' THEN net - 1180 WHEN 'split' THEN net * 4 // 10 ELSE net END AS amount_paise FROM moded WHERE mode IN ('exact', 'short', 'split')
   UNION ALL SELECT sday + 1, CASE WHEN dn % 2 = 1 THEN lower('NEFT CR ' || utr || ' GATEWAY SETTLEMENT') ELSE 'NEFT CR ' || utr || ' GATEWAY SETTLEMENT' END, net - net * 4 // 10 FROM moded WHERE mode = 'split'
   UNION ALL SELECT sday2 + 1, 'NEFT CR GATEWAY SETTLEMENT CONSOLIDATED', net + net2 FROM moded WHERE mode = 'merged'
-  UNION ALL SELECT invoice_date + 3, CASE WHEN k % 4 = 0 THEN 'RTGS-AXISN' || lpad(CAST(k AS VARCHAR), 12, '0') || '-ACME-PMT AGST BILL' ELSE 'NEFT-AXISN' || lpad(CAST(k AS VARCHAR), 12, '0') || '-' || upper(customer) || '-DIRECT' END, paid FROM direct
+  UNION ALL SELECT sday + 1, 'IMPS GATEWAY SETTLEMENT ' || dn, net FROM moded WHERE mode = 'plain'
+  UNION ALL SELECT invoice_date + 3, CASE WHEN k % 8 = 4 THEN 'RTGS-AXISN' || lpad(CAST(k AS VARCHAR), 12, '0') || '-ACME-PMT AGST BILL' ELSE 'NEFT-AXISN' || lpad(CAST(k AS VARCHAR), 12, '0') || '-' || upper(customer) || '-DIRECT' END, paid FROM direct
   UNION ALL SELECT CAST(ts AS DATE), 'INT.PD:12345678', CAST(round(value * 100) AS BIGINT) FROM events WHERE event_type = 'purchase'
 ), bank AS (
   SELECT CAST(row_number() OVER (ORDER BY value_date, narration, amount_paise) AS INT) AS line_no, * FROM lines
@@ -75,8 +76,11 @@ WORLD = f"""WITH base AS (
 ), merged AS (
   SELECT l.line, a.settlement_id AS s1, b.settlement_id AS s2, l.amount_paise - a.net - b.net AS delta FROM ob a JOIN ob b ON a.settlement_id < b.settlement_id JOIN ol l ON abs(datediff('day', a.sday, l.value_date)) <= 4 AND abs(datediff('day', b.sday, l.value_date)) <= 4
     AND abs(a.net + b.net - l.amount_paise) <= 100 WHERE regexp_matches(lower(narration), 'razorpay|rzp|settl')
-), missing AS (SELECT * FROM ob WHERE settlement_id NOT IN (SELECT s1 FROM merged UNION ALL SELECT s2 FROM merged)
-), unexp AS (SELECT * FROM ol WHERE line NOT IN (SELECT line FROM merged)
+), bt2 AS (
+  SELECT settlement_id, line, abs(datediff('day', sday, value_date)) AS gap, ol.amount_paise - net AS delta FROM ob JOIN ol ON abs(ol.amount_paise - net) <= 100 AND abs(datediff('day', sday, value_date)) <= 4
+    WHERE regexp_matches(lower(narration), 'razorpay|rzp|settl') AND line NOT IN (SELECT line FROM merged) AND settlement_id NOT IN (SELECT s1 FROM merged UNION ALL SELECT s2 FROM merged)
+), missing AS (SELECT * FROM ob WHERE settlement_id NOT IN (SELECT s1 FROM merged UNION ALL SELECT s2 FROM merged UNION ALL SELECT settlement_id FROM bt2)
+), unexp AS (SELECT * FROM ol WHERE line NOT IN (SELECT line FROM merged UNION ALL SELECT line FROM bt2)
 ), dedges AS (
   SELECT invoice_no, line, gross_paise, u.amount_paise AS paid, CASE WHEN abs(u.amount_paise - gross_paise) <= 100 THEN 'gross' ELSE 'tds' END AS rel,
     list_distinct(list_filter(string_split_regex(regexp_replace(lower(customer), '[^a-z ]', ' ', 'g'), ' +'), lambda w: w NOT IN ('', 'pvt', 'private', 'ltd', 'limited', 'llp', 'co', 'company', 'the', 'and'))) AS ta,
@@ -90,6 +94,7 @@ WORLD = f"""WITH base AS (
   UNION ALL SELECT 'erp_to_gateway', invoice_no, entity_id, 'T1_NORMALIZED_ID', 950, delta FROM t1
   UNION ALL SELECT 'erp_to_gateway', invoice_no, entity_id, 'T2_AMOUNT_DATE', greatest(700, 920 - 30 * gap), delta FROM t2
   UNION ALL SELECT 'settlement_to_bank', settlement_id, line, CASE kind WHEN 'exact' THEN 'T0_EXACT_ID' WHEN 'split' THEN 'T3_AGGREGATE' ELSE 'T1_NORMALIZED_ID' END, CASE kind WHEN 'exact' THEN 1000 WHEN 'split' THEN 970 ELSE 800 END, summed.delta FROM hits JOIN summed USING (settlement_id)
+  UNION ALL SELECT 'settlement_to_bank', settlement_id, line, 'T2_AMOUNT_DATE', greatest(700, 920 - 30 * gap), delta FROM bt2
   UNION ALL SELECT 'settlement_to_bank', line, unnest([s1, s2]), 'T3_AGGREGATE', 900, delta FROM merged
   UNION ALL SELECT 'invoice_to_bank', invoice_no, line, 'T2_AMOUNT_DATE', CAST(round(least(0.96, 0.75 + score) * 1000) AS INT), paid - gross_paise FROM dmatch
 ), findings AS (
@@ -98,8 +103,8 @@ WORLD = f"""WITH base AS (
   UNION ALL SELECT entity_id, 'pg', 'UNBILLED_PAYMENT', 'needs_review', amount_paise FROM unbilled
   UNION ALL SELECT entity_id, 'pg', 'FUNDS_ON_HOLD', 'needs_review', amount_paise - fee_paise - tax_paise FROM pg WHERE type = 'payment' AND on_hold
   UNION ALL SELECT entity_id, 'pg', 'FEE_VARIANCE', 'auto_resolved', drift FROM (SELECT pg.entity_id, pg.fee_paise + pg.tax_paise - (f.fee + {he("f.fee", 1800)}) AS drift FROM pg JOIN (SELECT q.entity_id, {he("q.amount_paise", "CASE q.method WHEN 'upi' THEN 0 WHEN 'netbanking' THEN 150 WHEN 'card' THEN 200 WHEN 'amex' THEN 350 WHEN 'wallet' THEN 180 WHEN 'emi' THEN 300 ELSE 200 END")} AS fee FROM pg q WHERE q.type = 'payment' AND NOT q.on_hold) f USING (entity_id)) WHERE abs(drift) > 100
-  UNION ALL SELECT entity_id, 'pg', 'ORPHAN_REFUND', 'needs_review', amount_paise FROM pg WHERE type = 'refund' AND parent IS NOT NULL AND parent NOT IN (SELECT entity_id FROM pg WHERE type = 'payment')
-  UNION ALL SELECT entity_id, 'pg', 'CHARGEBACK_ADJUSTMENT', 'needs_review', amount_paise FROM pg WHERE type = 'adjustment'
+  UNION ALL SELECT entity_id, 'pg', 'ORPHAN_REFUND', 'needs_review', abs(amount_paise) FROM pg WHERE type = 'refund' AND parent IS NOT NULL AND parent NOT IN (SELECT entity_id FROM pg WHERE type = 'payment')
+  UNION ALL SELECT entity_id, 'pg', 'CHARGEBACK_ADJUSTMENT', 'needs_review', abs(amount_paise) FROM pg WHERE type = 'adjustment'
   UNION ALL SELECT invoice_no, 'erp', 'TAX_LINE_MISMATCH', 'needs_review', {he("taxable_paise", 1800)} - tax_paise FROM inv WHERE abs({he("taxable_paise", 1800)} - tax_paise) > 100
   UNION ALL SELECT settlement_id, 'settlement', 'SPLIT_SETTLEMENT', 'auto_resolved', 0 FROM summed WHERE kind = 'split'
   UNION ALL SELECT settlement_id, 'settlement', 'SETTLEMENT_AMOUNT_MISMATCH', 'needs_review', delta FROM summed WHERE kind = 'differs'

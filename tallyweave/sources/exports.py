@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money, text
 
+# The columns of the three exports.
 INVOICE_COLUMNS = ("invoice_no", "order_id", "customer", "invoice_date", "taxable_amount", "tax_amount", "gross_amount", "currency")
 GATEWAY_COLUMNS = ("entity_id", "type", "debit", "credit", "amount", "currency", "fee", "tax", "on_hold", "settled", "created_at", "settled_at", "settlement_id", "settlement_utr", "order_id", "order_receipt", "method", "dispute_id", "parent_payment_id")
 BANK_COLUMNS = ("line_no", "value_date", "narration", "ref_no", "debit", "credit", "balance")
@@ -25,10 +27,22 @@ def _split(rows: DataFrame, checks: dict[str, Column], out: list[Column], name:
     for what, ok in reversed(checks.items()):
         reason = F.when(F.coalesce(ok, F.lit(False)), reason).otherwise(F.lit(what))
     judged = rows.withColumn("reason", reason)
-    rejects = judged.where("reason is not null").select(F.lit(name).alias("file"), "seq", "reason")
+    rejects = _numbered(rows, judged.where("reason is not null")).select(F.lit(name).alias("file"), "rownum", "reason", F.concat(F.lit(f"{name}:"), "rownum", F.lit(": "), "reason").alias("error"))
     return judged.where("reason is null").select(*out, "seq"), rejects
 
 
+def _numbered(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """``some`` of the rows with their record number in the file; the header is 1.
+
+    A number is the row's place in its split plus the rows of the splits before,
+    so only one small row for each split is ordered.
+    """
+    of = lambda df: df.withColumns({"f": F.col("seq.file"), "b": F.col("seq.block"), "i": F.col("seq.row")})
+    splits = of(rows).groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
+    before = F.sum("n").over(W.partitionBy("f").orderBy("b")) - F.col("n")
+    return of(some).join(splits.select("f", "b", "first", before.alias("before")), ["f", "b"]).withColumn("rownum", (F.col("i") - F.col("first") + F.col("before") + 2).cast("bigint"))
+
+
 def _amount(c: str) -> Column:
     return F.coalesce(money.to_paise(F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "0").otherwise(F.col(c))))
 

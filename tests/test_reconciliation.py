@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pandas as pd
 import pytest
@@ -77,10 +79,32 @@ def test_bad_rows_are_reported(spark, tmp_path):
     assert [(r["file"], r["reason"]) for r in bad.collect()] == [("bank_statement", "bad date")]
 
 
-def test_the_judge_may_only_pick_offered_rows_within_tolerance(spark):
-    c = spark.createDataFrame([("a", 1, "x", 10, 0), ("b", 1, "x", 10, 0), ("c", 1, "y", 9000, 0), ("d", 1, "z", 0, 0)], "lkey string, rank int, rkey string, diff long, gap int")
-    log = {x["lkey"]: x["verdict"] for x in adjudicate.adjudicate(c, lambda key, offered: "nothing" if key == "d" else offered[0])}
-    assert log == {"a": "accepted", "c": "rejected_by_arithmetic", "d": "declined"}
+def test_the_judge_is_asked_in_order_and_may_only_pick_what_is_offered_and_fits(spark):
+    rows = [("a", "x", 10, True), ("b", "x", 10, True), ("c", "y", 9000, False), ("d", "z", 0, True), ("e", "x", 1, True), ("e", "w", 2, True), ("f", "w", 1, True), ("g", "v", 1, True)]
+    edges = spark.createDataFrame([(a, b, d, 0, f) for a, b, d, f in rows], "lkey string, rkey string, diff int, gap int, fits boolean")
+
+    def judge(key, offered):
+        return {"d": "nothing", "g": None}.get(key, offered[0])
+
+    log = {r["lkey"]: (r["candidates"], r["verdict"]) for r in adjudicate.adjudicate(edges, judge).collect()}
+    # b and f find their candidates taken by a and e, so nobody is asked.
+    assert log == {"a": (["x"], "accepted"), "c": (["y"], "rejected_by_arithmetic"), "d": (["z"], "declined"), "e": (["w"], "accepted"), "g": (["v"], "declined")}
+    assert adjudicate.adjudicate(edges.where("false"), judge).count() == 0
+    assert {r["verdict"]: r["n"] for r in adjudicate.verdicts(adjudicate.adjudicate(edges)).collect()} == {"declined": 8 - 1}
+
+
+def test_a_judge_serves_in_series_like_a_loop(spark):
+    rng = random.Random(2)
+    rows = [(f"i{i:02d}", f"c{j:02d}", rng.randrange(50), 0, rng.random() < 0.8) for i in range(40) for j in rng.sample(range(25), rng.randrange(1, 6))]
+    taken, want = set(), {}
+    for i in sorted({r[0] for r in rows}):
+        mine = sorted((d, g, j, f) for k, j, d, g, f in rows if k == i and j not in taken)[:3]
+        if mine:
+            want[i] = (mine[-1][2], "accepted" if mine[-1][3] else "rejected_by_arithmetic")
+            if mine[-1][3]:
+                taken.add(mine[-1][2])
+    edges = spark.createDataFrame(rows, "lkey string, rkey string, diff int, gap int, fits boolean")
+    assert {r["lkey"]: (r["chose"], r["verdict"]) for r in adjudicate.adjudicate(edges, lambda key, offered: offered[-1]).collect()} == want
 
 
 def test_the_bridge_has_no_residual_and_no_record_is_claimed_twice(spark, sf_dir):
