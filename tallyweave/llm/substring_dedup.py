@@ -10,8 +10,10 @@ surroundings: at each level the symbols at its ends that could have grown
 across its border are popped. So equal windows share their high-level core, and
 with it the anchor, a pair of neighbouring core symbols chosen by hash. Anchors
 are a twentieth of the words. Only documents that share an anchor with another
-document go on, and only their windows with shared anchors are verified, by a
-hash of all 50 words, each against the smallest document that has it.
+document go on, and only their windows with shared anchors are verified, by 128
+bits of two hashes over all 50 words, each against the smallest document that has it.
+That document is found with a combiner and joined back, so a window that a third
+of all documents hold is neither one group nor one task.
 """
 
 from __future__ import annotations
@@ -50,6 +52,11 @@ def names_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def second_names(words: list[bytes]) -> np.ndarray:
+    """Names that do not depend on the first ones."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in words), np.uint64, len(words))
+
+
 def window_hashes(names: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """A hash of each ``window`` consecutive names, by doubling."""
     out, done, power, span = None, 0, names, 1
@@ -165,36 +172,22 @@ def _verify_windows(batches):
     """Hashes of the windows whose anchor is shared."""
     for b in batches:
         for some in _in_batches([b.column(i).to_pylist() for i in (0, 1, 2)] + [b.column(3)], 2):
-            names = names_of([x for _, w in some for x in w])
+            flat = [x for _, w in some for x in w]
+            names = names_of(flat)
             at, doc, local = _windows([len(w) for _, w in some])
-            key, hashes = anchors(names, at).view(np.int64), window_hashes(names)
+            key, hashes, others = anchors(names, at).view(np.int64), window_hashes(names), window_hashes(second_names(flat))
             cut = np.searchsorted(doc, np.arange(len(some) + 1))
             shared = np.zeros(len(at), bool)
             for (row, _), a, z in zip(some, cut, cut[1:]):
                 shared[a:z] = np.isin(key[a:z], row[3].values.to_numpy())
             ords, ths = (np.array([r[i] for r, _ in some], np.int64) for i in (0, 1))
             # One row for each window of a document, with all its starts there.
-            wh, doc, local = hashes[at[shared]].view(np.int64), doc[shared], local[shared].astype(np.int32)
-            order = np.lexsort((wh, doc))
-            wh, doc, local = wh[order], doc[order], local[order]
-            new = np.flatnonzero(np.r_[True, (wh[1:] != wh[:-1]) | (doc[1:] != doc[:-1])]) if len(wh) else np.zeros(0, np.int64)
+            wh, w2, doc, local = hashes[at[shared]].view(np.int64), others[at[shared]].view(np.int64), doc[shared], local[shared].astype(np.int32)
+            order = np.lexsort((w2, wh, doc))
+            wh, w2, doc, local = wh[order], w2[order], doc[order], local[order]
+            new = np.flatnonzero(np.r_[True, (wh[1:] != wh[:-1]) | (w2[1:] != w2[:-1]) | (doc[1:] != doc[:-1])]) if len(wh) else np.zeros(0, np.int64)
             starts = pa.ListArray.from_arrays(pa.array(np.r_[new, len(wh)].astype(np.int32)), pa.array(local))
-            yield pa.RecordBatch.from_arrays([pa.array(wh[new]), pa.array(ords[doc[new]]), pa.array(ths[doc[new]]), starts], ["wh", "ord", "th", "starts"])
-
-
-def _later(batches):
-    """Of rows sorted by (wh, ord), those whose window starts in a smaller document too."""
-    last, smallest = None, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        wh, order = b.column(0).to_numpy(), b.column(1).to_numpy()
-        new = np.r_[True, wh[1:] != wh[:-1]]
-        first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        if last is not None and wh[0] == last:
-            first[: int(np.argmax(new[1:])) + 1 if new[1:].any() else len(wh)] = smallest
-        last, smallest = wh[-1], first[-1]
-        yield b.filter(pa.array(order > first)).select(["ord", "th", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(wh[new]), pa.array(w2[new]), pa.array(ords[doc[new]]), pa.array(ths[doc[new]]), starts], ["wh", "w2", "ord", "th", "starts"])
 
 
 def _covers(batches):
@@ -280,8 +273,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_doc = held.join(shared.hint("merge"), "key").groupBy("ord", "th").agg(F.collect_set("key").alias("keys"))
     by_doc = keep(by_doc)
     text_side = rows.select("ord", "th", "text")
-    windows = text_side.join(by_doc.hint("merge"), ["ord", "th"]).select("ord", "th", "text", "keys").mapInArrow(_verify_windows, "wh long, ord long, th long, starts array<int>")
-    later = windows.repartition(parts, "wh").sortWithinPartitions("wh", "ord").mapInArrow(_later, "ord long, th long, starts array<int>")
+    windows = text_side.join(by_doc.hint("merge"), ["ord", "th"]).select("ord", "th", "text", "keys").mapInArrow(_verify_windows, "wh long, w2 long, ord long, th long, starts array<int>")
+    windows = keep(windows)
+    first = keep(windows.groupBy("wh", "w2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("wh", "w2", "first"))
+    later = windows.join(first.hint("merge"), ["wh", "w2"]).where("ord > first").select("ord", "th", "starts")
     covers = later.repartition(parts, "ord", "th").sortWithinPartitions("ord", "th").mapInArrow(_covers, "ord long, th long, cover binary")
     copies = judged.where("copy").select("ord", "th", F.lit(None).cast("binary").alias("cover"), F.lit(True).alias("copy")).distinct()
     marks = keep(covers.withColumn("copy", F.lit(False)).unionByName(copies))
