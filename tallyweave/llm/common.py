@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder in the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (tests on one machine) a folder of our own under /tmp takes its place.
+    ``spark.checkpoint.dir`` is read from the session; only a session in local
+    mode may go without it (a folder of our own under /tmp takes its place).
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tallyweave-scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/tallyweave-scratch"
     return f"{base.rstrip('/')}/tallyweave/{uuid.uuid4().hex}"
 
 
@@ -35,22 +41,32 @@ def shuffles_once(spark: SparkSession):
         spark.conf.set(CLEAN, before)
 
 
-_made: list[str] = []
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
 
 
-def keep(df: DataFrame, codec: str = "zstd", passing: bool = True) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+@contextmanager
+def owned(tables: list[str]):
+    """Tables kept inside are noted in ``tables``, for whoever knows when nothing reads them any more."""
+    token = _owner.set(tables)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def keep(df: DataFrame, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder (in folders by the column ``by``, if given) and read it back.
 
     Cuts lineage, fixes anything evaluated at run time, and survives the loss
-    of an executor because the files are on the shared store. ``passing``
-    tables may go with the next ``release``.
+    of an executor because the files are on the shared store.
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
     with shuffles_once(spark):
-        df.write.option("compression", codec).parquet(path)
-    if passing:
-        _made.append(path)
+        writer = df.write.option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    if _owner.get() is not None:
+        _owner.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,16 +78,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def discard(kept: DataFrame) -> None:
     """Delete a kept table that nothing will read again."""
-    for path in {f.rpartition("/")[0] for f in kept.inputFiles()}:
+    for path in {re.sub(r"/[a-z]+=[^/]*$", "", f.rpartition("/")[0]) for f in kept.inputFiles()}:
         _delete(kept.sparkSession, path)
-        if path in _made:
-            _made.remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the passing tables of earlier operators, whose results must have been written by now."""
-    while _made:
-        _delete(spark, _made.pop())
+def release(spark: SparkSession, tables: list[str]) -> None:
+    """Delete the tables of an owner whose results have been written by now."""
+    while tables:
+        _delete(spark, tables.pop())
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -6,10 +6,10 @@ row, whether all bits of a hash were set twice: only such rows can have a copy,
 so only they are shuffled and grouped by their full SHA-256. All other rows go
 straight through as groups of one.
 
-The filter has a fixed byte limit (``max_filter_mb``), so it can be broadcast
-at any corpus size. Past that limit it gets fuller, more single rows are
-shuffled needlessly (32-byte hashes and ids, never texts), and the result stays
-the same.
+A filter has a byte limit (``max_filter_mb``), so that it can be broadcast. Where
+one would get too full, the hashes are cut into slices by their own hash; each
+slice is a folder of the written hashes and gets a filter of its own, so every
+row is still read once in each pass and single rows still go straight through.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, documents, keep, same_id, shuffle_parts, shuffles_once, small_batches, text_or_empty
 
+MAX_FILTER_MB = 32
 PAGE_BITS = 15  # a page of the filter is 32,768 bits, 4 KB
 
 
@@ -91,10 +92,10 @@ def _merge_pages(least: int):
     return run
 
 
-def repeated_filter(hashes: DataFrame, column: str, rows: int, max_filter_mb: int = 32, least: int = 2) -> np.ndarray:
+def repeated_filter(hashes: DataFrame, column: str, rows: int, max_filter_mb: float = MAX_FILTER_MB, least: int = 2) -> np.ndarray:
     """Bits (as bytes, at most ``max_filter_mb``) that at least ``least`` (1 or 2) rows of ``hashes`` set."""
     bits = 1 << PAGE_BITS
-    while bits < 16 * rows and bits < max_filter_mb << 23:
+    while bits < 16 * rows and bits * 2 <= max_filter_mb * (1 << 23):
         bits <<= 1
     parts = shuffle_parts(hashes.sparkSession)
     partial = hashes.select(column).mapInArrow(_pages_of_partition(bits), "page int, once binary, twice binary")
@@ -120,7 +121,29 @@ def maybe_repeated(spark: SparkSession, filter_bytes: np.ndarray):
     return test
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_mb: int = 32) -> DataFrame:
+def slices_for(rows: int, max_filter_mb: float = MAX_FILTER_MB) -> int:
+    """How many filters of at most this size ``rows`` hashes need, at 16 bits a hash."""
+    return max(1, -(-16 * rows // max(1 << PAGE_BITS, int(max_filter_mb * (1 << 23)))))
+
+
+def keep_sliced(hashes: DataFrame, column: str, slices: int) -> DataFrame:
+    """``hashes`` written in one folder for each slice, a column ``slice`` added."""
+    return keep(hashes.withColumn("slice", F.pmod(F.xxhash64(column), F.lit(slices)).cast("int")), by="slice")
+
+
+def split_repeated(sliced: DataFrame, column: str, slices: int, max_filter_mb: float = MAX_FILTER_MB) -> DataFrame:
+    """``sliced`` (see ``keep_sliced``) without its slice, plus ``again``: may the row's hash occur more than once?"""
+    sizes = {r["slice"]: r["n"] for r in sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per slice
+    out = None
+    for s in range(slices):
+        own = sliced.where(F.col("slice") == s).drop("slice")
+        test = maybe_repeated(sliced.sparkSession, repeated_filter(own, column, sizes.get(s, 0), max_filter_mb))
+        own = own.withColumn("again", test(column))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_mb: float = MAX_FILTER_MB, slices: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, sha (binary SHA-256).
 
     Texts are equal when identical after each run of ASCII white space became
@@ -132,9 +155,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     small_batches(spark)
     normal = F.regexp_replace(text_or_empty(docs[text_col]), SPACE, " ")
-    hashed = keep(docs.select(docs[id_col].alias("doc_id"), F.unhex(F.sha2(normal, 256)).alias("sha")))
-    test = maybe_repeated(spark, repeated_filter(hashed, "sha", hashed.count(), max_filter_mb))
-    flagged = hashed.withColumn("again", test("sha"))
+    hashed = docs.select(docs[id_col].alias("doc_id"), F.unhex(F.sha2(normal, 256)).alias("sha"))
+    slices = slices or slices_for(docs.count(), max_filter_mb)
+    flagged = split_repeated(keep_sliced(hashed, "sha", slices), "sha", slices, max_filter_mb)
     again = flagged.where("again").select("doc_id", "sha")
     # Written, so that the join deals both its sides anew and a large group can be split.
     groups = keep(again.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
@@ -149,14 +172,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Of rows that share the smallest id too, null or not, the first by a hash of
     the text as it is stays.
     Rows whose hash cannot repeat go straight through; only the others are
-    shuffled, to meet the smallest id of their group.
+    shuffled, to meet the smallest id of their group. Texts pass one filter, so
+    past some 16 million rows it fills up and more of them are shuffled; that
+    changes the cost, never the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     normal = F.regexp_replace(text_or_empty(docs[text_col]), SPACE, " ")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.unhex(F.sha2(normal, 256)).alias("sha"))
     hashed = keep(rows.select("id", "sha"))
-    test = maybe_repeated(spark, repeated_filter(hashed, "sha", hashed.count(), max_filter_mb=32))
+    test = maybe_repeated(spark, repeated_filter(hashed, "sha", hashed.count()))
     groups = keep(hashed.where(test("sha")).groupBy("sha").agg(F.min("id").alias("keep_id")))
     again = rows.where(test("sha")).join(groups.hint("merge"), "sha").where(same_id(F.col("id"), F.col("keep_id")))
     again = again.groupBy("sha").agg(F.min_by("row", F.xxhash64(F.col("row")[text_col])).alias("row"))

@@ -10,7 +10,7 @@ The forest's top level is dealt by Spark. Sets with a Jaccard similarity of t
 share one of their first n - ceil(t n) + 1 shingles in any common order
 (here: rarest first, by a counting sketch), so each such shingle is the root of
 a tree over the sets that have it in front; shingles of one set alone are
-dropped by a Bloom filter before any shuffle. Below a root, sets are sorted by
+dropped by Bloom filters, one for each slice of the shingles, before any shuffle. Below a root, sets are sorted by
 size and cut into blocks of at most BLOCK leaves; tasks traverse pairs of
 blocks, so no task holds more than two. Roots with the same sets below them are
 searched once.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, documents, keep, shuffle_parts, small_batches, text_or_empty
 from .components import components
-from .exact_dedup import maybe_repeated, repeated_filter
+from .exact_dedup import MAX_FILTER_MB, keep_sliced, maybe_repeated, repeated_filter, slices_for, split_repeated
 from .substring_dedup import mix, names_of, window_hashes
 
 BLOCK = 512
@@ -72,12 +72,21 @@ def _slices(batches, rows: int = 500):
 
 
 _PART = 4096
-OUTLINE = "doc_id long, ord long, node long, n long, bits binary, wide binary, part int, counts binary"
+OUTLINE = "doc_id long, ord long, node long, check long, n long, bits binary, wide binary, part int, counts binary"
+MOST_TWINS = 1_000_000  # nodes that different sets share; at 5e10 sets some seventy are expected
 WIDE = 8  # bits a token where round two compares all pairs of blocks
 
 
-def _node(tokens: np.ndarray) -> int | None:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
+def _hash(tokens: np.ndarray, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed) - (1 << 63)
+
+
+def _node(tokens: np.ndarray, twins: frozenset[int] = frozenset()) -> int | None:
+    """The name of a set: a hash, or for the few hashes that different sets share a second one."""
+    if not len(tokens):
+        return None
+    name = _hash(tokens, 0)
+    return _hash(tokens, 1) if name in twins else name
 
 
 def _outline(size: int):
@@ -95,6 +104,7 @@ def _outline(size: int):
                     "doc_id": part.column(0),
                     "ord": part.column(1),
                     "node": pa.array([_node(s) for s in sets], pa.int64()),
+                    "check": pa.array([_hash(s, 1) if len(s) else None for s in sets], pa.int64()),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "bits": pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     "wide": pa.array([bitmap(s, WIDE).tobytes() if len(s) else None for s in sets], pa.binary()),
@@ -110,6 +120,7 @@ def _outline(size: int):
                     "doc_id": null(pa.int64()),
                     "ord": null(pa.int64()),
                     "node": null(pa.int64()),
+                    "check": null(pa.int64()),
                     "n": null(pa.int64()),
                     "bits": null(pa.binary()),
                     "wide": null(pa.binary()),
@@ -139,7 +150,7 @@ def frequency_sketch(outline: DataFrame) -> np.ndarray:
     return out
 
 
-def _front(sketch, size: int, num: int, den: int):
+def _front(sketch, twins, size: int, num: int, den: int):
     """The rarest-first front of each document's set: key, node, n, index.
 
     ``index``: the shingle may be the first that the set shares with a set as
@@ -154,7 +165,7 @@ def _front(sketch, size: int, num: int, den: int):
                 n = len(t)
                 if not n:
                     continue
-                node, front = _node(t), n - -(-num * n // den) + 1
+                node, front = _node(t, twins.value), n - -(-num * n // den) + 1
                 count = sketch.value[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 if front < n:
                     edge = np.partition(count, front - 1)[front - 1]
@@ -176,11 +187,11 @@ def _front(sketch, size: int, num: int, den: int):
     return run
 
 
-def _tokens(size: int):
+def _tokens(twins, size: int):
     def run(batches):
         for part in _slices(batches):
             sets = [shingles(t, size) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["ord", "node", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_node(s, twins.value) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["ord", "node", "tokens"])
 
     return run
 
@@ -375,7 +386,7 @@ def distinct_roots(held: DataFrame) -> DataFrame:
     return held.join(first.hint("merge"), "key", "left_semi").select("key", "node", "n")
 
 
-def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_filter_mb: float = MAX_FILTER_MB) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, leader.
 
     Two documents link when den * |intersection| >= num * |union|. A component's
@@ -392,13 +403,24 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     sketch = spark.sparkContext.broadcast(frequency_sketch(outline))
     sets = outline.where("part is null")
     some = sets.where("n > 0")
-    # Each distinct set once, with the first document that has it.
+    # Each distinct set once, with the first document that has it. Sets are told apart by two
+    # 64-bit hashes: where sets share the first, they go by the second.
+    shared = keep(some.groupBy("node").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).where("c0 < c1").select("node"))
+    twins = [r["node"] for r in shared.limit(MOST_TWINS + 1).collect()]
+    if len(twins) > MOST_TWINS:
+        raise RuntimeError(f"more than {MOST_TWINS} names are shared by different sets")
+    if twins:
+        renamed = sets.join(F.broadcast(shared.withColumn("twin", F.lit(True))), "node", "left")  # at most MOST_TWINS rows
+        sets = keep(renamed.withColumn("node", F.when(F.col("twin"), F.col("check")).otherwise(F.col("node"))).drop("twin"))
+        some = sets.where("n > 0")
+    twins = spark.sparkContext.broadcast(frozenset(twins))
     by_node = keep(some.groupBy("node").agg(F.min("ord").alias("ord"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
+    fronts = some.agg(F.coalesce(F.sum(F.expr(f"n - ceil({num} * n / {den}) + 1")), F.lit(0)).cast("bigint")).first()[0]
     sets = keep(sets.select("doc_id", "ord", "node", "n"))
     discard(outline)
-    front = keep(rows.select("text").mapInArrow(_front(sketch, shingle, num, den), "key long, node long, n long, index boolean"))
-    again = maybe_repeated(spark, repeated_filter(front, "key", front.count()))
-    listed = front.where(again("key")).distinct()
+    slices = slices_for(fronts, max_filter_mb)
+    front = keep_sliced(rows.select("text").mapInArrow(_front(sketch, twins, shingle, num, den), "key long, node long, n long, index boolean"), "key", slices)
+    listed = split_repeated(front, "key", slices, max_filter_mb).where("again").drop("again").distinct()
     # Under a root, a set stays if some set near enough in size could link with it there: the
     # smaller of the two must hold the shingle in its index. The nearest such sets decide.
     by_size = W.partitionBy("key").orderBy("n")
@@ -421,7 +443,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         """The pairs that link. Their documents are read again, picked by a Bloom filter and a join; equal nodes are equal sets."""
         nodes = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(by_node.select("node", "ord").hint("merge"), "node"))
         wanted = maybe_repeated(spark, repeated_filter(nodes, "ord", nodes.count(), least=1))
-        read = rows.select("ord", "text").where(wanted("ord")).mapInArrow(_tokens(shingle), "ord long, node long, tokens binary")
+        read = rows.select("ord", "text").where(wanted("ord")).mapInArrow(_tokens(twins, shingle), "ord long, node long, tokens binary")
         tokens = keep(read.join(nodes.hint("merge"), ["ord", "node"]).select("node", "tokens").dropDuplicates(["node"]))
         out = keep(verified(pairs, tokens, num, den))
         discard(tokens)

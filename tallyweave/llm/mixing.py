@@ -31,7 +31,7 @@ ROUNDS = 6
 def tokens(text_col) -> F.Column:
     """Words of a text, and one more for its end, so that empty texts count."""
     trimmed = F.trim(F.regexp_replace(text_or_empty(text_col), r"[\x20\x09-\x0D]+", " "))
-    return (F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "))) + 2).cast("long")
+    return F.when(trimmed == "", 1).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "))) + 2).cast("long")
 
 
 def _measures(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
@@ -78,12 +78,13 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_epochs: float
 
     A null source is a source of its own. Sorting by (epoch, draw) gives the
     order of the mixture: a pseudo-random permutation of blocks, interleaved
-    over sources. Equal rows may share a draw; each still counts by itself. An
+    over sources. Ids may be null or repeat; rows alike in id and text are read
+    equally often. Texts are counted whole, a null one like an empty one. An
     empty table gives no rows.
     """
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        docs[id_col].alias("id"),
+        F.xxhash64(docs[id_col], text_or_empty(docs[text_col])).alias("id"),  # so that rows with one id are dealt out too
         docs[source_col].cast("string").alias("source"),
         tokens(docs[text_col]).alias("tokens"),
     )
@@ -113,7 +114,9 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_epochs: float
     edge = afford.where("pays > 0 and pays < block_tokens").select(F.col("source").alias("s"), F.col("block").alias("b"), "pays")
     inside = narrow.join(edge, narrow["source"].eqNullSafe(edge["s"]) & (narrow["block"] == edge["b"]))
     run = W.partitionBy("source", "block").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").rowsBetween(W.unboundedPreceding, 0)
-    last = inside.withColumn("run", F.sum("tokens").over(run)).where("run <= pays").select("source", "block", "id").distinct()
+    # Rows alike in id and text are read together or not at all.
+    alike = inside.groupBy("source", "block", "id", "pays").agg(F.sum("tokens").alias("tokens"))
+    last = alike.withColumn("run", F.sum("tokens").over(run)).where("run <= pays").select("source", "block", "id")
     full = afford.where("pays = block_tokens").select("source", "block")
     extra_full = full.select(F.col("source").alias("s2"), F.col("block").alias("b2"), F.lit(True).alias("paid"))
     extra_last = keep(last.select(F.col("source").alias("s3"), F.col("block").alias("b3"), F.col("id").alias("i3"), F.lit(True).alias("part")))

@@ -75,7 +75,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     """(paths, ledger): path and blob of each version; the ledger with what this run added.
 
     Ledger rows: blob, kind, version, spans. A null text is the empty blob. Ids
-    may be null or repeat. An empty table adds nothing to the ledger.
+    may be null or repeat. Texts are read whole, however long; columns other than
+    the id and the text are not looked at. An empty table adds nothing to the ledger.
     """
     paths = keep(address(versions, id_col, text_col))
     # One version stands for each blob; the pick is over hashes and ids, so texts move at most once.
@@ -88,7 +89,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         known = ledger.where(F.struct("kind", "version").isin([F.struct(F.lit(k), F.lit(v)) for k, v in wanted])).groupBy("blob").agg(F.collect_set("kind").alias("known"))
         kinds = F.array(*[F.lit(k) for k, _ in wanted])
         todo = first.join(known, "blob", "left").withColumn("missing", F.array_except(kinds, F.coalesce("known", F.array().cast("array<string>")))).where(F.size("missing") > 0).drop("known")
-    unseen = texts.join(todo, texts["path"].eqNullSafe(todo["path"]), "inner").select("blob", "missing", "text", F.unhex(F.sha2("text", 256)).alias("sha")).where("blob = sha")
+    # By path and content, so that rows that share a null or repeated id do not all meet.
+    texts = texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
+    unseen = texts.join(todo, texts["path"].eqNullSafe(todo["path"]) & (texts["sha"] == todo["blob"]), "inner").select("blob", "missing", "text")
     per_rule = F.array(
         *[
             F.when(F.col("missing").isNull() | F.array_contains("missing", r.kind), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")))

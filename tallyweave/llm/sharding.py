@@ -71,6 +71,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
             (F.octet_length(text_or_empty(docs[text_col])) + F.lit(OVERHEAD)).cast("long").alias("size"),
             F.crc32(text_or_empty(docs[text_col]).cast("binary")).alias("text_crc32"),
             F.xxhash64(text_or_empty(docs[text_col])).alias("key"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
     n, total = records.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -81,14 +82,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
             F.greatest(F.ceil(F.sum("size") * RANGES / F.lit(max(total, 1))), F.ceil(F.count(F.lit(1)) * RANGES / F.lit(max(n, 1)))).cast("int").alias("parts")
         )
     )  # at most RANGES rows
-    divided = ranged.join(parts, "range").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("parts"))).otherwise(F.lit(0)).cast("int"))
+    divided = ranged.join(parts, "range").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "row", F.lit(11)), F.col("parts"))).otherwise(F.lit(0)).cast("int"))
     order = W.orderBy("range", "part").rowsBetween(W.unboundedPreceding, -1)
     starts = F.broadcast(  # at most 4 * RANGES rows
         divided.groupBy("range", "part")
         .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
         .select("range", "part", F.coalesce(F.sum("bytes").over(order), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("rows_before"))
     )
-    inside = W.partitionBy("range", "part").orderBy("key", "doc_id")
+    inside = W.partitionBy("range", "part").orderBy("key", "doc_id", "row")
     placed = (
         divided.withColumn("cum", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("nth", F.row_number().over(inside))

@@ -101,11 +101,14 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keys(code: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Triples of snippets of length ``n``, borders at both ends, and their weights."""
-    framed = np.zeros((len(start), n + 2), np.int32)
-    framed[:, 1:-1] = code[start[:, None] + np.arange(n)]
+    """Triples (rows) of snippets (columns) of length ``n``, borders at both ends, and their weights."""
+    framed = np.zeros((n + 2, len(start)), np.int32)
+    framed[1:-1] = code[start[None, :] + np.arange(n)[:, None]]
     i, j, k, weight = _triples(n + 2)
-    return (framed << 2 * _BITS)[:, i] + (framed << _BITS)[:, j] + framed[:, k], weight
+    keys = (framed << 2 * _BITS).take(i, 0)
+    keys += (framed << _BITS).take(j, 0)
+    keys += framed.take(k, 0)
+    return keys, weight
 
 
 def _norms(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -127,6 +130,7 @@ def _features(words: list[str]):
         for k in range(0, len(rows), 256):
             part = rows[k : k + 256]
             keys, weight = _keys(symbols("".join(words[i] for i in part)), np.arange(len(part)) * n, n)
+            keys = np.ascontiguousarray(keys.T)
             yield np.array(part), keys, weight[None, :] / _norms(keys, weight)[:, None]
 
 
@@ -195,13 +199,13 @@ def margins(flat: str, start: np.ndarray, n: np.ndarray, table: np.ndarray, bias
     code, out = symbols(flat), np.full(len(n), -1.0)
     for length in np.unique(n):
         rows = np.flatnonzero(n == length)
-        for k in range(0, len(rows), 2048):
-            part = rows[k : k + 2048]
+        for k in range(0, len(rows), 512):
+            part = rows[k : k + 512]
             keys, weight = _keys(code, start[part], int(length))
-            value = table.take(keys) @ weight
+            value = weight @ table.take(keys)
             near = np.flatnonzero(value / np.sqrt((weight * weight).sum()) + bias > -1)
             if len(near):
-                out[part[near]] = np.maximum(-1.0, value[near] / _norms(keys[near], weight) + bias)
+                out[part[near]] = np.maximum(-1.0, value[near] / _norms(np.ascontiguousarray(keys[:, near].T), weight) + bias)
     return out
 
 

@@ -7,7 +7,7 @@ reversed edges (who links to bad hosts is bad). A page that no rule decides is
 allowed where its host's trust is at least ``threshold`` times its distrust.
 
 Both walks run together as one DataFrame of (walk, host, score), a join and a
-sum per step, written to the shared folder at each few steps.
+sum per step until it settles, written to the shared folder at each few steps.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-STEPS, DAMPING, THRESHOLD = 8, 0.85, 1.0
+DAMPING, THRESHOLD = 0.85, 1.0
+TOLERANCE, ROUND, MOST_STEPS = 1e-4, 4, 400  # a walk ends when a step moves less than this share of all score
 _LINK = r"(?i)href\s*=\s*[\"']?\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
 
 
@@ -67,22 +68,33 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return both.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """walk, host, score. seeds: walk (trust or distrust), host, seed; each walk's seeds add up to 1."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """walk, host, score. seeds: walk (trust or distrust), host, seed; each walk's seeds add up to 1.
+
+    Steps go on until the scores have settled: until one step changes all
+    scores of both walks together by less than ``tolerance``. Each step takes
+    ``damping`` off the change, so that is after some 60 steps at most; walks
+    that have not settled after MOST_STEPS are an error.
+    """
     forward = edges.select(F.lit("trust").alias("walk"), "src", "dst", "weight")
     backward = edges.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     walks = forward.unionByName(backward)
     out = walks.groupBy("walk", "src").agg(F.sum("weight").alias("all"))
     walks = keep(walks.join(out, ["walk", "src"]).select("walk", "src", "dst", (F.col("weight") / F.col("all")).alias("share")))
     seeds = keep(seeds)
-    score = seeds.select("walk", "host", F.col("seed").alias("score"))
-    base = seeds.select("walk", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    for step in range(1, steps + 1):
-        flow = walks.join(score.withColumnRenamed("host", "src"), ["walk", "src"]).select("walk", F.col("dst").alias("host"), (F.col("share") * F.col("score") * damping).alias("score"))
-        score = flow.unionByName(base).groupBy("walk", "host").agg(F.sum("score").alias("score"))
-        if step % 4 == 0:
+    score = seeds.select("walk", "host", F.col("seed").alias("score"), F.lit(0.0).alias("before"))
+    base = seeds.select("walk", "host", (F.col("seed") * (1 - damping)).alias("score"), F.lit(0.0).alias("before"))
+    for step in range(1, MOST_STEPS + 1):
+        old = score.select("walk", "host", F.lit(0.0).alias("score"), F.col("score").alias("before"))
+        flow = walks.join(score.select("walk", F.col("host").alias("src"), "score"), ["walk", "src"]).select("walk", F.col("dst").alias("host"), (F.col("share") * F.col("score") * damping).alias("score"), F.lit(0.0).alias("before"))
+        parts = flow.unionByName(base)
+        # The scores before are carried along only where they are compared.
+        score = (parts.unionByName(old) if step % ROUND == 0 else parts).groupBy("walk", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before"))
+        if step % ROUND == 0:
             score = keep(score)
-    return score
+            if score.agg(F.coalesce(F.sum(F.abs(F.col("score") - F.col("before"))), F.lit(0.0))).first()[0] < tolerance:
+                return score.select("walk", "host", "score")
+    raise RuntimeError(f"the walks have not settled after {MOST_STEPS} steps")
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -91,7 +103,9 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: s
     A null url, or one without ``://``, has an empty host and path, no rule and
     no scores, so it is allowed. Hosts that no walk reaches have scores of 0.
     Seeds weigh hosts by their pages under allow rules (trust) and under block
-    rules (distrust). Rows may repeat; an empty table gives no rows.
+    rules (distrust). Rows may repeat and ids may be null; urls and pages are
+    read whole, however long; other columns are not looked at. An empty table
+    gives no rows.
     """
     url = pages[url_col].cast("string")
     rows = pages.select(pages[id_col].alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), pages[html_col].alias("html"))
