@@ -31,7 +31,8 @@ ROUNDS = 6
 def tokens(text_col) -> F.Column:
     """Words of a text, and one more for its end, so that empty texts count."""
     trimmed = F.trim(F.regexp_replace(text_or_empty(text_col), r"[\x20\x09-\x0D]+", " "))
-    return F.when(trimmed == "", 1).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "))) + 2).cast("long")
+    # Plain arithmetic, no condition, so that the cleaned text is computed once.
+    return (F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "))) + F.least(F.length(trimmed), F.lit(1)) + 1).cast("long")
 
 
 def _measures(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
