@@ -372,7 +372,7 @@ def test_a_long_chain_is_one_component(spark):
 def test_walks_equal_power_iteration(spark):
     names = [f"h{i}" for i in range(12)]
     edges = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(11)] + [("h3", "h0", 2.0), ("h5", "h1", 1.0)]
-    got = {(r["walk"], r["host"]): r["score"] for r in url_trust.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("trust", "h0", 1.0), ("distrust", "h11", 1.0)], "walk string, host string, seed double")).collect()}
+    got = {(r["walk"], r["host"]): r["score"] for r in url_trust.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("trust", "h0", 1.0), ("distrust", "h11", 1.0)], "walk string, host string, seed double"), tolerance=1e-4).collect()}
     for walk, seed, pairs in (("trust", 0, edges), ("distrust", 11, [(b, a, w) for a, b, w in edges])):
         m = np.zeros((12, 12))
         for a, b, w in pairs:
