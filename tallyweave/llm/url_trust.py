@@ -26,7 +26,7 @@ RULES = (
     ("block", "com/de/"),
 )
 DAMPING, THRESHOLD = 0.85, 1.0
-TOLERANCE, ROUND, MOST_STEPS = 0.1, 5, 400  # a walk ends when a step moves less than this share of all score
+TOLERANCE, ROUND, MOST_STEPS = 0.5, 5, 400  # a walk ends when a step moves less than this share of all score
 _LINK = r"(?i)href\s*=\s*[\"']?\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
 
 
@@ -73,7 +73,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
 
     Steps go on until the scores have settled: until one step changes all
     scores of both walks together by less than ``tolerance``. Each step takes
-    ``damping`` off the change, so that is after some 20 steps at the default; walks
+    ``damping`` off the change, so that is after some 10 steps at the default; walks
     that have not settled after MOST_STEPS are an error.
     """
     forward = edges.select(F.lit("trust").alias("walk"), "src", "dst", "weight")
