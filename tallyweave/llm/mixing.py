@@ -24,6 +24,7 @@ from .common import documents, keep, text_or_empty
 
 MAX_EPOCHS = 4.0
 BLOCK_TOKENS = 64_000  # expected tokens of a block
+SLICE_BITS = 12  # the blocks of a source are summed in so many slices (a power of two)
 GRID = 16  # exponents tried at once; each round narrows the bracket 15-fold
 ROUNDS = 6
 
@@ -102,29 +103,34 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_epochs: float
         F.round(F.pow("share", F.lit(t)) / z * factor * total).cast("long").alias("budget"),
         F.col("all").alias("one_pass"),
     ).withColumns({"whole": F.floor(F.col("budget") / F.col("one_pass")).cast("int"), "left": F.col("budget") % F.col("one_pass")})
-    plan = keep(plan)
-    planned = rows.join(plan, rows["source"].eqNullSafe(plan["s"])).withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")))
-    # The part of one more pass: blocks in that pass's order while the rest of the budget lasts.
-    narrow = keep(planned.select("id", "source", "tokens", "block", "whole", "left"))
+    plan = keep(plan)  # a row per source
+    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks"))
+    narrow = keep(rows.select("id", "source", "tokens").join(plan, F.col("source").eqNullSafe(F.col("s"))).select("id", "source", "tokens", place.alias("block"), "whole", "left"))
     order = lambda epoch: F.xxhash64("source", "block", epoch, F.lit(seed))
-    blocks = narrow.groupBy("source", "block", "whole", "left").agg(F.sum("tokens").alias("block_tokens")).withColumn("turn", order(F.col("whole")))
-    before = W.partitionBy("source").orderBy("turn", "block").rowsBetween(W.unboundedPreceding, -1)
-    afford = blocks.withColumn("before", F.coalesce(F.sum("block_tokens").over(before), F.lit(0))).select("source", "block", F.greatest(F.lit(0), F.least("block_tokens", F.col("left") - F.col("before"))).alias("pays"), "block_tokens")
-    afford = keep(afford)
-    # Only where the budget runs out inside a block, one block a source, are its records ordered.
-    edge = afford.where("pays > 0 and pays < block_tokens").select(F.col("source").alias("s"), F.col("block").alias("b"), "pays")
-    inside = narrow.join(edge, narrow["source"].eqNullSafe(edge["s"]) & (narrow["block"] == edge["b"]))
-    run = W.partitionBy("source", "block").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").rowsBetween(W.unboundedPreceding, 0)
+    turn = order(F.col("whole"))
+    # The part of one more pass: blocks in that pass's order while the rest of the budget lasts. Sums go
+    # over slices of the order and then inside each, so that no task sums all blocks of a large source.
+    blocks = narrow.groupBy("source", "block", "whole", "left").agg(F.sum("tokens").alias("block_tokens")).withColumn("turn", turn)
+    blocks = keep(blocks.withColumn("slice", F.shiftright("turn", 64 - SLICE_BITS)))
+    earlier = lambda *order: W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    slices = blocks.groupBy("source", "slice").agg(F.sum("block_tokens").alias("n"))
+    slices = slices.select(F.col("source").alias("s"), F.col("slice").alias("at"), F.coalesce(F.sum("n").over(earlier("slice").partitionBy("source")), F.lit(0)).alias("slices_before"))
+    inside = F.coalesce(F.sum("block_tokens").over(earlier("turn", "block").partitionBy("source", "slice")), F.lit(0))
+    summed = blocks.withColumn("inside", inside).join(slices, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("at"))).withColumn("pays", F.col("left") - F.col("slices_before") - F.col("inside"))
+    # In each source the budget runs out inside one block; only there are records ordered.
+    edge = keep(summed.where("pays >= 0 and pays < block_tokens").select(F.col("source").alias("edge_source"), F.col("block").alias("edge_block"), F.col("turn").alias("edge_turn"), "pays"))
     # Rows alike in id and text are read together or not at all.
-    alike = inside.groupBy("source", "block", "id", "pays").agg(F.sum("tokens").alias("tokens"))
-    last = alike.withColumn("run", F.sum("tokens").over(run)).where("run <= pays").select("source", "block", "id")
-    full = afford.where("pays = block_tokens").select("source", "block")
-    extra_full = full.select(F.col("source").alias("s2"), F.col("block").alias("b2"), F.lit(True).alias("paid"))
-    extra_last = keep(last.select(F.col("source").alias("s3"), F.col("block").alias("b3"), F.col("id").alias("i3"), F.lit(True).alias("part")))
-    joined = planned.join(extra_full, F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")), "left").join(
-        extra_last, F.col("source").eqNullSafe(F.col("s3")) & (F.col("block") == F.col("b3")) & F.col("id").eqNullSafe(F.col("i3")), "left"
-    )
-    times = (F.col("whole") + F.when(F.col("paid") | F.col("part"), 1).otherwise(0)).cast("int")
+    alike = narrow.join(edge, F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("block") == F.col("edge_block"))).groupBy("source", "id", "pays").agg(F.sum("tokens").alias("tokens"))
+    draw = F.xxhash64("id", F.lit(seed + 1))
+    run = W.partitionBy("source").orderBy(draw, "id").rowsBetween(W.unboundedPreceding, 0)
+    last = alike.withColumns({"run": F.sum("tokens").over(run), "draw": draw}).where("run <= pays").groupBy("source").agg(F.max(F.struct("draw", "id")).alias("last"))
+    last = last.select(F.col("source").alias("last_source"), F.col("last.draw").alias("last_draw"), F.col("last.id").alias("last_id"))
+    # What is read once more is all that lies before these two places in the order, so a row per source decides it.
+    plan = keep(plan.join(edge, F.col("s").eqNullSafe(F.col("edge_source")), "left").join(last, F.col("s").eqNullSafe(F.col("last_source")), "left").select("s", "blocks", "whole", "edge_block", "edge_turn", "last_draw", "last_id"))
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", place)
+    paid = (turn < F.col("edge_turn")) | ((turn == F.col("edge_turn")) & (F.col("block") < F.col("edge_block")))
+    part = (F.col("block") == F.col("edge_block")) & ((draw < F.col("last_draw")) | ((draw == F.col("last_draw")) & (F.col("id") <= F.col("last_id"))))
+    times = (F.col("whole") + F.when(paid | part, 1).otherwise(0)).cast("int")
     read = joined.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
     return read.select("row", "source", "tokens", "epoch", "block", order(F.col("epoch")).alias("draw"))
 
