@@ -7,6 +7,8 @@ functions here, one small group at a time.
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -60,39 +62,54 @@ def groups_of(edges: DataFrame) -> DataFrame:
 
 
 def _best_assignment(edges: pd.DataFrame) -> pd.DataFrame:
-    """Most pairs, then least cost, then smallest keys: shortest augmenting paths, one pair at a time."""
-    rights = {k: i for i, k in enumerate(sorted(edges["rkey"].unique()))}
+    """Most pairs, then least cost; rows are taken in order of their keys, so input order changes nothing.
+
+    Left keys enter one by one along the cheapest augmenting path (Dijkstra on
+    reduced costs); each may also stay alone, at a price above all others.
+    """
     lefts = {k: i for i, k in enumerate(sorted(edges["lkey"].unique()))}
-    scale = (len(lefts) + 1) * (len(rights) + 1) * (min(len(lefts), len(rights)) + 1)
-    cost = {(lefts[a], rights[b]): int(c) * scale + lefts[a] * (len(rights) + 1) + rights[b] for a, b, c in zip(edges["lkey"], edges["rkey"], edges["cost"])}
-    by_right: dict[int, int] = {}
-    while True:
-        free = [i for i in range(len(lefts)) if i not in by_right.values()]
-        dist_left = {i: (0, None) for i in free}
-        dist_right: dict[int, tuple[int, int]] = {}
-        changed = True
-        while changed:
-            changed = False
-            for (i, j), c in cost.items():
-                if i in dist_left and by_right.get(j) != i:
-                    d = dist_left[i][0] + c
-                    if j not in dist_right or d < dist_right[j][0]:
-                        dist_right[j] = (d, i)
-                        changed = True
-                        owner = by_right.get(j)
-                        if owner is not None:
-                            dist_left[owner] = (d - cost[(owner, j)], j)
-        ends = [(d, j) for j, (d, _) in dist_right.items() if j not in by_right]
-        if not ends:
-            break
-        j = min(ends)[1]
-        while j is not None:
-            i = dist_right[j][1]
-            previous = dist_left[i][1]
-            by_right[j] = i
-            j = previous
-    chosen = {(i, j) for j, i in by_right.items()}
-    return edges[[(lefts[a], rights[b]) in chosen for a, b in zip(edges["lkey"], edges["rkey"])]]
+    rights = {k: i for i, k in enumerate(sorted(edges["rkey"].unique()))}
+    costs: list[dict[int, int]] = [{} for _ in lefts]
+    for a, b, c in zip(edges["lkey"], edges["rkey"], edges["cost"]):
+        mine = costs[lefts[a]]
+        mine[rights[b]] = min(int(c), mine.get(rights[b], int(c)))
+    alone = sum(max(mine.values()) for mine in costs) + 1
+    for i, mine in enumerate(costs):
+        mine[len(rights) + i] = alone
+    priced = [sorted(mine.items()) for mine in costs]
+    owner: dict[int, int] = {}
+    holds: dict[int, int] = {}
+    up, down = [0] * len(costs), [0] * (len(rights) + len(costs))  # prices of left and right keys
+    for i in range(len(costs)):
+        best: dict[int, int] = {}
+        asked_by: dict[int, int] = {}
+        settled: dict[int, int] = {}
+        heap: list[tuple[int, int]] = []
+        row, so_far = i, 0
+        while True:
+            for j, c in priced[row]:
+                d = so_far + c - up[row] - down[j]
+                if j not in settled and d < best.get(j, d + 1):
+                    best[j], asked_by[j] = d, row
+                    heapq.heappush(heap, (d, j))
+            so_far, end = heapq.heappop(heap)
+            while end in settled:
+                so_far, end = heapq.heappop(heap)
+            if end not in owner:
+                break
+            settled[end] = so_far
+            row = owner[end]
+        up[i] += so_far
+        for j, d in settled.items():
+            down[j] -= so_far - d
+            up[owner[j]] += so_far - d
+        while True:
+            row = asked_by[end]
+            owner[end], holds[row], given = row, end, holds.get(row)
+            if row == i:
+                break
+            end = given
+    return edges[[owner.get(rights[b]) == lefts[a] for a, b in zip(edges["lkey"], edges["rkey"])]]
 
 
 def assign(edges: DataFrame) -> DataFrame:

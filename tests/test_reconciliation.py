@@ -34,6 +34,33 @@ def test_assignment_is_optimal_not_greedy(spark):
     assert {(r["lkey"], r["rkey"]) for r in solvers.assign(edges).collect()} == {("a", "y"), ("b", "x"), ("c", "z")}
 
 
+def test_assignment_equals_trying_all():
+    rng = random.Random(6)
+
+    def best(rows):  # (pairs, -cost) of the best matching
+        if not rows:
+            return (0, 0)
+        (a, b, c), rest = rows[0], rows[1:]
+        n, cost = best([r for r in rest if r[0] != a and r[1] != b])
+        return max(best(rest), (n + 1, cost - c))
+
+    for _ in range(300):
+        rows = [(f"l{i}", f"r{j}", rng.randrange(4)) for i in range(4) for j in range(4) if rng.random() < 0.6]
+        rng.shuffle(rows)
+        got = solvers._best_assignment(pd.DataFrame(rows, columns=["lkey", "rkey", "cost"])) if rows else pd.DataFrame({"lkey": [], "rkey": [], "cost": []})
+        assert got["lkey"].is_unique and got["rkey"].is_unique and (len(got), -sum(got["cost"])) == best(rows)
+        if rows:
+            again = solvers._best_assignment(pd.DataFrame(sorted(rows), columns=["lkey", "rkey", "cost"]))
+            assert set(zip(got["lkey"], got["rkey"])) == set(zip(again["lkey"], again["rkey"]))
+
+
+def test_a_large_contested_group_is_solved_in_time():
+    rng = random.Random(7)
+    rows = [(f"l{i:04d}", f"r{j:04d}", rng.randrange(150)) for i in range(1500) for j in rng.sample(range(1500), 12)]
+    got = solvers._best_assignment(pd.DataFrame(rows, columns=["lkey", "rkey", "cost"]))
+    assert got["lkey"].is_unique and got["rkey"].is_unique and len(got) > 1480
+
+
 def test_a_chain_of_several_hundred_edges_is_one_group(spark):
     # Each left key may take the right key before it (cost 0) or its own; the first has its own only.
     chain = [(f"l{i:03d}", f"r{j:03d}", i - j, 1) for i in range(150) for j in (i, i - 1) if j >= 0] + [("m", "q", 0, 2), ("m", "s", 0, 2)]
