@@ -1,5 +1,7 @@
 """The four legs of a reconciliation, as cascades of joins over what is left.
 
+Tables read more than once are written; unions of written ones are not written again.
+
 Matches: leg, lkey, rkey, tier, confidence (thousandths), delta_paise; a match
 with several partners is several rows. Findings: key, source, code,
 disposition, value_paise.
@@ -102,7 +104,7 @@ def erp_gateway(inv: DataFrame, pg: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_inv, open_pay = left_over(done)
     unpaid = finding(open_inv, "invoice_no", "erp", "UNPAID_INVOICE", REVIEW, "gross_paise")
     unbilled = finding(open_pay, "entity_id", "pg", "UNBILLED_PAYMENT", REVIEW, "amount_paise")
-    return keep(done), keep(union(duplicates, unpaid, unbilled))
+    return done, keep(union(duplicates, unpaid, unbilled))
 
 
 def feasible_edges(edges: DataFrame, days: int) -> DataFrame:
@@ -177,7 +179,7 @@ def batch_bank(pg: DataFrame, bank: DataFrame) -> tuple[DataFrame, DataFrame]:
     gate = open_l.where(text.looks_like_settlement(F.col("narration")))
     merged = keep(solvers.consolidated(gate.select("line_no", "value_date", "amount"), open_b.select("settlement_id", "day", "net"), BANK_DAYS, AMOUNT_TOL))
     parts = merged.select(bank_key().alias("line"), F.explode("members").alias("settlement_id"), (F.col("amount") - F.col("total")).alias("delta"))
-    by_sum = keep(match(parts, leg, "line", "settlement_id", "T3_AGGREGATE", F.lit(900), "delta"))
+    by_sum = match(parts, leg, "line", "settlement_id", "T3_AGGREGATE", F.lit(900), "delta")
     notes.append(finding(parts, "settlement_id", "settlement", "MERGED_PAYOUT", AUTO, F.lit(0)))
     took_b, took_l = took_b.unionByName(by_sum.select(F.col("rkey").alias("settlement_id"))), took_l.unionByName(by_sum.select(F.col("lkey").alias("line")).distinct())
     open_b, open_l = left_over(took_b, took_l)
@@ -228,4 +230,4 @@ def reconcile(sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
         (m1, f1), (m3, f3) = of_erp.result(), of_bank.result()
     before = union(f1, integrity(inv, pg), f3)
     m4, found = direct(inv, bank, keep(before))
-    return {"matches": keep(union(m1, m3, m4)), "findings": found}
+    return {"matches": union(m1, m3, m4), "findings": found}
