@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, ogg_media, packing, secret_scan, sharding, substring_dedup, toxicity, url_trust
+from . import collocations, exact_dedup, hard_negatives, jaccard_join, line_dedup, mixing, ogg_media, packing, secret_scan, sharding, substring_dedup, toxicity, url_trust
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,14 @@ QUERIES = {
     "op8_url_trust": url_trust.op8_url_trust,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_ogg_media": ogg_media.op10_ogg_media,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_collocations": collocations.op13_collocations,
 }
 
-ORACLES = {"op9_exact_dedup": exact_dedup.OP9_SQL}
+ORACLES = {
+    "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_line_dedup": line_dedup.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
+}
