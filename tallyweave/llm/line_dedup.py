@@ -93,7 +93,7 @@ def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     rows = docs.select(docs[id_col].cast("long").alias("ord"), F.xxhash64(text).alias("th"), text.alias("text"))
     bitmaps = keep(keep_bitmaps(dropped_lines(keep(line_records(rows, min_chars)), min_docs)))
     marks = bitmaps.select(F.col("ord").alias("id"), F.col("th").alias("hash"), "words", "n_dropped")
-    marked = rows.join(marks, F.col("ord").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash")), "left")
+    marked = rows.join(marks.hint("merge"), F.col("ord").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(lines, F.col("words")), "\n"))
     return marked.select(F.col("ord").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "words", kept.alias("kept_text"))
