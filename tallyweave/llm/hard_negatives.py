@@ -137,6 +137,7 @@ def _ordered(rows: DataFrame, size: int, width: int, count: int) -> DataFrame:
     """Blocks numbered from 0 in the order of the leaves, written."""
     parts = min(shuffle_parts(rows.sparkSession), max(1, count // (4 * size)))
     dealt = rows.repartitionByRange(parts, "leaf", "along", F.xxhash64("row")).sortWithinPartitions("leaf", "along", F.xxhash64("row"))
+    dealt = dealt.coalesce(parts)  # neighbouring ranges, where the session deals more of them
     blocks = keep(dealt.mapInArrow(_blocks(size, width), BLOCKS).withColumn("part", F.spark_partition_id()))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = F.broadcast(blocks.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))  # a row for each range
