@@ -3,31 +3,28 @@
 A judge is any callable (key, candidate keys) -> candidate key or None, such as a
 model or a rule. It sees the three best candidates of an item that are still
 free, and may only pick among them. Items are served in order, as each accepted
-pick takes its candidate from the later ones.
-
-That serial order is kept without a serial loop: in each round all items are
-served that share no candidate with an earlier open item, so a round is a join,
-a window and one pass of the judge over the items due, inside Spark's tasks.
+pick takes its candidate from the later ones; ``serial`` keeps that order by asking
+all open items at once and keeping what no earlier pick can upset.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.scratch import keep
-from . import legs, solvers
+from . import legs, serial
+from .nearest import nearest
 
 Judge = Callable[[str, list[str]], str | None]
 OFFERED = 3
-REACH = 10 * legs.ADJUDICATION_TOL  # how far off an amount may be to be offered at all; beyond the gate no pick is accepted
 CONFIDENCE = 620
 LOG = "lkey string, candidates array<string>, chose string, verdict string"
+_DECIDED = "candidates array<string>, chose string, verdict string"
 
 
 def decline(key: str, candidates: list[str]) -> None:
@@ -45,32 +42,65 @@ def top_candidates(edges: DataFrame, k: int = OFFERED) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("lkey", "rank", "rkey", "diff", "gap")
 
 
-def adjudicate(edges: DataFrame, judge: Judge = decline) -> DataFrame:
+def _asking(judge: Judge) -> serial.Decide:
+    def decide(item: str, options: list[dict]) -> tuple[int | None, int, tuple | None]:
+        offered = [o["rkey"] for o in options[:OFFERED]]
+        if not offered:
+            return None, 0, None  # all taken: nobody is asked
+        pick = judge(item, offered)
+        at = offered.index(pick) if pick in offered else None
+        verdict = "declined" if at is None else "accepted" if options[at]["fits"] else "rejected_by_arithmetic"
+        return (at if verdict == "accepted" else None), len(offered), (offered, pick, verdict)
+
+    return decide
+
+
+def _in_order(edges: DataFrame) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("lkey").orderBy("diff", "gap", "rkey"))
+    return edges.select(F.col("lkey").alias("ord"), F.col("lkey").alias("item"), place.alias("place"), F.array("rkey").alias("takes"), "rkey", "fits")
+
+
+def adjudicate(edges: DataFrame, judge: Judge = decline, chunk: int = serial.CHUNK) -> DataFrame:
     """The log of all decisions: lkey, candidates, chose, verdict (accepted, declined or rejected_by_arithmetic).
 
-    edges: lkey, rkey, diff, gap, fits (whether the arithmetic holds); items go in order of lkey.
+    edges: lkey, rkey, diff, gap, fits (whether the arithmetic holds), all that there are; items go in order of lkey.
     """
-    open_, log = keep(edges.select("lkey", "rkey", "diff", "gap", "fits")), None
-
-    def ask(batches):
-        for b in batches:
-            rows = []
-            for key, offers in zip(b["lkey"], b["offers"]):
-                offered = {o["rkey"]: o["fits"] for o in sorted(offers, key=lambda o: o["rank"])}
-                pick = judge(key, list(offered))
-                verdict = "declined" if pick not in offered else "accepted" if offered[pick] else "rejected_by_arithmetic"
-                rows.append((key, list(offered), pick, verdict))
-            yield pd.DataFrame(rows, columns=["lkey", "candidates", "chose", "verdict"])
-
-    while not open_.isEmpty():
-        first = open_.groupBy("rkey").agg(F.min("lkey").alias("first"))
-        offers = open_.withColumn("rank", F.row_number().over(W.partitionBy("lkey").orderBy("diff", "gap", "rkey"))).where(F.col("rank") <= OFFERED)
-        due = offers.join(first, "rkey").groupBy("lkey").agg(F.bool_and(F.col("first") == F.col("lkey")).alias("due"), F.collect_list(F.struct("rank", "rkey", "fits")).alias("offers")).where("due")
-        asked = keep(due.select("lkey", "offers").mapInPandas(ask, LOG))
-        log = asked if log is None else log.unionByName(asked)
-        taken = asked.where("verdict = 'accepted'").select(F.col("chose").alias("rkey"))
-        open_ = keep(open_.join(asked.select("lkey"), "lkey", "left_anti").join(taken, "rkey", "left_anti").select(open_.columns))
-    return edges.sparkSession.createDataFrame([], LOG) if log is None else log
+    return serial.choose(_in_order(edges), _asking(judge), _DECIDED, chunk=chunk).withColumnRenamed("item", "lkey")
+
+
+def adjudicate_nearest(left: DataFrame, right: DataFrame, judge: Judge = decline, gate: Column | None = None, chunk: int = serial.CHUNK) -> DataFrame:
+    """The same log where an item's candidates are the three rows of ``right`` that are nearest and free, however far.
+
+    left: lkey, amount, ldate; right: rkey, amount, rdate and what ``gate`` reads. A pick
+    fits within ADJUDICATION_TOL, where the gate holds too; so an item can only ever take
+    rows in the cells of amounts around its own.
+    """
+    left, right = keep(left), keep(right)
+    cell = lambda amount: F.floor(amount / legs.ADJUDICATION_TOL)
+    names = lambda cells: F.transform(cells, lambda c: F.concat(F.lit("cell "), c.cast("string")))
+
+    def offers(decided: DataFrame | None, taken: DataFrame | None) -> DataFrame:
+        items, free = left, right.withColumn("by", F.lit(None).cast("string"))
+        if decided is not None:
+            items = keep(left.join(decided, left["lkey"] == decided["item"], "left_anti"))
+            first = F.broadcast(items.agg(F.min("lkey").alias("first")))  # one row
+            free = right.join(taken, right["rkey"] == taken["t"], "left").join(first).where("by is null or by > first").drop("t", "first")
+        k, found = OFFERED, None
+        while found is None:
+            near = keep(nearest(items, free, k))
+            seen = F.count_if(F.expr("by is null or by > lkey"))
+            if near.groupBy("lkey").agg(seen.alias("seen"), F.count(F.lit(1)).alias("n")).where((F.col("seen") < OFFERED) & (F.col("n") == k)).isEmpty():
+                found = near.where("by is null or by > lkey").withColumn("rank", F.row_number().over(W.partitionBy("lkey").orderBy("rank"))).where(F.col("rank") <= OFFERED)
+            k *= 2  # rows that earlier items took stand in the way of some
+        fits = F.col("diff") <= legs.ADJUDICATION_TOL
+        found = found.withColumn("fits", fits if gate is None else fits & gate)
+        own = cell(F.col("lamount"))
+        return found.select(
+            F.col("lkey").alias("ord"), F.col("lkey").alias("item"), F.col("rank").alias("place"), F.array("rkey").alias("takes"), "rkey", "fits",
+            names(F.array(cell(F.col("ramount")))).alias("tokens"), names(F.array(own - 1, own, own + 1)).alias("reach"),
+        )
+
+    return serial.choose(offers(None, None), _asking(judge), _DECIDED, offers, chunk).withColumnRenamed("item", "lkey")
 
 
 def verdicts(log: DataFrame) -> DataFrame:
@@ -85,24 +115,18 @@ def _open(df: DataFrame, key: str, findings: DataFrame, code: str) -> DataFrame:
     return df.join(findings.where(F.col("code") == code).select(F.col("key").alias(key)).distinct(), key, "left_semi")
 
 
-def _within(left: DataFrame, right: DataFrame) -> DataFrame:
-    """lkey, rkey, diff, gap of pairs no further apart than REACH; fits where the amounts pass the gate."""
-    pairs = solvers.band_pairs(left, right, REACH)
-    diff = F.abs(F.col("lamount") - F.col("ramount"))
-    return pairs.withColumns({"diff": diff, "gap": F.abs(F.datediff("ldate", "rdate")), "fits": diff <= legs.ADJUDICATION_TOL})
-
-
-def payments_for_invoices(inv: DataFrame, pg: DataFrame, findings: DataFrame) -> DataFrame:
+def payments_for_invoices(inv: DataFrame, pg: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame, None]:
+    """(open invoices, open payments, no gate but the amounts)"""
     left = _open(inv, "invoice_no", findings, "UNPAID_INVOICE").select(F.col("invoice_no").alias("lkey"), F.col("gross_paise").alias("amount"), F.col("invoice_date").alias("ldate"))
     right = _open(pg, "entity_id", findings, "UNBILLED_PAYMENT").select(F.col("entity_id").alias("rkey"), F.col("amount_paise").alias("amount"), F.col("created_at").cast("date").alias("rdate"))
-    return _within(left, right)
+    return left, right, None
 
 
-def lines_for_batches(pg: DataFrame, bank: DataFrame, findings: DataFrame) -> DataFrame:
-    """A line also has to read like a settlement to fit."""
+def lines_for_batches(pg: DataFrame, bank: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """(open batches, open lines, the gate: a line also has to read like a settlement)"""
     left = _open(legs.batches(pg), "settlement_id", findings, "MISSING_IN_BANK").select(F.col("settlement_id").alias("lkey"), F.col("net_paise").alias("amount"), F.col("settled_at").cast("date").alias("ldate"))
     right = _open(bank.withColumn("rkey", legs.bank_key()), "rkey", findings, "UNEXPECTED_BANK_CREDIT").select("rkey", F.col("amount_paise").alias("amount"), F.col("value_date").alias("rdate"), text.looks_like_settlement(F.col("narration")).alias("gateway"))
-    return _within(left, right).withColumn("fits", F.col("fits") & F.col("gateway"))
+    return left, right, F.col("gateway")
 
 
 def invoices_for_lines(inv: DataFrame, bank: DataFrame, findings: DataFrame) -> DataFrame:
@@ -118,17 +142,23 @@ def consult(sources: dict[str, DataFrame], run: dict[str, DataFrame], judge: Jud
     """
     inv, pg, bank = (sources[k] for k in ("inv", "pg", "bank"))
     matches, found, logs = run["matches"], run["findings"], []
-    for leg, edges, gone in (
-        ("erp_to_gateway", lambda f: payments_for_invoices(inv, pg, f), ("UNPAID_INVOICE", "UNBILLED_PAYMENT")),
-        ("settlement_to_bank", lambda f: lines_for_batches(pg, bank, f), ("MISSING_IN_BANK", "UNEXPECTED_BANK_CREDIT")),
-        ("invoice_to_bank", lambda f: invoices_for_lines(inv, bank, f), ("UNPAID_INVOICE", "UNEXPECTED_BANK_CREDIT")),
-    ):
+    for leg, gone in (("erp_to_gateway", ("UNPAID_INVOICE", "UNBILLED_PAYMENT")), ("settlement_to_bank", ("MISSING_IN_BANK", "UNEXPECTED_BANK_CREDIT")), ("invoice_to_bank", ("UNPAID_INVOICE", "UNEXPECTED_BANK_CREDIT"))):
         if leg not in on:
             continue
-        offers = keep(edges(found))
-        log = keep(adjudicate(offers, judge))
+        if leg == "invoice_to_bank":
+            offers = keep(invoices_for_lines(inv, bank, found))
+            log = keep(adjudicate(offers, judge))
+        else:
+            left, right, gate = payments_for_invoices(inv, pg, found) if leg == "erp_to_gateway" else lines_for_batches(pg, bank, found)
+            log = keep(adjudicate_nearest(left, right, judge, gate))
+            offers = None
         logs.append(log.select(F.lit(leg).alias("leg"), "*"))
-        picked = keep(log.where("verdict = 'accepted'").select("lkey", F.col("chose").alias("rkey")).join(offers, ["lkey", "rkey"]))
+        picked = log.where("verdict = 'accepted'").select("lkey", F.col("chose").alias("rkey"))
+        if offers is None:
+            picked = picked.join(left.select("lkey", F.col("amount").alias("lamount")), "lkey").join(right.select("rkey", F.col("amount").alias("ramount")), "rkey")
+        else:
+            picked = picked.join(offers, ["lkey", "rkey"])
+        picked = keep(picked)
         direct = leg == "invoice_to_bank"
         left, right = ("rkey", "lkey") if direct else ("lkey", "rkey")
         delta = F.col("ramount") - (F.col("gross_paise") if direct else F.col("lamount"))

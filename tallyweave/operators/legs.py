@@ -97,9 +97,9 @@ def erp_gateway(inv: DataFrame, pg: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = solvers.band_pairs(
         open_inv.select(F.col("invoice_no").alias("lkey"), F.col("gross_paise").alias("amount"), F.col("invoice_date").alias("ldate")),
         open_pay.select(F.col("entity_id").alias("rkey"), F.col("amount_paise").alias("amount"), F.col("created_at").cast("date").alias("rdate")),
-        AMOUNT_TOL,
-    )
-    t2 = keep(_assigned(edges, ERP_DAYS, leg))
+        AMOUNT_TOL, ERP_DAYS, ERP_DAYS,
+    )
+    t2 = keep(_assigned(edges, leg))
     done = done.unionByName(t2)
     open_inv, open_pay = left_over(done)
     unpaid = finding(open_inv, "invoice_no", "erp", "UNPAID_INVOICE", REVIEW, "gross_paise")
@@ -107,13 +107,14 @@ def erp_gateway(inv: DataFrame, pg: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done, keep(union(duplicates, unpaid, unbilled))
 
 
-def feasible_edges(edges: DataFrame, days: int) -> DataFrame:
+def priced(edges: DataFrame) -> DataFrame:
+    """Edges with the days between them and the cost of taking them: amounts first, days as a tie-break."""
     gap = F.abs(F.datediff("ldate", "rdate"))
-    return edges.withColumn("gap", gap).where(F.col("gap") <= days).withColumn("cost", F.abs(F.col("lamount") - F.col("ramount")) + F.col("gap") * 10)
+    return edges.withColumn("gap", gap).withColumn("cost", F.abs(F.col("lamount") - F.col("ramount")) + F.col("gap") * 10)
 
 
-def _assigned(edges: DataFrame, days: int, leg: str) -> DataFrame:
-    best = solvers.assign(feasible_edges(edges, days).select("lkey", "rkey", "cost", "gap", "lamount", "ramount"))
+def _assigned(edges: DataFrame, leg: str) -> DataFrame:
+    best = solvers.assign(priced(edges).select("lkey", "rkey", "cost", "gap", "lamount", "ramount"))
     return match(best, leg, "lkey", "rkey", "T2_AMOUNT_DATE", F.greatest(F.lit(700), 920 - 30 * F.col("gap")), F.col("ramount") - F.col("lamount"))
 
 
@@ -186,9 +187,9 @@ def batch_bank(pg: DataFrame, bank: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = solvers.band_pairs(
         open_b.select(F.col("settlement_id").alias("lkey"), F.col("net").alias("amount"), F.col("day").alias("ldate")),
         open_l.where(text.looks_like_settlement(F.col("narration"))).select(F.col("line").alias("rkey"), "amount", F.col("value_date").alias("rdate")),
-        AMOUNT_TOL,
-    )
-    t2 = keep(_assigned(edges, BANK_DAYS, leg))
+        AMOUNT_TOL, BANK_DAYS, BANK_DAYS,
+    )
+    t2 = keep(_assigned(edges, leg))
     open_b, open_l = left_over(took_b.unionByName(t2.select(F.col("lkey").alias("settlement_id"))), took_l.unionByName(t2.select(F.col("rkey").alias("line"))))
     notes.append(finding(open_b, "settlement_id", "settlement", "MISSING_IN_BANK", REVIEW, "net"))
     notes.append(finding(open_l, "line", "bank", "UNEXPECTED_BANK_CREDIT", REVIEW, "amount"))
@@ -206,10 +207,9 @@ def direct_edges(inv: DataFrame, bank: DataFrame, found: DataFrame) -> DataFrame
     wanted = F.array_distinct(F.array(gross, *[gross - money.half_even(gross, b) for b in money.TDS_BPS]))
     left = unpaid.select(F.col("invoice_no").alias("lkey"), F.col("seq").alias("lseq"), "customer", F.col("invoice_date").alias("ldate"), "gross_paise", F.explode(wanted).alias("amount"))
     right = lines.select(F.col("line").alias("rkey"), F.col("line_no").alias("rseq"), "narration", F.col("value_date").alias("rdate"), F.col("amount_paise").alias("amount"))
-    pairs = solvers.band_pairs(left, right, AMOUNT_TOL).withColumn("relation", money.tds_relation(F.col("gross_paise"), F.col("ramount"), AMOUNT_TOL))
-    gap = F.datediff("rdate", "ldate")
+    pairs = solvers.band_pairs(left, right, AMOUNT_TOL, 0, DIRECT_DAYS).withColumn("relation", money.tds_relation(F.col("gross_paise"), F.col("ramount"), AMOUNT_TOL))
     score = text.token_overlap(text.name_tokens(F.col("customer")), text.name_tokens(F.col("narration")))
-    return pairs.where(gap.between(0, DIRECT_DAYS) & F.col("relation").isNotNull()).select("lkey", "rkey", "lseq", "rseq", "relation", "gross_paise", F.col("ramount"), score.alias("score")).distinct()
+    return pairs.where(F.col("relation").isNotNull()).select("lkey", "rkey", "lseq", "rseq", "relation", "gross_paise", F.col("ramount"), score.alias("score")).distinct()
 
 
 def direct(inv: DataFrame, bank: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:

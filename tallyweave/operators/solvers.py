@@ -1,8 +1,8 @@
 """The set-to-set steps: optimal assignment, consolidated payouts and contested receipts.
 
-Set operations decide everything uncontested; only connected groups of
-contested rows, of whatever is left after earlier tiers, reach the grouped-map
-functions here, one small group at a time.
+Set operations decide everything uncontested. Contested rows of the serial steps go to
+``serial``; those of the assignment are solved a connected group at a time, in a task
+while a group is small and by ``auction`` when it is not.
 """
 
 from __future__ import annotations
@@ -10,23 +10,51 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import keep
+from . import auction, serial
 
 
-def band_pairs(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame:
-    """Join on |left.amount - right.amount| <= tolerance by amount buckets, as an equi-join.
+CELL = 20_000  # left rows of a cell that one task may get
+IN_TASK = 200_000  # edges of a contested group that one task may solve
 
-    left: lkey, amount, ...; right: rkey, amount, ...; columns get no prefix but amounts do.
+
+def _cells(value: Column, before: int, after: int) -> Column:
+    """The cells of width before + after + 1 that hold value - before to value + after: one or two."""
+    width = before + after + 1
+    return F.sequence(F.floor((value - before) / width), F.floor((value + after) / width))
+
+
+def _day(column: str) -> Column:
+    return F.datediff(column, F.lit("1970-01-01").cast("date")).cast("long")
+
+
+def band_pairs(left: DataFrame, right: DataFrame, tolerance: int | None, before: int, after: int) -> DataFrame:
+    """Join on |lamount - ramount| <= tolerance and ldate - before <= rdate <= ldate + after, as an equi-join on a grid of amounts and days.
+
+    left: lkey, amount, ldate, ...; right: rkey, amount, rdate, ...; the amounts become
+    lamount and ramount. Without a tolerance days alone count. Left rows of a cell with
+    more than CELL of them are dealt to several tasks, the right rows go to each of these.
     """
-    width = tolerance + 1
-    bucket = F.floor(F.col("amount") / width)
-    a = left.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).withColumnRenamed("amount", "lamount")
-    b = right.withColumn("bucket", bucket).withColumnRenamed("amount", "ramount")
-    return a.join(b, "bucket").where(F.abs(F.col("lamount") - F.col("ramount")) <= tolerance).drop("bucket")
+    days = before + after + 1
+    a = left.withColumnRenamed("amount", "lamount").withColumn("dcell", F.explode(_cells(_day("ldate"), before, after)))
+    b = right.withColumnRenamed("amount", "ramount").withColumn("dcell", F.floor(_day("rdate") / days))
+    keys = ["dcell"]
+    if tolerance is not None:
+        a = a.withColumn("acell", F.explode(_cells(F.col("lamount"), tolerance, tolerance)))
+        b = b.withColumn("acell", F.floor(F.col("ramount") / (2 * tolerance + 1)))
+        keys.append("acell")
+    hot = a.groupBy(keys).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts")).where("parts > 1")  # combined before it is dealt
+    a = a.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("lkey"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    b = b.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    gap = F.datediff("rdate", "ldate")
+    pairs = a.join(b, [*keys, "salt"]).where((gap >= -before) & (gap <= after))
+    if tolerance is not None:
+        pairs = pairs.where(F.abs(F.col("lamount") - F.col("ramount")) <= tolerance)
+    return pairs.drop(*keys, "salt")
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -112,10 +140,11 @@ def _best_assignment(edges: pd.DataFrame) -> pd.DataFrame:
     return edges[[owner.get(rights[b]) == lefts[a] for a, b in zip(edges["lkey"], edges["rkey"])]]
 
 
-def assign(edges: DataFrame) -> DataFrame:
-    """The optimal one-to-one subset of edges (lkey, rkey, cost, ...).
+def assign(edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """The optimal one-to-one subset of edges (lkey, rkey, cost, ...): most pairs, then least cost.
 
-    An edge whose two ends have no other edge is taken as it is.
+    An edge whose two ends have no other edge is taken as it is. Connected groups of up
+    to ``in_task`` edges are solved in a task each, larger ones by an auction in rounds.
     """
     edges = keep(edges)
     lone_l = edges.groupBy("lkey").count().where("count = 1").select("lkey")
@@ -124,91 +153,65 @@ def assign(edges: DataFrame) -> DataFrame:
     rest = edges.join(single.select("lkey", "rkey"), ["lkey", "rkey"], "left_anti").select(edges.columns)
     if rest.isEmpty():
         return single
+    grouped = keep(groups_of(rest))
+    large = grouped.groupBy("grp").count().where(F.col("count") > in_task).select("grp")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema)
-
     names = edges.columns
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return _best_assignment(pdf)[names]
 
-    return single.unionByName(groups_of(rest).groupBy("grp").applyInPandas(solve, schema))
+    out = single.unionByName(grouped.join(large, "grp", "left_anti").groupBy("grp").applyInPandas(solve, schema))
+    if large.isEmpty():
+        return out
+    return out.unionByName(auction.assign(grouped.join(large, "grp", "left_semi").select(names)))
 
 
-def _first_come(edges: pd.DataFrame) -> pd.DataFrame:
-    """Serial choice: left rows in order, each takes its best free right row."""
-    taken, out = set(), []
-    for _, mine in edges.sort_values(["lseq", "rseq"]).groupby("lseq", sort=True):
-        mine = mine[~mine["rkey"].isin(taken)]
-        if len(mine):
-            best = mine.sort_values(["score", "rseq"], ascending=[False, True]).iloc[0]
-            taken.add(best["rkey"])
-            out.append(best.name)
-    return edges.loc[out]
+def _first_free(item: str, options: list[dict]) -> tuple[int | None, int, tuple | None]:
+    return (0, 1, (options[0]["takes"][0],)) if options else (None, 0, None)
 
 
-def first_come(edges: DataFrame) -> DataFrame:
-    """Edges (lkey, rkey, lseq, rseq, score, ...) that a serial choice in order of lseq takes."""
+def first_come(edges: DataFrame, chunk: int = serial.CHUNK) -> DataFrame:
+    """Edges (lkey, rkey, lseq, rseq, score, ...) that a serial choice in order of lseq takes: the best score, then the first rseq."""
     edges = keep(edges)
-    lone_l = edges.groupBy("lkey").count().where("count = 1").select("lkey")
-    lone_r = edges.groupBy("rkey").count().where("count = 1").select("rkey")
-    single = edges.join(lone_l, "lkey", "left_semi").join(lone_r, "rkey", "left_semi").select(edges.columns)
-    rest = edges.join(single.select("lkey", "rkey"), ["lkey", "rkey"], "left_anti").select(edges.columns)
-    if rest.isEmpty():
-        return single
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema)
-    names = edges.columns
-    return single.unionByName(groups_of(rest).groupBy("grp").applyInPandas(lambda pdf: _first_come(pdf)[names], schema))
+    place = F.row_number().over(W.partitionBy("lkey").orderBy(F.desc("score"), "rseq"))
+    options = edges.select(F.col("lseq").alias("ord"), F.col("lkey").alias("item"), place.alias("place"), F.array("rkey").alias("takes"))
+    taken = serial.choose(options, _first_free, "rkey string", chunk=chunk)
+    return edges.join(taken.withColumnRenamed("item", "lkey"), ["lkey", "rkey"]).select(edges.columns)
 
 
-def _consolidated(options: pd.DataFrame) -> pd.DataFrame:
-    """Lines in order take the smallest, tightest set of free batches; a tie is left for a human."""
-    gone, out = set(), []
-    for _, mine in options.groupby("line_no", sort=True):
-        mine = mine[[not gone.intersection(m) for m in mine["members"]]]
-        mine = mine[mine["size"] == mine["size"].min()]
-        mine = mine[mine["span"] == mine["span"].min()]
-        if len(mine) == 1:
-            gone.update(mine.iloc[0]["members"])
-            out.append(mine.index[0])
-    return options.loc[out]
+def _smallest_and_tightest(item: str, options: list[dict]) -> tuple[int | None, int, tuple | None]:
+    """The first set, unless the next is as small and as tight; that is left for a human."""
+    if not options:
+        return None, 0, None
+    best = (options[0]["size"], options[0]["span"])
+    tied = sum((o["size"], o["span"]) == best for o in options)
+    return (0, 1, (list(options[0]["takes"]),)) if tied == 1 else (None, tied, None)
 
 
-def consolidated(lines: DataFrame, batches: DataFrame, window: int, tolerance: int) -> DataFrame:
+def consolidated(lines: DataFrame, batches: DataFrame, window: int, tolerance: int, chunk: int = serial.CHUNK) -> DataFrame:
     """line_no, amount, members, size, span, total of credits that pay two or three batches.
 
-    lines: line_no, value_date, amount; batches: settlement_id, day, net.
+    lines: line_no, value_date, amount; batches: settlement_id, day, net. Sums of two
+    batches are made once for all lines and met on the grid of ``band_pairs`` by the
+    lines, and by what is left of a line after one batch more.
     """
-    near = lines.withColumn("day", F.explode(F.sequence(F.date_sub("value_date", window), F.date_add("value_date", window)))).join(batches, "day").select("line_no", "amount", "settlement_id", "day", "net")
-    near = keep(near)
-    width = tolerance + 1
-    bucket = lambda c: F.floor(c / width)
-    last = near.select("line_no", F.col("settlement_id").alias("s2"), F.col("day").alias("d2"), F.col("net").alias("n2"), bucket(F.col("net")).alias("bucket"))
-
-    def completed(sets: DataFrame) -> DataFrame:
-        """sets (line_no, amount, members, first, final, so_far) and one batch more that reaches the amount."""
-        want = bucket(F.col("amount") - F.col("so_far"))
-        probe = sets.withColumn("bucket", F.explode(F.array(want - 1, want, want + 1)))
-        joined = probe.join(last, ["line_no", "bucket"]).where((F.col("s2") > F.element_at("members", -1)) & (F.abs(F.col("so_far") + F.col("n2") - F.col("amount")) <= tolerance))
-        return joined.select(
-            "line_no", "amount", F.concat("members", F.array("s2")).alias("members"), (F.size("members") + 1).alias("size"),
-            F.datediff(F.greatest("final", "d2"), F.least("first", "d2")).alias("span"), (F.col("so_far") + F.col("n2")).alias("total"),
-        )
-
-    ones = near.select("line_no", "amount", F.array("settlement_id").alias("members"), F.col("day").alias("first"), F.col("day").alias("final"), F.col("net").alias("so_far"))
-    more = near.select("line_no", F.col("settlement_id").alias("s1"), F.col("day").alias("d1"), F.col("net").alias("n1"))
-    twos = ones.join(more, "line_no").where(F.col("s1") > F.element_at("members", -1)).select("line_no", "amount", F.concat("members", F.array("s1")).alias("members"), F.least("first", "d1").alias("first"), F.greatest("final", "d1").alias("final"), (F.col("so_far") + F.col("n1")).alias("so_far"))
-    names = ["line_no", "amount", "members", "size", "span", "total"]
-    options = keep(completed(ones).unionByName(completed(twos)).select(names))
-    # A line is contested if one of its batches is an option of another line too.
-    wanted = options.select("line_no", F.explode("members").alias("m")).distinct()
-    shared = wanted.groupBy("m").count().where("count > 1").select("m")
-    contested = keep(wanted.join(shared, "m", "left_semi"))
-    clear = options.join(contested.select("line_no").distinct(), "line_no", "left_anti").select(names)
-    best = W.partitionBy("line_no").orderBy("size", "span")
-    alone = clear.withColumn("r", F.rank().over(best)).where("r = 1").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("line_no"))).where("n = 1").select(names)
-    if contested.isEmpty():
-        return alone
-    edges = wanted.join(contested.select("line_no").distinct(), "line_no", "left_semi").select(F.col("line_no").cast("string").alias("lkey"), F.col("m").alias("rkey"))
-    grouped = groups_of(edges).select(F.col("lkey").cast("int").alias("line_no"), "grp").distinct()
-    schema = "line_no int, amount long, members array<string>, size int, span int, total long"
-    return alone.unionByName(options.join(grouped, "line_no").groupBy("grp").applyInPandas(lambda pdf: _consolidated(pdf)[names], schema))
+    batches, lines = keep(batches), keep(lines)
+    ones = batches.select(F.col("settlement_id").alias("lkey"), F.col("net").alias("amount"), F.col("day").alias("ldate"))
+    others = batches.select(F.col("settlement_id").alias("rkey"), F.col("net").alias("amount"), F.col("day").alias("rdate"))
+    twos = band_pairs(ones, others, None, 2 * window, 2 * window).where("lkey < rkey")
+    twos = keep(twos.select(F.array("lkey", "rkey").alias("members"), (F.col("lamount") + F.col("ramount")).alias("amount"), F.least("ldate", "rdate").alias("rdate"), F.greatest("ldate", "rdate").alias("final"), F.col("rkey").alias("rkey")))
+    asked = lines.select(F.col("line_no").cast("string").alias("lkey"), "line_no", F.col("amount").alias("paid"), "amount", F.col("value_date").alias("ldate"))
+    within = F.abs(F.datediff("ldate", "final")) <= window
+    pays_two = band_pairs(asked, twos, tolerance, window, window).where(within)
+    pays_two = pays_two.select("line_no", F.col("paid").alias("amount"), "members", F.lit(2).alias("size"), F.datediff("final", "rdate").alias("span"), F.col("ramount").alias("total"))
+    near = band_pairs(asked, others.withColumnRenamed("rkey", "third"), None, window, window)
+    left = near.select("lkey", "line_no", "paid", (F.col("lamount") - F.col("ramount")).alias("amount"), "ldate", "third", F.col("rdate").alias("day"), F.col("ramount").alias("net"))
+    pays_three = band_pairs(left, twos, tolerance, window, window).where(within & (F.col("third") > F.col("rkey")))
+    span = F.datediff(F.greatest("final", "day"), F.least("rdate", "day"))
+    pays_three = pays_three.select("line_no", F.col("paid").alias("amount"), F.concat("members", F.array("third")).alias("members"), F.lit(3).alias("size"), span.alias("span"), (F.col("ramount") + F.col("net")).alias("total"))
+    options = keep(pays_two.unionByName(pays_three))
+    place = F.row_number().over(W.partitionBy("line_no").orderBy("size", "span", "members"))
+    offered = options.select(F.col("line_no").alias("ord"), F.col("line_no").cast("string").alias("item"), place.alias("place"), F.col("members").alias("takes"), "size", "span")
+    taken = serial.choose(offered, _smallest_and_tightest, "members array<string>", chunk=chunk)
+    return options.join(taken.select(F.col("item").cast("int").alias("line_no"), "members"), ["line_no", "members"]).select(options.columns)

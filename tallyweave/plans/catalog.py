@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..operators import adjudicate, answers, evidence, legs, reporting
+from ..operators.nearest import nearest
 from ..sources import exports, sinks
 from ..sources.scratch import keep, shared_folder
 from ..sources.world import world
@@ -387,17 +388,19 @@ def _(spark, sf_dir):
 
 
 @query("candidates_for_invoices", """SELECT * FROM (SELECT invoice_no AS lkey, row_number() OVER (PARTITION BY invoice_no ORDER BY abs(gross_paise - amount_paise), abs(datediff('day', invoice_date, CAST(created_at AS DATE))), entity_id) AS rank, entity_id AS rkey, abs(gross_paise - amount_paise) AS diff,
-  abs(datediff('day', invoice_date, CAST(created_at AS DATE))) AS gap FROM unpaid JOIN unbilled ON abs(gross_paise - amount_paise) <= 50000 WHERE invoice_no NOT IN (SELECT invoice_no FROM dmatch)) WHERE rank <= 3""")
+  abs(datediff('day', invoice_date, CAST(created_at AS DATE))) AS gap FROM unpaid, unbilled WHERE invoice_no NOT IN (SELECT invoice_no FROM dmatch)) WHERE rank <= 3""")
 def _(spark, sf_dir):
     w, found = world(spark, sf_dir), runs.full(spark, sf_dir)["findings"]
-    return adjudicate.top_candidates(adjudicate.payments_for_invoices(w["inv"], w["pg"], found))
+    left, right, _ = adjudicate.payments_for_invoices(w["inv"], w["pg"], found)
+    return nearest(left, right).select("lkey", "rank", "rkey", "diff", "gap")
 
 
 @query("candidates_for_batches", """SELECT * FROM (SELECT settlement_id AS lkey, row_number() OVER (PARTITION BY settlement_id ORDER BY abs(net - u.amount_paise), abs(datediff('day', sday, value_date)), line) AS rank, line AS rkey, CAST(abs(net - u.amount_paise) AS BIGINT) AS diff,
-  abs(datediff('day', sday, value_date)) AS gap FROM missing JOIN unexp u ON abs(net - u.amount_paise) <= 50000 WHERE line NOT IN (SELECT line FROM dmatch)) WHERE rank <= 3""")
+  abs(datediff('day', sday, value_date)) AS gap FROM missing, unexp u WHERE line NOT IN (SELECT line FROM dmatch)) WHERE rank <= 3""")
 def _(spark, sf_dir):
     w, found = world(spark, sf_dir), runs.full(spark, sf_dir)["findings"]
-    return adjudicate.top_candidates(adjudicate.lines_for_batches(w["pg"], w["bank"], found))
+    left, right, _ = adjudicate.lines_for_batches(w["pg"], w["bank"], found)
+    return nearest(left, right).select("lkey", "rank", "rkey", "diff", "gap")
 
 
 def _judged(spark, sf_dir) -> dict[str, DataFrame]:
@@ -565,3 +568,6 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The whole way: files are written, read with their rejects, and reconciled."""
     return reporting.tiers(legs.reconcile(_from_files(spark, sf_dir))["matches"])
+
+
+from . import contested  # noqa: E402, F401  (it adds its queries to these)
