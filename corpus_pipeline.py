@@ -24,14 +24,17 @@ from tallyweave.llm.common import keep, owned, release
 MAX_EPOCHS = 1.5
 
 
-#: Tables that the stages of one run keep; each stage's may go once its result is written, which the next stage shows.
+#: Tables that the stages of the last run on a folder keep; each stage's may go once its result is written, which the next stage shows.
 _tables: dict[str, list[str]] = {}
 
 
 def stage(f):
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        mine = _tables.setdefault(f"{spark.sparkContext.applicationId} {sf_dir}", [])
+        run_of = f"{spark.sparkContext.applicationId} {sf_dir}"
+        if f.__name__ == STAGES[0][1].__name__:
+            _tables[run_of] = []  # a run of its own: what an earlier one on this folder keeps may not have been read yet
+        mine = _tables.setdefault(run_of, [])
         release(spark, mine)
         with owned(mine):
             return f(spark, docs, sf_dir)

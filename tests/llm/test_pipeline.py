@@ -83,3 +83,9 @@ def test_a_result_that_is_not_read_yet_survives_the_pipeline(spark, sf_dir):
     before = registry.QUERIES["op7_sharding"](spark, sf_dir)
     corpus_pipeline.run(spark, sf_dir).count()
     assert before.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_two_runs_on_one_folder_can_both_be_read(spark, planted):
+    folder, _ = planted
+    first, second = corpus_pipeline.run(spark, folder), corpus_pipeline.run(spark, folder)
+    assert first.count() == second.count() > 0
