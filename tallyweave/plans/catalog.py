@@ -12,6 +12,7 @@ from ..functions import money, text
 from ..operators import adjudicate, answers, evidence, legs, reporting
 from ..operators.nearest import nearest
 from ..sources import exports, sinks
+from ..sources import records as files
 from ..sources.scratch import keep, shared_folder
 from ..sources.world import world
 from . import runs, truth
@@ -542,10 +543,23 @@ def _(spark, sf_dir):
     cells = {"line_no": F.when(k % 11 == 3, "x").otherwise(k.cast("string")), "value_date": F.when(k % 11 == 5, "someday").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")), "credit": F.when(k % 11 == 7, "1.2.3").otherwise("10.50")}
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k, *[cells.get(c, F.lit("")).alias(c) for c in exports.BANK_COLUMNS])
     path = f"{shared_folder(spark)}/tallyweave-recon/{uuid.uuid4().hex}/bank_statement.csv"
-    rows.orderBy("o_orderkey").drop("o_orderkey").coalesce(1).write.option("header", True).csv(path)  # row numbers are those of one file
+    files.write_one(rows.select("o_orderkey", files.csv_line(list(exports.BANK_COLUMNS))), ["o_orderkey"], path, ",".join(exports.BANK_COLUMNS))
     return exports.bank(spark, path)[1]
 
 
+@query("multiline_records", """SELECT row_number() OVER (ORDER BY o_orderkey) + 1 AS rownum, CAST(o_orderkey AS VARCHAR) AS key,
+  'no ' || o_orderkey || CASE o_orderkey % 5 WHEN 0 THEN chr(10) || 'second "line", it is' || chr(10) || chr(10) || 'last' WHEN 1 THEN ', "quoted"' WHEN 2 THEN ' 5" pipe' ELSE '' END AS note FROM orders""", False)
+def _(spark, sf_dir):
+    """Records whose notes hold line breaks, quotes and commas, written as one ordered file by many tasks and read again."""
+    k = F.col("o_orderkey")
+    note = F.concat(F.lit("no "), k, F.expr("case o_orderkey % 5 when 0 then '\nsecond \"line\", it is\n\nlast' when 1 then ', \"quoted\"' when 2 then ' 5\" pipe' else '' end"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k, k.cast("string").alias("key"), note.alias("note"))
+    path = f"{shared_folder(spark)}/tallyweave-recon/{uuid.uuid4().hex}/notes.csv"
+    files.write_one(rows.select(k, files.csv_line(["key", "note"])), ["o_orderkey"], path, "key,note")
+    read = files.records(spark, path).where("rownum > 1")
+    return read.select("rownum", F.from_csv("value", "key string, note string", {"escape": '"'}).alias("r")).select("rownum", "r.*")
+
+
 def _from_files(spark, sf_dir) -> dict[str, DataFrame]:
     def make():
         folder = f"{shared_folder(spark)}/tallyweave-recon/{uuid.uuid4().hex}"

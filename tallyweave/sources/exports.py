@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money, text
+from .records import records
 
 # The columns of the three exports.
 INVOICE_COLUMNS = ("invoice_no", "order_id", "customer", "invoice_date", "taxable_amount", "tax_amount", "gross_amount", "currency")
@@ -15,10 +15,9 @@ BANK_COLUMNS = ("line_no", "value_date", "narration", "ref_no", "debit", "credit
 
 
 def _scan(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    schema = ", ".join(f"{c} string" for c in columns)
-    raw = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
-    # File order, also where a file is read in several splits.
-    return raw.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+    """The columns as strings, ``seq`` (file order) and ``rownum`` (the header is 1)."""
+    fields = F.from_csv("value", ", ".join(f"{c} string" for c in columns), {"escape": '"'})
+    return records(spark, path).where("rownum > 1").select(fields.alias("r"), "file", "rownum").select("r.*", F.struct("file", "rownum").alias("seq"), "rownum")
 
 
 def _split(rows: DataFrame, checks: dict[str, Column], out: list[Column], name: str) -> tuple[DataFrame, DataFrame]:
@@ -27,22 +26,10 @@ def _split(rows: DataFrame, checks: dict[str, Column], out: list[Column], name:
     for what, ok in reversed(checks.items()):
         reason = F.when(F.coalesce(ok, F.lit(False)), reason).otherwise(F.lit(what))
     judged = rows.withColumn("reason", reason)
-    rejects = _numbered(rows, judged.where("reason is not null")).select(F.lit(name).alias("file"), "rownum", "reason", F.concat(F.lit(f"{name}:"), "rownum", F.lit(": "), "reason").alias("error"))
+    rejects = judged.where("reason is not null").select(F.lit(name).alias("file"), "rownum", "reason", F.concat(F.lit(f"{name}:"), "rownum", F.lit(": "), "reason").alias("error"))
     return judged.where("reason is null").select(*out, "seq"), rejects
 
 
-def _numbered(rows: DataFrame, some: DataFrame) -> DataFrame:
-    """``some`` of the rows with their record number in the file; the header is 1.
-
-    A number is the row's place in its split plus the rows of the splits before,
-    so only one small row for each split is ordered.
-    """
-    of = lambda df: df.withColumns({"f": F.col("seq.file"), "b": F.col("seq.block"), "i": F.col("seq.row")})
-    splits = of(rows).groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
-    before = F.sum("n").over(W.partitionBy("f").orderBy("b")) - F.col("n")
-    return of(some).join(splits.select("f", "b", "first", before.alias("before")), ["f", "b"]).withColumn("rownum", (F.col("i") - F.col("first") + F.col("before") + 2).cast("bigint"))
-
-
 def _amount(c: str) -> Column:
     return F.coalesce(money.to_paise(F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "0").otherwise(F.col(c))))
 
@@ -96,7 +83,7 @@ def load(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFr
 
 
 def truth(spark: SparkSession, path: str) -> DataFrame:
-    """kind, key, value of a ground-truth file's link maps and exceptions."""
+    """kind, key, value of a ground-truth file's link maps and exceptions; the file is one JSON object, so one task reads it."""
     maps = ("invoice_to_payment", "payment_to_batch", "invoice_to_bank", "exceptions")
     schema = ", ".join([*[f"{m} map<string,string>" for m in maps], "batch_to_bank map<string,array<string>>"])
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
