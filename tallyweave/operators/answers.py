@@ -6,9 +6,11 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money
+from ..sources.scratch import keep
 from . import evidence, reporting
 from .legs import MEANING
 
@@ -48,11 +50,15 @@ def facts(sources: dict[str, DataFrame], run: dict[str, DataFrame]) -> DataFrame
         F.lit(0).alias("kind"), "key", F.abs("value_paise").alias("exposure"), F.lower(F.concat_ws(" ", "key", "code", "action", told)).alias("raw"), F.coalesce(names[F.col("code")], F.lit("")).alias("about"),
         F.concat(F.lit("["), "code", F.lit("] "), "key", F.lit(": exposure "), money.indian_format(F.col("value_paise")), F.lit(". "), shown, F.lit(". "), "action").alias("fact"),
     )
-    of_matches = run["matches"].select(
+    return of_findings.unionByName(match_facts(run["matches"]))
+
+
+def match_facts(matches: DataFrame) -> DataFrame:
+    """The same columns for matches."""
+    return matches.select(
         F.lit(1).alias("kind"), F.col("lkey").alias("key"), F.abs("delta_paise").alias("exposure"), F.lower(F.concat_ws(" ", "lkey", "rkey", "leg", "tier")).alias("raw"), F.lit("").alias("about"),
         F.concat(F.lit("[MATCHED "), "tier", F.lit("] "), "lkey", F.lit(" and "), "rkey", F.lit(", confidence "), F.format_string("%.2f", F.col("confidence") / 1000)).alias("fact"),
     )
-    return of_findings.unionByName(of_matches)
 
 
 def ranked(of: DataFrame, question: str, k: int = 6) -> DataFrame:
@@ -64,6 +70,38 @@ def ranked(of: DataFrame, question: str, k: int = 6) -> DataFrame:
     return of.withColumn("score", points).where("score > 0").orderBy(F.desc("score"), F.desc("exposure"), "kind", "key", "fact").limit(k).select("score", "exposure", "kind", "key", "fact")
 
 
+GRAM = 5  # no id is shorter
+
+
+def index(of: DataFrame) -> dict[str, DataFrame]:
+    """``facts`` (fid, ...) and ``postings`` (term, fid), written once, in order of terms.
+
+    Terms are a fact's words, and the runs of GRAM characters in whatever of it may hold
+    an id, so that a lookup reads the postings of a question's terms and no other fact.
+    """
+    facts_ = keep(of.withColumn("fid", F.monotonically_increasing_id()))
+    about = words(F.translate(F.concat_ws(" ", "raw", "about"), "_", " "))
+    runs = F.regexp_extract_all(F.col("raw"), F.lit("[\\w:-]*[_:0-9-][\\w:-]*"), F.lit(0))
+    grams = F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= GRAM), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - GRAM + 1), lambda i: F.substring(r, i, F.lit(GRAM)))))
+    terms = F.concat(F.transform(about, lambda w: F.concat(F.lit("w "), w)), F.transform(F.array_distinct(grams), lambda g: F.concat(F.lit("g "), g)))
+    postings = facts_.select(F.explode(terms).alias("term"), "fid")
+    return {"facts": facts_, "postings": keep(postings.repartitionByRange("term", "fid").sortWithinPartitions("term", "fid"))}
+
+
+def lookup(indexed: dict[str, DataFrame], questions: DataFrame, k: int = 6) -> DataFrame:
+    """The k best facts of each question (q, question), as ``ranked`` has them: q, nth, score, exposure, kind, key, fact."""
+    facts_, postings = indexed["facts"], indexed["postings"]
+    asked = F.array_distinct(F.transform(F.regexp_extract_all("question", F.lit(IDS), F.lit(1)), F.lower))
+    of_words = questions.select("q", F.explode(tokens(F.col("question"))).alias("w")).select("q", F.concat(F.lit("w "), "w").alias("term"))
+    of_ids = questions.select("q", F.explode(asked).alias("id")).withColumn("term", F.concat(F.lit("g "), F.right("id", F.lit(GRAM))))
+    by_word = of_words.join(postings, "term").select("q", "fid", F.lit(1).alias("points"))
+    maybe = of_ids.join(postings, "term").join(facts_.select("fid", "raw"), "fid")
+    by_id = maybe.where(F.contains("raw", "id")).select("q", "fid", F.lit(6).alias("points"))
+    scored = by_word.unionByName(by_id).groupBy("q", "fid").agg(F.sum("points").cast("int").alias("score")).join(facts_, "fid")
+    nth = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.desc("exposure"), "kind", "key", "fact"))
+    return scored.withColumn("nth", nth).where(F.col("nth") <= k).select("q", "nth", "score", "exposure", "kind", "key", "fact")
+
+
 def definitions(spark: SparkSession, question: str) -> DataFrame:
     """place, code, fact of the codes whose name or meaning shares a word with the question."""
     rows = spark.createDataFrame([(i, c, m) for i, (c, m) in enumerate(MEANING.items())], "place int, code string, meaning string")

@@ -144,3 +144,10 @@ def distribution(scores: DataFrame, of: list[str]) -> DataFrame:
     """metric, mean, least, most, deviation (of the sample) over rows, one for each seed or code."""
     rows = scores.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in of])))
     return rows.groupBy("metric").agg(F.avg("x").alias("mean"), F.min("x").alias("least"), F.max("x").alias("most"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("deviation"))
+
+
+def over_worlds(predicted: DataFrame, truth: DataFrame, keys: list[str], of: str) -> DataFrame:
+    """metric, mean, least, most, deviation of precision, recall and f1 over the values of ``world``; metrics are named after ``of``."""
+    scored = scores(predicted, truth, "world", keys)
+    names = ["precision", "recall", "f1"]
+    return distribution(scored.select(*[F.col(c).alias(f"{of}_{c}") for c in names]), [f"{of}_{c}" for c in names])

@@ -445,6 +445,24 @@ def _(spark, sf_dir):
     return answers.ranked(answers.facts(world(spark, sf_dir), runs.full(spark, sf_dir)), QUESTION)
 
 
+_STEMS = "list_distinct(list_transform({0}, lambda w: CASE WHEN len(w) > 4 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN substr(w, 1, len(w) - 1) ELSE w END))"
+
+
+@query("lookup_matches", f""", facts AS (SELECT leg, tier, lkey, rkey, abs(delta_paise) AS exposure, lower(lkey || ' ' || rkey || ' ' || leg || ' ' || tier) AS raw,
+  '[MATCHED ' || tier || '] ' || lkey || ' and ' || rkey || ', confidence ' || printf('%.2f', confidence / 1000.0) AS fact FROM matches),
+known AS (SELECT *, {_STEMS.format("regexp_extract_all(translate(raw, '_', ' '), '[a-z]+')")} AS words FROM facts),
+asked AS (SELECT settlement_id AS q, settlement_id AS id, ['credit', 'pay', 'bank', 'settlement', 'setl'] AS toks FROM batch WHERE dn % 13 = 2 UNION ALL SELECT invoice_no, lower(invoice_no), ['invoice', 'receipt', 'inv'] FROM inv WHERE k % 97 = 0)
+SELECT q, nth, CAST(score AS INT) AS score, exposure, lkey AS key, fact FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, exposure DESC, lkey, fact) AS nth FROM (
+  SELECT q, 6 * CAST(contains(raw, id) AS INT) + len(list_intersect(toks, words)) AS score, CAST(exposure AS BIGINT) AS exposure, lkey, fact FROM asked, known) WHERE score > 0) WHERE nth <= 6""")
+def _(spark, sf_dir):
+    """A question on each of many batches and invoices, looked up in the postings of all matches."""
+    facts = answers.match_facts(runs.full(spark, sf_dir)["matches"])
+    w = world(spark, sf_dir)
+    batches = legs.batches(w["pg"]).where("try_cast(substring(settlement_id, 6) as int) % 13 = 2").select(F.col("settlement_id").alias("q"), F.concat(F.lit("Which credit pays the bank settlement "), "settlement_id", F.lit("?")).alias("question"))
+    invoices = w["inv"].where("seq % 97 = 0").select(F.col("invoice_no").alias("q"), F.concat(F.lit("What is the receipt of the invoice "), "invoice_no", F.lit("?")).alias("question"))
+    return answers.lookup(answers.index(facts), batches.unionByName(invoices)).drop("kind")
+
+
 @query("reply_guard", """SELECT entity_id, list_sort(list_filter(CASE WHEN s % 3 = 0 THEN [a, b] ELSE [a] END, lambda x: x <> a)) AS invented, CASE WHEN s % 5 = 0 THEN 'total' END AS phrase, (s % 3 = 0 AND a <> b) OR s % 5 = 0 AS withheld
 FROM (SELECT entity_id, fee_paise AS s, printf('%d.%02d', amount_paise // 100, amount_paise % 100) AS a, printf('%d.%02d', fee_paise // 100, fee_paise % 100) AS b FROM pg WHERE type = 'payment')""")
 def _(spark, sf_dir):
@@ -499,6 +517,31 @@ def _(spark, sf_dir):
     return _explained(spark, sf_dir).where(F.col("code").isin(*shown)).select("key", "code", F.inline("evidence"))
 
 
+_FEE = he("q.amount_paise", "CASE q.method WHEN 'upi' THEN 0 WHEN 'netbanking' THEN 150 WHEN 'card' THEN 200 WHEN 'amex' THEN 350 WHEN 'wallet' THEN 180 ELSE 300 END")
+_AT = "strftime(q.created_at, '%Y-%m-%d %H:%M:%S')"
+
+
+@query("finding_evidence_more", f""", paid AS (SELECT a AS key, array_to_string(list_sort(list(b)), ', ') AS lines, CAST(sum(amount_paise) AS BIGINT) AS paid FROM (
+  SELECT DISTINCT CASE WHEN lkey LIKE 'bank:%' THEN rkey ELSE lkey END AS a, CASE WHEN lkey LIKE 'bank:%' THEN lkey ELSE rkey END AS b FROM matches WHERE leg <> 'erp_to_gateway') JOIN credits ON b = line GROUP BY a
+), fees AS (SELECT q.entity_id, abs({_FEE}) AS fee FROM pg q
+), counted AS (SELECT settlement_id, count(*) AS members FROM pg WHERE settlement_id IS NOT NULL GROUP BY settlement_id
+), shown AS (
+SELECT key, code, unnest(['order_id', 'order_receipt', 'created_at', 'method', 'amount']) AS field, unnest([q.order_id, q.order_receipt, {_AT}, q.method, {_r("abs(q.amount_paise)")}]) AS value FROM findings JOIN pg q ON key = q.entity_id WHERE code = 'UNBILLED_PAYMENT'
+UNION ALL SELECT key, code, unnest(['created_at', 'method', 'amount', 'order_id']), unnest([{_AT}, q.method, {_r("abs(q.amount_paise)")}, q.order_id]) FROM findings JOIN pg q ON key = q.entity_id WHERE code = 'FUNDS_ON_HOLD'
+UNION ALL SELECT key, code, unnest(['method', 'expected_fee', 'fee', 'expected_gst', 'gst']), unnest([q.method, {_r("f.fee")}, {_r("q.fee_paise")}, {_r(he("f.fee", 1800))}, {_r("q.tax_paise")}]) FROM findings JOIN pg q ON key = q.entity_id JOIN fees f ON f.entity_id = key WHERE code = 'FEE_VARIANCE'
+UNION ALL SELECT key, code, unnest(['parent_payment_id', 'amount', 'created_at']), unnest([q.parent, {_r("abs(q.amount_paise)")}, {_AT}]) FROM findings JOIN pg q ON key = q.entity_id WHERE code = 'ORPHAN_REFUND'
+UNION ALL SELECT key, code, unnest(['dispute_id', 'amount', 'created_at', 'settlement_id']), unnest(['disp_' || regexp_extract(key, '[0-9]+$'), {_r("abs(q.amount_paise)")}, {_AT}, q.settlement_id]) FROM findings JOIN pg q ON key = q.entity_id WHERE code = 'CHARGEBACK_ADJUSTMENT'
+UNION ALL SELECT findings.key, code, unnest(['utr', 'lines', 'paid']), unnest([b.utr, p.lines, {_r("p.paid")}]) FROM findings JOIN batch b ON findings.key = b.settlement_id LEFT JOIN paid p ON p.key = findings.key WHERE code = 'SPLIT_SETTLEMENT'
+UNION ALL SELECT findings.key, code, unnest(['lines', 'paid', 'net']), unnest([p.lines, {_r("p.paid")}, {_r("b.net")}]) FROM findings JOIN batch b ON findings.key = b.settlement_id LEFT JOIN paid p ON p.key = findings.key WHERE code = 'MERGED_PAYOUT'
+UNION ALL SELECT key, code, unnest(['utr', 'settled_at', 'net', 'members', 'batch_gross', 'fee_and_gst']), unnest([b.utr, CAST(b.sday AS VARCHAR) || ' 00:00:00', {_r("b.net")}, CAST(members AS VARCHAR), {_r("b.amount_paise")}, {_r("(b.fee_paise + b.tax_paise)")}]) FROM findings JOIN batch b ON key = b.settlement_id JOIN counted c ON c.settlement_id = key WHERE code = 'MISSING_IN_BANK'
+UNION ALL SELECT findings.key, code, unnest(['customer', 'gross', 'lines', 'paid']), unnest([i.customer, {_r("i.gross_paise")}, p.lines, {_r("p.paid")}]) FROM findings JOIN inv i ON findings.key = i.invoice_no LEFT JOIN paid p ON p.key = findings.key WHERE code = 'TDS_WITHHELD'
+) SELECT * FROM shown WHERE value IS NOT NULL""")
+def _(spark, sf_dir):
+    """The codes that finding_evidence does not show."""
+    shown = [c for c in evidence.FIELDS if c not in ("UNPAID_INVOICE", "TAX_LINE_MISMATCH", "DUPLICATE_PAYMENT", "SETTLEMENT_AMOUNT_MISMATCH", "UNEXPECTED_BANK_CREDIT")]
+    return _explained(spark, sf_dir).where(F.col("code").isin(*shown)).select("key", "code", F.inline("evidence"))
+
+
 @query("exceptions_by_code", "SELECT code, CAST(sum(abs(value_paise)) OVER (PARTITION BY code) AS BIGINT) AS exposure_paise, row_number() OVER (PARTITION BY code ORDER BY abs(value_paise) DESC, key) AS nth, key, CAST(value_paise AS BIGINT) AS value_paise FROM findings")
 def _(spark, sf_dir):
     return evidence.exceptions_by_code(_explained(spark, sf_dir)).drop("evidence", "action")

@@ -43,3 +43,8 @@ def before_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return once(spark, sf_dir, "full", lambda: legs.reconcile(world(spark, sf_dir)))
+
+
+def apart(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """One reconciliation of several worlds."""
+    return once(spark, sf_dir, "apart", lambda: legs.reconcile(world(spark, sf_dir, True)))

@@ -151,13 +151,31 @@ def state(spark: SparkSession, sf_dir: str) -> tuple:
     return (spark.sparkContext.applicationId, sf_dir, *seen)
 
 
-def world(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """inv, pg and bank."""
-    at = state(spark, sf_dir)
+WORLDS, CALENDAR = 8, 12_000  # worlds side by side; days from one calendar to the next
+
+
+def world_of(key: F.Column) -> F.Column:
+    """Of an invoice or gateway row by its number, of a batch by its day; null for bank lines."""
+    number = F.regexp_extract(key, "[0-9]+$", 0).cast("bigint")
+    return F.when(key.startswith("setl_"), F.floor(number / CALENDAR)).when(~key.startswith("bank:"), number % WORLDS).cast("int")
+
+
+def _apart(df: DataFrame, number: str, *stamps: str) -> DataFrame:
+    """Rows of world w on a calendar of their own: nothing matches without dates or ids that are near, so no two worlds meet."""
+    days = (F.col(number) % WORLDS * CALENDAR).cast("int")
+    return df.withColumns({c: (F.col(c) + F.make_interval(days=days)).cast(df.schema[c].dataType) for c in stamps})
+
+
+def world(spark: SparkSession, sf_dir: str, apart: bool = False) -> dict[str, DataFrame]:
+    """inv, pg and bank; ``apart``: of WORLDS worlds side by side."""
+    at = (*state(spark, sf_dir), apart)
     if at not in _built:
         base = _base(spark, sf_dir)
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'")
+        if apart:
+            base, events = _apart(base, "k", "ts", "d"), _apart(events, "event_id", "ts")
         with ThreadPoolExecutor(2) as pool:
             of_inv, of_pg = pool.submit(lambda: keep(invoices(base))), pool.submit(lambda: keep(settled(gateway(base))))
             inv, pg = of_inv.result(), of_pg.result()
-        _built[at] = {"inv": inv, "pg": pg, "bank": keep(bank(spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'"), base, inv, pg))}
+        _built[at] = {"inv": inv, "pg": pg, "bank": keep(bank(events, base, inv, pg))}
     return _built[at]
