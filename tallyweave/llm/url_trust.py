@@ -26,7 +26,8 @@ RULES = (
     ("block", "com/de/"),
 )
 DAMPING, THRESHOLD = 0.85, 1.0
-TOLERANCE, ROUND, MOST_STEPS = 1e-3, 8, 800  # what the scores may be off in total; steps of one written round
+ROUND, MOST_STEPS = 8, 800  # steps of one written round
+FLOOR = 1e-12  # what the scores may be off in total where a tie would keep the walks going
 _LINK = r"(?i)href\s*=\s*[\"']?\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
 
 
@@ -68,14 +69,22 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return both.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+def _sides(score: DataFrame) -> DataFrame:
+    """host, trust, distrust of scores by node."""
+    at = F.expr("substring(node, instr(node, ' ') + 1)").alias("host")
+    return score.groupBy(at).agg(*[F.coalesce(F.sum(F.when(F.substring_index("node", " ", 1) == w, F.col("score"))), F.lit(0.0)).alias(w) for w in ("trust", "distrust")])
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = FLOOR, asked: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """walk, host, score. seeds: walk (trust or distrust), host, seed; each walk's seeds add up to 1.
 
-    Steps go on until the scores are known to have settled: a round of r steps
-    shrinks the distance from the end at least damping ** r times, so what a
-    round changed bounds what is left, and that must be under ``tolerance``,
-    summed over all hosts of both walks. At the default that takes some 50
-    steps on any graph; walks that have not settled after MOST_STEPS are an error.
+    A round of r steps shrinks the distance from the end at least damping ** r times, so
+    what a round changed bounds what is left to change, over all hosts of both walks and
+    so for each. Steps go on until no host in ``asked`` (host) can still change sides:
+    its trust and ``threshold`` times its distrust lie further apart than that bound, and
+    no host was reached for the first time. Where hosts tie, or nothing is asked, they go
+    on until the bound is under ``tolerance``; walks that have not settled after
+    MOST_STEPS, which no graph needs at this damping, are an error.
     """
     # One key of walk and host: planning a chain of joins on two keys takes time that doubles with each step.
     name = lambda walk, host: F.concat_ws(" ", walk, host)
@@ -94,7 +103,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
             score = flow.unionByName(base).groupBy("node").agg(F.sum("score").alias("score"))
         score = keep(score)
         moved = score.unionByName(before.select("node", (-F.col("score")).alias("score"))).groupBy("node").agg(F.sum("score").alias("by"))
-        if moved.agg(F.coalesce(F.sum(F.abs("by")), F.lit(0.0))).first()[0] * left < tolerance:
+        off = moved.agg(F.coalesce(F.sum(F.abs("by")), F.lit(0.0))).first()[0] * left
+        settled = off < tolerance
+        if not settled and asked is not None and score.count() == before.count():
+            bound = off + tolerance
+            sure = ((F.col("trust") - bound) >= threshold * (F.col("distrust") + bound)) | ((F.col("trust") + bound) < threshold * (F.col("distrust") - bound))
+            settled = _sides(score).where(~sure).join(asked, "host", "left_semi").isEmpty()
+        if settled:
             return score.select(F.substring_index("node", " ", 1).alias("walk"), F.expr("substring(node, instr(node, ' ') + 1)").alias("host"), "score")
     raise RuntimeError(f"the walks have not settled after {MOST_STEPS} steps")
 
@@ -115,7 +130,8 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: s
     narrow = keep(ruled(rows.select("page_id", "host", "path"), rules))
     counts = narrow.where("host <> '' and ruled is not null").groupBy(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("walk"), "host").agg(F.count(F.lit(1)).cast("double").alias("n"))
     totals = F.broadcast(counts.groupBy("walk").agg(F.sum("n").alias("all")))  # two rows
-    scores = propagate(edges, counts.join(totals, "walk").select("walk", "host", (F.col("n") / F.col("all")).alias("seed")))
+    asked = narrow.where("ruled is null and host <> ''").select("host").distinct()
+    scores = propagate(edges, counts.join(totals, "walk").select("walk", "host", (F.col("n") / F.col("all")).alias("seed")), asked=keep(asked), threshold=threshold)
     # Written, so that the join deals both its sides anew and a large host can be split.
     wide = keep(scores.groupBy("host").agg(*[F.sum(F.when(F.col("walk") == w, F.col("score"))).alias(w) for w in ("trust", "distrust")]))
     joined = narrow.join(wide.hint("merge"), "host", "left").withColumns({w: F.coalesce(w, F.lit(0.0)) for w in ("trust", "distrust")})
