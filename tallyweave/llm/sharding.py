@@ -21,6 +21,7 @@ from .common import documents, keep, text_or_empty
 
 SHARDS = 40
 RANGES = 256  # ranges to aim at
+PART_BYTES = 1 << 30  # a range with more is subdivided, so parts grow in number with the records
 SAMPLE = 8192  # expected number of sampled keys, the bound on what the driver sees
 OVERHEAD = 16  # bytes that each record costs besides its text
 
@@ -76,15 +77,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     )
     n, total = records.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranged = records.withColumn("range", range_of(F.col("key"), splitters(records, total)))
-    # Subdivide: parts such that no part has over 1/RANGES of all bytes or rows, on average.
+    # Subdivide: parts such that no part has over 1/RANGES of all bytes or rows, nor over PART_BYTES, on average.
     parts = F.broadcast(
         ranged.groupBy("range").agg(
-            F.greatest(F.ceil(F.sum("size") * RANGES / F.lit(max(total, 1))), F.ceil(F.count(F.lit(1)) * RANGES / F.lit(max(n, 1)))).cast("int").alias("parts")
+            F.greatest(F.ceil(F.sum("size") * RANGES / F.lit(max(total, 1))), F.ceil(F.count(F.lit(1)) * RANGES / F.lit(max(n, 1))), F.ceil(F.sum("size") / PART_BYTES)).cast("int").alias("parts")
         )
     )  # at most RANGES rows
     divided = ranged.join(parts, "range").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "row", F.lit(11)), F.col("parts"))).otherwise(F.lit(0)).cast("int"))
     order = W.orderBy("range", "part").rowsBetween(W.unboundedPreceding, -1)
-    starts = F.broadcast(  # at most 4 * RANGES rows
+    starts = F.broadcast(  # at most 4 * RANGES rows and one for each PART_BYTES: 100,000 of four numbers at 100 TB
         divided.groupBy("range", "part")
         .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
         .select("range", "part", F.coalesce(F.sum("bytes").over(order), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("rows_before"))
