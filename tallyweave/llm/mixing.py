@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import documents, keep, text_or_empty
 
 MAX_EPOCHS = 4.0
+EVENNESS = 0.5  # of the query: how far its entropy lies from that of the natural shares towards equal weights
 BLOCK_TOKENS = 64_000  # expected tokens of a block
 SLICE_BITS = 12  # the blocks of a source are summed in so many slices (a power of two)
 GRID = 16  # exponents tried at once; each round narrows the bracket 15-fold
@@ -75,12 +76,13 @@ def exponent(sources: DataFrame, target_entropy: float | None = None, max_epochs
     return high, (1 / least_ratio([high])[0] if floor_one else 1.0)
 
 
-def mix(docs: DataFrame, target_entropy: float | None = None, max_epochs: float = MAX_EPOCHS, floor_one: bool = True, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mix(docs: DataFrame, target_entropy: float | None = None, evenness: float | None = None, max_epochs: float = MAX_EPOCHS, floor_one: bool = True, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Rows of ``docs`` as struct ``row`` with source, tokens, epoch, block, draw: one per reading of a record.
 
     A null source is a source of its own. Sorting by (epoch, draw) gives the
     order of the mixture: a pseudo-random permutation of blocks, interleaved
-    over sources. Ids may be null or repeat; rows alike in id and text are read
+    over sources. ``evenness`` sets the target entropy between that of the natural
+    shares (0) and of equal weights (1), whatever the sources are. Ids may be null or repeat; rows alike in id and text are read
     equally often. Texts are counted whole, a null one like an empty one. An
     empty table gives no rows.
     """
@@ -95,6 +97,9 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_epochs: float
     if not total:
         return rows.where("false").select("row", "source", "tokens", F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("draw"))
     shares = sources.withColumn("share", F.col("all") / F.lit(float(total)))
+    if evenness is not None:
+        (natural, _), (flat, _) = _measures(shares, [1.0, 0.0])
+        target_entropy = natural + evenness * (flat - natural)
     t, factor = exponent(shares, target_entropy, max_epochs, floor_one)
     z = shares.agg(F.sum(F.pow("share", F.lit(t)))).first()[0]
     plan = shares.select(
@@ -137,4 +142,4 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_epochs: float
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, tokens, epoch, block, draw of every reading in the mixture."""
-    return mix(documents(spark, sf_dir)).select("row.doc_id", "source", "tokens", "epoch", "block", "draw")
+    return mix(documents(spark, sf_dir), evenness=EVENNESS).select("row.doc_id", "source", "tokens", "epoch", "block", "draw")
