@@ -502,14 +502,15 @@ def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100
         groups = jaccard_groups(docs, shingle, num, den, id_col, text_col)
         dropped = keep(groups.where("not leader").select(F.col("doc_id").alias("__dropped")))
         return docs.join(dropped, number == dropped["__dropped"], "left_anti")
-    numbered = keep(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = keep(jaccard_groups(numbered, shingle, num, den, "__row", text_col).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component")))
+    row = next(name for i in range(len(docs.columns) + 1) if (name := f"__row{i}") not in docs.columns)
+    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = keep(jaccard_groups(numbered, shingle, num, den, row, text_col).select(F.col("doc_id").alias("at"), F.col("component_id").alias("component")))
     hashed = [c for c in docs.columns if docs.schema[c].dataType.typeName() != "map"]
-    place = numbered.select("__row", F.struct(numbered[id_col].isNull().alias("none"), numbered[id_col].cast("long").alias("id"), F.xxhash64(*hashed).alias("content"), F.col("__row").alias("row")).alias("place"))
+    place = numbered.select(F.col(row).alias("at"), F.struct(numbered[id_col].isNull().alias("none"), numbered[id_col].cast("long").alias("id"), F.xxhash64(*hashed).alias("content"), F.col(row).alias("row")).alias("place"))
     # Written, so that the join deals both its sides anew and a large component can be split.
-    first = keep(groups.join(place.hint("merge"), "__row").groupBy("component").agg(F.min("place")["row"].alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("component", "first"))
-    dropped = keep(groups.join(first.hint("merge"), "component").where("__row <> first").select("__row"))
-    return numbered.join(dropped, "__row", "left_anti").select(*docs.columns)
+    first = keep(groups.join(place.hint("merge"), "at").groupBy("component").agg(F.min("place")["row"].alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("component", "first"))
+    dropped = keep(groups.join(first.hint("merge"), "component").where("at <> first").select(F.col("at").alias(row)))
+    return numbered.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
