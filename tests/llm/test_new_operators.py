@@ -57,7 +57,7 @@ def test_bounds_rule_out_pairs_of_nodes_and_no_result(spark, monkeypatch):
     monkeypatch.setattr(hard_negatives, "ANCHORS", 16)
     monkeypatch.setattr(hard_negatives, "LEAF", 16)
     rng = random.Random(2)
-    rows = [(i, i % 3, [(200 if k == i % 16 else 0) + rng.randrange(3) for k in range(16)]) for i in range(640)]
+    rows = [(i, i % 3, [(200 if k == i % 4 else 0) + rng.randrange(3) for k in range(16)]) for i in range(640)]
     seen = []
     plain = hard_negatives.traverse
 
@@ -69,7 +69,7 @@ def test_bounds_rule_out_pairs_of_nodes_and_no_result(spark, monkeypatch):
     monkeypatch.setattr(hard_negatives, "traverse", traverse)
     got = hard_negatives.mine(_vectors(spark, rows), F.col("id") % 5 == 0).collect()
     assert Counter(map(tuple, got)) == _mined(rows, lambda i: i % 5 == 0)
-    assert max(seen) < 0.5  # rows around sixteen axes: most pairs of blocks lie at right angles
+    assert max(seen) < 0.5  # rows around four axes: most pairs of blocks lie at right angles
 
 
 def test_hard_negatives_of_odd_tables(spark):
