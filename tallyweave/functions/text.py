@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Patterns and word lists.
 UTR = r"\b[A-Za-z]{4}[A-Za-z0-9]\d{10,14}\b"
 LONG_NUMBER = r"\b\d{10,22}\b"
-GATEWAY_WORDS = "razorpay|rzp|settl"
+GATEWAY_WORDS = "razorpay|rzp|settl"  # the longer words for settlements and gateway settlements hold the last of these
 COMPANY_WORDS = ("pvt", "private", "ltd", "limited", "llp", "co", "company", "the", "and")
 DATE_FORMATS = ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "d-MMM-yyyy", "yyyy/M/d")
 TIME_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "yyyy-M-d")

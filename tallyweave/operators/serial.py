@@ -94,15 +94,20 @@ def choose(options: DataFrame, decide: Decide, log_schema: str, refill: Callable
         options = options.withColumns({"tokens": F.array().cast("array<string>"), "reach": F.col("takes")})
     kind = options.schema["ord"].dataType.simpleString()
     schema = f"ord {kind}, item string, part int, again boolean, took array<string>, seen array<string>, reach array<string>, asked boolean, {log_schema}"
+    open_, parts = keep(options), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def play(n: int) -> DataFrame:
+        dealt = open_.repartitionByRange(max(1, min(parts, n // chunk)), "ord").sortWithinPartitions("ord", "item", "place")
+        return keep(dealt.mapInPandas(_play(decide, names, refill is None), schema))
+
+    n = open_.count()
+    if refill is None and n < 2 * chunk:
+        return play(n).where("asked").select("item", *names)  # one range, so all of it stands
     path = f"{shared_folder(spark)}/tallyweave-recon/{uuid.uuid4().hex}"
     spark.createDataFrame([], schema).write.parquet(path)
     log = spark.read.schema(schema)
-    open_, parts = keep(options), int(spark.conf.get("spark.sql.shuffle.partitions"))
     while n := open_.count():
-        ranges = max(1, min(parts, n // chunk))
-        dealt = open_.repartitionByRange(ranges, "ord").sortWithinPartitions("ord", "item", "place")
-        tried = keep(dealt.mapInPandas(_play(decide, names, refill is None), schema))
-        stands = keep(tried if ranges == 1 and refill is None else _standing(tried))
+        stands = keep(_standing(play(n)))
         stands.write.mode("append").parquet(path)
         taken = stands.select(F.explode("took").alias("t")).distinct()
         if refill is not None:

@@ -47,14 +47,18 @@ def band_pairs(left: DataFrame, right: DataFrame, tolerance: int | None, before:
         a = a.withColumn("acell", F.explode(_cells(F.col("lamount"), tolerance, tolerance)))
         b = b.withColumn("acell", F.floor(F.col("ramount") / (2 * tolerance + 1)))
         keys.append("acell")
-    hot = a.groupBy(keys).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts")).where("parts > 1")  # combined before it is dealt
-    a = a.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("lkey"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    b = b.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    met = list(keys)
+    if left.count() > CELL:  # else no cell can have more
+        hot = a.groupBy(keys).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts")).where("parts > 1")  # combined before it is dealt
+        hot = keep(hot)
+        a = a.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("lkey"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        b = b.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        met.append("salt")
     gap = F.datediff("rdate", "ldate")
-    pairs = a.join(b, [*keys, "salt"]).where((gap >= -before) & (gap <= after))
+    pairs = a.join(b, met).where((gap >= -before) & (gap <= after))
     if tolerance is not None:
         pairs = pairs.where(F.abs(F.col("lamount") - F.col("ramount")) <= tolerance)
-    return pairs.drop(*keys, "salt")
+    return pairs.drop(*met)
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

@@ -107,6 +107,11 @@ def _(spark, sf_dir):
     return _w(spark, sf_dir, "bank").select("line_no", text.looks_like_settlement(F.col("narration")).alias("gateway"))
 
 
+@query("long_digit_runs", "SELECT line_no, array_to_string(regexp_extract_all(narration, '\\b[0-9]{10,22}\\b'), ' ') AS runs FROM bank")
+def _(spark, sf_dir):
+    return _w(spark, sf_dir, "bank").select("line_no", F.array_join(text.long_numbers(F.col("narration")), " ").alias("runs"))
+
+
 @query("norm_id_keys", "SELECT entity_id, regexp_replace(lower(coalesce(order_receipt, '')), '[^a-z0-9]', '', 'g') AS nk FROM pg")
 def _(spark, sf_dir):
     return _w(spark, sf_dir, "pg").select("entity_id", text.norm_id(F.col("order_receipt")).alias("nk"))

@@ -18,8 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back: short plans, and nothing lost with an executor."""
+    """Write ``df`` once and read it back: short plans, and nothing lost with an executor. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallyweave-recon/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

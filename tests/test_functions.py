@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 from tallyweave.functions import money, text
 
 
+# Given and wanted of the parametrised tests below are the published vectors of these
+# functions, as results must equal them; the plain assertions are our own.
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
