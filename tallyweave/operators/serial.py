@@ -27,23 +27,23 @@ CHUNK = 50_000  # options of a range, about
 Decide = Callable[[str, list[dict]], tuple[int | None, int, tuple | None]]
 
 
-def _play(decide: Decide, names: list[str], fixed: bool):
-    """Rows arrive by order, item and place. ``fixed``: the options are all there is, so that those lost to this range are just skipped."""
+def _play(decide: Decide, names: list[str], enough: int | None):
+    """Rows arrive by order, item and place. Options lost to this range are skipped, unless there may be ``more`` of an item and fewer than ``enough`` are left."""
 
     def run(batches):
         part, gone, held, out = TaskContext.get().partitionId(), set(), [], []
 
         def done():
             options = [o for o in held if not gone.intersection(o["takes"])]
-            lost = len(options) < len(held)
-            chosen, looked, log = (None, 0, None) if lost and not fixed else decide(held[0]["item"], options)
+            short = enough is not None and len(options) < min(enough, len(held)) and held[0]["more"]
+            chosen, looked, log = (None, 0, None) if short else decide(held[0]["item"], options)
             took = [] if chosen is None else list(options[chosen]["takes"])
             gone.update(took)
             # Of what it looked at, also what this range had taken before: that may come back.
-            last = held.index(options[looked - 1]) + 1 if looked and looked <= len(options) and options else len(held)
-            seen = {t for o in held[: last if fixed and looked < len(options) else len(held)] for x in (o["takes"], o["tokens"]) for t in x}
+            last = held.index(options[looked - 1]) + 1 if 0 < looked < len(options) else len(held)
+            seen = {t for o in held[:last] for x in (o["takes"], o["tokens"]) for t in x}
             reach = {t for o in held for t in o["reach"]}
-            out.append((held[0]["ord"], held[0]["item"], part, bool(lost and not fixed), took, sorted(seen), sorted(reach), log is not None, *(log or (None,) * len(names))))
+            out.append((held[0]["ord"], held[0]["item"], part, bool(short), took, sorted(seen), sorted(reach), log is not None, *(log or (None,) * len(names))))
 
         def frame():
             return pd.DataFrame(out, columns=["ord", "item", "part", "again", "took", "seen", "reach", "asked", *names])
@@ -78,7 +78,7 @@ def _standing(tried: DataFrame) -> DataFrame:
     return tried.join(shaky, "item", "left_anti")
 
 
-def choose(options: DataFrame, decide: Decide, log_schema: str, refill: Callable[[DataFrame, DataFrame], DataFrame] | None = None, chunk: int = CHUNK) -> DataFrame:
+def choose(options: DataFrame, decide: Decide, log_schema: str, refill: Callable[[DataFrame, DataFrame], DataFrame] | None = None, chunk: int = CHUNK, enough: int | None = None) -> DataFrame:
     """The log, a row for each item that ``decide`` gave one for: item and the columns of ``log_schema``.
 
     ``options``: ord, item, place, takes (names), and what ``decide`` reads; ``ord`` is
@@ -86,7 +86,9 @@ def choose(options: DataFrame, decide: Decide, log_schema: str, refill: Callable
     (items that are decided, names that are taken and by which order) -> options, an item
     has further options when some are gone; then ``tokens`` of an option and ``reach`` of
     an item are sets of names such that an item only ever takes options with a token it
-    reaches. What a later item has taken already, an earlier one may still look at.
+    reaches. What a later item has taken already, an earlier one may still look at. Options
+    say whether there may be ``more`` of the item; it is asked again with others if fewer
+    than ``enough`` are left of those it has.
     """
     spark = options.sparkSession
     names = [x.strip().split(" ")[0] for x in log_schema.split(",")] if "<" not in log_schema else [x.split(" ")[0] for x in log_schema.split(", ")]
@@ -98,7 +100,7 @@ def choose(options: DataFrame, decide: Decide, log_schema: str, refill: Callable
 
     def play(n: int) -> DataFrame:
         dealt = open_.repartitionByRange(max(1, min(parts, n // chunk)), "ord").sortWithinPartitions("ord", "item", "place")
-        return keep(dealt.mapInPandas(_play(decide, names, refill is None), schema))
+        return keep(dealt.mapInPandas(_play(decide, names, enough), schema))
 
     n = open_.count()
     if refill is None and n < 2 * chunk:

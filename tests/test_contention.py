@@ -91,7 +91,7 @@ def test_the_nearest_three_equal_all_pairs(spark):
     assert two.count() == 2  # fewer than three there are
 
 
-@pytest.mark.parametrize("chunk", [1000, 30])
+@pytest.mark.parametrize("chunk", [1000, 60])
 def test_judging_the_nearest_that_are_free_equals_a_loop(spark, chunk):
     rng = random.Random(8)
     left = [(f"l{i:02d}", rng.randrange(4) * 20_000 + rng.randrange(3000), rng.randrange(9)) for i in range(30)]
