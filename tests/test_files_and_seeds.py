@@ -95,3 +95,42 @@ def test_answers_stay_with_the_facts(spark, seeded):
     assert words == ["settlement", "reach", "glass"]
     assert answers.parse_choice("CHOICE: B\nREASON: same day", ["x", "y"]) == ("y", "same day") and answers.parse_choice("choice: NONE", ["x"])[0] is None and answers.parse_choice("Choice: C", ["x"])[0] is None
     assert answers.narrate({}) == "" and len(answers.narrate({}, lambda f: "n" * 500)) == 400
+
+
+def test_records_over_splits_equal_a_csv_reader(spark, tmp_path):
+    import csv
+    import io
+    import random
+
+    from tallyweave.sources import records
+
+    rng = random.Random(3)
+    cells = ['plain', 'two\nlines', 'a "word", and\n\nmore', '', '"', 'x\n"y"\n', ',', 'long ' * 30 + '\n' + 'z' * 50]
+    rows = [[str(i), rng.choice(cells), rng.choice(cells)] for i in range(300)]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([["k", "a", "b"], *rows])
+    (tmp_path / "x.csv").write_text(out.getvalue().replace("\n150,", "\n\n150,"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # splits begin and end inside fields
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = records.records(spark, str(tmp_path / "x.csv")).where("rownum > 1").select("rownum", F.from_csv("value", "k string, a string, b string", {"escape": '"'}).alias("r")).select("rownum", "r.*").orderBy("rownum").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["rownum"], r["k"], r["a"] or "", r["b"] or "") for r in got] == [(i + 2, *row) for i, row in enumerate(rows)]
+
+
+def test_one_ordered_file_and_truth_round_trip(spark, tmp_path):
+    from tallyweave.sources import records
+
+    rows = spark.range(500, numPartitions=7).select("id", F.concat(F.lit("row "), "id").alias("line"))
+    records.write_one(rows, [F.desc("id")], f"file://{tmp_path}/down.txt", "head")
+    assert (tmp_path / "down.txt").read_text().splitlines() == ["head"] + [f"row {i}" for i in range(499, -1, -1)]
+    links = spark.createDataFrame([("erp_to_gateway", 'INV-"1"', "pay_1"), ("settlement_to_bank", "setl_1", "bank:0002"), ("settlement_to_bank", "setl_1", "bank:0001"), ("invoice_to_bank", "INV-2", "bank:0009")], "leg string, a string, b string")
+    codes = spark.createDataFrame([("pay_2", "FUNDS_ON_HOLD"), ("pay_2", "FEE_VARIANCE")], "key string, code string")
+    members = spark.createDataFrame([("pay_1", "setl_1"), ("pay_3", None)], "entity_id string, settlement_id string")
+    sinks.write_truth(spark, f"file://{tmp_path}", links, codes, {"seed": 1}, members)
+    whole = json.loads((tmp_path / "ground_truth.json").read_text())
+    assert whole["manifest"] == {"seed": 1} and whole["batch_to_bank"] == {"setl_1": ["bank:0001", "bank:0002"]} and whole["payment_to_batch"] == {"pay_1": "setl_1"}
+    read = {(r["kind"], r["key"], r["value"]) for r in exports.truth(spark, f"file://{tmp_path}/ground_truth.json").collect()}
+    assert read == {("invoice_to_payment", 'INV-"1"', "pay_1"), ("payment_to_batch", "pay_1", "setl_1"), ("invoice_to_bank", "INV-2", "bank:0009"), ("exceptions", "pay_2", "FEE_VARIANCE"), ("batch_to_bank", "setl_1", "bank:0001"), ("batch_to_bank", "setl_1", "bank:0002")}
