@@ -7,9 +7,12 @@ so only they are shuffled and grouped by their full SHA-256. All other rows go
 straight through as groups of one.
 
 A filter has a byte limit (``max_filter_mb``), so that it can be broadcast. Where
-one would get too full, the hashes are cut into slices by their own hash; each
-slice is a folder of the written hashes and gets a filter of its own, so every
-row is still read once in each pass and single rows still go straight through.
+one would get too full, the hashes are cut into slices by their own hash. The
+filters of all slices are then built by one job and written as pages, and one more
+job deals the hashes (never the texts) by slice, so that a task holds the filter of
+one slice at a time; nothing is broadcast, and the driver takes no part however many
+slices there are. Slices with far more rows than others are dealt to several tasks,
+each of which gets the pages.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from .common import SPACE, documents, keep, same_id, shuffle_parts, shuffles_onc
 
 MAX_FILTER_MB = 32
 PAGE_BITS = 15  # a page of the filter is 32,768 bits, 4 KB
+IN_SLICE = 1 << 24  # rows of a slice that one task may get
 
 
 def _positions(hashes, bits: int) -> np.ndarray:
@@ -36,13 +40,24 @@ def _positions(hashes, bits: int) -> np.ndarray:
     return words & np.uint64(bits - 1)
 
 
+def _all_set(filter_bytes: np.ndarray, hashes, bits: int) -> np.ndarray:
+    at = _positions(hashes, bits).astype(np.int64)
+    return ((filter_bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
 def _values(column):
     return column.to_numpy(zero_copy_only=False) if pa.types.is_int64(column.type) else column.to_pylist()
 
 
 def _pages_of_partition(bits: int):
     def run(batches):
-        found = [_positions(_values(b.column(0)), bits).ravel() for b in batches if b.num_rows]
+        found = []
+        for b in batches:
+            if b.num_rows:
+                at = _positions(_values(b.column(0)), bits)
+                if b.num_columns > 1:  # slices lie one after the other
+                    at = at + b.column(1).to_numpy().astype(np.uint64)[:, None] * np.uint64(bits)
+                found.append(at.ravel())
         if not found:
             return
         at, n = np.unique(np.concatenate(found), return_counts=True)
@@ -92,14 +107,24 @@ def _merge_pages(least: int):
     return run
 
 
-def repeated_filter(hashes: DataFrame, column: str, rows: int, max_filter_mb: float = MAX_FILTER_MB, least: int = 2) -> np.ndarray:
-    """Bits (as bytes, at most ``max_filter_mb``) that at least ``least`` (1 or 2) rows of ``hashes`` set."""
+def _bits_for(rows: int, max_filter_mb: float) -> int:
     bits = 1 << PAGE_BITS
     while bits < 16 * rows and bits * 2 <= max_filter_mb * (1 << 23):
         bits <<= 1
+    return bits
+
+
+def _pages(hashes: DataFrame, bits: int, least: int) -> DataFrame:
+    """page, bits of the filter of ``hashes``: one column, or also the slice; a slice's pages follow those of the one before."""
+    partial = hashes.mapInArrow(_pages_of_partition(bits), "page int, once binary, twice binary")
     parts = shuffle_parts(hashes.sparkSession)
-    partial = hashes.select(column).mapInArrow(_pages_of_partition(bits), "page int, once binary, twice binary")
-    merged = partial.repartition(parts, "page").sortWithinPartitions("page").mapInArrow(_merge_pages(least), "page int, bits binary")
+    return partial.repartition(parts, "page").sortWithinPartitions("page").mapInArrow(_merge_pages(least), "page int, bits binary")
+
+
+def repeated_filter(hashes: DataFrame, column: str, rows: int, max_filter_mb: float = MAX_FILTER_MB, least: int = 2) -> np.ndarray:
+    """Bits (as bytes, at most ``max_filter_mb``) that at least ``least`` (1 or 2) rows of ``hashes`` set."""
+    bits = _bits_for(rows, max_filter_mb)
+    merged = _pages(hashes.select(column), bits, least)
     filter_bytes = np.zeros(bits // 8, np.uint8)
     size = (1 << PAGE_BITS) // 8
     with shuffles_once(hashes.sparkSession):
@@ -115,8 +140,7 @@ def maybe_repeated(spark: SparkSession, filter_bytes: np.ndarray):
 
     @F.pandas_udf("boolean")
     def test(hashes: pd.Series) -> pd.Series:
-        at = _positions(hashes.to_numpy(), bits).astype(np.int64)
-        return pd.Series(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1) if len(hashes) else [], dtype=bool)
+        return pd.Series(_all_set(shared.value, hashes.to_numpy(), bits) if len(hashes) else [], dtype=bool)
 
     return test
 
@@ -127,20 +151,60 @@ def slices_for(rows: int, max_filter_mb: float = MAX_FILTER_MB) -> int:
 
 
 def keep_sliced(hashes: DataFrame, column: str, slices: int) -> DataFrame:
-    """``hashes`` written in one folder for each slice, a column ``slice`` added."""
-    return keep(hashes.withColumn("slice", F.pmod(F.xxhash64(column), F.lit(slices)).cast("int")), by="slice")
+    """``hashes`` written, a column ``slice`` added."""
+    return keep(hashes.withColumn("slice", F.pmod(F.xxhash64(column), F.lit(slices)).cast("int")))
+
+
+def _test_dealt(bits: int, column: int, names: list[str]):
+    """Rows (slice, salt, page, bits, own columns) arrive in order, the pages of a slice before its hashes; one filter is held at a time."""
+    size = (1 << PAGE_BITS) // 8
+
+    def run(batches):
+        current, filter_bytes = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            dealt = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy().astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, dealt[1:] != dealt[:-1]]).tolist()
+            for start, end in zip(starts, [*starts[1:], b.num_rows]):
+                if dealt[start] != current:
+                    current, filter_bytes = dealt[start], np.zeros(bits // 8, np.uint8)
+                own = b.slice(start, end - start)
+                n = len(own) - own.column(2).null_count
+                for page, found in zip(own.column(2)[:n].to_pylist(), own.column(3)[:n].to_pylist()):
+                    at = page % (bits >> PAGE_BITS) * size
+                    filter_bytes[at : at + size] = np.frombuffer(found, np.uint8)
+                if n < len(own):
+                    hashes = own.slice(n)
+                    again = _all_set(filter_bytes, _values(hashes.column(4 + column)), bits)
+                    yield pa.RecordBatch.from_arrays([*hashes.columns[4:], pa.array(again)], [*names, "again"])
+
+    return run
 
 
 def split_repeated(sliced: DataFrame, column: str, slices: int, max_filter_mb: float = MAX_FILTER_MB) -> DataFrame:
-    """``sliced`` (see ``keep_sliced``) without its slice, plus ``again``: may the row's hash occur more than once?"""
-    sizes = {r["slice"]: r["n"] for r in sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per slice
-    out = None
-    for s in range(slices):
-        own = sliced.where(F.col("slice") == s).drop("slice")
-        test = maybe_repeated(sliced.sparkSession, repeated_filter(own, column, sizes.get(s, 0), max_filter_mb))
-        own = own.withColumn("again", test(column))
-        out = own if out is None else out.unionByName(own)
-    return out
+    """``sliced`` (see ``keep_sliced``) without its slice, plus ``again``: may the row's hash occur more than once?
+
+    With one slice rows stay where they are. With more, two jobs make and ask all filters, whatever the number of slices.
+    """
+    spark = sliced.sparkSession
+    rows = -(-sliced.count() // slices)
+    own = sliced.drop("slice")
+    if slices == 1:
+        return own.withColumn("again", maybe_repeated(spark, repeated_filter(own, column, rows, max_filter_mb))(column))
+    bits = _bits_for(rows, max_filter_mb)
+    pages = keep(_pages(sliced.select(column, "slice"), bits, 2))
+    salts = F.ceil(F.count(F.lit(1)) / IN_SLICE).cast("int").alias("salts")
+    sizes = F.broadcast(keep(sliced.groupBy("slice").agg(salts)))  # a row for each slice, some 16 million hashes
+    names = own.columns
+    hashes = sliced.withColumn("nth", F.monotonically_increasing_id()).join(sizes, "slice")
+    hashes = hashes.select("slice", F.pmod("nth", "salts").cast("int").alias("salt"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("binary").alias("bits"), *names)
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in own.schema]
+    of_slice = pages.withColumn("slice", F.expr(f"cast(page div {bits >> PAGE_BITS} as int)")).join(sizes, "slice")
+    of_slice = of_slice.select("slice", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), "page", "bits", *nothing)
+    dealt = of_slice.unionByName(hashes).repartition(max(shuffle_parts(spark), slices), "slice", "salt")
+    dealt = dealt.sortWithinPartitions("slice", "salt", F.col("page").asc_nulls_last())
+    return dealt.mapInArrow(_test_dealt(bits, names.index(column), names), own.withColumn("again", F.lit(True)).schema)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_mb: float = MAX_FILTER_MB, slices: int | None = None) -> DataFrame:
@@ -157,7 +221,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     normal = F.regexp_replace(text_or_empty(docs[text_col]), SPACE, " ")
     hashed = docs.select(docs[id_col].alias("doc_id"), F.unhex(F.sha2(normal, 256)).alias("sha"))
     slices = slices or slices_for(docs.count(), max_filter_mb)
-    flagged = split_repeated(keep_sliced(hashed, "sha", slices), "sha", slices, max_filter_mb)
+    flagged = keep(split_repeated(keep_sliced(hashed, "sha", slices), "sha", slices, max_filter_mb))
     again = flagged.where("again").select("doc_id", "sha")
     # Written, so that the join deals both its sides anew and a large group can be split.
     groups = keep(again.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
@@ -166,24 +230,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return shuffled.select("sha", "doc_id", "keep_id", "group_size").unionByName(through).withColumn("kept", same_id(F.col("doc_id"), F.col("keep_id")))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_mb: float = MAX_FILTER_MB) -> DataFrame:
     """One row of each group of ``exact_groups``, with all its columns.
 
     Of rows that share the smallest id too, null or not, the first by a hash of
     the text as it is stays.
-    Rows whose hash cannot repeat go straight through; only the others are
-    shuffled, to meet the smallest id of their group. Texts pass one filter, so
-    past some 16 million rows it fills up and more of them are shuffled; that
-    changes the cost, never the result.
+    Hashes alone go through the slices; those that do repeat make one more filter,
+    which the texts pass where they are. Only rows that it picks are shuffled, to
+    meet the smallest id of their group. Past some 16 million hashes that repeat
+    it fills up and more rows are shuffled; that changes the cost, never the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     normal = F.regexp_replace(text_or_empty(docs[text_col]), SPACE, " ")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.unhex(F.sha2(normal, 256)).alias("sha"))
-    hashed = keep(rows.select("id", "sha"))
-    test = maybe_repeated(spark, repeated_filter(hashed, "sha", hashed.count()))
-    groups = keep(hashed.where(test("sha")).groupBy("sha").agg(F.min("id").alias("keep_id")))
-    again = rows.where(test("sha")).join(groups.hint("merge"), "sha").where(same_id(F.col("id"), F.col("keep_id")))
+    slices = slices_for(docs.count(), max_filter_mb)
+    flagged = split_repeated(keep_sliced(rows.select("id", "sha"), "sha", slices), "sha", slices, max_filter_mb)
+    groups = flagged.where("again").groupBy("sha").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = keep(groups.where("group_size > 1"))
+    test = maybe_repeated(spark, repeated_filter(groups, "sha", groups.count(), max_filter_mb, least=1))
+    again = rows.where(test("sha")).join(groups.hint("merge"), "sha", "left").where(F.col("group_size").isNull() | same_id(F.col("id"), F.col("keep_id")))
     again = again.groupBy("sha").agg(F.min_by("row", F.xxhash64(F.col("row")[text_col])).alias("row"))
     return rows.where(~test("sha")).select("row.*").unionByName(again.select("row.*"))
 

@@ -10,8 +10,9 @@ The forest's top level is dealt by Spark. Sets with a Jaccard similarity of t
 share one of their first n - ceil(t n) + 1 shingles in any common order
 (here: rarest first, by a counting sketch), so each such shingle is the root of
 a tree over the sets that have it in front; shingles of one set alone are
-dropped by Bloom filters, one for each slice of the shingles, before any shuffle. Below a root, sets are sorted by
-size and cut into blocks of at most BLOCK leaves; tasks traverse pairs of
+dropped by Bloom filters, one for each slice of the shingles, before sets are grouped
+(with one slice before any shuffle, else shingles are dealt by slice once). Below a
+root, sets are sorted by size and cut into blocks of at most BLOCK leaves; tasks traverse pairs of
 blocks, so no task holds more than two. Roots with the same sets below them are
 searched once.
 

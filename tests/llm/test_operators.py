@@ -357,6 +357,32 @@ def test_slices_and_twins_change_no_result(spark, texts, monkeypatch):
     assert want.equals(got)
 
 
+def test_a_hundred_slices_need_no_broadcast_and_no_more_files(spark, monkeypatch):
+    """One hash holds a third of all rows, and tasks get 500 rows of a slice at most."""
+    def never(*_):
+        raise AssertionError("a filter was broadcast")
+
+    monkeypatch.setattr(exact_dedup, "maybe_repeated", never)
+    monkeypatch.setattr(exact_dedup, "IN_SLICE", 500)
+    rows = spark.range(0, 9000, 1, 4).selectExpr("if(id % 97 = 0, null, id) as id", "unhex(sha2(string(if(id % 3 = 0, -1, id % 8000)), 256)) as sha")
+    sliced = exact_dedup.keep_sliced(rows, "sha", 100)
+    assert len(sliced.inputFiles()) == 4
+    got = exact_dedup.split_repeated(sliced, "sha", 100, 1 / 256).toPandas()
+    want = rows.toPandas()
+    key = lambda df: sorted(map(str, zip(df["id"], df["sha"].map(bytes))))
+    assert key(got) == key(want)  # every row once
+    often = want.groupby(want["sha"].map(bytes)).size()
+    assert got[got["sha"].map(bytes).map(often) > 1]["again"].all()
+    alone = got[got["sha"].map(bytes).map(often) == 1]
+    assert len(alone) > 4000 and alone["again"].mean() < 0.05
+
+
+def test_dedup_in_slices_keeps_the_same_rows(spark, texts):
+    many = [*texts, *(f"row {i % 4000}" for i in range(5000))]
+    whole, sliced = (sorted(r["doc_id"] for r in exact_dedup.dedup(frame(spark, many), max_filter_mb=mb).collect()) for mb in (32, 1 / 256))
+    assert whole == sliced == sorted(exact_dedup.exact_groups(frame(spark, many)).where("kept").toPandas()["doc_id"])
+
+
 def test_different_sets_with_one_name_are_told_apart():
     a, b = np.arange(3, dtype=np.uint64), np.arange(4, dtype=np.uint64)
     assert jaccard_join._node(a, frozenset({jaccard_join._node(a)})) == jaccard_join._hash(a, 1) != jaccard_join._node(a)
