@@ -7,12 +7,13 @@ so only they are shuffled and grouped by their full SHA-256. All other rows go
 straight through as groups of one.
 
 A filter has a byte limit (``max_filter_mb``), so that it can be broadcast. Where
-one would get too full, the hashes are cut into slices by their own hash. The
-filters of all slices are then built by one job and written as pages, and one more
-job deals the hashes (never the texts) by slice, so that a task holds the filter of
-one slice at a time; nothing is broadcast, and the driver takes no part however many
-slices there are. Slices with far more rows than others are dealt to several tasks,
-each of which gets the pages.
+one would get too full, the hashes are cut into slices of a million rows or fewer
+by their own hash. The filters of all slices (2 MB each) are then built by one job
+and written as pages, and one more job deals the hashes (never the texts) by slice,
+so that a task sorts few rows and holds the filter of one slice at a time; no filter
+is broadcast, and the driver takes no part however many slices there are. Slices
+with far more rows than others (a hash that repeats millions of times) are dealt to
+several tasks, each of which gets the pages.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ from .common import SPACE, documents, keep, same_id, shuffle_parts, shuffles_onc
 
 MAX_FILTER_MB = 32
 PAGE_BITS = 15  # a page of the filter is 32,768 bits, 4 KB
-IN_SLICE = 1 << 24  # rows of a slice that one task may get
+SLICE = 1 << 20  # rows of a slice, where one filter is not enough
+IN_SLICE = 1 << 21  # rows of a slice that one task may get
+MOST_PARTS = 20_000  # of the shuffle by slice; with more slices, tasks take several one after the other
+AT_ONCE = 1 << 22  # bit positions that a task folds into pages at once
 
 
 def _positions(hashes, bits: int) -> np.ndarray:
@@ -49,30 +53,37 @@ def _values(column):
     return column.to_numpy(zero_copy_only=False) if pa.types.is_int64(column.type) else column.to_pylist()
 
 
+def _partial_pages(found: list[np.ndarray]):
+    at, n = np.unique(np.concatenate(found), return_counts=True)
+    page = (at >> np.uint64(PAGE_BITS)).astype(np.int64)
+    offset = (at & np.uint64((1 << PAGE_BITS) - 1)).astype("<u2")
+    starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+    for some in np.array_split(starts, max(1, len(starts) // 512)):
+        ends = [starts[i] if i < len(starts) else len(page) for i in np.searchsorted(starts, some, "right")]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "page": pa.array(page[some], pa.int64()),
+                "once": pa.array([offset[a:b][n[a:b] == 1].tobytes() for a, b in zip(some, ends)], pa.binary()),
+                "twice": pa.array([offset[a:b][n[a:b] > 1].tobytes() for a, b in zip(some, ends)], pa.binary()),
+            }
+        )
+
+
 def _pages_of_partition(bits: int):
     def run(batches):
-        found = []
+        found, held = [], 0
         for b in batches:
             if b.num_rows:
                 at = _positions(_values(b.column(0)), bits)
                 if b.num_columns > 1:  # slices lie one after the other
                     at = at + b.column(1).to_numpy().astype(np.uint64)[:, None] * np.uint64(bits)
                 found.append(at.ravel())
-        if not found:
-            return
-        at, n = np.unique(np.concatenate(found), return_counts=True)
-        page = (at >> np.uint64(PAGE_BITS)).astype(np.int64)
-        offset = (at & np.uint64((1 << PAGE_BITS) - 1)).astype("<u2")
-        starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
-        for some in np.array_split(starts, max(1, len(starts) // 512)):
-            ends = [starts[i] if i < len(starts) else len(page) for i in np.searchsorted(starts, some, "right")]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "page": pa.array(page[some], pa.int32()),
-                    "once": pa.array([offset[a:b][n[a:b] == 1].tobytes() for a, b in zip(some, ends)], pa.binary()),
-                    "twice": pa.array([offset[a:b][n[a:b] > 1].tobytes() for a, b in zip(some, ends)], pa.binary()),
-                }
-            )
+                held += at.size
+            if held >= AT_ONCE:
+                yield from _partial_pages(found)
+                found, held = [], 0
+        if found:
+            yield from _partial_pages(found)
 
     return run
 
@@ -88,7 +99,7 @@ def _merge_pages(least: int):
                 out.append((current, np.packbits(counts >= least, bitorder="little").tobytes()))
 
         def batch():
-            return pa.RecordBatch.from_pydict({"page": pa.array([x[0] for x in out], pa.int32()), "bits": pa.array([x[1] for x in out], pa.binary())})
+            return pa.RecordBatch.from_pydict({"page": pa.array([x[0] for x in out], pa.int64()), "bits": pa.array([x[1] for x in out], pa.binary())})
 
         for b in batches:
             for page, once, twice in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -116,9 +127,9 @@ def _bits_for(rows: int, max_filter_mb: float) -> int:
 
 def _pages(hashes: DataFrame, bits: int, least: int) -> DataFrame:
     """page, bits of the filter of ``hashes``: one column, or also the slice; a slice's pages follow those of the one before."""
-    partial = hashes.mapInArrow(_pages_of_partition(bits), "page int, once binary, twice binary")
+    partial = hashes.mapInArrow(_pages_of_partition(bits), "page long, once binary, twice binary")
     parts = shuffle_parts(hashes.sparkSession)
-    return partial.repartition(parts, "page").sortWithinPartitions("page").mapInArrow(_merge_pages(least), "page int, bits binary")
+    return partial.repartition(parts, "page").sortWithinPartitions("page").mapInArrow(_merge_pages(least), "page long, bits binary")
 
 
 def repeated_filter(hashes: DataFrame, column: str, rows: int, max_filter_mb: float = MAX_FILTER_MB, least: int = 2) -> np.ndarray:
@@ -146,8 +157,9 @@ def maybe_repeated(spark: SparkSession, filter_bytes: np.ndarray):
 
 
 def slices_for(rows: int, max_filter_mb: float = MAX_FILTER_MB) -> int:
-    """How many filters of at most this size ``rows`` hashes need, at 16 bits a hash."""
-    return max(1, -(-16 * rows // max(1 << PAGE_BITS, int(max_filter_mb * (1 << 23)))))
+    """One slice while ``rows`` hashes fit into a filter of this size at 16 bits a hash, else slices of at most SLICE rows."""
+    fit = max(1 << PAGE_BITS, int(max_filter_mb * (1 << 23))) // 16
+    return 1 if rows <= fit else -(-rows // min(fit, SLICE))
 
 
 def keep_sliced(hashes: DataFrame, column: str, slices: int) -> DataFrame:
@@ -194,15 +206,16 @@ def split_repeated(sliced: DataFrame, column: str, slices: int, max_filter_mb: f
         return own.withColumn("again", maybe_repeated(spark, repeated_filter(own, column, rows, max_filter_mb))(column))
     bits = _bits_for(rows, max_filter_mb)
     pages = keep(_pages(sliced.select(column, "slice"), bits, 2))
-    salts = F.ceil(F.count(F.lit(1)) / IN_SLICE).cast("int").alias("salts")
-    sizes = F.broadcast(keep(sliced.groupBy("slice").agg(salts)))  # a row for each slice, some 16 million hashes
+    sizes = sliced.groupBy("slice").agg(F.ceil(F.count(F.lit(1)) / IN_SLICE).cast("int").alias("many"))
+    large = F.broadcast(keep(sizes.where("many > 1")))  # at most a row for every IN_SLICE hashes, and only of hashes that repeat that often
+    salts = F.coalesce("many", F.lit(1))
     names = own.columns
-    hashes = sliced.withColumn("nth", F.monotonically_increasing_id()).join(sizes, "slice")
-    hashes = hashes.select("slice", F.pmod("nth", "salts").cast("int").alias("salt"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("binary").alias("bits"), *names)
+    hashes = sliced.withColumn("nth", F.monotonically_increasing_id()).join(large, "slice", "left")
+    hashes = hashes.select("slice", F.pmod("nth", salts).cast("int").alias("salt"), F.lit(None).cast("long").alias("page"), F.lit(None).cast("binary").alias("bits"), *names)
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in own.schema]
-    of_slice = pages.withColumn("slice", F.expr(f"cast(page div {bits >> PAGE_BITS} as int)")).join(sizes, "slice")
-    of_slice = of_slice.select("slice", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), "page", "bits", *nothing)
-    dealt = of_slice.unionByName(hashes).repartition(max(shuffle_parts(spark), slices), "slice", "salt")
+    of_slice = pages.withColumn("slice", F.expr(f"cast(page div {bits >> PAGE_BITS} as int)")).join(large, "slice", "left")
+    of_slice = of_slice.select("slice", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "page", "bits", *nothing)
+    dealt = of_slice.unionByName(hashes).repartition(max(shuffle_parts(spark), min(slices, MOST_PARTS)), "slice", "salt")
     dealt = dealt.sortWithinPartitions("slice", "salt", F.col("page").asc_nulls_last())
     return dealt.mapInArrow(_test_dealt(bits, names.index(column), names), own.withColumn("again", F.lit(True)).schema)
 
