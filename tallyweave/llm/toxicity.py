@@ -298,14 +298,18 @@ def _witness_batches(model):
     return run
 
 
-def learn(positive: list[str], rating: np.ndarray, negative: list[str], search) -> dict:
-    """Rounds of fits; ``search(table, bias)`` gives (copy, label, snippets, margins) of each training text, best snippets first."""
+def _fitted(case: tuple) -> tuple[np.ndarray, float]:
+    return machine(*case)
+
+
+def learn(positive: list[str], rating: np.ndarray, negative: list[str], fit, search) -> dict:
+    """Rounds of fits: ``fit`` is ``machine``, run wherever; ``search(table, bias)`` gives (copy, label, snippets, margins) of each training text, best snippets first."""
     for _ in range(ROUNDS):
         best = np.argsort(-rating, kind="stable")[: MAX_SNIPPETS // (1 + DISGUISES)]
         positive, rating = [positive[i] for i in best], rating[best]
         marks = list(dict.fromkeys([*positive[: LANDMARKS // 2], *negative[: LANDMARKS // 2]]))
         changed = [disguised(w, k) for k in range(DISGUISES) for w in positive]
-        table, bias = machine([*positive, *changed], np.r_[rating, np.tile(rating / DISGUISES, DISGUISES)], negative, marks)
+        table, bias = fit([*positive, *changed], np.r_[rating, np.tile(rating / DISGUISES, DISGUISES)], negative, marks)
         found = search(table, bias)
         bag, label = np.array([m[0] for _, _, _, m in found]), np.array([y for _, y, _, _ in found], float)
         trust = _likelihood(bag, *logistic(bag, label, np.ones(len(bag))))
@@ -355,12 +359,16 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dic
     if not start or not negative:
         return constant
 
+    def fit(*case) -> tuple[np.ndarray, float]:
+        """A fit's matrices (24,000 snippets by 512 landmarks) are made in a task: the driver has no memory to spare for them."""
+        return spark.sparkContext.parallelize([case], 1).map(_fitted).first()
+
     def search(table: np.ndarray, bias: float) -> list:
         shared = spark.sparkContext.broadcast((table, bias))
         found = sample.mapInArrow(_witness_batches(shared), "copy long, toxic int, words array<string>, margins array<double>").collect()
         return sorted((r["copy"], r["toxic"], r["words"], r["margins"]) for r in found if r["words"])
 
-    return learn(list(start), np.array(list(start.values())), negative, search)
+    return learn(list(start), np.array(list(start.values())), negative, fit, search)
 
 
 def _scores(model, texts: list[str | None]) -> np.ndarray:

@@ -280,6 +280,22 @@ def test_disguised_insults_score_high_and_clean_texts_low(insulted):
     assert min(v for k, v in share.items() if k not in hard) >= 0.9 and min(share.values()) >= 0.7, share
 
 
+def test_toxicity_fits_in_tasks(spark, monkeypatch):
+    """The driver makes no matrix of a fit; what a task gives is what ``machine`` gives."""
+    rows = [(i, f"the {'idiot' if i % 4 == 0 else 'river'} walks home number {chr(97 + i % 26)}{chr(97 + i % 7)}x", int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine, cases = toxicity.machine, []
+    learn = toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda p, r, n, fit, search: learn(p, r, n, lambda *case: cases.append((case, fit(*case))) or cases[-1][1], search))
+    monkeypatch.setattr(toxicity, "machine", lambda *case: pytest.fail("a fit ran in the driver"))
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert len(cases) == toxicity.ROUNDS
+    for case, (table, bias) in cases:
+        plain = machine(*case)
+        assert np.allclose(table, plain[0], atol=1e-5) and abs(bias - plain[1]) < 1e-5
+    assert (toxicity._scores(model, ["the idiot walks home", "the river walks home"]) >= 0.5).tolist() == [True, False]
+
+
 def test_toxicity_of_odd_texts(spark, insulted):
     model, clean = insulted
     texts = [None, "", " \n", "?!... ---", clean[0], clean[0], " ".join(clean) * 2, " ".join(clean) + " you idiot", "x" * 100_000, "\ud83d\ude00 \u6f22\u5b57"]
