@@ -52,6 +52,7 @@ MAX_TRAIN = 20_000  # labelled texts that training may use
 MAX_SNIPPETS = 12_000  # snippets of either sign that a fit may use, those with the largest margins
 ROUNDS, DISGUISES, LANDMARKS, COST = 4, 5, 512, 100.0
 WITNESSES, RIVALS = 3, 10  # snippets that may stand for one text labelled 1 and 0
+CHARACTERS = 1 << 20  # texts are read together up to this length, and snippets compared up to this number
 
 _BITS = 6
 _SIZE = 1 << _BITS  # symbols: 0 border, 1 to 26 letters, the rest hashed
@@ -65,19 +66,64 @@ def words_of(text: str) -> list[str]:
     return _MARKS.sub("", _DIGITS.sub(lambda m: m.group().translate(_LETTERLIKE), text.lower())).split()
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 if words keep it, 2 if it parts words, and 4 more if it may stand for a letter."""
+    kinds = np.fromiter((c.isalnum() + 2 * c.isspace() for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+    kinds[list(_LETTERLIKE)] |= 4
+    return kinds
+
+
+def read(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``words_of`` of many texts at once: code points of all words one after another; length and text number of each word."""
+    low = [t.lower() for t in texts]
+    end = np.cumsum([len(t) + 1 for t in low])
+    points = _points("\n".join([*low, ""]))
+    kind = _kinds().take(points)
+    alike = np.flatnonzero(kind & 4)
+    if len(alike):
+        last = np.r_[alike[1:] - alike[:-1] > 1, True]
+        after = points[alike[last] + 1]
+        meant = alike[((after >= 97) & (after <= 122))[np.cumsum(last) - last]]
+        letter = np.zeros(128, np.int32)
+        letter[list(_LETTERLIKE)] = list(_LETTERLIKE.values())
+        points[meant], kind[meant] = letter[points[meant]], 1
+    kind &= 3
+    seen = np.flatnonzero(kind)
+    kept = kind[seen] == 1
+    edge = np.flatnonzero(np.diff(np.r_[False, kept, False].view(np.int8)))
+    first, n = edge[::2], edge[1::2] - edge[::2]
+    return points[seen[kept]], n, np.searchsorted(end, seen[first], "right")
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(bytearray(text.encode("utf-32-le", "surrogatepass")), np.int32)
+
+
+def _text(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _symbols(points: np.ndarray) -> np.ndarray:
+    return np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 37)
+
+
 def symbols(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
-    return np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 37).astype(np.int32)
+    return _symbols(_points(text))
 
 
 def snippets(texts: list[list[str]]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     """All words one after another; start, length and text number of each snippet."""
     flat = [w for t in texts for w in t]
     n = np.fromiter(map(len, flat), np.int64, len(flat))
+    return "".join(flat), *snippets_at(n, np.repeat(np.arange(len(texts)), [len(t) for t in texts]))
+
+
+def snippets_at(n: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and text number of each snippet, from length and text number of each word."""
     start = np.cumsum(n) - n
-    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     if not len(n):
-        return "", start, n, text
+        return start, n, text
     pair = np.flatnonzero((text[1:] == text[:-1]) & (n[1:] + n[:-1] <= JOINED))
     edge = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (n[1:] > SHORT) | (n[:-1] > SHORT)])
     size = np.diff(np.r_[edge, len(n)])
@@ -90,7 +136,34 @@ def snippets(texts: list[list[str]]) -> tuple[str, np.ndarray, np.ndarray, np.nd
     parts = np.maximum(0, -(-(n - WINDOW) // STRIDE)) + 1
     row = np.repeat(np.arange(len(n)), parts)
     part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return "".join(flat), start[row] + STRIDE * part, np.minimum(WINDOW, n[row] - STRIDE * part), text[row]
+    return start[row] + STRIDE * part, np.minimum(WINDOW, n[row] - STRIDE * part), text[row]
+
+
+def distinct(code: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of one of each lot of equal snippets, and for every snippet the number of its lot.
+
+    Ten symbols fit into one integer, a snippet into two. Rows are sorted by a
+    hash of both and lots told apart by both, so no two different ones meet.
+    """
+    held = 60 // _BITS
+    if len(start):
+        code, start = code[start.min() : start.max() + WINDOW], start - start.min()
+    padded = np.r_[code, np.zeros(2 * held, code.dtype)].astype(np.uint64)
+    packed = np.zeros(len(code) + held + 1, np.uint64)
+    for i in range(held):
+        packed = packed << _BITS | padded[i : i + len(packed)]
+    left = (_BITS * (held - np.minimum(n, held))).astype(np.uint64)
+    head = packed[start] >> left | n.astype(np.uint64) << 60
+    tail = np.zeros(len(n), np.uint64)
+    long = np.flatnonzero(n > held)
+    tail[long] = packed[start[long] + held] >> (_BITS * (2 * held - n[long])).astype(np.uint64)
+    order = np.argsort(head + tail * 0x9E3779B97F4A7C15)
+    head, tail = head[order], tail[order]
+    new = np.ones(len(n), bool)
+    new[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
+    lot = np.empty(len(n), np.int64)
+    lot[order] = np.cumsum(new) - 1
+    return order[new], lot
 
 
 @functools.cache
@@ -113,12 +186,14 @@ def _keys(code: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 def _norms(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Length of each row's features, the weights of equal triples added up first."""
-    order = np.argsort(keys, axis=1, kind="stable")
-    keys, value = np.take_along_axis(keys, order, 1), weight[order].astype(np.float64)
+    bits = len(weight).bit_length()
+    placed = np.sort(keys << bits | np.arange(len(weight), dtype=keys.dtype), axis=1)
+    keys, value = placed >> bits, weight.astype(np.float64)[placed & (1 << bits) - 1]
     first = np.ones(keys.shape, bool)
     first[:, 1:] = keys[:, 1:] != keys[:, :-1]
-    sums = np.add.reduceat(value.ravel(), np.flatnonzero(first.ravel()))
-    return np.sqrt(np.bincount(np.nonzero(first)[0], sums * sums, len(keys)))
+    at = np.flatnonzero(first)
+    sums = np.add.reduceat(value.ravel(), at)
+    return np.sqrt(np.bincount(at // len(weight), sums * sums, len(keys)))
 
 
 def _features(words: list[str]):
@@ -190,49 +265,120 @@ def machine(positive: list[str], rating: np.ndarray, negative: list[str], marks:
     return table.astype(np.float32), float(w[-1])
 
 
-def margins(flat: str, start: np.ndarray, n: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
-    """SVM margins of snippets, those under -1 as -1.
+def _parts(n: np.ndarray):
+    """Rows of equal length, at most 512 together."""
+    order = np.argsort(n, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(n[order])) + 1):
+        for k in range(0, len(rows), 512):
+            yield rows[k : k + 512]
 
-    A first look divides by the norm without repeated triples, which is never
-    too large, so only snippets above -1 there need their own norm.
+
+def _looks(code: np.ndarray, start: np.ndarray, n: np.ndarray, table: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the triples' weights in snippets, which ones are near the border, and bounds that their margins do not pass.
+
+    Near are those above -1 by the norm without repeated triples. That norm is
+    never too large, so no sum above 0 is missed; one below 0 may be, and counts
+    as -1. The sum of all weights is never too small a norm. Each column is
+    summed by itself, in one order, so that equal snippets get equal sums
+    wherever they stand.
     """
-    code, out = symbols(flat), np.full(len(n), -1.0)
-    for length in np.unique(n):
-        rows = np.flatnonzero(n == length)
-        for k in range(0, len(rows), 512):
-            part = rows[k : k + 512]
-            keys, weight = _keys(code, start[part], int(length))
-            value = weight @ table.take(keys)
-            near = np.flatnonzero(value / np.sqrt((weight * weight).sum()) + bias > -1)
-            if len(near):
-                out[part[near]] = np.maximum(-1.0, value[near] / _norms(np.ascontiguousarray(keys[:, near].T), weight) + bias)
-    return out
+    value, near, bound = np.zeros(len(n), np.float32), np.zeros(len(n), bool), np.zeros(len(n))
+    for part in _parts(n):
+        keys, weight = _keys(code, start[part], int(n[part[0]]))
+        found = table.take(keys, mode="clip")
+        found *= weight[:, None]
+        v = value[part] = found.sum(0)
+        least = np.sqrt((weight * weight).sum())
+        near[part] = v / least + bias > -1
+        bound[part] = v / np.where(v > 0, least, weight.sum()) + bias
+    return value, near, bound + 1e-5  # for rounding
+
+
+def _exact(code: np.ndarray, start: np.ndarray, n: np.ndarray, value: np.ndarray, bias: float) -> np.ndarray:
+    out = np.zeros(len(n))
+    for part in _parts(n):
+        keys, weight = _keys(code, start[part], int(n[part[0]]))
+        out[part] = value[part] / _norms(np.ascontiguousarray(keys.T), weight) + bias
+    return np.maximum(-1.0, out)
+
+
+def margins(code: np.ndarray, start: np.ndarray, n: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
+    """SVM margins of snippets, those under -1 as -1; equal snippets are looked up once, and only those near the border need their norm."""
+    if len(n) > CHARACTERS:
+        return np.concatenate([margins(code, start[k : k + CHARACTERS], n[k : k + CHARACTERS], table, bias) for k in range(0, len(n), CHARACTERS)])
+    one, lot = distinct(code, start, n)
+    value, near, _ = _looks(code, start[one], n[one], table, bias)
+    near, out = np.flatnonzero(near), np.full(len(one), -1.0)
+    out[near] = _exact(code, start[one[near]], n[one[near]], value[near], bias)
+    return out[lot]
 
 
 def margins_of(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     n = np.array([len(w) for w in words], np.int64)
-    return margins("".join(words), np.cumsum(n) - n, n, table, bias)
+    return margins(symbols("".join(words)), np.cumsum(n) - n, n, table, bias)
+
+
+def _together(texts: list[str]):
+    """Slices of texts that are read together."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > CHARACTERS:
+            yield slice(begin, i)
+            begin, size = i, 0
+        size += len(t)
+    if texts:
+        yield slice(begin, len(texts))
 
 
 def text_margins(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """The largest margin among the snippets of each text, at least -1."""
     out = np.full(len(texts), -1.0)
-    for k in range(0, len(texts), 64):
-        flat, start, n, text = snippets([words_of(t) for t in texts[k : k + 64]])
-        np.maximum.at(out[k : k + 64], text, margins(flat, start, n, table, bias))
+    for these in _together(texts):
+        points, n, text = read(texts[these])
+        start, n, text = snippets_at(n, text)
+        code = _symbols(points)
+        for k in range(0, len(n), CHARACTERS):
+            part = slice(k, k + CHARACTERS)
+            _raise(out[these], code, start[part], n[part], text[part], table, bias)
     return out
 
 
-def witnesses(text: str, toxic: int, table: np.ndarray, bias: float) -> list[tuple[str, float]]:
-    """The snippets of a text with the largest margins, different ones, best first."""
-    flat, start, n, _ = snippets([words_of(text)])
-    margin = margins(flat, start, n, table, bias)
-    best: dict[str, float] = {}
-    for i in np.argsort(-margin, kind="stable"):
-        best.setdefault(flat[start[i] : start[i] + n[i]], float(margin[i]))
-        if len(best) == (WITNESSES if toxic else RIVALS):
-            break
-    return list(best.items())
+def _raise(best: np.ndarray, code: np.ndarray, start: np.ndarray, n: np.ndarray, text: np.ndarray, table: np.ndarray, bias: float) -> None:
+    """Raise the largest margins of texts to those of these snippets.
+
+    First each text's snippet with the largest bound gets its norm, then only
+    snippets whose bound is above the text's margin by then.
+    """
+    one, lot = distinct(code, start, n)
+    start, n = start[one], n[one]
+    value, near, bound = _looks(code, start, n, table, bias)
+    near = np.flatnonzero(near[lot])
+    near = near[np.lexsort((-bound[lot[near]], text[near]))]
+    lot, text = lot[near], text[near]
+    lead = np.diff(text, prepend=-1) > 0
+    for later in (False, True):
+        rows = np.flatnonzero((lead != later) & (bound[lot] > best[text]))
+        lots, at = np.unique(lot[rows], return_inverse=True)
+        np.maximum.at(best, text[rows], _exact(code, start[lots], n[lots], value[lots], bias)[at])
+
+
+def witnesses(texts: list[str], toxic: list[int], table: np.ndarray, bias: float) -> list[list[tuple[str, float]]]:
+    """The snippets of each text with the largest margins, different ones, best first."""
+    out = []
+    for these in _together(texts):
+        points, n, text = read(texts[these])
+        start, n, text = snippets_at(n, text)
+        margin = margins(_symbols(points), start, n, table, bias)
+        order = np.lexsort((-margin, text))
+        ends = np.searchsorted(text[order], np.arange(len(texts[these]) + 1))
+        for y, rows in zip(toxic[these], (order[a:b] for a, b in itertools.pairwise(ends))):
+            best: dict[str, float] = {}
+            for i in rows:
+                best.setdefault(_text(points[start[i] : start[i] + n[i]]), float(margin[i]))
+                if len(best) == (WITNESSES if y else RIVALS):
+                    break
+            out.append(list(best.items()))
+    return out
 
 
 def logistic(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -285,7 +431,7 @@ def _word_batches(batches):
 def _witness_batches(model):
     def run(batches):
         for b in batches:
-            found = [witnesses(t, y, *model.value) for t, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist())]
+            found = witnesses(b["text"].to_pylist(), b["toxic"].to_pylist(), *model.value)
             yield pa.RecordBatch.from_pydict(
                 {
                     "copy": b["copy"],

@@ -327,6 +327,47 @@ def test_the_kernel_equals_counting_subsequences():
     assert toxicity.margins_of(["ididot"], table, bias)[0] > 0 > toxicity.margins_of(["banana"], table, bias)[0]
 
 
+def test_toxicity_reads_texts_together_as_one_by_one():
+    rng = random.Random(3)
+    some = lambda: chr(rng.choice([rng.randrange(0x110000), rng.randrange(300), rng.randrange(97, 123), ord(rng.choice("0134578@$!| \n_-"))]))
+    texts = ["".join(some() for _ in range(rng.randrange(60))) for _ in range(2000)] + ["", "4!d", "4! d", "a1", "1", "\x1c", "\u0391\u03a3", "\u03a3", "\u0130i", "@"]
+    points, n, text = toxicity.read(texts)
+    flat, got, at = toxicity._text(points), [[] for _ in texts], 0
+    for k, t in zip(n, text):
+        got[t].append(flat[at : at + k])
+        at += k
+    assert got == [toxicity.words_of(t) for t in texts]
+
+
+def test_toxicity_looks_up_equal_snippets_once(monkeypatch):
+    """A text costs what its different snippets cost, and norms are made for those only that may be its best."""
+    rng = random.Random(6)
+    table, bias = toxicity.machine(["idiot", "moron"], np.ones(2), ["river", "stone", "walks", "morning"], ["idiot", "moron", "river", "stone"])
+    vocabulary = ["".join(rng.choices("aeimnorst", k=rng.randint(1, 9))) for _ in range(12)] + ["moron", "x" * 40]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(400))) for _ in range(30)]
+    lists = [toxicity.snippets([toxicity.words_of(t)]) for t in texts]
+    plain = [{flat[s : s + k] for s, k in zip(start, n)} for flat, start, n, _ in lists]
+    code = toxicity.symbols("".join(f for f, *_ in lists))
+    start = np.concatenate([s + sum(len(f) for f, *_ in lists[:i]) for i, (_, s, _, _) in enumerate(lists)])
+    n = np.concatenate([n for _, _, n, _ in lists])
+    one, lot = toxicity.distinct(code, start, n)
+    told = [tuple(code[s : s + k]) for s, k in zip(start, n)]
+    assert len({told[i] for i in one}) == len(one) == len(set(told)) and all(told[one[k]] == w for w, k in zip(told, lot))
+
+    looked, normed, keys, norms = [], [], toxicity._keys, toxicity._norms
+    monkeypatch.setattr(toxicity, "_keys", lambda code, start, n: looked.append(len(start)) or keys(code, start, n))
+    monkeypatch.setattr(toxicity, "_norms", lambda keys, weight: normed.append(len(keys)) or norms(keys, weight))
+    got = toxicity.text_margins(texts, table, bias)
+    different = set().union(*plain)
+    assert sum(looked) - sum(normed) <= len(different) and sum(normed) <= len(different) < sum(map(len, told)) / 20
+    best = [max(toxicity.margins_of(sorted(w), table, bias), default=-1.0) for w in plain]
+    assert np.array_equal(got, best) and np.array_equal(toxicity.text_margins(texts[::-1], table, bias)[::-1], got)
+    monkeypatch.setattr(toxicity, "CHARACTERS", 50)
+    assert np.array_equal(toxicity.text_margins(texts, table, bias), got)
+    said = toxicity.witnesses(texts, [1] * len(texts), table, bias)
+    assert [s[0][1] if s else -1.0 for s in said] == best and all(len({w for w, _ in s}) == min(len(p), toxicity.WITNESSES) for s, p in zip(said, plain))
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ["x"]).where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
