@@ -1,14 +1,15 @@
 """The set-to-set steps: optimal assignment, consolidated payouts and contested receipts.
 
 Set operations decide everything uncontested. Contested rows of the serial steps go to
-``serial``; those of the assignment are solved a connected group at a time, in a task
-while a group is small and by ``auction`` when it is not.
+``serial``; those of the assignment are solved a connected group at a time, many in a task
+while groups are small and by ``auction`` when they are not.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -76,33 +77,31 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def groups_of(edges: DataFrame) -> DataFrame:
     """edges (lkey, rkey, ...) plus ``grp``, the smallest lkey of all edges that hang together.
 
-    Alternating large and small stars until nothing changes; rounds grow with
-    the logarithm of the longest chain.
+    A left key is linked with the smallest one at each of its right keys, and
+    alternating large and small stars go on until each key hangs on the smallest of
+    its group; rounds grow with the logarithm of the longest chain.
     """
     edges = keep(edges)
-    links = keep(edges.select(F.concat(F.lit("r"), "rkey").alias("a"), F.concat(F.lit("l"), "lkey").alias("b")).distinct())
-    before = None
-    while True:
+    least = edges.groupBy("rkey").agg(F.min("lkey").alias("b"))
+    links = keep(edges.join(least, "rkey").where("b <> lkey").select(F.col("lkey").alias("a"), "b").distinct())
+    while not (links.groupBy("a").count().where("count > 1").isEmpty() and links.join(links.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()):
         links = keep(_star(_star(links, True), False))
-        now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before:
-            break
-        before = now
-    # Each node now hangs on the smallest of its group, which is a left key.
-    roots = links.where(F.col("a").startswith("r")).select(F.substring("a", 2, 1 << 30).alias("rkey"), F.substring("b", 2, 1 << 30).alias("grp"))
-    return edges.join(roots, "rkey").select(*edges.columns, "grp")
+    roots = links.select(F.col("a").alias("lkey"), F.col("b").alias("root"))
+    return edges.join(roots, "lkey", "left").select(*edges.columns, F.coalesce("root", "lkey").alias("grp"))
 
 
-def _best_assignment(edges: pd.DataFrame) -> pd.DataFrame:
-    """Most pairs, then least cost; rows are taken in order of their keys, so input order changes nothing.
+def _chosen(left: list, right: list, cost: list) -> list[bool]:
+    """Which of the edges are taken: most pairs, then least cost; keys are taken in their order, so input order changes nothing.
 
     Left keys enter one by one along the cheapest augmenting path (Dijkstra on
     reduced costs); each may also stay alone, at a price above all others.
     """
-    lefts = {k: i for i, k in enumerate(sorted(edges["lkey"].unique()))}
-    rights = {k: i for i, k in enumerate(sorted(edges["rkey"].unique()))}
+    if len(left) == 1:
+        return [True]
+    lefts = {k: i for i, k in enumerate(sorted(set(left)))}
+    rights = {k: i for i, k in enumerate(sorted(set(right)))}
     costs: list[dict[int, int]] = [{} for _ in lefts]
-    for a, b, c in zip(edges["lkey"], edges["rkey"], edges["cost"]):
+    for a, b, c in zip(left, right, cost):
         mine = costs[lefts[a]]
         mine[rights[b]] = min(int(c), mine.get(rights[b], int(c)))
     alone = sum(max(mine.values()) for mine in costs) + 1
@@ -141,32 +140,51 @@ def _best_assignment(edges: pd.DataFrame) -> pd.DataFrame:
             if row == i:
                 break
             end = given
-    return edges[[owner.get(rights[b]) == lefts[a] for a, b in zip(edges["lkey"], edges["rkey"])]]
+    return [owner.get(rights[b]) == lefts[a] for a, b in zip(left, right)]
+
+
+def _best_assignment(edges: pd.DataFrame) -> pd.DataFrame:
+    return edges[_chosen(*(edges[c].tolist() for c in ("lkey", "rkey", "cost")))]
+
+
+def _group_by_group(batches, names: list[str]):
+    """Rows arrive by group; a batch's last group may go on in the next batch."""
+    held = None
+    for rows in batches:
+        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+        grp = rows["grp"].to_numpy()
+        cuts = np.flatnonzero(grp[1:] != grp[:-1]) + 1
+        whole = int(cuts[-1]) if len(cuts) else 0
+        held = rows.iloc[whole:]
+        if whole:
+            yield _taken(rows.iloc[:whole], [0, *cuts.tolist()])[names]
+    if held is not None and len(held):
+        yield _taken(held, [0, len(held)])[names]
+
+
+def _taken(rows: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+    left, right, cost = (rows[c].tolist() for c in ("lkey", "rkey", "cost"))
+    chosen: list[bool] = []
+    for a, b in zip(cuts, cuts[1:]):
+        chosen += _chosen(left[a:b], right[a:b], cost[a:b])
+    return rows[chosen]
 
 
 def assign(edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """The optimal one-to-one subset of edges (lkey, rkey, cost, ...): most pairs, then least cost.
 
-    An edge whose two ends have no other edge is taken as it is. Connected groups of up
-    to ``in_task`` edges are solved in a task each, larger ones by an auction in rounds.
+    Connected groups of up to ``in_task`` edges are solved in a task, many groups in
+    each, larger ones by an auction in rounds.
     """
-    edges = keep(edges)
-    lone_l = edges.groupBy("lkey").count().where("count = 1").select("lkey")
-    lone_r = edges.groupBy("rkey").count().where("count = 1").select("rkey")
-    single = edges.join(lone_l, "lkey", "left_semi").join(lone_r, "rkey", "left_semi").select(edges.columns)
-    rest = edges.join(single.select("lkey", "rkey"), ["lkey", "rkey"], "left_anti").select(edges.columns)
-    if rest.isEmpty():
-        return single
-    grouped = keep(groups_of(rest))
-    large = grouped.groupBy("grp").count().where(F.col("count") > in_task).select("grp")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema)
+    grouped = keep(groups_of(edges))
+    large = keep(grouped.groupBy("grp").count().where(F.col("count") > in_task).select("grp"))
     names = edges.columns
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _best_assignment(pdf)[names]
-
-    out = single.unionByName(grouped.join(large, "grp", "left_anti").groupBy("grp").applyInPandas(solve, schema))
-    if large.isEmpty():
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema)
+    none_large = large.isEmpty()
+    small = grouped if none_large else grouped.join(large, "grp", "left_anti").select(grouped.columns)
+    dealt = small.repartition("grp").sortWithinPartitions("grp")
+    out = dealt.mapInPandas(lambda batches: _group_by_group(batches, names), schema)
+    if none_large:
         return out
     return out.unionByName(auction.assign(grouped.join(large, "grp", "left_semi").select(names)))
 

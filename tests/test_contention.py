@@ -212,3 +212,16 @@ def test_a_group_too_large_for_one_task_goes_to_the_auction(spark):
     best = solvers._best_assignment(pd.DataFrame(rows, columns=["lkey", "rkey", "cost", "part"]))
     got = solvers.assign(edges, in_task=100).toPandas()
     assert got["lkey"].is_unique and got["rkey"].is_unique and (len(got), got["cost"].sum()) == (len(best), best["cost"].sum())
+
+
+def test_groups_that_go_on_in_the_next_batch_are_solved_whole(spark):
+    rng = random.Random(11)
+    rows = [(f"l{g}_{i}", f"r{g}_{j}", rng.randrange(20), g) for g in range(40) for i in range(3) for j in range(3) if rng.random() < 0.7]
+    frame = pd.DataFrame(rows, columns=["lkey", "rkey", "cost", "grp"])
+    want = pd.concat([solvers._best_assignment(f) for _, f in frame.groupby("grp")])
+    for size in (1, 4, 1000):
+        batches = [frame.iloc[i : i + size] for i in range(0, len(frame), size)]
+        got = pd.concat(solvers._group_by_group(iter(batches), ["lkey", "rkey", "cost"]))
+        assert got.values.tolist() == want[["lkey", "rkey", "cost"]].values.tolist()
+    plan = solvers.assign(spark.createDataFrame(rows, "lkey string, rkey string, cost long, part int"))._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan  # no call for each group
