@@ -111,6 +111,24 @@ def test_judging_the_nearest_that_are_free_equals_a_loop(spark, chunk):
     assert {r["lkey"]: (r["candidates"], r["verdict"]) for r in got.collect()} == want
 
 
+def test_items_far_apart_in_amount_do_not_disturb_each_other(spark, monkeypatch):
+    """Their numbers alternate, so that ranges of numbers would all want the same rows."""
+    from tallyweave.operators import serial
+
+    rounds, stands = [], serial._standing
+    monkeypatch.setattr(serial, "_standing", lambda tried: rounds.append(1) or stands(tried))
+    left = [(f"l{i:02d}", i % 4 * 10**6, 3) for i in range(24)]
+    right = [(f"r{i:02d}", i % 4 * 10**6 + i, 3) for i in range(48)]
+    got = adjudicate.adjudicate_nearest(*_sides(spark, left, right), adjudicate.take_first, chunk=40)
+    assert {r["lkey"]: r["chose"] for r in got.collect()} == {f"l{i:02d}": f"r{i:02d}" for i in range(24)}
+    assert len(rounds) == 1
+
+
+def test_neighbours_above_are_read_once(spark):
+    rows = spark.createDataFrame([(0, 5, True, True)], "g int, v long, right boolean, left boolean")
+    assert "unboundedfollowing" not in nearest._around(rows, ["g"], "v", 2)._jdf.queryExecution().toString().lower()
+
+
 @pytest.mark.parametrize("chunk", [1000, 15])
 def test_payouts_equal_a_loop(spark, chunk):
     from itertools import combinations
