@@ -70,36 +70,59 @@ def ranked(of: DataFrame, question: str, k: int = 6) -> DataFrame:
     return of.withColumn("score", points).where("score > 0").orderBy(F.desc("score"), F.desc("exposure"), "kind", "key", "fact").limit(k).select("score", "exposure", "kind", "key", "fact")
 
 
-GRAM = 5  # no id is shorter
+GRAM, LONG = 5, 8  # no id is shorter than GRAM
+
+
+def _grams(run: Column, size: int) -> Column:
+    return F.when(F.length(run) >= size, F.transform(F.sequence(F.lit(1), F.length(run) - size + 1), lambda i: F.substring(run, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def _best(df: DataFrame, by: list[str], points: list[str], k: int) -> DataFrame:
+    """The first k facts of each ``by``, with ``nth``."""
+    nth = F.row_number().over(W.partitionBy(*by).orderBy(*[F.desc(c) for c in points], F.desc("exposure"), "kind", "key", "fact"))
+    return df.withColumn("nth", nth).where(F.col("nth") <= k)
 
 
 def index(of: DataFrame) -> dict[str, DataFrame]:
-    """``facts`` (fid, ...) and ``postings`` (term, fid), written once, in order of terms.
+    """``facts`` (fid, wid, ...), ``sets`` (wid, words) and ``postings`` (term, fid), written once, postings in order of terms.
 
-    Terms are a fact's words, and the runs of GRAM characters in whatever of it may hold
-    an id, so that a lookup reads the postings of a question's terms and no other fact.
+    Facts with the same words share a ``wid``. Terms are the runs of LONG characters in
+    whatever of a fact may hold an id, and those of GRAM around a separator, which every
+    shorter id has; so a lookup of ids reads the postings of their terms and no other fact.
     """
-    facts_ = keep(of.withColumn("fid", F.monotonically_increasing_id()))
-    about = words(F.translate(F.concat_ws(" ", "raw", "about"), "_", " "))
+    about = F.array_sort(words(F.translate(F.concat_ws(" ", "raw", "about"), "_", " ")))
+    told = keep(of.withColumns({"fid": F.monotonically_increasing_id(), "words": about}))
+    sets = keep(told.groupBy("words").agg(F.min("fid").alias("wid")))
+    facts_ = keep(told.join(sets, "words").drop("words"))
     runs = F.regexp_extract_all(F.col("raw"), F.lit("[\\w:-]*[_:0-9-][\\w:-]*"), F.lit(0))
-    grams = F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= GRAM), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - GRAM + 1), lambda i: F.substring(r, i, F.lit(GRAM)))))
-    terms = F.concat(F.transform(about, lambda w: F.concat(F.lit("w "), w)), F.transform(F.array_distinct(grams), lambda g: F.concat(F.lit("g "), g)))
-    postings = facts_.select(F.explode(terms).alias("term"), "fid")
-    return {"facts": facts_, "postings": keep(postings.repartitionByRange("term", "fid").sortWithinPartitions("term", "fid"))}
+    short = F.filter(F.flatten(F.transform(runs, lambda r: _grams(r, GRAM))), lambda g: g.rlike("[_:-]"))
+    terms = F.concat(short, F.flatten(F.transform(runs, lambda r: _grams(r, LONG))))
+    postings = facts_.select(F.explode(F.array_distinct(terms)).alias("term"), "fid")
+    return {"facts": facts_, "sets": sets, "postings": keep(postings.repartitionByRange("term", "fid").sortWithinPartitions("term", "fid"))}
 
 
 def lookup(indexed: dict[str, DataFrame], questions: DataFrame, k: int = 6) -> DataFrame:
-    """The k best facts of each question (q, question), as ``ranked`` has them: q, nth, score, exposure, kind, key, fact."""
-    facts_, postings = indexed["facts"], indexed["postings"]
+    """The k best facts of each question (q, question), as ``ranked`` has them: q, nth, score, exposure, kind, key, fact.
+
+    Questions with the same words share the facts that are best by words alone: the k best
+    of each set of words, and of these the k best of all sets. A fact that is not among
+    them and has no id of the question has k better ones, so these and the facts with an
+    id are all that can be among a question's k best.
+    """
+    facts_, sets, postings = (indexed[x] for x in ("facts", "sets", "postings"))
     asked = F.array_distinct(F.transform(F.regexp_extract_all("question", F.lit(IDS), F.lit(1)), F.lower))
-    of_words = questions.select("q", F.explode(tokens(F.col("question"))).alias("w")).select("q", F.concat(F.lit("w "), "w").alias("term"))
-    of_ids = questions.select("q", F.explode(asked).alias("id")).withColumn("term", F.concat(F.lit("g "), F.right("id", F.lit(GRAM))))
-    by_word = of_words.join(postings, "term").select("q", "fid", F.lit(1).alias("points"))
+    told = keep(questions.select("q", F.array_sort(tokens(F.col("question"))).alias("toks"), asked.alias("ids")))
+    kinds = keep(told.groupBy("toks").agg(F.min("q").alias("tid")))
+    said = kinds.select("tid", F.explode("toks").alias("w")).join(sets.select("wid", F.explode("words").alias("w")), "w").groupBy("tid", "wid").agg(F.count(F.lit(1)).cast("int").alias("said"))
+    heads = keep(_best(facts_, ["wid"], [], k).drop("nth", "raw", "about"))
+    by_word = _best(said.join(heads, "wid"), ["tid"], ["said"], k).select("tid", "fid")
+    by_word = told.join(kinds, "toks").select("q", "tid").join(by_word, "tid").select("q", "fid", F.lit(0).alias("points"))
+    of_ids = told.select("q", F.explode("ids").alias("id")).withColumn("term", F.right("id", F.when(F.length("id") >= LONG, LONG).otherwise(GRAM)))
     maybe = of_ids.join(postings, "term").join(facts_.select("fid", "raw"), "fid")
     by_id = maybe.where(F.contains("raw", "id")).select("q", "fid", F.lit(6).alias("points"))
-    scored = by_word.unionByName(by_id).groupBy("q", "fid").agg(F.sum("points").cast("int").alias("score")).join(facts_, "fid")
-    nth = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.desc("exposure"), "kind", "key", "fact"))
-    return scored.withColumn("nth", nth).where(F.col("nth") <= k).select("q", "nth", "score", "exposure", "kind", "key", "fact")
+    found = by_word.unionByName(by_id).groupBy("q", "fid").agg(F.sum("points").alias("points")).join(facts_, "fid").join(sets, "wid").join(told.select("q", "toks"), "q")
+    scored = found.withColumn("score", (F.col("points") + F.size(F.array_intersect("toks", "words"))).cast("int"))
+    return _best(scored, ["q"], ["score"], k).select("q", "nth", "score", "exposure", "kind", "key", "fact")
 
 
 def definitions(spark: SparkSession, question: str) -> DataFrame:

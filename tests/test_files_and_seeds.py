@@ -134,3 +134,18 @@ def test_one_ordered_file_and_truth_round_trip(spark, tmp_path):
     assert whole["manifest"] == {"seed": 1} and whole["batch_to_bank"] == {"setl_1": ["bank:0001", "bank:0002"]} and whole["payment_to_batch"] == {"pay_1": "setl_1"}
     read = {(r["kind"], r["key"], r["value"]) for r in exports.truth(spark, f"file://{tmp_path}/ground_truth.json").collect()}
     assert read == {("invoice_to_payment", 'INV-"1"', "pay_1"), ("payment_to_batch", "pay_1", "setl_1"), ("invoice_to_bank", "INV-2", "bank:0009"), ("exceptions", "pay_2", "FEE_VARIANCE"), ("batch_to_bank", "setl_1", "bank:0001"), ("batch_to_bank", "setl_1", "bank:0002")}
+
+
+def test_a_lookup_of_many_questions_equals_each_by_itself(spark):
+    """Short and long ids, ids inside longer ones, equal words with more facts than are shown, and no pair of a question and a fact that shares common words only."""
+    rows = [(f"INV-{n}", f"pay_{n}", "erp_to_gateway", f"T{n % 3}_X", 900 + n % 7, n * 31 % 11) for n in (*range(1, 60), 1234, 12345, 12345678, 112345678)]
+    rows += [(f"setl_{n:05d}", f"bank:{n:04d}", "settlement_to_bank", "T0_X", 1000, n % 5) for n in range(1, 40)]
+    facts = answers.match_facts(spark.createDataFrame(rows, "lkey string, rkey string, leg string, tier string, confidence int, delta_paise long"))
+    asked = {q: f"What is the receipt of {q}?" for q in ("INV-1", "INV-12", "INV-1234", "INV-12345678", "pay_5", "bank:0007", "setl_00031", "INV-999999")}
+    asked |= {"two": "Why pay_7 and bank:0007 in the bank?", "words": "bank settlement gateway", "none": "zzzz"}
+    indexed = answers.index(facts)
+    got = answers.lookup(indexed, spark.createDataFrame(list(asked.items()), "q string, question string")).collect()
+    for q, question in asked.items():
+        want = [tuple(r) for r in answers.ranked(facts, question).collect()]
+        assert [tuple(r)[2:] for r in sorted(got, key=lambda r: r["nth"]) if r["q"] == q] == want, q
+    assert not indexed["postings"].where("term like 'w %'").count() and indexed["sets"].count() < 10
